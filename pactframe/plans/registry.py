@@ -20,7 +20,7 @@ def register(key: str, oracle: str | None = None):
             raise ValueError(f"query {key} registered twice")
         _QUERIES[key] = fn
         if oracle is not None:
-            _ORACLES[key] = binding_ctes(oracle)
+            _ORACLES[key] = oracle
         return fn
 
     return add
@@ -52,4 +52,9 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def all_oracles() -> dict[str, str]:
-    return dict(_ORACLES)
+    return {key: binding_ctes(sql) for key, sql in _ORACLES.items()}
+
+
+def oracle_of(key: str) -> str:
+    """The checking SQL of a query, without the bindings, for a query with the same answer."""
+    return _ORACLES[key]
