@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from functools import lru_cache
 
 VOWELS = "aeiouy"
 
@@ -26,13 +25,15 @@ STEP_3 = {
     "ational": "ate", "tional": "tion", "alize": "al", "icate": "ic", "iciti": "ic", "ical": "ic", "ful": "",
     "ness": "", "ative": "",
 }
-STEP_4 = (
+STEP_4 = {
     "al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ism", "ate", "iti", "ous",
     "ive", "ize", "ion",
-)
-LI_ENDING = "cdeghkmnrt"
+}
+PAST = {"eed", "eedly", "ed", "edly", "ing", "ingly"}
+LI_ENDING = set("cdeghkmnrt")
 
 _REGION = re.compile(r".*?[aeiouy][^aeiouy]", re.S)
+_VOWEL = re.compile(r"[aeiouy]")
 _SPECIAL_START = re.compile(r"gener|commun|arsen")
 _SHORT_END = re.compile(r"(^|.*[^aeiouy])[aeiouy][^aeiouywxY]$|^[aeiouy][^aeiouy]$", re.S)
 
@@ -46,11 +47,25 @@ def _regions(word: str) -> tuple[int, int]:
 
 
 def _has_vowel(part: str) -> bool:
-    return any(c in VOWELS for c in part)
+    return _VOWEL.search(part) is not None
+
+
+def _by_last_letter(suffixes) -> dict[str, list[str]]:
+    """The suffixes by their last letter, longest first."""
+    found: dict[str, list[str]] = {}
+    for suffix in sorted(suffixes, key=len, reverse=True):
+        found.setdefault(suffix[-1], []).append(suffix)
+    return found
+
+
+_PAST, _STEP_2, _STEP_3, _STEP_4 = map(_by_last_letter, (PAST, STEP_2, STEP_3, STEP_4))
 
 
-def _longest(word: str, suffixes) -> str | None:
-    return max((s for s in suffixes if word.endswith(s)), key=len, default=None)
+def _longest(word: str, suffixes: dict[str, list[str]]) -> str | None:
+    for suffix in suffixes.get(word[-1], ()):
+        if word.endswith(suffix):
+            return suffix
+    return None
 
 
 def _plural(word: str) -> str:
@@ -64,7 +79,7 @@ def _plural(word: str) -> str:
 
 
 def _past(word: str, r1: int) -> str:
-    suffix = _longest(word, ("eed", "eedly", "ed", "edly", "ing", "ingly"))
+    suffix = _longest(word, _PAST)
     if suffix is None:
         return word
     base = word[: -len(suffix)]
@@ -82,16 +97,16 @@ def _past(word: str, r1: int) -> str:
 
 
 def _derived(word: str, r1: int, r2: int) -> str:
-    suffix = _longest(word, STEP_2)
+    suffix = _longest(word, _STEP_2)
     if suffix and len(word) - len(suffix) >= r1:
         before = word[: -len(suffix)]
-        ok = {"ogi": before.endswith("l"), "li": before[-1:] != "" and before[-1:] in LI_ENDING}
-        if ok.get(suffix, True):
+        refused = (suffix == "ogi" and before[-1:] != "l") or (suffix == "li" and before[-1:] not in LI_ENDING)
+        if not refused:
             word = before + STEP_2[suffix]
-    suffix = _longest(word, STEP_3)
+    suffix = _longest(word, _STEP_3)
     if suffix and len(word) - len(suffix) >= (r2 if suffix == "ative" else r1):
         word = word[: -len(suffix)] + STEP_3[suffix]
-    suffix = _longest(word, STEP_4)
+    suffix = _longest(word, _STEP_4)
     if suffix and len(word) - len(suffix) >= r2:
         before = word[: -len(suffix)]
         if suffix != "ion" or before.endswith(("s", "t")):
@@ -108,14 +123,14 @@ def _final(word: str, r1: int, r2: int) -> str:
     return word
 
 
-@lru_cache(maxsize=1 << 17)
 def stem(word: str) -> str:
     if len(word) <= 2:
         return word
     if word in IRREGULAR:
         return IRREGULAR[word]
     # a y that starts the word or follows a vowel is a consonant
-    word = re.sub(r"([aeiouy])y", r"\1Y", re.sub(r"^y", "Y", word))
+    if "y" in word:
+        word = re.sub(r"([aeiouy])y", r"\1Y", re.sub(r"^y", "Y", word))
     r1, r2 = _regions(word)
     word = _plural(word)
     if word in SETTLED:

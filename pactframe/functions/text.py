@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, functions as F, types as T
 
-from pactframe.functions.stemmer import stem
+from pactframe.functions.stemmer import IRREGULAR, stem
 
 # Fixed value: what a token is, and how much of a text is searched.
 TOKEN = r"([\p{L}\p{N}]+)"
@@ -44,34 +45,59 @@ def normal_term(token: str, english: bool = True) -> str | None:
     return None if token in _STOPPED else stem(token)
 
 
-def group_terms(english: bool):
-    """Function for mapInArrow: (keys..., tokens) to (keys..., term, tf, positions).
+def word_starts(terms: frozenset[str]) -> list[str]:
+    """What a word must start with to have one of the stems: its first two letters.
 
-    Terms are grouped within one row's token list, so nothing is shuffled and
-    memory is bound by one text.
+    Only a few irregular words differ from their stem that early.
+    """
+    return sorted({t[:2] for t in terms} | {w[:2] for w, t in IRREGULAR.items() if t in terms})
+
+
+def group_terms(english: bool, only: frozenset[str] | None = None):
+    """Function for mapInArrow: (keys..., words, places) to (keys..., term, tf, positions).
+
+    ``places`` are the positions of the words, or NULL when the words are a whole
+    text.  Terms are grouped within one row, so nothing is shuffled and memory is
+    bound by one Arrow batch.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = batch.schema.names[:-1]
-            rows, terms, counts, places = [], [], [], []
-            for row, words in enumerate(batch.column(len(keys)).to_pylist()):
-                found: dict[str, list[int]] = {}
-                for position, word in enumerate(words or (), 1):
-                    term = normal_term(word, english)
-                    if term is not None:
-                        found.setdefault(term, []).append(position)
-                rows.extend([row] * len(found))
-                terms.extend(found)
-                counts.extend(len(p) for p in found.values())
-                places.extend(found.values())
-            picked = batch.select(keys).take(pa.array(rows, pa.int64()))
+            *keys, words_name, places_name = batch.schema.names
+            words, places = batch.column(words_name), batch.column(places_name)
+            lengths = words.value_lengths().fill_null(0).to_numpy()
+            row = np.repeat(np.arange(batch.num_rows), lengths)
+            if places.null_count:
+                starts = np.cumsum(lengths) - lengths
+                position = np.arange(len(row)) - np.repeat(starts, lengths) + 1
+            else:
+                position = places.flatten().to_numpy()
+
+            # each distinct word of the batch is normalised once
+            encoded = words.flatten().dictionary_encode()
+            known: dict[str, int] = {}
+            term_of_word = np.full(len(encoded.dictionary) + 1, -1)
+            for code, word in enumerate(encoded.dictionary.to_pylist()):
+                term = normal_term(word, english)
+                if term is not None and (only is None or term in only):
+                    term_of_word[code] = known.setdefault(term, len(known))
+            term = term_of_word[encoded.indices.to_numpy()]
+
+            kept = term >= 0
+            row, term, position = row[kept], term[kept], position[kept]
+            group = row * max(len(known), 1) + term
+            order = np.argsort(group, kind="stable")
+            group = group[order]
+            first = np.flatnonzero(np.diff(group, prepend=-1))
+            ends = np.append(first, len(group))
+            picked = batch.select(keys).take(pa.array(row[order][first]))
+            names = pa.array(list(known), pa.string())
             yield pa.RecordBatch.from_arrays(
                 [
                     *picked.columns,
-                    pa.array(terms, pa.string()),
-                    pa.array(counts, pa.int32()),
-                    pa.array(places, pa.list_(pa.int32())),
+                    names.take(pa.array(term[order][first])),
+                    pa.array(np.diff(ends).astype(np.int32)),
+                    pa.ListArray.from_arrays(ends.astype(np.int32), position[order].astype(np.int32)),
                 ],
                 names=[*keys, "term", "tf", "positions"],
             )
@@ -82,4 +108,11 @@ def group_terms(english: bool):
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def english_terms(words: pd.Series) -> pd.Series:
     """Distinct search terms of each token list."""
-    return words.map(lambda ws: None if ws is None else list(dict.fromkeys(filter(None, map(normal_term, ws)))))
+    known: dict[str, str | None] = {}
+
+    def term(word: str) -> str | None:
+        if word not in known:
+            known[word] = normal_term(word)
+        return known[word]
+
+    return words.map(lambda ws: None if ws is None else list(dict.fromkeys(filter(None, map(term, ws)))))

@@ -79,19 +79,18 @@ def analysis_to_data_points(analyses: DataFrame) -> DataFrame:
     The four sections hold objects with field, value, confidence, reasoning and
     source.  A section of another shape gives no rows.
     """
-    value = F.col("analysis")
+    none = F.array().cast(f"array<{POINT}>")
     if dict(analyses.dtypes)["analysis"] == "string":
-        value = F.try_parse_json(value)
-    sections = [
-        F.transform(
-            F.coalesce(F.try_variant_get(value, f"$.{section}", f"array<{POINT}>"), F.array().cast(f"array<{POINT}>")),
-            _tagger(kind),
-        )
-        for section, kind in SECTIONS.items()
-    ]
+        shape = "struct<" + ",".join(f"{section}:array<{POINT}>" for section in SECTIONS) + ">"
+        rows = analyses.withColumn("_read", F.from_json("analysis", shape))
+        found = {section: F.col(f"_read.{section}") for section in SECTIONS}
+    else:
+        rows = analyses
+        found = {section: F.try_variant_get("analysis", f"$.{section}", f"array<{POINT}>") for section in SECTIONS}
+    tagged = [F.transform(F.coalesce(found[section], none), _tagger(kind)) for section, kind in SECTIONS.items()]
     keep = [c for c in analyses.columns if c != "analysis"]
-    found = analyses.select(*keep, F.inline(F.concat(*sections)))
-    return found.filter(F.col("field").isNotNull() & F.col("confidence").between(0, 100))
+    points = rows.select(*keep, F.inline(F.concat(*tagged)))
+    return points.filter(F.col("field").isNotNull() & F.col("confidence").between(0, 100))
 
 
 def _tagger(kind: str):

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from pactframe.functions.spread import salted_join
-from pactframe.functions.text import SEARCHED_CHARS, english_terms, group_terms, normal_term, tokens
+from pactframe.functions.text import SEARCHED_CHARS, english_terms, group_terms, normal_term, tokens, word_starts
 from pactframe.operators.tenancy import in_scope
 
 # Ten times the weight of a hit in the name (A) and in the text (B).
@@ -23,11 +23,21 @@ WEIGHT_TENTHS = {"A": 10, "B": 4}
 _TEXT_OFFSET = 1_000_000
 
 
-def doc_terms(docs: DataFrame, name: str = "name", text: str = "extracted_text", english: bool = True) -> DataFrame:
+def doc_terms(
+    docs: DataFrame,
+    name: str = "name",
+    text: str = "extracted_text",
+    english: bool = True,
+    only: frozenset[str] | None = None,
+) -> DataFrame:
     """Postings (doc_id, field, term, tf, positions); ``docs`` has id, a name and a text.
 
     Both fields of a document are tokenised in place and its terms are counted
     within the row, so building the table needs no shuffle.
+
+    ``only`` limits the postings to some terms, for a single search over rows
+    that have no stored postings.  A stem has the first two letters of its word,
+    so most words, and most rows, are then dropped before they reach Python.
     """
     fields = F.array(
         F.struct(F.lit("A").alias("field"), F.coalesce(F.col(name), F.lit("")).alias("content")),
@@ -35,12 +45,20 @@ def doc_terms(docs: DataFrame, name: str = "name", text: str = "extracted_text",
             F.lit("B").alias("field"), F.substring(F.coalesce(F.col(text), F.lit("")), 1, SEARCHED_CHARS).alias("content")
         ),
     )
-    split = docs.select(F.col("id").alias("doc_id"), F.inline(fields)).select(
-        "doc_id", "field", tokens(F.col("content")).alias("tokens")
-    )
+    rows = docs.select(F.col("id").alias("doc_id"), F.inline(fields))
+    words = tokens(F.col("content"))
+    if only is None:
+        split = rows.select("doc_id", "field", words.alias("words"), F.lit(None).cast("array<int>").alias("places"))
+    else:
+        starts = [F.lit(s) for s in word_starts(only)]
+        placed = F.transform(words, lambda w, i: F.struct(w.alias("word"), (i + 1).alias("place")))
+        kept = F.filter(placed, lambda p: reduce(Column.__or__, [p["word"].startswith(s) for s in starts], F.lit(False)))
+        split = rows.withColumn("_kept", kept).filter(F.size("_kept") > 0).select(
+            "doc_id", "field", F.col("_kept.word").alias("words"), F.col("_kept.place").alias("places")
+        )
     id_type = docs.schema["id"].dataType.simpleString()
     return split.mapInArrow(
-        group_terms(english), f"doc_id {id_type}, field string, term string, tf int, positions array<int>"
+        group_terms(english, only), f"doc_id {id_type}, field string, term string, tf int, positions array<int>"
     )
 
 
@@ -74,6 +92,11 @@ def parse_query(text: str, english: bool = True) -> list[list[Operand]]:
     return [a for a in alternatives if a]
 
 
+def query_terms(text: str, english: bool = True) -> frozenset[str]:
+    """Every term a query names, wanted or not."""
+    return frozenset(t for a in parse_query(text, english) for o in a for t, _ in o.terms)
+
+
 def _moved(positions: Column, by: int) -> Column:
     return F.transform(positions, lambda p: p + F.lit(by))
 
@@ -98,7 +121,7 @@ def search_match(terms: DataFrame, query: str, all_docs: DataFrame | None = None
     needs ``all_docs`` (doc_id).
     """
     alternatives = parse_query(query, english)
-    named = sorted({t for a in alternatives for o in a for t, _ in o.terms})
+    named = sorted(query_terms(query, english))
     wanted = sorted({t for a in alternatives for o in a if o.wanted for t, _ in o.terms})
     if not alternatives:
         return terms.select("doc_id", F.lit(0.0).alias("score")).limit(0)
@@ -155,7 +178,9 @@ def best_fragments(text: str | None, wanted: frozenset[str], fragments: int = 2,
     words = [(m.start(), m.end()) for m in re.finditer(r"[^\W_]+", text or "")]
     if not words:
         return ""
-    hits = [i for i, (a, b) in enumerate(words) if normal_term(text[a:b].lower(), english) in wanted]
+    spelled = [text[a:b].lower() for a, b in words]
+    matching = {w for w in set(spelled) if normal_term(w, english) in wanted}
+    hits = [i for i, w in enumerate(spelled) if w in matching]
     spans: list[tuple[int, int]] = []
     for first in hits or [0]:
         if len(spans) == fragments:
@@ -198,7 +223,8 @@ def search_batch(terms: DataFrame, queries: DataFrame, n: int = 40, english: boo
     A query asks for all its terms.  Queries with the same terms are answered
     once.  Candidates come from each query's rarest term only and the other
     terms are then looked up per candidate, so a common term never pairs all its
-    queries with all its documents.
+    queries with all its documents.  ``terms`` is read several times: pass a
+    stored postings table.
     """
     words = tokens(F.col("query"))
     wanted = F.array_sort(english_terms(words) if english else F.array_distinct(words))
@@ -258,7 +284,8 @@ def search_everything(
         for source, df in sources.items()
     ]
     everything = reduce(DataFrame.unionByName, rows)
-    matched = search_match(doc_terms(everything, english=english), query, everything.select(F.col("id").alias("doc_id")), english)
+    postings = doc_terms(everything, english=english, only=query_terms(query, english))
+    matched = search_match(postings, query, everything.select(F.col("id").alias("doc_id")), english)
     return (
         matched.select(
             F.split_part("doc_id", F.lit(":"), F.lit(1)).alias("source"),

@@ -6,6 +6,7 @@ from pactframe.functions.stemmer import stem
 from pactframe.operators import search
 from pactframe.plans.registry import register
 from pactframe.plans.stem_sql import postings_cte
+from pactframe.sources.tables import spread_scan, stored
 
 # Words of the test texts: two wanted and one unwanted, or a phrase.
 QUERY = 'ing ther -tionly or "ble wh"'
@@ -32,7 +33,12 @@ FOUND = f"""{postings_cte(DOCS)}, {MATCHES},
 
 
 def documents(t):
-    return t("dom_documents").select("id", "contract_id", "name", "extracted_text")
+    return spread_scan(t("dom_documents").select("id", "contract_id", "name", "extracted_text"))
+
+
+def asked_terms(t):
+    """Postings of the words of QUERY alone."""
+    return search.doc_terms(documents(t), only=search.query_terms(QUERY))
 
 
 @register(
@@ -50,20 +56,18 @@ def doc_terms(t):
 
 @register("search_match", f"with {postings_cte(DOCS)}, {MATCHES} select doc_id, score from matches")
 def search_match(t):
-    docs = documents(t)
-    return search.search_match(search.doc_terms(docs), QUERY, docs.select(F.col("id").alias("doc_id")))
+    return search.search_match(asked_terms(t), QUERY)
 
 
 @register("search_documents", f"with {FOUND} select * from found")
 def search_documents(t):
-    docs = documents(t)
-    return search.search_documents(search.doc_terms(docs), docs, t("dom_contracts").select("id", "account_id"), QUERY)
+    return search.search_documents(asked_terms(t), t("dom_documents"), t("dom_contracts").select("id", "account_id"), QUERY)
 
 
 @register("search_snippets")
 def search_snippets(t):
-    docs = documents(t)
-    top = search.search_documents(search.doc_terms(docs), docs, t("dom_contracts").select("id", "account_id"), QUERY)
+    docs = t("dom_documents")
+    top = search.search_documents(asked_terms(t), docs, t("dom_contracts").select("id", "account_id"), QUERY)
     return search.search_snippets(top, docs, QUERY)
 
 
@@ -88,7 +92,7 @@ def search_batch(t):
         "item_id", F.posexplode(F.split("text", r"\.")).alias("i", "query")
     )
     queries = sentences.select((F.col("item_id") * 1000 + F.col("i")).alias("query_id"), "query")
-    return search.search_batch(search.doc_terms(documents(t)), queries, 5)
+    return search.search_batch(stored(search.doc_terms(documents(t)), "postings"), queries, 5)
 
 
 EVERYTHING = """select 'contract:' || id as id, ref as name, supplier || ' ' || category as content from dom_contracts

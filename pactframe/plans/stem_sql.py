@@ -11,7 +11,7 @@ SHORT_END = "(?:^|[^aeiouy])[aeiouy][^aeiouywxY]$|^[aeiouy][^aeiouy]$"
 
 
 def _one_of(words) -> str:
-    return "(" + "|".join(words) + ")"
+    return "(" + "|".join(sorted(words)) + ")"
 
 
 def _replacements(table: dict[str, str]) -> str:

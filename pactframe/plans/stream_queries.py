@@ -80,7 +80,7 @@ def stream_job_state(t):
 @register(
     "stream_stale_jobs",
     f"""select id, heartbeat_at as last_heartbeat, heartbeat_at + interval 5 minute as stale_at from dom_jobs
-    where status = 'running' and heartbeat_at + interval 5 minute <
+    where status = 'running' and heartbeat_at + interval 5 minute <=
       (select date_trunc('milliseconds', max(heartbeat_at)) - interval 10 minute from dom_jobs where status = 'running')""",
 )
 def stream_stale_jobs(t):

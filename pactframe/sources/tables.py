@@ -7,6 +7,7 @@ import string
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from pactframe.session import new_folder
 from pactframe.sources.bindings import BINDINGS
 from pactframe.sources.schemas import BASE_SCHEMAS, DOMAIN_SCHEMAS
 
@@ -16,6 +17,19 @@ def read_table(spark: SparkSession, path: str, table: str) -> DataFrame:
     return spark.read.schema(DOMAIN_SCHEMAS[table]).parquet(path)
 
 
+def spread_scan(scan: DataFrame) -> DataFrame:
+    """A plain table scan, spread over the cores when the files are too few for them.
+
+    For work that costs far more than the shuffle of its input, such as taking
+    long texts apart.  A large table has more splits than cores and is left as
+    it is read.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    if scan.rdd.getNumPartitions() >= 2 * cores:
+        return scan
+    return scan.repartition(2 * cores)
+
+
 def append_table(df: DataFrame, path: str, time_column: str = "created_at") -> None:
     """Append rows partitioned by day, so that time-bounded reads skip files.
 
@@ -27,6 +41,17 @@ def append_table(df: DataFrame, path: str, time_column: str = "created_at") -> N
     rows.repartition("day", spread).write.mode("append").partitionBy("day").parquet(path)
 
 
+def stored(rows: DataFrame, name: str) -> DataFrame:
+    """The rows written to the shared folder and read back.
+
+    For a result that several later steps use: it is computed once, and a lost
+    executor does not make it be computed again.
+    """
+    path = new_folder(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def base_names(template: str) -> list[str]:
     """Placeholders of a binding text."""
     return sorted({name for _, name, _, _ in string.Formatter().parse(template) if name})

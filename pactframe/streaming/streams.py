@@ -234,53 +234,17 @@ def stream_job_state(events: DataFrame, max_attempts: int = 5, lateness: str = L
     )
 
 
-class StaleHeartbeat(StatefulProcessor):
-    """Raises one alert per job whose newest heartbeat has aged past the limit."""
+def stream_stale_jobs(heartbeats: DataFrame, stale_after: str = "5 minutes", lateness: str = LATENESS) -> DataFrame:
+    """One alert whenever a job goes without a heartbeat for too long; ``heartbeats`` has (id, heartbeat_at).
 
-    OUTPUT = "id bigint, last_heartbeat timestamp, stale_at timestamp"
-
-    def __init__(self, stale_after_ms: int):
-        self.stale_after_ms = stale_after_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.newest = handle.getValueState("heartbeat", "at timestamp")
-
-    def _due(self, at) -> int:
-        return int(pd.Timestamp(at).timestamp() * 1000) + self.stale_after_ms + 1
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        newest = max(chunk["heartbeat_at"].max() for chunk in rows).to_pydatetime()
-        if self.newest.exists():
-            old = self.newest.get()[0]
-            if old >= newest:
-                return iter(())
-            self.handle.deleteTimer(self._due(old))
-        self.newest.update((newest,))
-        self.handle.registerTimer(self._due(newest))
-        return iter(())
-
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        at = pd.Timestamp(self.newest.get()[0])
-        self.newest.clear()
-        yield pd.DataFrame({
-            "id": [key[0]], "last_heartbeat": [at], "stale_at": [at + pd.Timedelta(milliseconds=self.stale_after_ms)]
-        })
-
-    def close(self) -> None:
-        pass
-
-
-def stream_stale_jobs(heartbeats: DataFrame, stale_after_ms: int = 300_000, lateness: str = LATENESS) -> DataFrame:
-    """Alerts for jobs without a newer heartbeat; ``heartbeats`` has (id, heartbeat_at)."""
+    Heartbeats closer together than the limit form one session; the session
+    closes, and the alert is raised, when the watermark has passed the limit
+    after its last heartbeat.
+    """
     return (
         heartbeats.select("id", "heartbeat_at")
         .withWatermark("heartbeat_at", lateness)
-        .groupBy("id")
-        .transformWithStateInPandas(
-            statefulProcessor=StaleHeartbeat(stale_after_ms),
-            outputStructType=StaleHeartbeat.OUTPUT,
-            outputMode="Append",
-            timeMode="EventTime",
-        )
+        .groupBy("id", F.session_window("heartbeat_at", stale_after).alias("w"))
+        .agg(F.max("heartbeat_at").alias("last_heartbeat"))
+        .select("id", "last_heartbeat", F.col("w.end").alias("stale_at"))
     )
