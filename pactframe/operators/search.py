@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from pactframe.functions.spread import salted_join
 from pactframe.functions.text import SEARCHED_CHARS, english_terms, group_terms, normal_term, tokens, word_starts
 from pactframe.operators.tenancy import in_scope
+from pactframe.sources.tables import stored
 
 # Ten times the weight of a hit in the name (A) and in the text (B).
 WEIGHT_TENTHS = {"A": 10, "B": 4}
@@ -221,45 +222,56 @@ def search_batch(terms: DataFrame, queries: DataFrame, n: int = 40, english: boo
     """The n best documents of every query of a table (query_id, query).
 
     A query asks for all its terms.  Queries with the same terms are answered
-    once.  Candidates come from each query's rarest term only and the other
-    terms are then looked up per candidate, so a common term never pairs all its
-    queries with all its documents.  ``terms`` is read several times: pass a
-    stored postings table.
+    once.  Candidates come from each query's rarest term, are cut down by the
+    next rarest, and the other terms are then looked up per candidate, so a
+    common term never pairs all its queries with all its documents.  The query
+    terms and their postings are used several times and are written to the
+    shared folder first.
     """
     words = tokens(F.col("query"))
     wanted = F.array_sort(english_terms(words) if english else F.array_distinct(words))
     asked = queries.select("query_id", wanted.alias("terms")).filter(F.size("terms") > 0)
-    asked = asked.withColumn("key", F.array_join("terms", " "))
+    asked = stored(asked.withColumn("key", F.array_join("terms", " ")), "query-terms")
     needed = (
         asked.select("key", "terms").distinct()
         .select("key", F.explode("terms").alias("term"), F.size("terms").alias("n_terms"))
     )
     weight = F.when(F.col("field") == "A", WEIGHT_TENTHS["A"]).otherwise(WEIGHT_TENTHS["B"])
     # a common term's postings are spread over salts, and leave them by (term, document)
-    per_doc = (
+    per_doc = stored(
         salted_join(
             terms.select("term", "doc_id", (weight * F.col("tf")).alias("tenths")),
             needed.select("term").distinct(), ["term"], [F.col("doc_id")], "left_semi",
         )
         .groupBy("term", "doc_id")
-        .agg(F.sum("tenths").alias("tenths"))
+        .agg(F.sum("tenths").alias("tenths")),
+        "query-postings",
     )
     spread = per_doc.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    rarest = (
+    # the terms of a query from rare to common; a query with an unknown term matches nothing
+    by_rarity = (
         needed.join(spread, "term")
         .groupBy("key", "n_terms")
-        .agg(F.min_by("term", F.struct("df", "term")).alias("term"), F.count(F.lit(1)).alias("known"))
-        .filter(F.col("known") == F.col("n_terms"))
-        .select("key", "n_terms", "term")
+        .agg(F.array_sort(F.collect_list(F.struct("df", "term"))).alias("ranked"))
+        .filter(F.size("ranked") == F.col("n_terms"))
+        .select("key", "n_terms", F.col("ranked.term").alias("ranked"))
     )
-    candidates = rarest.join(per_doc.select("term", "doc_id"), "term").select(
-        "key", "n_terms", "doc_id", F.explode(F.split("key", " ")).alias("term")
+    rare = by_rarity.withColumn("term", F.col("ranked")[0]).join(per_doc, "term").withColumnRenamed("tenths", "first")
+    second = per_doc.select("term", "doc_id", F.col("tenths").alias("second"))
+    pairs = (
+        rare.withColumn("term", F.get("ranked", F.lit(1)))
+        .join(second, ["term", "doc_id"], "left")
+        .filter((F.col("n_terms") == 1) | F.col("second").isNotNull())
+        .withColumn("so_far", F.col("first") + F.coalesce("second", F.lit(0)))
     )
+    rest = F.slice("ranked", 3, F.greatest(F.col("n_terms") - 2, F.lit(0)))
     scored = (
-        candidates.join(per_doc, ["term", "doc_id"])
-        .groupBy("key", "n_terms", "doc_id")
-        .agg(F.sum("tenths").alias("tenths"), F.count(F.lit(1)).alias("hits"))
-        .filter(F.col("hits") == F.col("n_terms"))
+        pairs.select("key", "n_terms", "doc_id", "so_far", F.explode_outer(rest).alias("term"))
+        .join(per_doc, ["term", "doc_id"], "left")
+        .groupBy("key", "n_terms", "doc_id", "so_far")
+        .agg(F.coalesce(F.sum("tenths"), F.lit(0)).alias("others"), F.count("tenths").alias("hits"))
+        .filter(F.col("hits") == F.greatest(F.col("n_terms") - 2, F.lit(0)))
+        .withColumn("tenths", F.col("so_far") + F.col("others"))
     )
     order = W.partitionBy("key").orderBy(F.col("tenths").desc(), "doc_id")
     best = scored.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= n)

@@ -6,7 +6,7 @@ from pactframe.functions.stemmer import stem
 from pactframe.operators import search
 from pactframe.plans.registry import register
 from pactframe.plans.stem_sql import postings_cte
-from pactframe.sources.tables import spread_scan, stored
+from pactframe.sources.tables import spread_scan
 
 # Words of the test texts: two wanted and one unwanted, or a phrase.
 QUERY = 'ing ther -tionly or "ble wh"'
@@ -92,7 +92,7 @@ def search_batch(t):
         "item_id", F.posexplode(F.split("text", r"\.")).alias("i", "query")
     )
     queries = sentences.select((F.col("item_id") * 1000 + F.col("i")).alias("query_id"), "query")
-    return search.search_batch(stored(search.doc_terms(documents(t)), "postings"), queries, 5)
+    return search.search_batch(search.doc_terms(documents(t)), queries, 5)
 
 
 EVERYTHING = """select 'contract:' || id as id, ref as name, supplier || ' ' || category as content from dom_contracts
