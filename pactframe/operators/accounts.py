@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pactframe.functions.columns import instant, title_case
-from pactframe.functions.spread import newest_per_key
+from pactframe.functions.spread import newest_per_key, salted_join
 
 FREE_PLAN = "sandbox"
 FREE_CREDITS = 150
@@ -108,7 +108,8 @@ def invitation_outcomes(attempts: DataFrame, invitations: DataFrame) -> DataFram
     offers = invitations.select(
         "token", "account_id", "role", F.col("email").alias("_invited"), "expires_at", F.col("accepted_at").alias("_used")
     )
-    tried = attempts.join(offers, "token", "left")
+    # a token tried over and over is spread over salts, up to the join with its winner
+    tried = salted_join(attempts, offers, ["token"], [F.col("id")], "left")
     open_offer = F.col("_invited").isNotNull() & F.col("_used").isNull() & (F.col("expires_at") > F.col("ts"))
     passes = F.col("user_id").isNotNull() & open_offer & (F.lower("_invited") == F.lower("email"))
     tried = tried.withColumn("_passes", F.coalesce(passes, F.lit(False))).withColumn(

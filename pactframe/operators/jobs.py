@@ -206,16 +206,18 @@ def enqueue_decisions(requests: DataFrame, jobs: DataFrame, accounts: DataFrame,
         members.filter(F.col("role").isin(*EDITOR_ROLES)).select("user_id", "account_id").distinct()
         .withColumn("_editor", F.lit(True))
     )
-    key = ["account_id", "idempotency_key"]
-    live = (
-        jobs.filter(F.col("status").isin(*LIVE) & F.col("idempotency_key").isNotNull())
-        .select(*key).distinct().withColumn("_live", F.lit(True))
+    # requests without a key get one of their own, so they do not gather in one task
+    own_key = F.concat(F.lit("id:"), F.col("id").cast("string"))
+    asked = requests.withColumn("_key", F.coalesce(F.concat(F.lit("key:"), F.col("idempotency_key")), own_key))
+    asked = asked.join(editors, ["user_id", "account_id"], "left")
+    key = ["account_id", "_key"]
+    # live jobs and first requests in one lookup: map tasks reduce a busy key to one row
+    live = jobs.filter(F.col("status").isin(*LIVE) & F.col("idempotency_key").isNotNull()).select(
+        "account_id", F.concat(F.lit("key:"), F.col("idempotency_key")).alias("_key"), F.lit(True).alias("_live")
     )
-    asked = requests.join(editors, ["user_id", "account_id"], "left")
-    # min over a struct keeps one row per key in every map task
-    first = (
-        asked.filter(F.col("_editor") & F.col("idempotency_key").isNotNull())
-        .groupBy(*key).agg(F.min(F.struct("requested_at", "id")).alias("_first"))
+    wanted = asked.filter("_editor").select(*key, F.struct("requested_at", "id").alias("_ask"))
+    known = wanted.unionByName(live, allowMissingColumns=True).groupBy(*key).agg(
+        F.min("_ask").alias("_first"), F.max("_live").alias("_live")
     )
     plans = accounts.select("account_id", "plan")
     outcome = (
@@ -224,12 +226,12 @@ def enqueue_decisions(requests: DataFrame, jobs: DataFrame, accounts: DataFrame,
         .when(F.col("_first.id") != F.col("id"), "collapsed")
         .otherwise("queued")
     )
+    priority = F.when(F.col("outcome") == "queued", plan_priority(F.col("plan")))
     return (
-        asked.join(live, key, "left").join(first, key, "left").join(plans, "account_id", "left")
-        .select(*[asked[c] if c not in ("account_id", "idempotency_key") else F.col(c) for c in requests.columns],
-                "plan", outcome.alias("outcome"))
-        .withColumn("priority", F.when(F.col("outcome") == "queued", plan_priority(F.col("plan"))))
-        .drop("plan")
+        asked.join(known, key, "left")
+        .withColumn("outcome", outcome)
+        .join(plans, "account_id", "left")
+        .select(*requests.columns, "outcome", priority.alias("priority"))
     )
 
 
@@ -272,47 +274,70 @@ def error_text(errors: DataFrame) -> DataFrame:
     )
 
 
-def failure_streaks(calls: DataFrame, threshold: int = 4, hold: str = "60 seconds", bucket: str = "hour") -> DataFrame:
+def _open_before(items: DataFrame, levels: tuple[str, ...]) -> DataFrame:
+    """For each (worker, bucket), the unbroken failures just before it.
+
+    ``items`` has one row per worker and bucket: ``_reset``, whether the bucket
+    has a success, and ``_tail``, its failures since the last success (all of
+    them without one).  Buckets are ordered inside the next wider bucket only;
+    what lies before that comes from the wider buckets in the same way.
+    """
+    inside = ["worker", "_wide"] if levels else ["worker"]
+    wide = items.withColumn("_wide", F.date_trunc(levels[0], "_bucket")) if levels else items
+    order = W.partitionBy(*inside).orderBy("_bucket")
+    wide = wide.withColumn("_run", F.sum(F.col("_reset").cast("int")).over(order.rowsBetween(W.unboundedPreceding, 0)))
+    in_run = W.partitionBy(*inside, "_run").orderBy("_bucket").rowsBetween(W.unboundedPreceding, 0)
+    wide = wide.withColumn("_open", F.sum("_tail").over(in_run))
+    near = wide.select(
+        *inside,
+        "_bucket",
+        F.coalesce(F.lag("_open").over(order), F.lit(0)).alias("_carried"),
+        (F.coalesce(F.lag("_run").over(order), F.lit(0)) > 0).alias("_broken"),
+    )
+    if not levels:
+        return near.select("worker", "_bucket", "_carried")
+    ends = wide.groupBy("worker", F.col("_wide").alias("_bucket")).agg(
+        F.max("_reset").alias("_reset"), F.max_by("_open", "_bucket").alias("_tail")
+    )
+    far = _open_before(ends, levels[1:]).select("worker", F.col("_bucket").alias("_wide"), F.col("_carried").alias("_far"))
+    carried = F.col("_carried") + F.when(F.col("_broken"), 0).otherwise(F.col("_far"))
+    return near.join(far, inside).select("worker", "_bucket", carried.alias("_carried"))
+
+
+def failure_streaks(
+    calls: DataFrame, threshold: int = 4, hold: str = "60 seconds", levels: tuple[str, ...] = ("second", "hour")
+) -> DataFrame:
     """Retryable failures with the running streak of their worker.
 
     ``calls`` has (worker, created_at, id, ok, retryable).  A success resets the
     streak, a failure that is not retryable neither counts nor resets, and each
     failure at or beyond the threshold opens a new hold.
 
-    Calls are ordered only inside a worker's time bucket.  A bucket table, one
-    row per worker and bucket, carries an unbroken streak across buckets, so a
-    worker with a third of the log is still cut into many tasks.
+    There are few workers, so a worker's log is never ordered as a whole: calls
+    are ordered inside one of its seconds, its seconds inside an hour, and its
+    hours by worker.
     """
     counted = calls.select(
         "worker",
         "created_at",
         "id",
-        F.coalesce(F.col("ok"), F.lit(False)).cast("int").alias("_reset"),
+        F.coalesce(F.col("ok"), F.lit(False)).alias("_won"),
         F.coalesce(~F.col("ok") & F.col("retryable"), F.lit(False)).cast("int").alias("_hit"),
-        F.date_trunc(bucket, "created_at").alias("_bucket"),
+        F.date_trunc(levels[0], "created_at").alias("_bucket"),
     )
     inside = W.partitionBy("worker", "_bucket").orderBy("created_at", "id").rowsBetween(W.unboundedPreceding, 0)
-    # Position of the last reset needs no second window: hits are counted from it.
-    lines = counted.select(
-        "*", F.sum("_hit").over(inside).alias("_hits"), F.sum("_reset").over(inside).alias("_resets")
-    )
-    lines = lines.withColumn("_base", F.max(F.when(F.col("_reset") == 1, F.col("_hits"))).over(inside))
-
+    lines = counted.withColumn("_hits", F.sum("_hit").over(inside))
+    # failures up to the last success of the bucket, NULL before the first one
+    lines = lines.withColumn("_base", F.max(F.when(F.col("_won"), F.col("_hits"))).over(inside))
     buckets = lines.groupBy("worker", "_bucket").agg(
-        F.max("_resets").alias("_resets"), (F.max("_hits") - F.coalesce(F.max("_base"), F.lit(0))).alias("_tail")
+        F.max("_won").alias("_reset"), (F.max("_hits") - F.coalesce(F.max("_base"), F.lit(0))).alias("_tail")
     )
-    by_worker = W.partitionBy("worker").orderBy("_bucket")
-    so_far = by_worker.rowsBetween(W.unboundedPreceding, 0)
-    buckets = buckets.withColumn("_run", F.sum((F.col("_resets") > 0).cast("int")).over(so_far))
-    in_run = W.partitionBy("worker", "_run").orderBy("_bucket").rowsBetween(W.unboundedPreceding, 0)
-    buckets = buckets.withColumn("_open", F.sum("_tail").over(in_run))
-    carried = buckets.select("worker", "_bucket", F.coalesce(F.lag("_open").over(by_worker), F.lit(0)).alias("_carried"))
-
-    streak = F.when(F.col("_resets") > 0, F.col("_hits") - F.col("_base")).otherwise(F.col("_hits") + F.col("_carried"))
+    before = _open_before(buckets, levels[1:])
+    streak = F.when(F.col("_base").isNull(), F.col("_hits") + F.col("_carried")).otherwise(F.col("_hits") - F.col("_base"))
     opened = F.col("streak") >= threshold
     return (
         lines.filter(F.col("_hit") == 1)
-        .join(carried, ["worker", "_bucket"])
+        .join(before, ["worker", "_bucket"])
         .withColumn("streak", streak.cast("long"))
         .select(
             "worker",

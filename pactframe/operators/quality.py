@@ -129,7 +129,7 @@ def consent_asof(documents: DataFrame, consents: DataFrame, scope: DataFrame | N
     transcripts = in_scope(documents, scope).filter(F.col("is_transcript"))
     given = consents.select("account_id", "accepted_at", F.col("id").alias("consent_in_force"), F.col("version").alias("consent_version"))
     return asof_join(
-        transcripts, given, ["account_id"], "created_at", "accepted_at", ["consent_in_force", "consent_version"], "month"
+        transcripts, given, ["account_id"], "created_at", "accepted_at", ["consent_in_force", "consent_version"]
     )
 
 

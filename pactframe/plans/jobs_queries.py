@@ -184,7 +184,7 @@ def enqueue_batch(t):
 def failure_streaks(t):
     passing = ~F.col("fatal") & F.col("error_class").isin("429", "500")
     calls = t("dom_telemetry").select("worker", "created_at", "id", "ok", passing.alias("retryable"))
-    return jobs.failure_streaks(calls, bucket="day")
+    return jobs.failure_streaks(calls)
 
 
 @register(

@@ -86,10 +86,10 @@ def busy_calls(n=600, seed=5):
 CALLS = "worker string, created_at timestamp, id long, ok boolean, retryable boolean"
 
 
-@pytest.mark.parametrize("bucket", ["minute", "hour", "day"])
-def test_streaks_match_a_plain_loop(frame, bucket):
+@pytest.mark.parametrize("levels", [("minute",), ("second", "hour"), ("minute", "hour", "day")])
+def test_streaks_match_a_plain_loop(frame, levels):
     calls = busy_calls()
-    found = {r.id: (r.streak, r.opened) for r in jobs.failure_streaks(frame(calls, CALLS), bucket=bucket).collect()}
+    found = {r.id: (r.streak, r.opened) for r in jobs.failure_streaks(frame(calls, CALLS), levels=levels).collect()}
     assert found == naive_streaks(calls)
 
 

@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from pactframe.operators import obligations, policy, quality
@@ -10,7 +11,8 @@ from tests.conftest import rows
 PACKS = "id long, account_id string, jurisdiction string, active boolean, effective_from timestamp, effective_to timestamp"
 
 
-def test_asof_join_matches_a_plain_loop(frame):
+@pytest.mark.parametrize("levels", [("day",), ("minute", "day"), ("hour", "day", "month")])
+def test_asof_join_matches_a_plain_loop(frame, levels):
     pick = random.Random(3)
     stamp = lambda: f"2024-0{pick.randrange(1, 4)}-{pick.randrange(1, 28):02d} {pick.randrange(24):02d}:00:00"
     key = lambda: "hot" if pick.random() < 0.6 else pick.choice(["a", "b"])
@@ -20,7 +22,7 @@ def test_asof_join_matches_a_plain_loop(frame):
     for i, k, at in probes:
         best = max(((e_at, e) for e, e_k, e_at in events if at is not None and e_k == k and e_at <= at), default=(None, None))
         expected[i] = best[1]
-    found = asof_join(frame(probes, "id int, k string, at timestamp"), frame(events, "event int, k string, t timestamp"), ["k"], "at", "t", ["event"])
+    found = asof_join(frame(probes, "id int, k string, at timestamp"), frame(events, "event int, k string, t timestamp"), ["k"], "at", "t", ["event"], levels)
     assert {r.id: r.event for r in found.collect()} == expected
 
 
