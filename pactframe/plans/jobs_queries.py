@@ -54,10 +54,10 @@ def due_jobs(t):
 @register(
     "claimable_jobs",
     f"""select id, account_id, kind, priority, run_after from dom_jobs where status = 'queued' and run_after <= {NOW}
-      and kind in ('analysis', 'reanalysis', 'cedric') order by priority, run_after, id limit 3""",
+      and kind in ('analysis', 'reanalysis') order by priority, run_after, id limit 3""",
 )
 def claimable_jobs(t):
-    found = jobs.claimable_jobs(t("dom_jobs"), AS_OF, ["analysis", "reanalysis", "cedric"], 3)
+    found = jobs.claimable_jobs(t("dom_jobs"), AS_OF, ["analysis", "reanalysis"], 3)
     return found.select("id", "account_id", "kind", "priority", "run_after")
 
 

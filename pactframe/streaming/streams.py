@@ -151,11 +151,12 @@ class JobState(StatefulProcessor):
     last requeue.
     """
 
-    OUTPUT = "job_id bigint, status string, attempts bigint, progress int, note string, events bigint, at timestamp"
+    OUTPUT = "job_id bigint, status string, attempts bigint, progress int, note string, events bigint, at bigint"
+    # times are microseconds, which no time zone setting can shift
     STATE = (
-        "last_action string, last_ts timestamp, last_seq bigint, progress int, progress_ts timestamp, progress_seq bigint, "
-        "note string, note_ts timestamp, note_seq bigint, requeue_ts timestamp, requeue_seq bigint, "
-        "claims array<struct<ts:timestamp,seq:bigint>>, events bigint, at timestamp"
+        "last_action string, last_at bigint, last_seq bigint, progress int, progress_at bigint, progress_seq bigint, "
+        "note string, note_at bigint, note_seq bigint, requeue_at bigint, requeue_seq bigint, "
+        "claims array<struct<at:bigint,seq:bigint>>, events bigint, at bigint"
     )
 
     def __init__(self, max_attempts: int = 5):
@@ -174,9 +175,9 @@ class JobState(StatefulProcessor):
             claims, events, at = [(c[0], c[1]) for c in s[11]], s[12], s[13]
         for chunk in rows:
             for seq, ts, action, value, text in zip(
-                chunk["seq"], chunk["ts"], chunk["action"], chunk["progress"], chunk["note"]
+                chunk["seq"], chunk["at"], chunk["action"], chunk["progress"], chunk["note"]
             ):
-                seq, ts = int(seq), pd.Timestamp(ts).to_pydatetime()
+                seq, ts = int(seq), int(ts)
                 events += 1
                 at = ts if at is None else max(at, ts)
                 if action != "progress":
@@ -223,14 +224,15 @@ def _stored(entry):
     return (None, None, None) if entry is None else (entry[2], entry[0], entry[1])
 
 
-def stream_job_state(events: DataFrame, max_attempts: int = 5, lateness: str = LATENESS) -> DataFrame:
+def stream_job_state(events: DataFrame, max_attempts: int = 5) -> DataFrame:
     """A row per job and micro-batch with the job's state so far; the newest row is current."""
     return (
-        events.withWatermark("ts", lateness)
+        events.select("job_id", "seq", F.unix_micros("ts").alias("at"), "action", "progress", "note")
         .groupBy("job_id")
         .transformWithStateInPandas(
             statefulProcessor=JobState(max_attempts), outputStructType=JobState.OUTPUT, outputMode="Append", timeMode="None"
         )
+        .withColumn("at", F.timestamp_micros("at"))
     )
 
 

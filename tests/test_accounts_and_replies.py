@@ -75,7 +75,7 @@ def test_reply_text_and_results(frame, spark):
     data = spark.createDataFrame(
         [(1, [("text", "a"), ("tool", "x"), ("text", None), ("text", "b")]), (2, []), (3, None)], f"id int, content {kind}")
     assert [r.text for r in replies.reply_text(data).orderBy("id").collect()] == ["a\n\nb", "", ""]
-    found = replies.reply_results(frame([(1, "analysis", '{"a":1}'), (2, "reanalysis", "oops"), (3, "cedric", 'say "hi"')], "id int, kind string, text string"))
+    found = replies.reply_results(frame([(1, "analysis", '{"a":1}'), (2, "reanalysis", "oops"), (3, "question", 'say "hi"')], "id int, kind string, text string"))
     assert rows(found.select(F.to_json("result"), "failed"), "id") == [('{"a":1}', False), (None, True), ('{"text":"say \\"hi\\""}', False)]
 
 

@@ -45,7 +45,7 @@ def test_job_state_over_batches(spark, in_files):
         F.when(F.col("id") % 3 == 0, F.concat(F.lit("n"), F.col("id").cast("string"))).alias("note"))
     # events of one job arrive out of order and in different batches
     stream = in_files([events.filter(f"seq % 3 = {i}") for i in range(3)])
-    states = newest_per_key(drain(streams.stream_job_state(stream, lateness="30 days"), "jobs"), ["job_id"], ["events"]).drop("at")
+    states = newest_per_key(drain(streams.stream_job_state(stream), "jobs"), ["job_id"], ["events"]).drop("at")
     twin = jobs.job_state_fold(events)
     assert rows(states.select(*twin.columns), "job_id") == rows(twin, "job_id")
 
