@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pactframe.functions.columns import instant, title_case
-from pactframe.functions.spread import newest_per_key, salted_join
+from pactframe.functions.spread import newest_per_key
 
 FREE_PLAN = "sandbox"
 FREE_CREDITS = 150
@@ -105,35 +105,42 @@ def invitation_outcomes(attempts: DataFrame, invitations: DataFrame) -> DataFram
     attempts that pass, the first per invitation is accepted and later ones find
     the invitation used.
     """
+    invited = F.col("_invited")
     offers = invitations.select(
         "token", "account_id", "role", F.col("email").alias("_invited"), "expires_at", F.col("accepted_at").alias("_used")
     )
-    # a token tried over and over is spread over salts, up to the join with its winner
-    tried = salted_join(attempts, offers, ["token"], [F.col("id")], "left")
-    open_offer = F.col("_invited").isNotNull() & F.col("_used").isNull() & (F.col("expires_at") > F.col("ts"))
-    passes = F.col("user_id").isNotNull() & open_offer & (F.lower("_invited") == F.lower("email"))
-    tried = tried.withColumn("_passes", F.coalesce(passes, F.lit(False))).withColumn(
-        "_open", F.coalesce(open_offer, F.lit(False))
+    # The winner is the earliest signed-in attempt from the invited address.  Attempts
+    # are reduced to one per token and address first, and each attempt then meets its
+    # invitation and the winner in a single join.
+    earliest = (
+        attempts.filter(F.col("user_id").isNotNull())
+        .groupBy("token", F.lower("email").alias("_from"))
+        .agg(F.min(F.struct("ts", "id")).alias("_first"))
     )
-    first = tried.filter("_passes").groupBy("token").agg(F.min(F.struct("ts", "id")).alias("_first"))
+    winners = (
+        offers.filter(F.col("_used").isNull())
+        .withColumn("_from", F.lower("_invited"))
+        .join(earliest, ["token", "_from"])
+        .filter(F.col("expires_at") > F.col("_first.ts"))
+        .select("token", "_first")
+    )
+    tried = attempts.join(offers.join(winners, "token", "left"), "token", "left")
+    open_offer = invited.isNotNull() & F.col("_used").isNull() & (F.col("expires_at") > F.col("ts"))
+    tried = tried.withColumn("_open", F.coalesce(open_offer, F.lit(False)))
     outcome = (
         F.when(F.col("user_id").isNull(), "not signed in")
         .when(~F.col("_open"), "invitation not found or expired")
-        .when(F.col("_passes") & (F.col("_first.id") == F.col("id")), "accepted")
+        .when(F.col("_first.id") == F.col("id"), "accepted")
         # a later attempt, by anyone, meets a used invitation
         .when(F.col("_first").isNotNull() & (F.struct("ts", "id") > F.col("_first")), "invitation not found or expired")
-        .otherwise(F.concat(F.lit("this invitation was sent to "), F.col("_invited")))
+        .otherwise(F.concat(F.lit("this invitation was sent to "), invited))
     )
     accepted = F.col("outcome") == "accepted"
-    return (
-        tried.join(first, "token", "left")
-        .withColumn("outcome", outcome)
-        .select(
-            *attempts.columns,
-            "outcome",
-            F.when(accepted, F.col("account_id")).alias("account_id"),
-            F.when(accepted, F.col("role")).alias("role"),
-        )
+    return tried.withColumn("outcome", outcome).select(
+        *attempts.columns,
+        "outcome",
+        F.when(accepted, F.col("account_id")).alias("account_id"),
+        F.when(accepted, F.col("role")).alias("role"),
     )
 
 

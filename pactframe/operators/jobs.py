@@ -372,23 +372,23 @@ def job_state_fold(events: DataFrame, max_attempts: int = 5) -> DataFrame:
         F.coalesce(F.max_by(progress, F.when(progress.isNotNull(), at)), F.lit(0)).alias("progress"),
         F.max_by("note", F.when(F.col("note").isNotNull(), at)).alias("note"),
         F.max(F.when(action == "requeue", at)).alias("_requeued"),
+        F.count_if(action == "claim").alias("_claims"),
         F.count(F.lit(1)).alias("events"),
     )
+    # only a requeued job needs its claims looked at one by one
+    requeued = events.filter(action == "requeue").groupBy("job_id").agg(F.max(at).alias("_requeued"))
     claims = salted_join(
-        events.filter(action == "claim").select("job_id", "ts", "seq"),
-        state.select("job_id", "_requeued"),
-        ["job_id"],
-        [F.col("seq")],
-    ).withColumn("attempts", (F.col("_requeued").isNull() | (at > F.col("_requeued"))).cast("long"))
-    attempts = salted_sum(claims, ["job_id"], ["attempts"])
-    tries = F.coalesce("attempts", F.lit(0))
+        events.filter(action == "claim").select("job_id", "ts", "seq"), requeued, ["job_id"], [F.col("seq")]
+    ).filter(at > F.col("_requeued"))
+    since = salted_sum(claims.withColumn("_since", F.lit(1)), ["job_id"], ["_since"])
+    tries = F.when(F.col("_requeued").isNull(), F.col("_claims")).otherwise(F.coalesce("_since", F.lit(0)))
     status = (
         F.when(F.col("_last") == "claim", "running")
         .when(F.col("_last") == "complete", "succeeded")
         .when((F.col("_last") == "fail") & (tries >= max_attempts), "dead")
         .otherwise("queued")
     )
-    return state.join(attempts, "job_id", "left").select(
+    return state.join(since, "job_id", "left").select(
         "job_id", status.alias("status"), tries.alias("attempts"), "progress", "note", "events"
     )
 

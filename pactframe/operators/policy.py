@@ -76,7 +76,7 @@ def policy_snapshot(
         packs.filter(F.col("account_id").isNotNull()), ["account_id", "jurisdiction"], jurisdictions
     ).select("account_id", "jurisdiction", "at", F.col("packs").alias("own_packs"), F.col("pack_ids").alias("_own_ids"))
     found = asof_join(analyses, everyone, ["jurisdiction"], at, "at", ["global_packs", "_global_ids"])
-    found = asof_join(found, own, ["account_id", "jurisdiction"], at, "at", ["own_packs", "_own_ids"])
+    found = asof_join(found, own, ["account_id", "jurisdiction"], at, "at", ["own_packs", "_own_ids"], ("hour",))
     zero = F.lit(0)
     return found.select(
         *analyses.columns,
