@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from pactframe.functions.columns import instant, retry_at, seconds_between, whole_seconds_between
 from pactframe.functions.spread import newest_per_key, salted_join, salted_sum
 from pactframe.operators.ops import last_24_hours
-from pactframe.operators.tenancy import ADMIN_ROLES, EDITOR_ROLES, in_scope
+from pactframe.operators.tenancy import ADMIN_ROLES, EDITOR_ROLES, by_account, in_scope
 
 # Statuses that block a second job with the same key, and the
 # priority of each plan.
@@ -219,7 +219,7 @@ def enqueue_decisions(requests: DataFrame, jobs: DataFrame, accounts: DataFrame,
     known = wanted.unionByName(live, allowMissingColumns=True).groupBy(*key).agg(
         F.min("_ask").alias("_first"), F.max("_live").alias("_live")
     )
-    plans = accounts.select("account_id", "plan")
+    plans = by_account(accounts).select("account_id", "plan")
     outcome = (
         F.when(F.col("_editor").isNull(), "rejected")
         .when(F.col("_live"), "existing")

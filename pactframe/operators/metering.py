@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from pactframe.functions.spread import salted_join, salted_sum
-from pactframe.operators.tenancy import in_scope
+from pactframe.operators.tenancy import by_account, in_scope
 
 # Price of a million tokens, and credits for each kind of use.
 USD_PER_MILLION_IN = 3
@@ -20,7 +20,7 @@ def period_spend(accounts: DataFrame, ledger: DataFrame) -> DataFrame:
     The period start differs by account, so it has to be joined to the ledger
     row; a busy account is spread over salts and summed in two steps.
     """
-    starts = accounts.select("account_id", "period_started_at").filter(F.col("period_started_at").isNotNull())
+    starts = by_account(accounts).select("account_id", "period_started_at").filter(F.col("period_started_at").isNotNull())
     booked = salted_join(
         ledger.select("account_id", "credits", "created_at", "id"), starts, ["account_id"], [F.col("id")]
     ).filter(F.col("created_at") >= F.col("period_started_at"))
@@ -29,7 +29,7 @@ def period_spend(accounts: DataFrame, ledger: DataFrame) -> DataFrame:
 
 def credits_remaining(accounts: DataFrame, ledger: DataFrame, scope: DataFrame | None = None) -> DataFrame:
     """max(0, included + banked - spend of the current period) per account."""
-    owned = in_scope(accounts, scope)
+    owned = in_scope(by_account(accounts), scope)
     spend = period_spend(owned, in_scope(ledger, scope))
     allowance = F.coalesce("credits_included", F.lit(0)) + F.coalesce("credits_banked", F.lit(0))
     left = F.greatest(F.lit(0), allowance - F.coalesce("spent", F.lit(0)))
@@ -88,7 +88,7 @@ def roll_billing_period(
 
     ``plans`` has (plan, bank_cap); a plan without a cap banks nothing.
     """
-    owned = in_scope(accounts, scope)
+    owned = in_scope(by_account(accounts), scope)
     caps = plans.select("plan", "bank_cap")
     banked = F.least(F.coalesce("bank_cap", F.lit(0)), F.col("remaining"))
     return (

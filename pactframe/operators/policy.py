@@ -38,6 +38,11 @@ def policy_packs_at(packs: DataFrame, at, jurisdiction: str | None = None, scope
     return rows
 
 
+def pack_number(pack_id: Column, kind: str) -> Column:
+    """A number to sum for a pack: its id, or 40 bits of the hash of a text id."""
+    return F.pmod(F.xxhash64(pack_id), F.lit(1 << 40)) if kind == "string" else pack_id.cast("long")
+
+
 def pack_timeline(packs: DataFrame, by: list[str], jurisdictions: tuple[str, ...] = JURISDICTIONS) -> DataFrame:
     """Number of packs in force, and the sum of their ids, after every change.
 
@@ -52,9 +57,10 @@ def pack_timeline(packs: DataFrame, by: list[str], jurisdictions: tuple[str, ...
     everywhere = F.array(*[F.lit(j) for j in jurisdictions])
     reach = F.when(F.col("jurisdiction") == EVERYWHERE, everywhere).otherwise(F.array("jurisdiction"))
     valid = valid.withColumn("jurisdiction", F.explode(reach))
-    starts = valid.select(*by, F.col("effective_from").alias("at"), F.lit(1).alias("packs"), F.col("id").alias("pack_ids"))
+    number = pack_number(F.col("id"), valid.schema["id"].dataType.simpleString())
+    starts = valid.select(*by, F.col("effective_from").alias("at"), F.lit(1).alias("packs"), number.alias("pack_ids"))
     ends = valid.filter(F.col("effective_to").isNotNull()).select(
-        *by, F.col("effective_to").alias("at"), F.lit(-1).alias("packs"), (-F.col("id")).alias("pack_ids")
+        *by, F.col("effective_to").alias("at"), F.lit(-1).alias("packs"), (-number).alias("pack_ids")
     )
     return running_sum(starts.unionByName(ends), by, "at", ["packs", "pack_ids"])
 
@@ -62,12 +68,12 @@ def pack_timeline(packs: DataFrame, by: list[str], jurisdictions: tuple[str, ...
 def policy_snapshot(
     analyses: DataFrame, packs: DataFrame, at: str, jurisdictions: tuple[str, ...] = JURISDICTIONS
 ) -> DataFrame:
-    """For every analysis, how many packs graded it, global and own, and their id sum.
+    """For every analysis, how many packs graded it, global and own, and the sum of their numbers.
 
     ``analyses`` has (account_id, jurisdiction, <at>).  Instead of pairing each
     analysis with each pack, the packs become a time line of totals that every
     analysis looks up at its own instant; the work grows with the sum of the
-    two tables, not their product.  The id sum tells two pack sets apart.
+    two tables, not their product.  The sum tells two pack sets apart.
     """
     everyone = pack_timeline(packs.filter(F.col("account_id").isNull()), ["jurisdiction"], jurisdictions).select(
         "jurisdiction", "at", F.col("packs").alias("global_packs"), F.col("pack_ids").alias("_global_ids")

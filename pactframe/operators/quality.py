@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pactframe.operators.asof import asof_join
-from pactframe.operators.tenancy import in_scope
+from pactframe.operators.tenancy import by_account, in_scope
 
 
 @dataclass(frozen=True)
@@ -149,7 +149,7 @@ def erase_accounts(tables: dict[str, DataFrame], accounts_gone: DataFrame, refer
     """
     gone = {"accounts": accounts_gone.select(F.col(accounts_gone.columns[0]).alias("_gone"))}
     left = dict(tables)
-    left["accounts"] = without(tables["accounts"], accounts_gone, "account_id")
+    left["accounts"] = without(by_account(tables["accounts"]), accounts_gone, "account_id")
     for child in dict.fromkeys(r.child for r in references):
         doomed = []
         for ref in (r for r in references if r.child == child):

@@ -301,7 +301,7 @@ def search_everything(
     return (
         matched.select(
             F.split_part("doc_id", F.lit(":"), F.lit(1)).alias("source"),
-            F.substring_index("doc_id", ":", -1).alias("id"),
+            F.regexp_replace("doc_id", "^[^:]*:", "").alias("id"),
             "score",
         )
         .orderBy(F.col("score").desc(), "source", "id")

@@ -12,6 +12,11 @@ EDITOR_ROLES = ("owner", "admin", "member")
 ADMIN_ROLES = ("owner", "admin")
 
 
+def by_account(accounts: DataFrame) -> DataFrame:
+    """Accounts with their id named like the column that refers to it."""
+    return accounts if "account_id" in accounts.columns else accounts.withColumnRenamed("id", "account_id")
+
+
 def my_accounts(members: DataFrame, user_id) -> DataFrame:
     """Accounts a user belongs to."""
     return members.filter(F.col("user_id") == F.lit(user_id)).select("account_id").distinct()

@@ -151,7 +151,7 @@ class JobState(StatefulProcessor):
     last requeue.
     """
 
-    OUTPUT = "job_id bigint, status string, attempts bigint, progress int, note string, events bigint, at bigint"
+    OUTPUT = "status string, attempts bigint, progress int, note string, events bigint, at bigint"
     # times are microseconds, which no time zone setting can shift
     STATE = (
         "last_action string, last_at bigint, last_seq bigint, progress int, progress_at bigint, progress_seq bigint, "
@@ -226,11 +226,12 @@ def _stored(entry):
 
 def stream_job_state(events: DataFrame, max_attempts: int = 5) -> DataFrame:
     """A row per job and micro-batch with the job's state so far; the newest row is current."""
+    id_type = events.schema["job_id"].dataType.simpleString()
     return (
         events.select("job_id", "seq", F.unix_micros("ts").alias("at"), "action", "progress", "note")
         .groupBy("job_id")
         .transformWithStateInPandas(
-            statefulProcessor=JobState(max_attempts), outputStructType=JobState.OUTPUT, outputMode="Append", timeMode="None"
+            statefulProcessor=JobState(max_attempts), outputStructType=f"job_id {id_type}, {JobState.OUTPUT}", outputMode="Append", timeMode="None"
         )
         .withColumn("at", F.timestamp_micros("at"))
     )

@@ -64,3 +64,9 @@ def test_audit_replay(frame):
 def test_title_case(frame):
     names = frame([("acme-corp ltd.",), ("ÉCLAIR o'neil",), (None,)], "n string")
     assert [r[0] for r in names.select(title_case(F.col("n"))).collect()] == ["Acme-Corp Ltd.", "Éclair O'Neil", None]
+
+
+def test_accounts_may_call_their_key_id(frame):
+    owned = frame([("a", 100, 0, "2024-01-01")], "id string, credits_included int, credits_banked int, period_started_at timestamp")
+    ledger = frame([(1, "a", "analysis", 30, "2024-01-02")], LEDGER)
+    assert rows(metering.credits_remaining(owned, ledger)) == [("a", 70)]

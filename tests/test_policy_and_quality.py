@@ -108,3 +108,13 @@ def test_rules_from_json_or_array(frame):
     assert rows(policy.policy_rules(packs), "id", "rule_ix") == [(1, 0, "x"), (1, 1, "y")]
     arrays = packs.filter("id = 1").withColumn("rules", F.array(F.lit("z")))
     assert rows(policy.policy_rules(arrays)) == [(1, 0, "z")]
+
+
+def test_text_pack_ids(frame):
+    packs = frame([("x-1", None, "GB", True, "2024-01-01", None), ("y-2", None, "GB", True, "2024-01-01", "2024-02-01")],
+                  PACKS.replace("id long", "id string", 1))
+    graded = frame([(1, "a", "GB", "2024-01-10"), (2, "a", "GB", "2024-03-10"), (3, "a", "GB", "2024-03-11")],
+                   "analysis int, account_id string, jurisdiction string, at timestamp")
+    found = rows(policy.policy_snapshot(graded, packs, "at").select("analysis", "global_packs", "pack_id_sum"), "analysis")
+    assert [f[1] for f in found] == [2, 1, 1]
+    assert found[0][2] != found[1][2] == found[2][2]

@@ -38,7 +38,7 @@ def test_streaks_over_batches(spark, frame, in_files):
 
 def test_job_state_over_batches(spark, in_files):
     events = spark.range(400).select(
-        F.col("id").alias("seq"), (F.col("id") * 7 % 11).alias("job_id"),
+        F.col("id").alias("seq"), F.concat(F.lit("job-"), (F.col("id") * 7 % 11).cast("string")).alias("job_id"),
         (F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(mins=(F.col("id") * 37 % 400).cast("int"))).alias("ts"),
         F.element_at(F.array(*map(F.lit, ["progress", "claim", "complete", "requeue", "fail"])), (F.col("id") * 13 % 23 % 5 + 1).cast("int")).alias("action"),
         F.when(F.col("id") % 5 > 0, (F.col("id") % 150).cast("int")).alias("progress"),
