@@ -11,9 +11,8 @@ from pyspark.sql import Column, functions as F, types as T
 
 from pactframe.functions.stemmer import IRREGULAR, stem
 
-# Fixed value: what a token is, and how much of a text is searched.
+# Fixed value: what a token is.
 TOKEN = r"([\p{L}\p{N}]+)"
-SEARCHED_CHARS = 900_000
 
 # Fixed value: English stop words.
 STOP_WORDS = """

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from pactframe.functions.spread import salted_join
-from pactframe.functions.text import SEARCHED_CHARS, english_terms, group_terms, normal_term, tokens, word_starts
+from pactframe.functions.text import english_terms, group_terms, normal_term, tokens, word_starts
 from pactframe.operators.tenancy import in_scope
 from pactframe.sources.tables import stored
 
@@ -30,21 +30,26 @@ def doc_terms(
     text: str = "extracted_text",
     english: bool = True,
     only: frozenset[str] | None = None,
+    max_chars: int | None = None,
 ) -> DataFrame:
     """Postings (doc_id, field, term, tf, positions); ``docs`` has id, a name and a text.
 
     Both fields of a document are tokenised in place and its terms are counted
     within the row, so building the table needs no shuffle.
 
+    Texts are searched whole.  ``max_chars`` cuts them, for results equal to a
+    database whose search column holds only so many characters (900,000, say).
+
     ``only`` limits the postings to some terms, for a single search over rows
     that have no stored postings.  A stem has the first two letters of its word,
     so most words, and most rows, are then dropped before they reach Python.
     """
+    body = F.coalesce(F.col(text), F.lit(""))
+    if max_chars is not None:
+        body = F.substring(body, 1, max_chars)
     fields = F.array(
         F.struct(F.lit("A").alias("field"), F.coalesce(F.col(name), F.lit("")).alias("content")),
-        F.struct(
-            F.lit("B").alias("field"), F.substring(F.coalesce(F.col(text), F.lit("")), 1, SEARCHED_CHARS).alias("content")
-        ),
+        F.struct(F.lit("B").alias("field"), body.alias("content")),
     )
     rows = docs.select(F.col("id").alias("doc_id"), F.inline(fields))
     words = tokens(F.col("content"))

@@ -67,7 +67,7 @@ def postings_cte(rows: str, more_words: str = "select null as token where false"
     The stems cover the tokens of ``more_words`` too.
     """
     return f"""fields as (select id, 'A' as field, coalesce(name, '') as content from ({rows}) f
-    union all select id, 'B', left(coalesce(content, ''), 900000) from ({rows}) f),
+    union all select id, 'B', coalesce(content, '') from ({rows}) f),
   words as (select id, field, regexp_extract_all(lower(content), '[\\p{{L}}\\p{{N}}]+') as ws from fields),
   placed as (select id, field, unnest(ws) as token, unnest(range(1, len(ws) + 1)) as pos from words),
   {stems_cte(f"select token from (select token from placed union {more_words}) x where token not in {STOPPED}")},
