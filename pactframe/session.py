@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import tempfile
 import uuid
@@ -37,11 +38,15 @@ def shared_dir(spark: SparkSession) -> str:
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
-        root = tempfile.mkdtemp(prefix="pactframe-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        root = _local_root()
     return root
 
 
+@functools.cache
+def _local_root() -> str:
+    return tempfile.mkdtemp(prefix="pactframe-")
+
+
 def new_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh path under the shared folder; nothing is created yet."""
     return os.path.join(shared_dir(spark), f"{purpose}-{uuid.uuid4().hex}")

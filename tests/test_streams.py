@@ -1,5 +1,7 @@
 """Streams in several micro-batches against their batch twins."""
 
+from types import SimpleNamespace
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -77,5 +79,16 @@ def test_append_by_day(spark, frame):
     assert back.count() == 4 and back.filter("day = '2024-01-02'").count() == 2
 
 
-def test_shared_folder_comes_from_the_session(spark):
-    assert new_folder(spark, "x").startswith(shared_dir(spark)) and shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+def session_like(folder, master):
+    return SimpleNamespace(
+        conf=SimpleNamespace(get=lambda key, default=None: folder if key == "spark.checkpoint.dir" else default),
+        sparkContext=SimpleNamespace(master=master),
+    )
+
+
+def test_shared_folder_comes_from_the_session():
+    assert shared_dir(session_like("/shared", "yarn")) == "/shared"
+    assert new_folder(session_like("/shared", "yarn"), "x").startswith("/shared/x-")
+    assert shared_dir(session_like(None, "local[2]")) == shared_dir(session_like(None, "local[2]"))
+    with pytest.raises(ValueError):
+        shared_dir(session_like(None, "yarn"))
