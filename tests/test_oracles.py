@@ -3,10 +3,11 @@
 import pytest
 
 import __spark_entry__ as entry
+from pactframe.plans.registry import all_oracles, all_queries
 from tests.compare import connect, differences
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLES = all_queries(), all_oracles()
 # On the smallest tables the user's accounts have no documents.
 MAY_BE_EMPTY = {"tenant_documents"}
 

@@ -4,13 +4,14 @@ import re
 
 import pytest
 
-import __spark_entry__ as entry
+import __spark_entry__  # noqa: F401  registers the queries
+from pactframe.plans.registry import all_queries
 from pactframe.operators import jobs, ops
 from pactframe.sources.tables import Tables
 
 FOLDER = "/root/testdata/sf0.001"
 # These write something while they are built, so their plan is only a read.
-EAGER = {k for k in entry.queries() if k.startswith("stream_")} | {"search_batch"}
+EAGER = {k for k in all_queries() if k.startswith("stream_")} | {"search_batch"}
 
 
 def plan_of(df) -> str:
@@ -18,9 +19,9 @@ def plan_of(df) -> str:
 
 
 # One row of totals joined to another would be the only harmless use; there is none.
-@pytest.mark.parametrize("key", sorted(set(entry.queries()) - EAGER))
+@pytest.mark.parametrize("key", sorted(set(all_queries()) - EAGER))
 def test_no_pairwise_join(spark, key):
-    plan = plan_of(entry.queries()[key](spark, FOLDER))
+    plan = plan_of(all_queries()[key](spark, FOLDER))
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, plan
 
 
@@ -36,5 +37,5 @@ def test_top_jobs_do_not_sort_everything(spark):
 
 
 def test_rank_limits_before_the_shuffle(spark):
-    plan = plan_of(entry.queries()["claimable_per_account"](spark, FOLDER))
+    plan = plan_of(all_queries()["claimable_per_account"](spark, FOLDER))
     assert plan.count("WindowGroupLimit") == 2
