@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pactframe.llm import bpe_codec, quality_forest
+from pactframe.llm import bpe_codec, quality_forest, secret_links, simhash_dedup
 from pactframe.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,6 +19,11 @@ def query(fn: Callable[[SparkSession, str], DataFrame]):
     return fn
 
 
+@query
+def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup.link_documents(table(spark, sf_dir, "documents"))
+
+
 @query
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
@@ -28,6 +33,20 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@query
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_links.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
+    kinds = ("assign", "access", "hex")
+
+    def of(*wanted: str):
+        return F.filter("secrets", lambda s: s["kind"].isin(*wanted))
+
+    return found.select(
+        "doc_id", *[F.size(of(k)).cast("long").alias(f"n_{k}") for k in kinds],
+        F.sha2(secret_links.joined_spans(of(*kinds)), 256).alias("base_sha256"),
+        secret_links.joined_spans(F.col("secrets")).alias("spans"))
+
+
 @query
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
