@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pactframe.llm import bpe_codec, quality_forest, secret_links, simhash_dedup
+from pactframe.llm import bpe_codec, lsi_decontam, quality_forest, secret_links, simhash_dedup
 from pactframe.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,3 +52,9 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     judged = quality_forest.judge(docs, table(spark, sf_dir, "labels"), keep_text=False)
     return judged.select("doc_id", *quality_forest.COUNTS, "base_failed", "kept", "score")
+
+
+@query
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lsi_decontam.find_items(docs, table(spark, sf_dir, "benchmark"))
