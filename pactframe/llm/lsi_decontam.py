@@ -25,13 +25,13 @@ from pyspark.sql import DataFrame, functions as F
 from pactframe.llm.common import chunks, raw, without
 from pactframe.sources.tables import stored
 
-RANK = 64
+RANK = 128
 EXTRA = 16  # random directions beyond the rank
-POWER = 2  # further passes of the sketch
-FIT_DOCUMENTS = 8192  # documents whose passages the latent space is fitted on
+POWER = 1  # further passes of the sketch
+FIT_DOCUMENTS = 2048  # documents whose passages the latent space is fitted on
 PASSAGE = 48  # words of such a passage
 BLOCK_CHARS = 1_000_000  # characters of benchmark text worked off at a time
-LEAST_COSINE = 0.35
+LEAST_COSINE = 0.3
 LEAST_SHARE = 0.7  # of an item's weight that a window must hold in order
 LEAST_ANSWER = 0.5
 SMALLEST_WINDOW = 16
@@ -225,10 +225,11 @@ class Finder:
         queries = np.stack([self.scaled[w].sum(0) for w in block.words])
         self.queries = queries / np.maximum(np.linalg.norm(queries, axis=1, keepdims=True), 1e-9)
         sizes = np.array(list(map(len, block.words)))
-        # a window is the smallest that holds an item wherever it lies, at steps of a quarter
-        window = SMALLEST_WINDOW * 2 ** np.ceil(np.log2(np.maximum(sizes * 4 / 3, SMALLEST_WINDOW) / SMALLEST_WINDOW)).astype(int)
+        # the smallest of the windows 16, 24, 32, 48, 64 ... that holds the item wherever it lies, at steps of a quarter
+        doubled = 2 ** np.ceil(np.log2(np.maximum(sizes * 4 / 3, SMALLEST_WINDOW) / SMALLEST_WINDOW)).astype(int) * SMALLEST_WINDOW
+        window = np.where((doubled > SMALLEST_WINDOW) & (sizes * 4 <= doubled * 9 // 4), doubled * 3 // 4, doubled)
         self.classes = [(int(w), np.flatnonzero(window == w)) for w in np.unique(window)]
-        self.kinds = [np.unique(w, return_counts=True) for w in block.words]
+        self.kinds = [(k, n * weight[k]) for k, n in (np.unique(w, return_counts=True) for w in block.words)]
 
     def find(self, texts: list[bytes]) -> list[list[tuple[int, float, float, float]]]:
         """For each text its items with cosine, weight share in order, and share of the answer."""
@@ -256,10 +257,13 @@ class Finder:
             # a window lighter than the share of the lightest item cannot hold any item's share
             heavy = np.flatnonzero(total[high] - total[low] >= LEAST_SHARE * self.mass[members].min() - 1e-6)
             for part in np.array_split(heavy, max(1, len(heavy) // 4096)):
+                last = -1
                 for window, item, cosine in self.near(terms, low[part], high[part], members):
-                    w = part[window]
-                    inside = terms[low[w] : high[w]]
-                    share = self.overlap(item, inside) / self.mass[item]
+                    if window != last:
+                        w, last = part[window], window
+                        inside = terms[low[w] : high[w]]
+                        there = np.unique(inside)
+                    share = self.overlap(item, there) / self.mass[item]
                     if share >= LEAST_SHARE:
                         doc = int(np.searchsorted(starts, hits[high[w] - 1], "right") - 1)  # the gap keeps others out
                         best.setdefault((doc, item), []).append((share, cosine, inside))
@@ -288,11 +292,10 @@ class Finder:
         for window, item in zip(*np.nonzero(cosines >= LEAST_COSINE)):
             yield where[window], int(members[item]), cosines[window, item]
 
-    def overlap(self, item: int, inside: np.ndarray) -> float:
-        """Weight of the words that window and item share, in any order: a bound of the ordered one."""
-        kinds, times = self.kinds[item]
-        there = np.searchsorted(np.sort(inside), kinds, "right") - np.searchsorted(np.sort(inside), kinds, "left")
-        return float((np.minimum(there, times) * self.weight[kinds]).sum())
+    def overlap(self, item: int, there: np.ndarray) -> float:
+        """Weight of the item's words that a window has, in any order: a bound of the ordered one."""
+        kinds, masses = self.kinds[item]
+        return float(masses[there[np.minimum(there.searchsorted(kinds), len(there) - 1)] == kinds].sum())
 
     def check(self, item: int, inside: np.ndarray) -> tuple[float, float] | None:
         words, answer = self.block.words[item], self.block.answers[item]
@@ -316,7 +319,8 @@ def fitted(docs: DataFrame, items: DataFrame, item_key: str, item_text: str, tex
         seen = np.zeros(len(block.vocabulary))
         for r in counted.where("term >= 0").groupBy("term").agg(F.sum("n").alias("n")).collect():
             seen[r.term] = r.n
-        weight = np.log((number + 2) / (seen + 1))
+        # squared, so that rare words carry a passage and common ones hardly count
+        weight = np.log((number + 2) / (seen + 1)) ** 2
         space = latent_space(counted.where("term < 0").select("passage"), block, weight, rank)
         yield block, weight, space
 
