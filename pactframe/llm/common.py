@@ -25,7 +25,7 @@ def extended(df: DataFrame, **added: str) -> T.StructType:
     """The schema of the rows with more columns."""
     schema = T.StructType(list(df.schema.fields))
     for name, kind in added.items():
-        schema = schema.add(name, kind)
+        schema = schema.add(name, T.DataType.fromDDL(kind))
     return schema
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pactframe.llm import bpe_codec, lsi_decontam, quality_forest, secret_links, simhash_dedup
+from pactframe.llm import bpe_codec, lsi_decontam, pii_sanitise, quality_forest, secret_links, simhash_dedup
 from pactframe.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,6 +33,19 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@query
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii_sanitise.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
+
+    def of(*wanted: str):
+        return F.filter("spans", lambda s: s["kind"].isin(*wanted))
+
+    return found.select(
+        "doc_id", *[F.size(of(k)).cast("long").alias(f"n_{k}") for k in pii_sanitise.BASE],
+        F.sha2(secret_links.joined_spans(of(*pii_sanitise.BASE)), 256).alias("base_sha256"),
+        secret_links.joined_spans(F.col("spans")).alias("spans"))
+
+
 @query
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_links.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
