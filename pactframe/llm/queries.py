@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pactframe.llm import bpe_codec, lsi_decontam, pii_sanitise, quality_forest, secret_links, simhash_dedup
+from pactframe.llm import bpe_codec, license_dice, lsi_decontam, pii_sanitise, quality_forest, secret_links, simhash_dedup
 from pactframe.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,6 +67,14 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *quality_forest.COUNTS, "base_failed", "kept", "score")
 
 
+@query
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_dice.find_licenses(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op9_license_scan"] = license_dice.ORACLE
+
+
 @query
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
