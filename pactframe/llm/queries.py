@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pactframe.llm import bpe_codec, license_dice, lsi_decontam, pii_sanitise, quality_forest, secret_links, simhash_dedup
+from pactframe.llm import bpe_codec, chat_format, license_dice, lsi_decontam, pii_sanitise, quality_forest, secret_links, simhash_dedup, url_templates
 from pactframe.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,6 +46,27 @@ def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
         secret_links.joined_spans(F.col("spans")).alias("spans"))
 
 
+@query
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = url_templates.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"))
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+ORACLES["op4_url_filter"] = url_templates.ORACLE
+
+
+@query
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    odd = r"\### Assistant: </turn> ok"
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(
+        spark.createDataFrame([(-7, 0, "user", odd), (-7, 1, "assistant", odd)], "conv_id long, turn long, role string, text string"))
+    # each row is a record of its own layout; a missing turn number must not change that
+    record = F.to_json(F.struct(F.coalesce("turn", F.lit(-1)).alias("turn"), "role", "text"))
+    turns = chat_format.canonical_turns(rows.select("conv_id", "turn", record.alias("record")))
+    # rows of one turn number, which should not be, go by their formatted text
+    return chat_format.digests(chat_format.format_turns(turns), "conv_id", ("turn", "segment"))
+
+
 @query
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_links.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
