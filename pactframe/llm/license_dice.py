@@ -19,6 +19,7 @@ from pactframe.llm.common import without
 from pactframe.sources.tables import stored
 
 LEAST_DICE = 0.8
+BROADCAST_BIGRAMS = 50_000  # more template bigrams than that are joined by a shuffle
 
 # Usual notices of common licences.
 TEMPLATES = {
@@ -53,15 +54,24 @@ def template_bigrams(text: str) -> list[str]:
     return sorted({f"{a} {b}" for a, b in zip(words, words[1:])})
 
 
-def telling_words(bigrams: list[str], least: float) -> set[str]:
-    """Words of which every text with a passage like the template holds at least one.
+def telling_bigrams(bigrams: list[str], least: float) -> list[str]:
+    """The longest bigrams, as many as no passage at the coefficient can lack altogether."""
+    lacking = int(len(bigrams) * (2 - 2 * least) / (2 - least) + 1e-9)
+    return sorted(bigrams, key=lambda b: (-len(b), b))[: lacking + 1]
+
 
-    They are the longer words of the longest bigrams, as many bigrams as no
-    passage at the coefficient can lack altogether.
+def may_hold_notice(small: Column, texts: dict[str, str], least: float) -> Column:
+    """Whether a text in small letters holds a telling bigram of any template.
+
+    The plain search for the longer word of each comes first and spares most
+    texts the pattern.
     """
-    lacking = int(len(bigrams) * (2 - 2 * least) / (2 - least) + 1e-9)
-    chosen = sorted(bigrams, key=lambda b: (-max(map(len, b.split())), b))[: lacking + 1]
-    return {max(b.split(), key=len) for b in chosen}
+    chosen = sorted({b for t in texts.values() for b in telling_bigrams(template_bigrams(t), least)})
+    if not chosen:
+        return F.lit(False)
+    words = sorted({max(b.split(), key=len) for b in chosen})
+    pattern = "(?<![a-z0-9])(?:" + "|".join(b.replace(" ", "[^a-z0-9]+") for b in chosen) + ")(?![a-z0-9])"
+    return reduce(or_, (F.contains(small, F.lit(w)) for w in words)) & small.rlike(pattern)
 
 
 def passages(text: Column) -> Column:
@@ -96,10 +106,8 @@ def find_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text", text
     given when they are written, so repeated rows give repeated results.
     """
     texts = TEMPLATES if texts is None else texts
-    words = sorted(set().union(*(telling_words(template_bigrams(t), least) for t in texts.values() if template_bigrams(t))))
     rows = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")).withColumn("small", F.lower("text"))
-    # a plain search for words of which each notice has one leaves most texts out
-    maybe = rows.where(reduce(or_, (F.contains("small", F.lit(w)) for w in words), F.lit(False)))
+    maybe = rows.where(may_hold_notice(F.col("small"), texts, least))
     maybe = stored(maybe.select("key", "text").withColumn("row", F.monotonically_increasing_id()), "license-texts")
     sizes = [len(template_bigrams(t)) for t in texts.values()]
     smallest, largest = min(sizes, default=0) * least / (2 - least), max(sizes, default=0) * (2 - least) / least
@@ -109,7 +117,11 @@ def find_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text", text
     last = F.greatest(F.size("w") - 1, F.lit(0))
     pairs = F.zip_with(F.slice("w", F.lit(1), last), F.slice("w", F.lit(2), last), lambda a, b: F.concat(a, F.lit(" "), b))
     parts = parts.withColumn("bigrams", F.array_distinct(pairs)).withColumn("size", F.size("bigrams")).where(F.col("size").between(smallest, largest))
-    met = parts.select("row", "level", "n", "size", F.explode("bigrams").alias("bigram")).join(templates(docs.sparkSession, texts), "bigram")
+    known = sorted({b for t in texts.values() for b in template_bigrams(t)})
+    shared = parts.select("row", "level", "n", "size", F.explode(F.array_intersect("bigrams", F.array(*map(F.lit, known)))).alias("bigram"))
+    listed = templates(docs.sparkSession, texts)
+    # a few hundred bigrams of the given templates, whatever the documents
+    met = shared.join(F.broadcast(listed) if len(known) <= BROADCAST_BIGRAMS else listed, "bigram")
     fits = (F.col("size") >= F.col("template_size") * (least / (2 - least)) - 1e-9) & (F.col("size") <= F.col("template_size") * ((2 - least) / least) + 1e-9)
     scored = (
         met.where(fits).groupBy("row", "level", "n", "size", "license", "template_size").agg(F.count("*").alias("common"))

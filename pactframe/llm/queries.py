@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pactframe.llm import bpe_codec, chat_format, license_dice, lsi_decontam, pii_sanitise, quality_forest, secret_links, simhash_dedup, url_templates
+from pactframe.llm import bpe_codec, chat_format, html_blocks, license_dice, lsi_decontam, pii_sanitise, quality_forest, secret_links, simhash_dedup, url_templates
 from pactframe.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,6 +67,11 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digests(chat_format.format_turns(turns), "conv_id", ("turn", "segment"))
 
 
+@query
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_blocks.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"), keep_page=False)
+
+
 @query
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_links.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
