@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 SALTS = 32
 _SALT = "_salt"
@@ -32,20 +32,17 @@ def salted_sum(rows: DataFrame, keys: list[str], sums: list[str]) -> DataFrame:
 def newest_per_key(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """One whole row per key, the greatest by the order columns.
 
-    An aggregate rather than a window: map tasks reduce a hot key to one row
-    before the shuffle.
+    The rank limit is applied in the map tasks too, so a hot key sends one row
+    per task through the shuffle, and other columns are never compared.
     """
-    rest = [c for c in rows.columns if c not in keys]
-    newest = rows.groupBy(*keys).agg(
-        F.max_by(F.struct(*rest), F.struct(*[F.col(c) for c in order])).alias("_row")
-    )
-    return newest.select(*keys, "_row.*").select(*rows.columns)
+    return _first_per_key(rows, keys, [F.col(c).desc_nulls_last() for c in order])
 
 
 def oldest_per_key(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """One whole row per key, the smallest by the order columns."""
-    rest = [c for c in rows.columns if c not in keys]
-    oldest = rows.groupBy(*keys).agg(
-        F.min_by(F.struct(*rest), F.struct(*[F.col(c) for c in order])).alias("_row")
-    )
-    return oldest.select(*keys, "_row.*").select(*rows.columns)
+    return _first_per_key(rows, keys, [F.col(c).asc_nulls_last() for c in order])
+
+
+def _first_per_key(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return rows.withColumn("_place", place).filter(F.col("_place") == 1).drop("_place")

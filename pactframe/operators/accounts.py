@@ -15,7 +15,7 @@ DEFAULT_PLAN = "growth"
 # (NULL = on request), and the cap up to which unused credits are banked.
 PLANS = [
     ("sandbox", "Evaluation Sandbox", 150, 90, 0, 0),
-    ("growth", "Growth / Professional", 500, 30, 79, 0),
+    ("growth", "Growth / Professional", 500, 30, 79, 300),
     ("scale", "Scale", 1800, 30, 199, 1800),
     ("enterprise", "Enterprise Suite", 5000, 30, None, 0),
 ]
@@ -33,14 +33,15 @@ def plan_catalog(spark: SparkSession) -> DataFrame:
 def signup_checks(signups: DataFrame) -> DataFrame:
     """Adds the first reason to reject a sign-up, or NULL.
 
-    ``signups`` has full_name, email, company and terms.
+    ``signups`` has first_name, last_name, email, company and terms.
     """
 
+    # fixed values: the messages
     def blank(name: str) -> Column:
         return F.coalesce(F.trim(F.col(name)), F.lit("")) == ""
 
     reason = (
-        F.when(blank("full_name") | blank("company"), "Please complete your name and company.")
+        F.when(blank("first_name") | blank("last_name") | blank("company"), "Please complete your name and company.")
         .when(~F.coalesce(F.trim("email"), F.lit("")).rlike(EMAIL), "Please enter a valid work email address.")
         .when(~F.coalesce("terms", F.lit(False)), "Please accept the Terms and Privacy Policy to continue.")
     )

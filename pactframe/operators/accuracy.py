@@ -46,7 +46,7 @@ def verification_queue(points: DataFrame, scope: DataFrame | None = None) -> Dat
     return in_scope(points, scope).filter(F.col("status") == "pending").orderBy(depth, "confidence", "id")
 
 
-def latest_data_points(points: DataFrame, n: int = 3, scope: DataFrame | None = None) -> DataFrame:
+def latest_data_points(points: DataFrame, n: int, scope: DataFrame | None = None) -> DataFrame:
     """The n newest points per contract.
 
     The rank filter is applied in the map tasks too, so a contract with many
@@ -59,20 +59,24 @@ def latest_data_points(points: DataFrame, n: int = 3, scope: DataFrame | None =
 def verification_state(points: DataFrame, audit: DataFrame, scope: DataFrame | None = None) -> DataFrame:
     """Status of each point after replaying its audit log.
 
-    The newest action decides; ``reopened`` puts the point back to pending, and
-    a point without audit rows keeps its own status.
+    The newest action decides; ``reopened`` puts the point back to pending,
+    without a corrected value and with who reopened it, and a point without
+    audit rows keeps its own status.
     """
     newest = newest_per_key(
-        audit.select("data_point_id", "id", "user_id", "action", "created_at"), ["data_point_id"], ["created_at", "id"]
+        audit.select("data_point_id", "id", "user_id", "action", "value_after", "created_at"), ["data_point_id"], ["created_at", "id"]
     ).select(
         F.col("data_point_id"),
         F.when(F.col("action") == "reopened", "pending").otherwise(F.col("action")).alias("_replayed"),
         F.when(F.col("action") != "reopened", F.col("user_id")).alias("verified_by"),
         F.when(F.col("action") != "reopened", F.col("created_at")).alias("verified_at"),
+        F.when(F.col("action") == "corrected", F.col("value_after")).alias("corrected_value"),
+        F.when(F.col("action") == "reopened", F.col("user_id")).alias("reopened_by"),
     )
     rows = in_scope(points, scope).select(F.col("id").alias("data_point_id"), F.col("status").alias("_own"))
     return rows.join(newest, "data_point_id", "left").select(
-        "data_point_id", F.coalesce("_replayed", "_own").alias("status"), "verified_by", "verified_at"
+        "data_point_id", F.coalesce("_replayed", "_own").alias("status"), "verified_by", "verified_at",
+        "corrected_value", "reopened_by",
     )
 
 

@@ -1,8 +1,8 @@
 """As-of lookups and running totals that never order a whole key in one task.
 
-A key's time line is cut into buckets, and those into wider ones.  Rows are
-ordered only inside a bucket, buckets only inside the next wider bucket; what
-comes before is carried over as one row per bucket.
+A key's time line is cut into buckets.  Rows are ordered only inside a bucket;
+what comes before is carried over as one row per bucket, so what is ordered
+per key grows with the time that is covered and not with the rows.
 """
 
 from __future__ import annotations
@@ -22,40 +22,11 @@ def running_sum(changes: DataFrame, on: list[str], at: str, sums: list[str], buc
     return local.join(carried, [*on, "_bucket"]).select(*on, at, *[(F.col(c) + F.col(f"_{c}")).alias(c) for c in sums])
 
 
-def _last_before(items: DataFrame, on: list[str], levels: tuple[str, ...]) -> DataFrame:
-    """For each (key, bucket), the newest event of the buckets before it.
+def asof_lookup(asks: DataFrame, events: DataFrame, on: list[str], at: str, event_at: str, pick: list[str], bucket: str = "hour") -> DataFrame:
+    """For each distinct (key, instant) asked, the newest event of the key that is not later.
 
-    ``items`` has one row per key and bucket with the bucket's last event, or
-    NULL.  Buckets are ordered inside the next wider bucket only, and what lies
-    before that comes from the wider buckets in the same way.
-    """
-    inside = [*on, "_wide"] if levels else on
-    wide = items.withColumn("_wide", F.date_trunc(levels[0], "_bucket")) if levels else items
-    earlier = W.partitionBy(*inside).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    near = wide.select(*inside, "_bucket", F.last("_end", ignorenulls=True).over(earlier).alias("_carried"))
-    if not levels:
-        return near
-    ends = wide.groupBy(*on, F.col("_wide").alias("_bucket")).agg(
-        F.max_by("_end", F.when(F.col("_end").isNotNull(), F.col("_bucket"))).alias("_end")
-    )
-    far = _last_before(ends, on, levels[1:]).select(*on, F.col("_bucket").alias("_wide"), F.col("_carried").alias("_far"))
-    return near.join(far, inside, "left").select(*on, "_bucket", F.coalesce("_carried", "_far").alias("_carried"))
-
-
-def asof_join(
-    probes: DataFrame,
-    events: DataFrame,
-    on: list[str],
-    probe_at: str,
-    event_at: str,
-    pick: list[str],
-    levels: tuple[str, ...] = ("minute", "day"),
-) -> DataFrame:
-    """Each probe with the newest event of its key that is not later than it.
-
-    Adds the ``pick`` columns, NULL where there is no such event.  Of events at
-    the same instant the greatest by ``pick`` wins.  Probes at the same instant
-    are looked up once, so a busy instant costs one row per map task.
+    Gives ``on``, ``at`` and the ``pick`` columns, NULL where there is no such
+    event.  Of events at the same instant the greatest by ``pick`` wins.
     """
     marks = (
         events.filter(F.col(event_at).isNotNull())
@@ -63,25 +34,31 @@ def asof_join(
         .agg(F.max(F.struct(*pick)).alias("_event"))
         .withColumn("_ask", F.lit(0))
     )
-    asks = (
-        probes.filter(F.col(probe_at).isNotNull())
-        .select(*on, F.col(probe_at).alias("_at"))
+    asked = (
+        asks.filter(F.col(at).isNotNull())
+        .select(*on, F.col(at).alias("_at"))
         .distinct()
         .withColumn("_event", F.lit(None).cast(marks.schema["_event"].dataType))
         .withColumn("_ask", F.lit(1))
     )
-    line = marks.unionByName(asks).withColumn("_bucket", F.date_trunc(levels[0], "_at"))
-    ends = line.groupBy(*on, "_bucket").agg(
-        F.max_by("_event", F.when(F.col("_event").isNotNull(), F.col("_at"))).alias("_end")
-    )
-    carried = _last_before(ends, on, levels[1:])
-
+    line = marks.unionByName(asked).withColumn("_bucket", F.date_trunc(bucket, "_at"))
     inside = W.partitionBy(*on, "_bucket").orderBy("_at", "_ask").rowsBetween(W.unboundedPreceding, 0)
-    answers = (
-        line.withColumn("_found", F.last("_event", ignorenulls=True).over(inside))
-        .filter(F.col("_ask") == 1)
-        .join(carried, [*on, "_bucket"])
-        .select(*on, F.col("_at").alias(probe_at), F.coalesce("_found", "_carried").alias("_found"))
-    )
-    found = probes.join(answers, [*on, probe_at], "left")
-    return found.select(*probes.columns, *[F.col(f"_found.{c}").alias(c) for c in pick])
+    seen = line.withColumn("_found", F.last("_event", ignorenulls=True).over(inside))
+    ends = seen.groupBy(*on, "_bucket").agg(F.max_by("_found", F.struct("_at", "_ask")).alias("_end"))
+    earlier = W.partitionBy(*on).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    carried = ends.select(*on, "_bucket", F.last("_end", ignorenulls=True).over(earlier).alias("_carried"))
+    answers = seen.filter(F.col("_ask") == 1).join(carried, [*on, "_bucket"])
+    found = F.coalesce("_found", "_carried")
+    return answers.select(*on, F.col("_at").alias(at), found.alias("_found")).select(*on, at, *[F.col(f"_found.{c}").alias(c) for c in pick])
+
+
+def asof_join(
+    probes: DataFrame, events: DataFrame, on: list[str], probe_at: str, event_at: str, pick: list[str], bucket: str = "hour"
+) -> DataFrame:
+    """Each probe with the newest event of its key that is not later than it.
+
+    Adds the ``pick`` columns.  Probes at the same instant are looked up once,
+    so a busy instant costs one row per map task.
+    """
+    answers = asof_lookup(probes, events, on, probe_at, event_at, pick, bucket)
+    return probes.join(answers, [*on, probe_at], "left").select(*probes.columns, *pick)

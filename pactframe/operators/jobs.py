@@ -263,13 +263,16 @@ def classify_errors(errors: DataFrame) -> DataFrame:
     return errors.withColumn("retryable", is_retryable(F.col("status"), F.col("message"), F.col("fatal")))
 
 
-def error_text(errors: DataFrame) -> DataFrame:
-    """Adds the stored error text, at most 500 characters, and the error class."""
+def error_text(errors: DataFrame, max_chars: int | None = None) -> DataFrame:
+    """Adds the error text and the error class.
+
+    The text is whole unless ``max_chars`` gives the size of a column that is to hold it (500, say).
+    """
     joined = F.concat_ws(" ", F.coalesce(F.col("status").cast("string"), F.lit("")), F.coalesce("message", F.lit("")))
     trimmed = F.regexp_replace(joined, r"(?U)^\s+|\s+$", "")
     return errors.select(
         "*",
-        F.substring(trimmed, 1, 500).alias("error"),
+        (trimmed if max_chars is None else F.substring(trimmed, 1, max_chars)).alias("error"),
         F.coalesce(F.col("status").cast("string"), F.lit("error")).alias("error_class"),
     )
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from pactframe.functions.spread import salted_join, salted_sum
 from pactframe.operators.tenancy import by_account, in_scope
 
 # Price of a million tokens, and credits for each kind of use.
@@ -17,14 +16,22 @@ QUESTION_CREDITS = 2
 def period_spend(accounts: DataFrame, ledger: DataFrame) -> DataFrame:
     """Credits booked per account since its billing period began.
 
-    The period start differs by account, so it has to be joined to the ledger
-    row; a busy account is spread over salts and summed in two steps.
+    The ledger is summed by account and hour first, which map tasks reduce, so
+    a busy account is one row per hour when it meets its period start.  Only
+    the hour in which a period begins is then read row by row.
     """
     starts = by_account(accounts).select("account_id", "period_started_at").filter(F.col("period_started_at").isNotNull())
-    booked = salted_join(
-        ledger.select("account_id", "credits", "created_at", "id"), starts, ["account_id"], [F.col("id")]
-    ).filter(F.col("created_at") >= F.col("period_started_at"))
-    return salted_sum(booked.withColumnRenamed("credits", "spent"), ["account_id"], ["spent"])
+    hour = F.date_trunc("hour", "created_at")
+    # the first hours of all periods; a row of such an hour keeps its own time
+    first = starts.select("account_id", F.date_trunc("hour", "period_started_at").alias("hour"), "period_started_at")
+    sums = ledger.groupBy("account_id", hour.alias("hour")).agg(F.sum("credits").alias("credits"))
+    whole = sums.join(starts, "account_id").filter(F.col("hour") > F.date_trunc("hour", "period_started_at")).select("account_id", "credits")
+    edge = (
+        ledger.select("account_id", hour.alias("hour"), "credits", "created_at").groupBy("account_id", "hour", "created_at")
+        .agg(F.sum("credits").alias("credits")).join(first, ["account_id", "hour"])
+        .filter(F.col("created_at") >= F.col("period_started_at")).select("account_id", "credits")
+    )
+    return whole.unionByName(edge).groupBy("account_id").agg(F.sum("credits").alias("spent"))
 
 
 def credits_remaining(accounts: DataFrame, ledger: DataFrame, scope: DataFrame | None = None) -> DataFrame:

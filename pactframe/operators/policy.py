@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pactframe.functions.columns import instant
-from pactframe.operators.asof import asof_join, running_sum
+from pactframe.operators.asof import asof_lookup, running_sum
 from pactframe.operators.tenancy import own_or_global
 
-# The jurisdictions, and the one that applies everywhere.
-JURISDICTIONS = ("GB", "EU", "US")
+# Fixed value: the jurisdiction of packs that apply everywhere.
 EVERYWHERE = "ANY"
 
 
@@ -38,55 +37,62 @@ def policy_packs_at(packs: DataFrame, at, jurisdiction: str | None = None, scope
     return rows
 
 
-def pack_number(pack_id: Column, kind: str) -> Column:
-    """A number to sum for a pack: its id, or 40 bits of the hash of a text id."""
-    return F.pmod(F.xxhash64(pack_id), F.lit(1 << 40)) if kind == "string" else pack_id.cast("long")
+def pack_number(pack_id: Column) -> Column:
+    """48 bits of the hash of a pack id, whose sum tells two pack sets apart."""
+    return F.conv(F.substring(F.md5(pack_id.cast("string")), 1, 12), 16, 10).cast("long")
 
 
-def pack_timeline(packs: DataFrame, by: list[str], jurisdictions: tuple[str, ...] = JURISDICTIONS) -> DataFrame:
-    """Number of packs in force, and the sum of their ids, after every change.
+def pack_timeline(packs: DataFrame) -> DataFrame:
+    """Number of packs in force, and the sum of their numbers, after every change.
 
-    A pack that applies everywhere is repeated once per jurisdiction, which
-    turns "this one or any" into an equality.
+    One time line per (owner, jurisdiction); global packs have the owner ``*``,
+    and a pack that applies everywhere has a time line of its own.
     """
     valid = packs.filter(
         F.col("active")
         & F.col("effective_from").isNotNull()
         & (F.col("effective_to").isNull() | (F.col("effective_to") > F.col("effective_from")))
+    ).select(owner_of(F.col("account_id")).alias("owner"), "jurisdiction", "effective_from", "effective_to", pack_number(F.col("id")).alias("n"))
+    changes = F.array(
+        F.struct(F.col("effective_from").alias("at"), F.lit(1).alias("packs"), F.col("n").alias("pack_ids")),
+        F.struct(F.col("effective_to").alias("at"), F.lit(-1).alias("packs"), (-F.col("n")).alias("pack_ids")),
     )
-    everywhere = F.array(*[F.lit(j) for j in jurisdictions])
-    reach = F.when(F.col("jurisdiction") == EVERYWHERE, everywhere).otherwise(F.array("jurisdiction"))
-    valid = valid.withColumn("jurisdiction", F.explode(reach))
-    number = pack_number(F.col("id"), valid.schema["id"].dataType.simpleString())
-    starts = valid.select(*by, F.col("effective_from").alias("at"), F.lit(1).alias("packs"), number.alias("pack_ids"))
-    ends = valid.filter(F.col("effective_to").isNotNull()).select(
-        *by, F.col("effective_to").alias("at"), F.lit(-1).alias("packs"), (-number).alias("pack_ids")
-    )
-    return running_sum(starts.unionByName(ends), by, "at", ["packs", "pack_ids"])
+    steps = valid.select("owner", "jurisdiction", F.inline(changes)).filter(F.col("at").isNotNull())
+    return running_sum(steps, ["owner", "jurisdiction"], "at", ["packs", "pack_ids"])
+
 
+def owner_of(account_id: Column) -> Column:
+    return F.coalesce(F.concat(F.lit("="), account_id.cast("string")), F.lit("*"))
 
-def policy_snapshot(
-    analyses: DataFrame, packs: DataFrame, at: str, jurisdictions: tuple[str, ...] = JURISDICTIONS
-) -> DataFrame:
+
+def policy_snapshot(analyses: DataFrame, packs: DataFrame, at: str) -> DataFrame:
     """For every analysis, how many packs graded it, global and own, and the sum of their numbers.
 
-    ``analyses`` has (account_id, jurisdiction, <at>).  Instead of pairing each
-    analysis with each pack, the packs become a time line of totals that every
-    analysis looks up at its own instant; the work grows with the sum of the
-    two tables, not their product.  The sum tells two pack sets apart.
+    ``analyses`` has (account_id, jurisdiction, <at>); a jurisdiction is free
+    text.  Instead of pairing each analysis with each pack, the packs become
+    time lines of totals.  An analysis looks up four of them at its instant,
+    global and own, for its jurisdiction and for everywhere, all in one pass;
+    the work grows with the sum of the two tables, not their product.  Sums of
+    equal pack sets are equal, and of different ones differ but for chance.
     """
-    everyone = pack_timeline(packs.filter(F.col("account_id").isNull()), ["jurisdiction"], jurisdictions).select(
-        "jurisdiction", "at", F.col("packs").alias("global_packs"), F.col("pack_ids").alias("_global_ids")
+    key = ["account_id", "jurisdiction", at]
+    asked = analyses.select(*key).distinct()
+    own = owner_of(F.col("account_id"))
+    places = F.array(*[
+        F.struct(owner.alias("owner"), where.alias("_where"))
+        for owner in (F.lit("*"), own) for where in (F.col("jurisdiction"), F.lit(EVERYWHERE))
+    ])
+    # an analysis of everywhere, or of no account, asks for some lines twice
+    wide = asked.select(*key, F.inline(F.array_distinct(places)))
+    asks = wide.select("owner", F.col("_where").alias("jurisdiction"), F.col(at).alias("_asked"))
+    found = asof_lookup(asks, pack_timeline(packs), ["owner", "jurisdiction"], "_asked", "at", ["packs", "pack_ids"])
+    found = found.select("owner", F.col("jurisdiction").alias("_where"), F.col("_asked").alias(at), "packs", "pack_ids")
+    is_global = F.col("owner") == "*"
+    sums = wide.join(found, ["owner", "_where", at]).groupBy(*key).agg(
+        F.sum(F.when(is_global, F.col("packs"))).alias("global_packs"),
+        F.sum(F.when(~is_global, F.col("packs"))).alias("own_packs"),
+        F.sum("pack_ids").alias("pack_set"),
     )
-    own = pack_timeline(
-        packs.filter(F.col("account_id").isNotNull()), ["account_id", "jurisdiction"], jurisdictions
-    ).select("account_id", "jurisdiction", "at", F.col("packs").alias("own_packs"), F.col("pack_ids").alias("_own_ids"))
-    found = asof_join(analyses, everyone, ["jurisdiction"], at, "at", ["global_packs", "_global_ids"])
-    found = asof_join(found, own, ["account_id", "jurisdiction"], at, "at", ["own_packs", "_own_ids"], ("hour",))
     zero = F.lit(0)
-    return found.select(
-        *analyses.columns,
-        F.coalesce("global_packs", zero).alias("global_packs"),
-        F.coalesce("own_packs", zero).alias("own_packs"),
-        (F.coalesce("_global_ids", zero) + F.coalesce("_own_ids", zero)).alias("pack_id_sum"),
-    )
+    return analyses.join(sums, key, "left").select(
+        *analyses.columns, *[F.coalesce(c, zero).cast("long").alias(c) for c in ("global_packs", "own_packs", "pack_set")])

@@ -98,8 +98,8 @@ def _twice(text: Column, first, second) -> Column:
     return F.array_distinct(F.flatten(F.transform(_each(text, first), lambda t: _each(t, second))))
 
 
-def supplier_near_misses(names: DataFrame, prefix: int = 4) -> DataFrame:
-    """Supplier keys within two edits of another key with the same first characters.
+def supplier_near_misses(names: DataFrame) -> DataFrame:
+    """Supplier keys within two edits of another key.
 
     Gives, per flagged key, the first near miss before it and the last one after
     it in name order (either may be NULL).
@@ -131,8 +131,8 @@ def supplier_near_misses(names: DataFrame, prefix: int = 4) -> DataFrame:
             for kind, role, patterns in kinds
         ],
     )
-    spread = keys.select("supplier_key", F.substring(k, 1, prefix).alias("start"), F.inline(rows))
-    group = ["start", "kind", "pattern"]
+    spread = keys.select("supplier_key", F.inline(rows))
+    group = ["kind", "pattern"]
 
     def other(fn, role: int, sees: int) -> Column:
         return fn(F.when(F.col("role") == role, F.col("supplier_key"))).alias(f"{fn.__name__}{sees}")
@@ -165,15 +165,23 @@ def _pattern_row(kind: int, role: int):
 # ---- clauses -------------------------------------------------------------
 
 
-def clause_matrix(points: DataFrame, fields: list[str], scope: DataFrame | None = None) -> DataFrame:
-    """One row per contract with clauses, one 0/1 column per listed clause."""
-    clauses = in_scope(points, scope).filter((F.col("kind") == "clause") & F.col("field").isin(*fields))
-    return clauses.groupBy("contract_id").pivot("field", fields).agg(F.max(F.lit(1))).fillna(0, fields)
+def clause_matrix(contracts: DataFrame, points: DataFrame, fields: list[str], scope: DataFrame | None = None) -> DataFrame:
+    """One row per contract, one 0/1 column per listed clause, and ``other_clauses``, its other distinct ones.
+
+    A contract without any clause has a row of zeros.
+    """
+    clauses = points.filter(F.col("kind") == "clause")
+    found = clauses.groupBy("contract_id").agg(
+        *[F.max(F.when(F.col("field") == f, 1)).alias(f) for f in fields],
+        F.count_distinct(F.when(~F.col("field").isin(*fields), F.col("field"))).alias("other_clauses"),
+    )
+    owned = in_scope(contracts, scope).select(F.col("id").alias("contract_id"))
+    return owned.join(found, "contract_id", "left").fillna(0, [*fields, "other_clauses"])
 
 
-def clause_gaps(points: DataFrame, fields: list[str], scope: DataFrame | None = None) -> DataFrame:
+def clause_gaps(contracts: DataFrame, points: DataFrame, fields: list[str], scope: DataFrame | None = None) -> DataFrame:
     """Missing clauses both ways: per contract across its row, per clause down its column."""
-    matrix = clause_matrix(points, fields, scope)
+    matrix = clause_matrix(contracts, points, fields, scope)
     total = reduce(Column.__add__, [F.col(f) for f in fields])
     by_contract = matrix.select(
         F.lit("contract").alias("axis"), F.col("contract_id").alias("name"), (F.lit(len(fields)) - total).cast("long").alias("missing")

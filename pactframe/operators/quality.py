@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from pactframe.operators.asof import asof_join
 from pactframe.operators.tenancy import by_account, in_scope
+from pactframe.sources.tables import stored
 
 
 @dataclass(frozen=True)
@@ -28,26 +29,29 @@ def _union(frames: list[DataFrame]) -> DataFrame:
 def fk_orphans(tables: dict[str, DataFrame], references: list[Reference]) -> DataFrame:
     """Rows per reference whose target does not exist.
 
-    Child keys are counted before the anti-join, so a key that fills a third of
-    the child table arrives as one row per map task.
+    Each table is read once and gives its keys, as parent and as child, as rows
+    (parent table, key, reference), keys as text.  Equal rows are counted first,
+    so a key that fills a third of a table arrives as one row per map task.
     """
-    reports = []
-    for ref in references:
-        keys = tables[ref.child].filter(F.col(ref.column).isNotNull()).groupBy(F.col(ref.column).alias("_key"))
-        counted = keys.agg(F.count(F.lit(1)).alias("_rows"))
-        known = tables[ref.parent].select(F.col(ref.key).alias("_key"))
-        missing = counted.join(known, "_key", "left_anti")
-        reports.append(
-            missing.agg(
-                F.count(F.lit(1)).alias("orphan_keys"), F.coalesce(F.sum("_rows"), F.lit(0)).alias("orphan_rows")
-            ).select(
-                F.lit(f"{ref.child}.{ref.column}").alias("reference"),
-                F.lit(ref.parent).alias("parent"),
-                "orphan_keys",
-                "orphan_rows",
-            )
-        )
-    return _union(reports)
+    key = "struct<parent:string,key:string,reference:string>"
+    rows = []
+    for name, df in tables.items():
+        own = {(r.parent, r.key) for r in references if r.parent == name}
+        keys = [(parent, column, None) for parent, column in sorted(own)]
+        keys += [(r.parent, r.column, f"{r.child}.{r.column}") for r in references if r.child == name]
+        if keys:
+            each = F.array(*[F.struct(F.lit(p).alias("parent"), F.col(c).cast("string").alias("key"), F.lit(ref).cast("string").alias("reference")).cast(key) for p, c, ref in keys])
+            rows.append(df.select(F.inline(each)).filter(F.col("key").isNotNull()))
+    counted = _union(rows).groupBy("parent", "key", "reference").agg(F.count(F.lit(1)).alias("n"))
+    by_key = counted.groupBy("parent", "key").agg(
+        F.bool_or(F.col("reference").isNull()).alias("known"),
+        F.collect_list(F.when(F.col("reference").isNotNull(), F.struct("reference", "n"))).alias("asked"),
+    )
+    missing = by_key.filter(~F.col("known")).select(F.inline("asked")).groupBy("reference").agg(
+        F.count(F.lit(1)).alias("orphan_keys"), F.sum("n").alias("orphan_rows"))
+    session = rows[0].sparkSession
+    listed = session.createDataFrame([(f"{r.child}.{r.column}", r.parent) for r in references], "reference string, parent string")
+    return listed.join(missing, "reference", "left").fillna(0, ["orphan_keys", "orphan_rows"])
 
 
 @dataclass(frozen=True)
@@ -136,36 +140,44 @@ def consent_asof(documents: DataFrame, consents: DataFrame, scope: DataFrame | N
 # ---- erasure -------------------------------------------------------------
 
 
-def without(rows: DataFrame, gone: DataFrame, column: str) -> DataFrame:
-    """Rows whose column does not name anything gone; NULL names nothing."""
-    return rows.join(gone.select(F.col(gone.columns[0]).alias(column)).distinct(), column, "left_anti").select(*rows.columns)
-
-
-def erase_accounts(tables: dict[str, DataFrame], accounts_gone: DataFrame, references: list[Reference]) -> dict[str, DataFrame]:
-    """Tables left after accounts and everything that depends on them are erased.
+def erasure_marks(tables: dict[str, DataFrame], accounts_gone: DataFrame, references: list[Reference]) -> dict[str, DataFrame]:
+    """The tables with a column ``erased``: whether the row goes when accounts and all that depends on them go.
 
     ``references`` lists the cascading references, parents first.  A row goes
-    when the row it refers to goes, through as many steps as there are.
+    when the row it refers to goes, through as many steps as there are.  The ids
+    that go from a table that others refer to are written to the shared folder
+    once; each table is then read in one pass.
     """
-    gone = {"accounts": accounts_gone.select(F.col(accounts_gone.columns[0]).alias("_gone"))}
-    left = dict(tables)
-    left["accounts"] = without(by_account(tables["accounts"]), accounts_gone, "account_id")
+    parents = {r.parent for r in references}
+    gone = {"accounts": stored(accounts_gone.select(F.col(accounts_gone.columns[0]).alias("_gone")).distinct(), "gone-accounts")}
+    own = gone["accounts"].select(F.col("_gone").alias("account_id"), F.lit(True).alias("_hit"))
+    marked = {"accounts": by_account(tables["accounts"]).join(own, "account_id", "left").withColumn("erased", F.col("_hit").isNotNull()).drop("_hit")}
     for child in dict.fromkeys(r.child for r in references):
-        doomed = []
-        for ref in (r for r in references if r.child == child):
-            parents = gone[ref.parent]
-            left[child] = without(left[child], parents, ref.column)
-            if "id" in tables[child].columns:
-                hit = tables[child].join(parents.select(F.col("_gone").alias(ref.column)).distinct(), ref.column, "left_semi")
-                doomed.append(hit.select(F.col("id").alias("_gone")))
-        if doomed:
-            gone[child] = _union(doomed)
-    return left
-
-
-def unlink_users(rows: DataFrame, users_gone: DataFrame, column: str) -> DataFrame:
-    """Blanks references to erased users; the rows stay."""
-    gone = users_gone.select(F.col(users_gone.columns[0]).alias(column)).distinct().withColumn("_gone", F.lit(True))
-    joined = rows.join(gone, column, "left")
-    blanked = F.when(F.col("_gone").isNull(), F.col(column)).alias(column)
-    return joined.select(*[blanked if c == column else F.col(c) for c in rows.columns])
+        rows, hits = tables[child], []
+        for n, ref in enumerate(r for r in references if r.child == child):
+            named = gone[ref.parent].select(F.col("_gone").alias(ref.column), F.lit(True).alias(f"_hit{n}"))
+            rows = rows.join(named, ref.column, "left")
+            hits.append(F.col(f"_hit{n}").isNotNull())
+        rows = rows.select(*tables[child].columns, reduce(Column.__or__, hits).alias("erased"))
+        marked[child] = rows
+        if child in parents and "id" in rows.columns:
+            gone[child] = stored(rows.filter("erased").select(F.col("id").alias("_gone")).distinct(), f"gone-{child}")
+    return marked
+
+
+def erase_accounts(tables: dict[str, DataFrame], accounts_gone: DataFrame, references: list[Reference]) -> dict[str, DataFrame]:
+    """Tables left after accounts and everything that depends on them are erased."""
+    marked = erasure_marks(tables, accounts_gone, references)
+    left = {name: rows.filter(~F.col("erased")).drop("erased") for name, rows in marked.items()}
+    return tables | left
+
+
+def unlink_users(rows: DataFrame, users_gone: DataFrame, columns: list[str]) -> DataFrame:
+    """Blanks references to erased users in the given columns; the rows stay."""
+    gone = users_gone.select(F.col(users_gone.columns[0]).alias("_user")).distinct()
+    out = rows
+    for n, column in enumerate(columns):
+        named = gone.select(F.col("_user").alias(column), F.lit(True).alias(f"_gone{n}"))
+        out = out.join(named, column, "left")
+    blanked = {c: F.when(F.col(f"_gone{n}").isNull(), F.col(c)).alias(c) for n, c in enumerate(columns)}
+    return out.select(*[blanked.get(c, F.col(c)) for c in rows.columns])

@@ -68,7 +68,8 @@ def reply_results(replies: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
-POINT = "struct<field:string,value:string,confidence:int,reasoning:string,source:string>"
+# confidence is read as text first, so that a value of another kind is seen and not lost
+POINT = "struct<field:string,value:string,confidence:string,reasoning:string,source:string>"
 # Section of an analysis and the kind of its points.
 SECTIONS = {"extractions": "extraction", "clauses": "clause", "risks": "risk", "obligations": "obligation"}
 
@@ -77,7 +78,9 @@ def analysis_to_data_points(analyses: DataFrame) -> DataFrame:
     """One row per finding of an analysis; ``analysis`` is a variant or JSON text.
 
     The four sections hold objects with field, value, confidence, reasoning and
-    source.  A section of another shape gives no rows.
+    source.  A section of another shape gives no rows.  A finding that is no
+    valid point stays, with the reason in ``quarantine``: no field, or a
+    confidence that is missing, no whole number, or outside 0 to 100.
     """
     none = F.array().cast(f"array<{POINT}>")
     if dict(analyses.dtypes)["analysis"] == "string":
@@ -90,7 +93,10 @@ def analysis_to_data_points(analyses: DataFrame) -> DataFrame:
     tagged = [F.transform(F.coalesce(found[section], none), _tagger(kind)) for section, kind in SECTIONS.items()]
     keep = [c for c in analyses.columns if c != "analysis"]
     points = rows.select(*keep, F.inline(F.concat(*tagged)))
-    return points.filter(F.col("field").isNotNull() & F.col("confidence").between(0, 100))
+    number = F.col("confidence").try_cast("int")
+    reason = F.when(F.col("field").isNull(), "no field").when(
+        ~F.coalesce((number == F.col("confidence").try_cast("double")) & number.between(0, 100), F.lit(False)), "confidence")
+    return points.withColumn("quarantine", reason).withColumn("confidence", F.when(reason.isNull(), number))
 
 
 def _tagger(kind: str):

@@ -1,7 +1,8 @@
 """Weighted full-text search over documents and other sources.
 
-``doc_terms`` is the postings table: write it once, partitioned or clustered by
-term, and the queries read only the terms they ask for.
+``doc_terms`` makes the postings, ``write_postings`` stores them clustered by
+term, and ``read_postings`` reads those of the terms a query asks for and
+nothing of the texts.
 """
 
 from __future__ import annotations
@@ -10,18 +11,15 @@ import re
 from dataclasses import dataclass
 from functools import reduce
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from pactframe.functions.spread import salted_join
-from pactframe.functions.text import english_terms, group_terms, normal_term, tokens, word_starts
+from pactframe.functions.text import TOKEN, english_terms, group_terms, normal_term, tokens, word_starts
 from pactframe.operators.tenancy import in_scope
 from pactframe.sources.tables import stored
 
 # Ten times the weight of a hit in the name (A) and in the text (B).
 WEIGHT_TENTHS = {"A": 10, "B": 4}
-# Text positions start beyond any name position, so a phrase never spans both.
-_TEXT_OFFSET = 1_000_000
 
 
 def doc_terms(
@@ -68,6 +66,22 @@ def doc_terms(
     )
 
 
+def write_postings(terms: DataFrame, path: str) -> None:
+    """Store postings clustered by term and document.
+
+    Files and row groups then hold few terms each, so that a query on some
+    terms skips the rest; a very common term is spread over several files.
+    """
+    ranged = terms.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
+    ranged.write.mode("errorifexists").parquet(path)
+
+
+def read_postings(spark: SparkSession, path: str, named: frozenset[str] | None = None) -> DataFrame:
+    """Stored postings, of the given terms alone if any are given."""
+    terms = spark.read.parquet(path)
+    return terms if named is None else terms.filter(F.col("term").isin(*sorted(named)))
+
+
 # ---- query text ----------------------------------------------------------
 
 
@@ -107,14 +121,19 @@ def _moved(positions: Column, by: int) -> Column:
     return F.transform(positions, lambda p: p + F.lit(by))
 
 
-def _holds(operand: Operand, places: dict[str, Column]) -> Column:
+def _holds(operand: Operand, places: dict[tuple[str, str], Column]) -> Column:
     """Whether a document's positions satisfy the operand; never NULL."""
+
+    def inside(field: str) -> Column:
+        # a phrase holds where the term positions of one field, each moved back by its offset, meet
+        starts = [_moved(places[t, field], -o) for t, o in operand.terms]
+        return F.size(reduce(F.array_intersect, starts)) > 0
+
     if len(operand.terms) == 1:
-        hit = F.size(places[operand.terms[0][0]]) > 0
+        (term, _), = operand.terms
+        hit = reduce(Column.__or__, [F.size(places[term, f]) > 0 for f in WEIGHT_TENTHS])
     else:
-        # a phrase holds where the term positions, each moved back by its offset, meet
-        starts = [_moved(places[t], -o) for t, o in operand.terms]
-        hit = F.size(reduce(F.array_intersect, starts)) > 0
+        hit = reduce(Column.__or__, [inside(f) for f in WEIGHT_TENTHS])
     return hit if operand.wanted else ~hit
 
 
@@ -131,14 +150,11 @@ def search_match(terms: DataFrame, query: str, all_docs: DataFrame | None = None
     wanted = sorted({t for a in alternatives for o in a if o.wanted for t, _ in o.terms})
     if not alternatives:
         return terms.select("doc_id", F.lit(0.0).alias("score")).limit(0)
-    place = F.when(F.col("field") == "A", F.col("positions")).otherwise(
-        _moved(F.col("positions"), _TEXT_OFFSET)
-    )
     weight = F.when(F.col("field") == "A", WEIGHT_TENTHS["A"]).otherwise(WEIGHT_TENTHS["B"])
     hits = terms.filter(F.col("term").isin(named)).groupBy("doc_id").agg(
         *[
-            F.flatten(F.collect_list(F.when(F.col("term") == t, place))).alias(f"p{i}")
-            for i, t in enumerate(named)
+            F.flatten(F.collect_list(F.when((F.col("term") == t) & (F.col("field") == f), F.col("positions")))).alias(f"p{i}{f}")
+            for i, t in enumerate(named) for f in WEIGHT_TENTHS
         ],
         F.sum(F.when(F.col("term").isin(wanted), weight * F.col("tf")).otherwise(0)).alias("_tenths"),
     )
@@ -146,7 +162,7 @@ def search_match(terms: DataFrame, query: str, all_docs: DataFrame | None = None
         if all_docs is None:
             raise ValueError("a query of unwanted terms alone needs all_docs")
         hits = all_docs.select("doc_id").join(hits, "doc_id", "left")
-    places = {t: F.coalesce(F.col(f"p{i}"), F.array().cast("array<int>")) for i, t in enumerate(named)}
+    places = {(t, f): F.coalesce(F.col(f"p{i}{f}"), F.array().cast("array<int>")) for i, t in enumerate(named) for f in WEIGHT_TENTHS}
     matches = reduce(Column.__or__, [reduce(Column.__and__, [_holds(o, places) for o in a]) for a in alternatives])
     return hits.filter(matches).select("doc_id", (F.coalesce("_tenths", F.lit(0)) / F.lit(10.0)).alias("score"))
 
@@ -179,48 +195,46 @@ def search_documents(
     )
 
 
-def best_fragments(text: str | None, wanted: frozenset[str], fragments: int = 2, low: int = 8, high: int = 26, english: bool = True) -> str:
-    """Up to two stretches of 8 to 26 words around the hits, hits in bold."""
-    words = [(m.start(), m.end()) for m in re.finditer(r"[^\W_]+", text or "")]
-    if not words:
-        return ""
-    spelled = [text[a:b].lower() for a, b in words]
-    matching = {w for w in set(spelled) if normal_term(w, english) in wanted}
-    hits = [i for i, w in enumerate(spelled) if w in matching]
-    spans: list[tuple[int, int]] = []
-    for first in hits or [0]:
-        if len(spans) == fragments:
-            break
-        if spans and first < spans[-1][1]:
-            continue
-        last = max([h for h in hits if first <= h < first + high], default=first)
-        # pad a short stretch on both sides up to the least length
-        start = max(spans[-1][1] if spans else 0, first - max(0, (low - (last - first + 1)) // 2))
-        end = min(len(words), max(last + 1, start + low))
-        spans.append((max(spans[-1][1] if spans else 0, min(start, end - low)), end))
-    found = set(hits)
+def _fragment(pieces: Column, hits: Column, first: Column, floor: Column, low: int, high: int) -> Column:
+    """(start, end) in words of the stretch from hit ``first`` on, padded to the least length; not before ``floor``."""
+    last = F.coalesce(F.array_max(F.filter(hits, lambda h: (h >= first) & (h < first + high))), first)
+    pad = F.floor(F.greatest(F.lit(low) - (last - first + 1), F.lit(0)) / 2).cast("int")
+    start = F.greatest(floor, first - pad)
+    return F.struct(start.alias("start"), F.least(F.size(pieces), F.greatest(last, start + low - 1)).alias("end"))
 
-    def render(start: int, end: int) -> str:
-        out, at = [], words[start][0]
-        for i in range(start, end):
-            a, b = words[i]
-            out.append(text[at:a] + (f"<b>{text[a:b]}</b>" if i in found else text[a:b]))
-            at = b
-        return "".join(out)
 
-    return " ... ".join(render(s, e) for s, e in spans)
+def _rendered(pieces: Column, hits: Column, part: Column) -> Column:
+    """The words of a stretch as in the text, hits in bold, without what follows the last word."""
+    words = F.slice(pieces, part["start"], part["end"] - part["start"] + 1)
+    marked = F.transform(words, lambda w, i: F.when(
+        F.array_contains(hits, i + part["start"]), F.regexp_replace(w, r"^([\p{L}\p{N}]+)", "<b>$1</b>")).otherwise(w))
+    return F.regexp_replace(F.array_join(marked, ""), r"[^\p{L}\p{N}>]+$", "")
 
 
-def search_snippets(top: DataFrame, docs: DataFrame, query: str, text: str = "extracted_text", english: bool = True) -> DataFrame:
-    """Adds a snippet to the top documents; only their texts are touched."""
-    wanted = frozenset(t for a in parse_query(query, english) for o in a if o.wanted for t, _ in o.terms)
-
-    @F.pandas_udf("string")
-    def snippet(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: best_fragments(t, wanted, english=english))
+def search_snippets(
+    top: DataFrame, terms: DataFrame, docs: DataFrame, query: str, text: str = "extracted_text", english: bool = True, low: int = 8, high: int = 26
+) -> DataFrame:
+    """Adds a snippet to the top documents: up to two stretches of ``low`` to ``high`` words around hits in bold.
 
-    texts = docs.select(F.col("id").alias("doc_id"), F.col(text).alias("_text"))
-    return top.join(texts, "doc_id").withColumn("snippet", snippet("_text")).drop("_text")
+    Where the hits are is known from the postings; only the texts of the top
+    documents are read.  The first stretch begins at the first hit, or at the
+    first word if the hits are in the name alone; the second at the first hit
+    after it.
+    """
+    wanted = sorted({t for a in parse_query(query, english) for o in a if o.wanted for t, _ in o.terms})
+    places = (
+        terms.filter(F.col("term").isin(*wanted) & (F.col("field") == "B")).join(top.select("doc_id"), "doc_id", "left_semi")
+        .groupBy("doc_id").agg(F.sort_array(F.flatten(F.collect_list("positions"))).alias("_hits"))
+    )
+    texts = docs.select(F.col("id").alias("doc_id"), F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(TOKEN + r"[^\p{L}\p{N}]*"), F.lit(0)).alias("_pieces"))
+    rows = top.join(texts, "doc_id").join(places, "doc_id", "left").withColumn("_hits", F.coalesce("_hits", F.array().cast("array<int>")))
+    pieces, hits = F.col("_pieces"), F.col("_hits")
+    rows = rows.withColumn("_one", _fragment(pieces, hits, F.coalesce(F.get(hits, F.lit(0)), F.lit(1)), F.lit(1), low, high))
+    rows = rows.withColumn("_next", F.array_min(F.filter(hits, lambda h: h > F.col("_one.end"))))
+    rows = rows.withColumn("_two", _fragment(pieces, hits, F.col("_next"), F.col("_one.end") + 1, low, high))
+    second = F.when(F.col("_next").isNotNull(), F.concat(F.lit(" ... "), _rendered(pieces, hits, F.col("_two")))).otherwise("")
+    snippet = F.when(F.size(pieces) == 0, "").otherwise(F.concat(_rendered(pieces, hits, F.col("_one")), second))
+    return rows.select(*top.columns, snippet.alias("snippet"))
 
 
 def search_batch(terms: DataFrame, queries: DataFrame, n: int = 40, english: bool = True) -> DataFrame:
@@ -285,13 +299,8 @@ def search_batch(terms: DataFrame, queries: DataFrame, n: int = 40, english: boo
     )
 
 
-def search_everything(
-    sources: dict[str, DataFrame], query: str, n: int = 40, english: bool = True
-) -> DataFrame:
-    """Search over several kinds of rows, each with id, name and extracted_text.
-
-    The source becomes part of the document id, so that one ranking covers all.
-    """
+def everything(sources: dict[str, DataFrame]) -> DataFrame:
+    """Several kinds of rows, each with id, name and extracted_text, as one; the source becomes part of the id."""
     rows = [
         df.select(
             F.concat_ws(":", F.lit(source), F.col("id").cast("string")).alias("id"),
@@ -300,9 +309,12 @@ def search_everything(
         )
         for source, df in sources.items()
     ]
-    everything = reduce(DataFrame.unionByName, rows)
-    postings = doc_terms(everything, english=english, only=query_terms(query, english))
-    matched = search_match(postings, query, everything.select(F.col("id").alias("doc_id")), english)
+    return reduce(DataFrame.unionByName, rows)
+
+
+def search_everything(terms: DataFrame, query: str, n: int = 40, all_docs: DataFrame | None = None, english: bool = True) -> DataFrame:
+    """The n best rows of all kinds, from the postings of ``everything``."""
+    matched = search_match(terms, query, all_docs, english)
     return (
         matched.select(
             F.split_part("doc_id", F.lit(":"), F.lit(1)).alias("source"),

@@ -27,7 +27,7 @@ OUTCOMES = """tried as (select a.id, a.user_id, a.email, a.token, a.ts, i.email
 @register(
     "plan_catalog",
     """select p.plan, p.title, p.credits, p.period_days, p.monthly_price, p.bank_cap, count(a.account_id) as accounts
-    from (values ('sandbox', 'Evaluation Sandbox', 150, 90, 0, 0), ('growth', 'Growth / Professional', 500, 30, 79, 0),
+    from (values ('sandbox', 'Evaluation Sandbox', 150, 90, 0, 0), ('growth', 'Growth / Professional', 500, 30, 79, 300),
       ('scale', 'Scale', 1800, 30, 199, 1800), ('enterprise', 'Enterprise Suite', 5000, 30, null, 0))
       p(plan, title, credits, period_days, monthly_price, bank_cap)
     left join dom_accounts a on a.plan = p.plan group by all""",
@@ -39,7 +39,7 @@ def plan_catalog(t):
 
 @register(
     "signup_checks",
-    """select id, case when trim(full_name) = '' or trim(company) = '' then 'Please complete your name and company.'
+    """select id, case when trim(first_name) = '' or trim(last_name) = '' or trim(company) = '' then 'Please complete your name and company.'
       when not regexp_matches(email, '^[^@\\s]+@[^@\\s]+\\.[^@\\s]+$') then 'Please enter a valid work email address.'
       when not terms then 'Please accept the Terms and Privacy Policy to continue.' end as reject_reason from dom_signups""",
 )

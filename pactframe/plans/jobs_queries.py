@@ -11,7 +11,7 @@ NOW = f"timestamp '{AS_OF}'"
 BACKOFF = "to_seconds(cast(10 * power(2, least(j.attempts, 6)) as integer))"
 RETRYABLE = """not coalesce(fatal, false) and (coalesce(status, 0) = 429 or coalesce(status, 0) >= 500 or coalesce(status, 0) = 408
       or regexp_matches(coalesce(message, ''), 'network|fetch failed|timeout|econn', 'i'))"""
-ERROR_TEXT = "left(trim(concat(coalesce(cast(status as varchar), ''), ' ', coalesce(message, ''))), 500)"
+ERROR_TEXT = "trim(concat(coalesce(cast(status as varchar), ''), ' ', coalesce(message, '')))"
 
 
 @register(

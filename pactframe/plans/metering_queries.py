@@ -56,7 +56,7 @@ def hourly_call_budget(t):
     "roll_billing_period",
     f"""with left_over as ({REMAINING})
     select a.account_id, a.plan, a.credits_included, 0 as credits_used,
-      cast(case when a.plan = 'scale' then least(1800, r.remaining) else 0 end as integer) as credits_banked,
+      cast(case a.plan when 'scale' then least(1800, r.remaining) when 'growth' then least(300, r.remaining) else 0 end as integer) as credits_banked,
       timestamp '{AS_OF}' as period_started_at
     from dom_accounts a join left_over r using (account_id)""",
 )

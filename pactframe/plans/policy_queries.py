@@ -41,19 +41,19 @@ def policy_rules(t):
 
 @register(
     "analysis_policy_snapshot",
-    """with graded as (select id as contract_id, account_id, case account_id % 3 when 0 then 'GB' when 1 then 'EU' else 'US' end as jurisdiction,
+    """with graded as (select id as contract_id, account_id, case account_id % 4 when 0 then 'GB' when 1 then 'EU' when 2 then 'US' else 'CH' end as jurisdiction,
       cast(start_date as timestamp) as graded_at from dom_contracts)
     select g.contract_id, g.account_id, g.jurisdiction, g.graded_at,
       count(p.id) filter (where p.account_id is null) as global_packs,
       count(p.id) filter (where p.account_id is not null) as own_packs,
-      cast(coalesce(sum(p.id), 0) as bigint) as pack_id_sum
+      cast(coalesce(sum(('0x' || substr(md5(cast(p.id as varchar)), 1, 12))::bigint), 0) as bigint) as pack_set
     from graded g left join dom_policy_packs p on p.jurisdiction in (g.jurisdiction, 'ANY')
       and (p.account_id is null or p.account_id = g.account_id)
       and p.active and p.effective_from <= g.graded_at and (p.effective_to is null or p.effective_to > g.graded_at)
     group by all""",
 )
 def analysis_policy_snapshot(t):
-    region = F.when(F.col("account_id") % 3 == 0, "GB").when(F.col("account_id") % 3 == 1, "EU").otherwise("US")
+    region = F.when(F.col("account_id") % 4 == 0, "GB").when(F.col("account_id") % 4 == 1, "EU").when(F.col("account_id") % 4 == 2, "US").otherwise("CH")
     graded = t("dom_contracts").select(
         F.col("id").alias("contract_id"),
         "account_id",

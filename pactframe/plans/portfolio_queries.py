@@ -12,7 +12,8 @@ RUNWAY = f"""runway as (select *, end_date - coalesce(notice_period_days, 90) as
     end_date - coalesce(notice_period_days, 90) < {TODAY} as missed from dom_contracts)"""
 KEYED = """keyed as (select supplier, trim(array_to_string(list_filter(str_split(regexp_replace(lower(supplier), '[^\\p{L}\\p{N}]+', ' ', 'g'), ' '),
     lambda w: w not in ('ltd', 'limited', 'inc', 'gmbh', 'plc', 'llc', 'the', '')), ' ')) as supplier_key from dom_suppliers)"""
-FIELDS = [f"field{i}" for i in range(12)]
+# the other two clauses of the test points count as further ones
+FIELDS = [f"field{i}" for i in range(10)]
 
 
 @register(
@@ -65,8 +66,7 @@ NAMES = """names as (select distinct k.supplier_key || case when s.s_suppkey % 3
     f"""with {KEYED}, {NAMES}
     select a.supplier_key, min(case when b.supplier_key < a.supplier_key then b.supplier_key end) as near_miss_before,
       max(case when b.supplier_key > a.supplier_key then b.supplier_key end) as near_miss_after
-    from names a join names b on a.supplier_key <> b.supplier_key and left(a.supplier_key, 4) = left(b.supplier_key, 4)
-      and levenshtein(a.supplier_key, b.supplier_key) <= 2
+    from names a join names b on a.supplier_key <> b.supplier_key and levenshtein(a.supplier_key, b.supplier_key) <= 2
     group by a.supplier_key""",
 )
 def supplier_near_misses(t):
@@ -78,25 +78,27 @@ def supplier_near_misses(t):
 
 @register(
     "clause_matrix",
-    "select contract_id, "
+    "select c.id as contract_id, "
     + ", ".join(f"cast(max(case when field = '{f}' then 1 else 0 end) as integer) as {f}" for f in FIELDS)
-    + " from dom_data_points where kind = 'clause' group by contract_id",
+    + f""", count(distinct case when field not in ({", ".join(f"'{f}'" for f in FIELDS)}) then field end) as other_clauses
+    from dom_contracts c left join dom_data_points p on p.contract_id = c.id and p.kind = 'clause' group by c.id""",
 )
 def clause_matrix(t):
-    return portfolio.clause_matrix(t("dom_data_points"), FIELDS)
+    return portfolio.clause_matrix(t("dom_contracts"), t("dom_data_points"), FIELDS)
 
 
 @register(
     "clause_gaps",
     f"""with present as (select distinct contract_id, field from dom_data_points where kind = 'clause'),
-    counted as (select contract_id, count(*) as n from present group by contract_id)
+    counted as (select c.id as contract_id, count(p.field) filter (where p.field in ({", ".join(f"'{f}'" for f in FIELDS)})) as n
+      from dom_contracts c left join present p on p.contract_id = c.id group by c.id)
     select 'contract' as axis, contract_id as name, {len(FIELDS)} - n as missing from counted
     union all
     select 'clause', f.name, (select count(*) from counted) - count(p.contract_id)
     from (values {", ".join(f"('{f}')" for f in FIELDS)}) f(name) left join present p on p.field = f.name group by f.name""",
 )
 def clause_gaps(t):
-    return portfolio.clause_gaps(t("dom_data_points"), FIELDS)
+    return portfolio.clause_gaps(t("dom_contracts"), t("dom_data_points"), FIELDS)
 
 
 STOPPED = ", ".join(f"'{w}'" for w in STOP_WORDS)
@@ -108,10 +110,11 @@ def words(text: str) -> str:
 
 @register(
     "verbal_commitments",
-    f"""with pieces as (select conv_id, turn, 'c' || cast(conv_id % 1500 as varchar) as contract_id, regexp_split_to_array(text, '[.!?\\n]+') as ps from conversations),
+    f"""with spoken as (select conv_id, turn, conv_id - conv_id % 3 as c, case turn % 3 when 0 then 'We will ' || text when 1 then text || ' I promise this. And shall we?' else text end as text from conversations),
+    pieces as (select conv_id, turn, 'c' || cast(c as varchar) as contract_id, regexp_split_to_array(text, '[.!?\\n]+') as ps from spoken),
     said as (select conv_id, turn, contract_id, cast(i as integer) as sentence_ix, s as sentence, {words("s")} as ws
       from (select conv_id, turn, contract_id, unnest(ps) as s, unnest(range(0, len(ps))) as i from pieces) x
-      where regexp_matches(s, '(?i)\\b(it|in) (is|the|was)\\b')),
+      where regexp_matches(s, '(?i)\\b(i|we)\\s+(will|shall|promise|agree|commit|guarantee)\\b')),
     written as (select distinct contract_id, unnest({words("extracted_text")}) as term from dom_documents where contract_id is not null),
     found as (select s.conv_id, s.turn, s.sentence_ix, count(w.term) as found from (select *, unnest(ws) as term from said) s
       join written w on w.contract_id = s.contract_id and w.term = s.term group by 1, 2, 3)
@@ -119,9 +122,13 @@ def words(text: str) -> str:
     from said s left join found f using (conv_id, turn, sentence_ix) where coalesce(f.found, 0) < 3""",
 )
 def verbal_commitments(t):
-    turns = t.base("conversations").withColumn("contract_id", F.concat(F.lit("c"), (F.col("conv_id") % 1500).cast("string")))
+    # the test texts hold no promises, so some turns get one
+    spoken = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("We will "), "text")).when(
+        F.col("turn") % 3 == 1, F.concat("text", F.lit(" I promise this. And shall we?"))).otherwise(F.col("text"))
+    contract = F.concat(F.lit("c"), (F.col("conv_id") - F.col("conv_id") % 3).cast("string"))
+    turns = t.base("conversations").select("conv_id", "turn", spoken.alias("text"), contract.alias("contract_id"))
     texts = t("dom_documents").select("contract_id", F.col("extracted_text").alias("text"))
-    return portfolio.verbal_commitments(turns, texts, cue=r"(?i)\b(it|in) (is|the|was)\b")
+    return portfolio.verbal_commitments(turns, texts)
 
 
 @register(

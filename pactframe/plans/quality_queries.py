@@ -25,6 +25,17 @@ TABLES = {
     "contract_users": "dom_contract_users",
     "profiles": "dom_profiles",
     "invitations": "dom_invitations",
+    "snapshots": "dom_policy_snapshots",
+}
+# Columns by which a row of a table without an id is told from the others.
+ROW_KEYS = {
+    "accounts": ["account_id"], "members": ["user_id", "account_id"], "contract_users": ["contract_id", "full_name"],
+    "snapshots": ["analysis_id", "pack_id"], "obligations": ["contract_id", "obligation_ix", "due_date"],
+}
+# Columns that name a user and are blanked when the user goes.
+USER_COLUMNS = {
+    "ledger": ["user_id"], "points": ["verified_by"], "audit": ["user_id"], "packs": ["updated_by"], "consents": ["accepted_by"],
+    "obligations": ["assignee_id", "completed_by"], "invitations": ["invited_by"], "jobs": ["requested_by"],
 }
 
 REFERENCES = [
@@ -44,11 +55,16 @@ REFERENCES = [
     Reference("contract_users", "contract_id", "contracts"),
     Reference("documents", "consent_id", "consents"),
     Reference("audit", "data_point_id", "points"),
-    Reference("audit", "user_id", "profiles"),
+    Reference("points", "analysis_id", "analyses"),
+    Reference("snapshots", "analysis_id", "analyses"),
+    Reference("snapshots", "pack_id", "packs"),
+    Reference("members", "user_id", "profiles"),
+    *[Reference(table, column, "profiles") for table, columns in USER_COLUMNS.items() for column in columns],
 ]
 
 UNIQUE_KEYS = [
     Unique("accounts", ("account_id",)),
+    Unique("accounts", ("billing_customer_id",)),
     Unique("members", ("user_id", "account_id")),
     Unique("contracts", ("id",)),
     Unique("obligations", ("contract_id", "obligation_ix")),
@@ -71,11 +87,21 @@ CHECKS = [
     Check("audit", "action", one_of("action", ["accepted", "corrected", "rejected", "reopened"])),
     Check("jobs", "kind", one_of("kind", ["ingest", "ocr", "analysis", "reanalysis", "export", "embed"])),
     Check("jobs", "status", one_of("status", ["queued", "running", "succeeded", "failed", "dead"])),
-    Check("packs", "jurisdiction", one_of("jurisdiction", ["GB", "EU", "US", "ANY"])),
     Check("obligations", "party", one_of("party", ["us", "supplier"])),
     Check("obligations", "status", one_of("status", ["open", "done", "waived"])),
-    Check("documents", "contract given", "contract_id is not null"),
     Check("documents", "consent on transcripts", "not (is_transcript and consent_id is null)"),
+    *[
+        Check(table, f"{column} given", f"{column} is not null")
+        for table, columns in {
+            "accounts": ["name"], "ledger": ["account_id", "kind", "credits"], "contracts": ["account_id"], "documents": ["name"],
+            "points": ["contract_id", "field", "kind", "confidence"], "analyses": ["analysis"], "audit": ["data_point_id", "action"],
+            "jobs": ["account_id", "kind", "status", "priority", "attempts", "max_attempts", "run_after"],
+            "packs": ["pack_key", "jurisdiction", "version", "rules", "active"], "snapshots": ["analysis_id", "pack_id"], "telemetry": ["op"],
+            "consents": ["account_id", "accepted_name", "version"], "obligations": ["contract_id", "obligation_ix", "status"],
+            "profiles": ["email"], "invitations": ["account_id", "email", "role", "token", "expires_at"],
+        }.items()
+        for column in columns
+    ],
 ]
 
 
@@ -145,62 +171,82 @@ def consent_asof(t):
 
 
 ERASED = "account_id % 7 = 3"
-CASCADES = [r for r in REFERENCES if (r.child, r.column) not in (("audit", "user_id"), ("documents", "consent_id"))]
+NOT_CASCADING = {("documents", "consent_id"), ("snapshots", "pack_id"), ("members", "user_id")}
+NOT_CASCADING |= {(table, column) for table, columns in USER_COLUMNS.items() for column in columns}
+# parents before the tables that refer to them
+CASCADES = sorted(
+    (r for r in REFERENCES if (r.child, r.column) not in NOT_CASCADING),
+    key=lambda r: ["contracts", "analyses", "points"].index(r.child) if r.child in ("contracts", "analyses", "points") else 9,
+)
 
 
-def left_sql(name: str) -> str:
-    """SQL for the rows of a table that survive the erasure."""
+def marks_sql(name: str) -> str:
+    """SQL for the rows of a table with whether they go."""
     table = TABLES[name]
     if name == "accounts":
-        return f"select * from {table} where not ({ERASED})"
-    conditions = [
-        f"""(x.{r.column} is null or x.{r.column} not in (select {r.key} from ({gone_sql(r.parent)}) g))"""
-        for r in CASCADES
-        if r.child == name
-    ]
-    return f"select * from {table} x where {' and '.join(conditions) or 'true'}"
+        return f"select *, {ERASED} as erased from {table}"
+    conditions = [f"coalesce(x.{r.column} in (select {r.key} from m_{r.parent} where erased), false)" for r in CASCADES if r.child == name]
+    return f"select *, {' or '.join(conditions) or 'false'} as erased from {table} x"
 
 
-def gone_sql(name: str) -> str:
-    table = TABLES[name]
-    if name == "accounts":
-        return f"select * from {table} where {ERASED}"
-    conditions = [f"y.{r.column} in (select {r.key} from ({gone_sql(r.parent)}) h)" for r in CASCADES if r.child == name]
-    return f"select * from {table} y where {' or '.join(conditions)}"
+COUNTED = list(dict.fromkeys(["accounts", *[r.child for r in CASCADES]]))
+
+
+def row_number_sql(name: str) -> str:
+    """SQL for 48 bits of the hash of a row's key."""
+    text = ", ".join(f"cast({c} as varchar)" for c in ROW_KEYS.get(name, ["id"]))
+    return f"('0x' || substr(md5(concat_ws('|', {text})), 1, 12))::bigint"
 
 
-COUNTED = ["accounts", "contracts", *[n for n in TABLES if n not in ("accounts", "contracts", "profiles")]]
+def row_number(name: str):
+    text = F.concat_ws("|", *[F.col(c).cast("string") for c in ROW_KEYS.get(name, ["id"])])
+    return F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("long")
 
 
 @register(
     "erase_accounts",
-    "\nunion all\n".join(
-        f"""select '{n}' as table_name, (select count(*) from {TABLES[n]}) as rows_before,
-      (select count(*) from ({left_sql(n)}) z) as rows_left""" for n in COUNTED
+    "with " + ", ".join(f"m_{n} as ({marks_sql(n)})" for n in COUNTED) + "\n" + "\nunion all\n".join(
+        f"""select '{n}' as table_name, count(*) as rows_before, count(*) filter (where not erased) as rows_left,
+      cast(coalesce(sum({row_number_sql(n)}) filter (where not erased), 0) as bigint) as rows_left_hash from m_{n}""" for n in COUNTED
     ),
 )
 def erase_accounts(t):
     before = tables(t, COUNTED)
     gone = before["accounts"].filter(ERASED).select("account_id")
-    after = quality.erase_accounts(before, gone, CASCADES)
-    reports = []
-    for n in COUNTED:
-        both = before[n].select(F.lit(1).alias("b"), F.lit(0).alias("a")).unionByName(
-            after[n].select(F.lit(0).alias("b"), F.lit(1).alias("a"))
-        )
-        reports.append(
-            both.agg(F.sum("b").alias("rows_before"), F.sum("a").alias("rows_left")).select(
-                F.lit(n).alias("table_name"), "rows_before", "rows_left"
-            )
-        )
+    marked = quality.erasure_marks(before, gone, CASCADES)
+    reports = [
+        marked[n].agg(
+            F.count(F.lit(1)).alias("rows_before"), F.count_if(~F.col("erased")).alias("rows_left"),
+            F.coalesce(F.sum(F.when(~F.col("erased"), row_number(n))), F.lit(0)).alias("rows_left_hash"),
+        ).select(F.lit(n).alias("table_name"), "rows_before", "rows_left", "rows_left_hash")
+        for n in COUNTED
+    ]
     return reduce(DataFrame.unionByName, reports)
 
 
+USER_GONE = "id % 5 = 0"
+
+
 @register(
     "unlink_users",
-    """select id, data_point_id, case when user_id in (select id from dom_profiles where id % 5 = 0) then null else user_id end as user_id, action
-    from dom_verification_audit""",
+    "\nunion all\n".join(
+        f"""select '{table}.{c}' as reference, count(*) as row_count, count({c}) as named_before, count(*) filter (where {c} not in (select id from dom_profiles where {USER_GONE})) as named_after,
+      cast(coalesce(sum({row_number_sql(table)}) filter (where {c} not in (select id from dom_profiles where {USER_GONE})), 0) as bigint) as named_hash from {TABLES[table]}"""
+        for table, columns in USER_COLUMNS.items() for c in columns
+    ),
 )
 def unlink_users(t):
-    gone = t("dom_profiles").filter("id % 5 = 0").select("id")
-    return quality.unlink_users(t("dom_verification_audit").drop("created_at"), gone, "user_id")
+    gone = t("dom_profiles").filter(USER_GONE).select("id")
+    reports = []
+    for table, columns in USER_COLUMNS.items():
+        before = t(TABLES[table])
+        after = quality.unlink_users(before.select("*", *[F.col(c).alias(f"_{c}") for c in columns]), gone, columns)
+        counts = [
+            F.struct(
+                F.lit(f"{table}.{c}").alias("reference"), F.count(F.lit(1)).alias("row_count"), F.count(f"_{c}").alias("named_before"),
+                F.count(c).alias("named_after"), F.coalesce(F.sum(F.when(F.col(c).isNotNull(), row_number(table))), F.lit(0)).alias("named_hash"),
+            )
+            for c in columns
+        ]
+        reports.append(after.agg(F.array(*counts).alias("r")).select(F.inline("r")))
+    return reduce(DataFrame.unionByName, reports)

@@ -6,9 +6,10 @@ from pactframe.functions.stemmer import stem
 from pactframe.operators import search
 from pactframe.plans.registry import register
 from pactframe.plans.stem_sql import postings_cte
-from pactframe.sources.tables import spread_scan
+from pactframe.session import new_folder
 
 # Words of the test texts: two wanted and one unwanted, or a phrase.
+TENANTS = "account_id % 3 <> 0"
 QUERY = 'ing ther -tionly or "ble wh"'
 DOCS = "select id, name, extracted_text as content from dom_documents"
 
@@ -29,16 +30,33 @@ MATCHES = f"""scores as (select id as doc_id,
     or doc_id in (select doc_id from phrases))"""
 FOUND = f"""{postings_cte(DOCS)}, {MATCHES},
   found as (select d.contract_id, m.doc_id, d.name, c.account_id, m.score from matches m join dom_documents d on d.id = m.doc_id
-    join dom_contracts c on c.id = d.contract_id order by m.score desc, m.doc_id limit 40)"""
+    join dom_contracts c on c.id = d.contract_id where c.{TENANTS} order by m.score desc, m.doc_id limit 40)"""
+
+
+# Postings already stored by this application: (application, tables, name) to their folder.
+_STORED: dict[tuple[str, str, str], str] = {}
 
 
 def documents(t):
-    return spread_scan(t("dom_documents").select("id", "contract_id", "name", "extracted_text"))
+    return t("dom_documents").select("id", "contract_id", "name", "extracted_text")
+
+
+def postings(t, name, rows, query=None):
+    """Stored postings of some rows, written when first asked for; of a query's terms if one is given."""
+    place = (t.spark.sparkContext.applicationId, t.folder, name)
+    if place not in _STORED:
+        folder = new_folder(t.spark, f"postings-{name}")
+        search.write_postings(search.doc_terms(rows()), folder)
+        _STORED[place] = folder
+    return search.read_postings(t.spark, _STORED[place], None if query is None else search.query_terms(query))
 
 
 def asked_terms(t):
-    """Postings of the words of QUERY alone."""
-    return search.doc_terms(documents(t), only=search.query_terms(QUERY))
+    return postings(t, "documents", lambda: documents(t), QUERY)
+
+
+def tenants(t):
+    return t("dom_accounts").filter(TENANTS).select("account_id")
 
 
 @register(
@@ -61,14 +79,42 @@ def search_match(t):
 
 @register("search_documents", f"with {FOUND} select * from found")
 def search_documents(t):
-    return search.search_documents(asked_terms(t), t("dom_documents"), t("dom_contracts").select("id", "account_id"), QUERY)
+    owned = t("dom_contracts").select("id", "account_id")
+    return search.search_documents(asked_terms(t), t("dom_documents"), owned, QUERY, scope=tenants(t))
+
+
+TOP_TERMS = terms("ing", "ther", "ble", "wh")
 
 
-@register("search_snippets")
+def rendered(part: str, start: str, end: str) -> str:
+    """SQL for words start to end of ps, hits in bold."""
+    return f"""regexp_replace(array_to_string(list_transform(range({start}, {end} + 1), lambda i:
+      case when list_contains(hits, i) then regexp_replace(ps[i], '^([\\p{{L}}\\p{{N}}]+)', '<b>\\1</b>') else ps[i] end), ''), '[^\\p{{L}}\\p{{N}}>]+$', '') as {part}"""
+
+
+def stretch(n: int, first: str, floor: str) -> str:
+    """SQL for first, last, start and end of stretch n."""
+    return f"""f{n} as (select *, {first} as first{n} from {"placed_hits" if n == 1 else "e1"}),
+  l{n} as (select *, coalesce(list_max(list_filter(hits, lambda h: h >= first{n} and h < first{n} + 26)), first{n}) as last{n} from f{n}),
+  s{n} as (select *, greatest({floor}, first{n} - greatest(8 - (last{n} - first{n} + 1), 0) // 2) as start{n} from l{n}),
+  e{n} as (select *, least(len(ps), greatest(last{n}, start{n} + 7)) as end{n} from s{n})"""
+
+
+@register(
+    "search_snippets",
+    f"""with {FOUND},
+  hit_lists as (select id, list_sort(list(pos)) as hits from postings where field = 'B' and term in {TOP_TERMS} group by id),
+  placed_hits as (select t.*, regexp_extract_all(coalesce(d.extracted_text, ''), '[\\p{{L}}\\p{{N}}]+[^\\p{{L}}\\p{{N}}]*') as ps, coalesce(h.hits, []) as hits
+    from found t join dom_documents d on d.id = t.doc_id left join hit_lists h on h.id = t.doc_id),
+  {stretch(1, "coalesce(hits[1], 1)", "1")},
+  {stretch(2, "list_min(list_filter(hits, lambda h: h > end1))", "end1 + 1")},
+  parts as (select *, {rendered("part1", "start1", "end1")}, {rendered("part2", "start2", "end2")} from e2)
+  select contract_id, doc_id, name, account_id, score, case when len(ps) = 0 then ''
+    else part1 || case when first2 is null then '' else ' ... ' || part2 end end as snippet from parts""",
+)
 def search_snippets(t):
-    docs = t("dom_documents")
-    top = search.search_documents(asked_terms(t), docs, t("dom_contracts").select("id", "account_id"), QUERY)
-    return search.search_snippets(top, docs, QUERY)
+    """One tenant group's best documents with their snippets, in one result."""
+    return search.search_snippets(search_documents(t), asked_terms(t), t("dom_documents"), QUERY)
 
 
 SENTENCES = """select item_id * 1000 + i as query_id, regexp_extract_all(lower(q), '[\\p{L}\\p{N}]+') as ws
@@ -92,7 +138,7 @@ def search_batch(t):
         "item_id", F.posexplode(F.split("text", r"\.")).alias("i", "query")
     )
     queries = sentences.select((F.col("item_id") * 1000 + F.col("i")).alias("query_id"), "query")
-    return search.search_batch(search.doc_terms(documents(t)), queries, 5)
+    return search.search_batch(postings(t, "documents", lambda: documents(t)), queries, 5)
 
 
 EVERYTHING = """select 'contract:' || id as id, ref as name, supplier || ' ' || category as content from dom_contracts
@@ -109,7 +155,11 @@ EVERYTHING = """select 'contract:' || id as id, ref as name, supplier || ' ' ||
     from hits order by score desc, 1, 2 limit 40""",
 )
 def search_everything(t):
-    contracts = t("dom_contracts").select("id", F.col("ref").alias("name"), F.concat_ws(" ", "supplier", "category").alias("extracted_text"))
-    points = t("dom_data_points").select("id", F.col("field").alias("name"), F.concat_ws(" ", "kind", "status").alias("extracted_text"))
-    sources = {"contract": contracts, "document": documents(t), "finding": points}
-    return search.search_everything(sources, "urgent or risk or ther")
+    query = "urgent or risk or ther"
+
+    def rows():
+        contracts = t("dom_contracts").select("id", F.col("ref").alias("name"), F.concat_ws(" ", "supplier", "category").alias("extracted_text"))
+        points = t("dom_data_points").select("id", F.col("field").alias("name"), F.concat_ws(" ", "kind", "status").alias("extracted_text"))
+        return search.everything({"contract": contracts, "document": documents(t), "finding": points})
+
+    return search.search_everything(postings(t, "everything", rows, query), query)

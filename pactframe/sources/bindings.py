@@ -10,7 +10,8 @@ select c_custkey as account_id, c_name as name,
   case c_custkey % 4 when 0 then 'sandbox' when 1 then 'growth' when 2 then 'scale' else 'enterprise' end as plan,
   cast(case c_custkey % 4 when 0 then 150 when 1 then 500 when 2 then 1800 else 5000 end as int) as credits_included,
   cast((c_custkey * 7) % 100 as int) as credits_banked,
-  case when c_custkey % 17 = 0 then null else timestamp '2024-01-10 00:00:00' end as period_started_at
+  case when c_custkey % 17 = 0 then null else timestamp '2024-01-10 00:00:00' end as period_started_at,
+  case when c_custkey % 4 = 0 then null else concat('cus_', cast(c_custkey - case when c_custkey % 31 = 2 then 1 else 0 end as string)) end as billing_customer_id
 from {customer}
 """,
     "dom_members": r"""
@@ -27,31 +28,35 @@ select concat('c', cast(o_orderkey as string)) as id, o_custkey as account_id,
   cast(o_orderdate as date) + cast(365 + o_orderkey % 1460 as int) as end_date,
   cast(case when o_orderkey % 13 = 0 then null else case o_orderkey % 4 when 0 then 30 when 1 then 60 when 2 then 90 else 180 end end as int) as notice_period_days,
   (o_orderkey % 2 = 0) as auto_renew, cast(o_orderkey % 9 as int) as users_count
-from {orders} join {supplier} on s_suppkey = o_orderkey % 10
+from {orders} join {supplier} on s_suppkey = cast(floor(o_custkey / 15) as bigint)
 """,
     "dom_credit_ledger": r"""
-select event_id as id, user_id as account_id,
+select event_id as id, user_id as account_id, case when event_id % 5 = 0 then null else user_id end as user_id,
   case event_type when 'signup' then 'topup' when 'click' then 'cedric' else 'analysis' end as kind,
   cast(case event_type when 'signup' then -50 when 'click' then 2 else 10 end as int) as credits, ts as created_at
 from {events} where event_type <> 'error'
 """,
     "dom_data_points": r"""
-select l_orderkey * 10 + l_linenumber as id, concat('c', cast(l_orderkey as string)) as contract_id,
+select concat('p', cast(l_orderkey as string), '-', cast(l_linenumber as string), '-', cast(l_partkey as string), '-', cast(l_suppkey as string), '-', cast(cast(round(l_extendedprice * 100) as bigint) as string)) as id,
+  concat('c', cast(l_orderkey as string)) as contract_id, l_partkey % 10 as marker,
+  case when l_suppkey % 3 = 0 then null else l_orderkey * 4 end as analysis_id, case when l_suppkey % 4 = 0 then null else l_suppkey end as verified_by,
   concat('field', cast(l_suppkey % 12 as string)) as field,
   case l_linenumber % 4 when 0 then 'extraction' when 1 then 'clause' when 2 then 'risk' else 'obligation' end as kind,
   cast(floor(l_quantity * 2) as int) as confidence,
   case l_partkey % 4 when 0 then 'pending' when 1 then 'accepted' when 2 then 'corrected' else 'rejected' end as status,
   case when l_returnflag = 'R' then null else l_linestatus = 'O' end as was_correct, l_shipdate as created_at
-from (select *, row_number() over (partition by l_orderkey, l_linenumber order by l_partkey, l_suppkey, l_extendedprice, l_shipdate) as rn from {lineitem}) x
-where rn = 1
+from {lineitem}
 """,
     "dom_verification_audit": r"""
-select event_id as id, (event_id % 1400) * 10 + 1 + event_id % 4 as data_point_id, user_id,
-  case event_type when 'view' then 'accepted' when 'click' then 'corrected' when 'purchase' then 'rejected' else 'reopened' end as action, ts as created_at
-from {events} where event_type <> 'error'
+select concat(cast(event_id as string), '-', cast(l_partkey as string), '-', cast(l_suppkey as string)) as id,
+  case when event_id % 29 = 0 then concat('x', cast(event_id as string)) else concat('p', cast(l_orderkey as string), '-', cast(l_linenumber as string), '-', cast(l_partkey as string), '-', cast(l_suppkey as string), '-', cast(cast(round(l_extendedprice * 100) as bigint) as string)) end as data_point_id, user_id,
+  case event_type when 'view' then 'accepted' when 'click' then 'corrected' when 'purchase' then 'rejected' else 'reopened' end as action,
+  case when event_type = 'click' then concat('v', cast(event_id % 50 as string)) else null end as value_after, ts as created_at
+from {events} join {lineitem} on l_orderkey = event_id - event_id % 3 and l_linenumber = 1 + cast(floor(event_id / 3) as bigint) % 4
+where event_type <> 'error'
 """,
     "dom_analyses": r"""
-select event_id as id, concat('c', cast(event_id % 1500 as string)) as contract_id, props as analysis, ts as created_at
+select event_id as id, concat('c', cast(cast(floor(event_id / 4) as bigint) as string)) as contract_id, props as analysis, ts as created_at
 from {events} where event_type in ('purchase', 'signup')
 """,
     "dom_contract_actions": r"""
@@ -59,23 +64,24 @@ select event_id as id,
   case event_id % 3 when 0 then o_custkey when 1 then o_custkey - o_custkey % 10 + 1 + event_id % 9 else user_id end as user_id,
   concat('c', cast(o_orderkey as string)) as contract_id,
   case event_id % 4 when 0 then 'read' when 1 then 'insert' when 2 then 'update' else 'delete' end as action
-from {events} join {orders} on o_orderkey = event_id % 1500
+from {events} join {orders} on o_orderkey = event_id + cast(floor(event_id / 2) as bigint)
 """,
     "dom_answer_key": r"""
 select concat('c', cast(o_orderkey as string)) as contract_id, concat('field', cast(o_orderkey % 12 as string)) as field,
-  o_orderstatus as expected from {orders} where o_orderkey % 3 = 0
+  o_orderstatus as expected from {orders}
 """,
     "dom_obligations_raw": r"""
 select l_orderkey * 10 + l_linenumber as id, concat('c', cast(l_orderkey as string)) as contract_id, l_linenumber as obligation_ix,
   case when l_linenumber % 2 = 0 then 'us' else 'supplier' end as party,
   case when l_suppkey % 3 = 0 then null else l_suppkey end as assignee_id,
+  case when l_returnflag = 'A' then l_suppkey else null end as completed_by,
   case when l_partkey % 9 = 0 then null else cast(l_shipdate as date) end as due_date,
   case when l_returnflag = 'A' then 'done' when l_returnflag = 'R' then 'waived' else 'open' end as status
 from {lineitem}
 """,
     "dom_jobs": r"""
-select event_id as id, user_id as account_id,
-  case when event_id % 40 = 7 then concat('x', cast(event_id as string)) else concat('c', cast(event_id % 1500 as string)) end as contract_id,
+select event_id as id, user_id as account_id, case when event_id % 9 = 0 then null else user_id end as requested_by,
+  case when event_id % 40 = 7 then concat('x', cast(event_id as string)) else concat('c', cast(cast(floor(event_id / 6) as bigint) as string)) end as contract_id,
   case event_type when 'view' then 'ingest' when 'click' then 'ocr' when 'purchase' then 'analysis' when 'signup' then 'reanalysis' else 'export' end as kind,
   case event_id % 8 when 0 then 'queued' when 1 then 'queued' when 2 then 'running' when 3 then 'running' when 4 then 'dead' else 'succeeded' end as status,
   cast(case user_id % 4 when 3 then 10 when 2 then 30 when 1 then 50 else 100 end as int) as priority,
@@ -90,10 +96,10 @@ from {events}
     "dom_enqueue_requests": r"""
 select event_id as id, user_id, user_id - user_id % 10 as account_id, event_type as kind,
   case when event_id % 6 = 0 then null else concat(event_type, '-', cast(event_id % 30 as string)) end as idempotency_key, ts as requested_at
-from {events} where event_id % 2 = 0
+from {events}
 """,
     "dom_job_events": r"""
-select event_id as seq, event_id % 500 as job_id, ts,
+select event_id as seq, cast(floor(event_id / 20) as bigint) as job_id, ts,
   case event_type when 'view' then 'progress' when 'click' then 'claim' when 'purchase' then 'complete' when 'signup' then 'requeue' else 'fail' end as action,
   cast(case when event_id % 19 = 0 then null else event_id % 130 - 10 end as int) as progress,
   case when event_id % 3 = 0 then null else concat('note ', cast(event_id % 7 as string)) end as note
@@ -107,13 +113,17 @@ select event_id as id,
 from {events} where event_type = 'error'
 """,
     "dom_policy_packs": r"""
-select p_partkey as id, case when p_partkey % 3 = 0 then null else p_partkey % 50 end as account_id, p_brand as pack_key,
+select p_partkey as id, case when p_partkey % 3 = 0 then null else p_partkey % 50 end as account_id, p_brand as pack_key, case when p_partkey % 6 = 0 then null else p_partkey % 100 end as updated_by,
   cast(p_partkey as string) as version,
-  case p_size % 4 when 0 then 'GB' when 1 then 'EU' when 2 then 'US' else 'ANY' end as jurisdiction,
+  case p_size % 5 when 0 then 'GB' when 1 then 'EU' when 2 then 'US' when 3 then 'CH' else 'ANY' end as jurisdiction,
   concat('["', p_name, '","', p_type, '"]') as rules, (p_partkey % 11 <> 0) as active,
   cast(date '1995-01-01' + cast(p_partkey % 2000 as int) as timestamp) as effective_from,
   case when p_partkey % 5 = 0 then null else cast(date '1995-01-01' + cast(p_partkey % 2000 + 200 + p_size * 10 as int) as timestamp) end as effective_to
 from {part}
+""",
+    "dom_policy_snapshots": r"""
+select event_id as analysis_id, cast(floor(event_id / 5) as bigint) as pack_id
+from {events} where event_type in ('purchase', 'signup')
 """,
     "dom_telemetry": r"""
 select event_id as id, user_id as account_id, event_type as op,
@@ -127,7 +137,7 @@ select event_id as id, user_id as account_id, event_type as op,
 from {events}
 """,
     "dom_documents": r"""
-select doc_id as id, case when doc_id % 40 = 7 then null else concat('c', cast(doc_id % 1500 as string)) end as contract_id,
+select doc_id as id, case when doc_id % 40 = 7 then null else concat('c', cast(doc_id - doc_id % 3 as string)) end as contract_id,
   concat('Document ', cast(doc_id as string), ' ', lang) as name, source as doc_type, n_chars as size_bytes, text as extracted_text,
   (doc_id % 5 = 0) as is_transcript, case when doc_id % 15 = 0 then null else doc_id % 60 end as consent_id,
   (n_chars < 200) as scanned, (doc_id % 7 = 0) as ocr_applied, cast(1 + doc_id % 12 as int) as page_count,
@@ -135,7 +145,7 @@ select doc_id as id, case when doc_id % 40 = 7 then null else concat('c', cast(d
 from {documents}
 """,
     "dom_consents": r"""
-select c_custkey as id, c_custkey % 50 as account_id, c_name as accepted_name,
+select c_custkey as id, c_custkey % 50 as account_id, c_name as accepted_name, case when c_custkey % 7 = 0 then null else c_custkey end as accepted_by,
   case when c_custkey % 2 = 0 then '2026.1' else '2025.2' end as version,
   timestamp '2023-12-20 00:00:00' + interval '1' hour * cast(c_custkey % 900 as int) as accepted_at
 from {customer} where c_custkey % 60 <> 10
@@ -155,7 +165,7 @@ select c_custkey as id, concat('user', cast(c_custkey as string), '@', lower(c_m
 from {customer}
 """,
     "dom_invitations": r"""
-select c_custkey as id, c_custkey % 100 as account_id,
+select c_custkey as id, c_custkey % 100 as account_id, case when c_custkey % 5 = 0 then null else c_custkey % 70 end as invited_by,
   lower(concat('user', cast(c_custkey as string), '@', c_mktsegment, '.example')) as email,
   case c_custkey % 3 when 0 then 'admin' when 1 then 'member' else 'viewer' end as role, concat('tok', cast(c_custkey as string)) as token,
   timestamp '2024-01-01 00:00:00' + interval '1' day * cast(c_custkey % 40 as int) as expires_at,
@@ -163,13 +173,13 @@ select c_custkey as id, c_custkey % 100 as account_id,
 from {customer}
 """,
     "dom_accept_attempts": r"""
-select event_id as id, case when event_id % 25 = 0 then null else user_id end as user_id, concat('tok', cast(event_id % 1700 as string)) as token,
-  case when event_id % 3 = 0 then concat('USER', cast(event_id % 1700 as string), '@x.example')
-       else concat('User', cast(event_id % 1700 as string), '@', coalesce(c_mktsegment, 'none'), '.Example') end as email, ts
-from {events} left join {customer} on c_custkey = event_id % 1700
+select event_id as id, case when event_id % 25 = 0 then null else user_id end as user_id, concat('tok', cast(cast(floor(event_id / 6) as bigint) as string)) as token,
+  case when event_id % 3 = 0 then concat('USER', cast(cast(floor(event_id / 6) as bigint) as string), '@x.example')
+       else concat('User', cast(cast(floor(event_id / 6) as bigint) as string), '@', coalesce(c_mktsegment, 'none'), '.Example') end as email, ts
+from {events} left join {customer} on c_custkey = cast(floor(event_id / 6) as bigint)
 """,
     "dom_signups": r"""
-select c_custkey as id, case when c_custkey % 20 = 0 then '' else c_name end as full_name,
+select c_custkey as id, case when c_custkey % 20 = 0 then '' else c_name end as first_name, case when c_custkey % 11 = 0 then ' ' else 'Doe' end as last_name,
   case when c_custkey % 9 = 0 then 'bad address' else concat('u', cast(c_custkey as string), '@', lower(c_mktsegment), '.co') end as email,
   case when c_custkey % 13 = 0 then '' else c_mktsegment end as company,
   case c_custkey % 5 when 0 then 'sandbox' when 1 then 'growth' when 2 then 'scale' when 3 then 'enterprise' else 'bogus' end as plan,

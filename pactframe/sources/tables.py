@@ -17,19 +17,6 @@ def read_table(spark: SparkSession, path: str, table: str) -> DataFrame:
     return spark.read.schema(DOMAIN_SCHEMAS[table]).parquet(path)
 
 
-def spread_scan(scan: DataFrame) -> DataFrame:
-    """A plain table scan, spread over the cores when the files are too few for them.
-
-    For work that costs far more than the shuffle of its input, such as taking
-    long texts apart.  A large table has more splits than cores and is left as
-    it is read.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    if scan.rdd.getNumPartitions() >= 2 * cores:
-        return scan
-    return scan.repartition(2 * cores)
-
-
 def append_table(df: DataFrame, path: str, time_column: str = "created_at") -> None:
     """Append rows partitioned by day, so that time-bounded reads skip files.
 
