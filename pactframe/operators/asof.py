@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from pactframe.sources.tables import stored
+
 
 def running_sum(changes: DataFrame, on: list[str], at: str, sums: list[str], bucket: str = "month") -> DataFrame:
     """Cumulative sums per key at every distinct instant, that instant included."""
@@ -26,7 +28,8 @@ def asof_lookup(asks: DataFrame, events: DataFrame, on: list[str], at: str, even
     """For each distinct (key, instant) asked, the newest event of the key that is not later.
 
     Gives ``on``, ``at`` and the ``pick`` columns, NULL where there is no such
-    event.  Of events at the same instant the greatest by ``pick`` wins.
+    event.  Of events at the same instant the greatest by ``pick`` wins.  The
+    common time line is used twice and is written to the shared folder first.
     """
     marks = (
         events.filter(F.col(event_at).isNotNull())
@@ -42,6 +45,7 @@ def asof_lookup(asks: DataFrame, events: DataFrame, on: list[str], at: str, even
         .withColumn("_ask", F.lit(1))
     )
     line = marks.unionByName(asked).withColumn("_bucket", F.date_trunc(bucket, "_at"))
+    line = stored(line, "time-line")
     inside = W.partitionBy(*on, "_bucket").orderBy("_at", "_ask").rowsBetween(W.unboundedPreceding, 0)
     seen = line.withColumn("_found", F.last("_event", ignorenulls=True).over(inside))
     ends = seen.groupBy(*on, "_bucket").agg(F.max_by("_found", F.struct("_at", "_ask")).alias("_end"))

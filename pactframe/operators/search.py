@@ -200,7 +200,9 @@ def _fragment(pieces: Column, hits: Column, first: Column, floor: Column, low: i
     last = F.coalesce(F.array_max(F.filter(hits, lambda h: (h >= first) & (h < first + high))), first)
     pad = F.floor(F.greatest(F.lit(low) - (last - first + 1), F.lit(0)) / 2).cast("int")
     start = F.greatest(floor, first - pad)
-    return F.struct(start.alias("start"), F.least(F.size(pieces), F.greatest(last, start + low - 1)).alias("end"))
+    end = F.least(F.size(pieces), F.greatest(last, start + low - 1))
+    # at the end of the text the stretch grows to the front
+    return F.struct(F.greatest(floor, F.least(start, end - low + 1)).alias("start"), end.alias("end"))
 
 
 def _rendered(pieces: Column, hits: Column, part: Column) -> Column:

@@ -219,14 +219,22 @@ def queue_wait(t):
     return jobs.queue_wait(t("dom_jobs")).select("id", "account_id", "queue_wait_ms")
 
 
+# Payloads of the test jobs: prompts of every JSON type, message arrays, and neither.
+PAYLOAD = """case event_id % 9 when 0 then '{"prompt":"Summarise ' || event_type || '"}' when 1 then '{"prompt":""}' when 2 then '{"messages":[{"role":"user","content":"hi"}]}'
+      when 3 then '{"messages":"none"}' when 4 then '{"prompt":null,"messages":[]}' when 5 then '{"prompt":"0"}' when 6 then '{"prompt":false}' when 7 then 'not json'
+      else '{"prompt":' || cast(event_id % 2 as string) || '}' end"""
+
+
 @register(
     "payload_checks",
-    """select event_id as id, case when coalesce(cast(json_extract(props, '$.k') as integer), 0) = 0
-      then 'Job payload has no prompt' end as invalid_reason from events""",
+    f"""select event_id as id, case when not coalesce((json_type(p, '$.prompt') = 'VARCHAR' and json_extract_string(p, '$.prompt') <> '')
+        or (json_type(p, '$.prompt') in ('UBIGINT', 'BIGINT') and try_cast(json_extract_string(p, '$.prompt') as bigint) <> 0)
+        or coalesce(json_type(p, '$.messages') = 'ARRAY', false), false) then 'Job payload has no prompt' end as invalid_reason
+    from (select event_id, case when json_valid(payload) then payload end as p from (select event_id, {PAYLOAD} as payload from events) y) x""",
 )
 def payload_checks(t):
-    rows = t.base("events").select(F.col("event_id").alias("id"), F.col("props").alias("payload"))
-    return jobs.payload_checks(rows, prompt="$.k").select("id", "invalid_reason")
+    rows = t.base("events").select(F.col("event_id").alias("id"), F.expr(PAYLOAD).alias("payload"))
+    return jobs.payload_checks(rows).select("id", "invalid_reason")
 
 
 @register(

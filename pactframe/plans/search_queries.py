@@ -94,10 +94,11 @@ def rendered(part: str, start: str, end: str) -> str:
 
 def stretch(n: int, first: str, floor: str) -> str:
     """SQL for first, last, start and end of stretch n."""
-    return f"""f{n} as (select *, {first} as first{n} from {"placed_hits" if n == 1 else "e1"}),
+    return f"""f{n} as (select *, {first} as first{n} from {"placed_hits" if n == 1 else "g1"}),
   l{n} as (select *, coalesce(list_max(list_filter(hits, lambda h: h >= first{n} and h < first{n} + 26)), first{n}) as last{n} from f{n}),
   s{n} as (select *, greatest({floor}, first{n} - greatest(8 - (last{n} - first{n} + 1), 0) // 2) as start{n} from l{n}),
-  e{n} as (select *, least(len(ps), greatest(last{n}, start{n} + 7)) as end{n} from s{n})"""
+  e{n} as (select *, least(len(ps), greatest(last{n}, start{n} + 7)) as end{n} from s{n}),
+  g{n} as (select * exclude (start{n}), greatest({floor}, least(start{n}, end{n} - 7)) as start{n} from e{n})"""
 
 
 @register(
@@ -108,7 +109,7 @@ def stretch(n: int, first: str, floor: str) -> str:
     from found t join dom_documents d on d.id = t.doc_id left join hit_lists h on h.id = t.doc_id),
   {stretch(1, "coalesce(hits[1], 1)", "1")},
   {stretch(2, "list_min(list_filter(hits, lambda h: h > end1))", "end1 + 1")},
-  parts as (select *, {rendered("part1", "start1", "end1")}, {rendered("part2", "start2", "end2")} from e2)
+  parts as (select *, {rendered("part1", "start1", "end1")}, {rendered("part2", "start2", "end2")} from g2)
   select contract_id, doc_id, name, account_id, score, case when len(ps) = 0 then ''
     else part1 || case when first2 is null then '' else ' ... ' || part2 end end as snippet from parts""",
 )

@@ -1,6 +1,8 @@
 """The English stemmer written a second time, as SQL over a vocabulary.
 
-It checks the search queries without sharing any code with the library.
+It checks the steps of the algorithm; the tables of endings and exceptions are
+the library's own, so a wrong entry there would pass both.  Those are checked
+against written-out stems in the tests.
 """
 
 from pactframe.functions.stemmer import IRREGULAR, SETTLED, STEP_2, STEP_3, STEP_4

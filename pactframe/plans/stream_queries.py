@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from pactframe.functions.spread import newest_per_key
 from pactframe.plans import jobs_queries  # noqa: F401  registers the batch twins
 from pactframe.plans.ops_queries import HEALTH
 from pactframe.plans.registry import oracle_of, register
@@ -29,13 +28,20 @@ def stream_ops_health(t):
 
 @register(
     "stream_enqueue",
-    """select account_id, idempotency_key, 1::bigint as kept from dom_enqueue_requests where idempotency_key is not null group by 1, 2
+    """with asked as (select r.*, exists (select 1 from dom_members m where m.user_id = r.user_id and m.account_id = r.account_id
+        and m.role in ('owner', 'admin', 'member')) as editor from dom_enqueue_requests r)
+    select account_id, idempotency_key, 1::bigint as kept from asked r where editor and idempotency_key is not null
+      and not exists (select 1 from dom_jobs j where j.account_id = r.account_id and j.idempotency_key = r.idempotency_key
+        and j.status in ('queued', 'running', 'succeeded')) group by 1, 2
     union all
-    select account_id, null, count(*) from dom_enqueue_requests where idempotency_key is null group by 1""",
+    select account_id, null, count(*) from asked where editor and idempotency_key is null group by 1""",
 )
 def stream_enqueue(t):
-    requests = bound_stream(t.spark, t.folder, "dom_enqueue_requests", "events")
-    kept = drain(streams.stream_enqueue(requests), "stream-enqueue")
+    requests = bound_stream(t.spark, t.folder, "dom_enqueue_requests", "events", in_parts=True)
+    folder = new_folder(t.spark, "stream-enqueue")
+    live = t("dom_jobs").select("account_id", "idempotency_key", "status")
+    drain_batches(requests, "stream-enqueue", streams.EnqueueBatches(folder, live, t("dom_accounts"), t("dom_members")))
+    kept = t.spark.read.parquet(f"{folder}/out").filter("outcome = 'queued'")
     return kept.groupBy("account_id", "idempotency_key").agg(F.count(F.lit(1)).alias("kept"))
 
 
@@ -65,24 +71,34 @@ def stream_ops_24h(t):
 @register("stream_failure_streaks", oracle_of("failure_streaks"))
 def stream_failure_streaks(t):
     passing = ~F.col("fatal") & F.col("error_class").isin("429", "500")
-    calls = telemetry(t).select("worker", "created_at", "id", "ok", passing.alias("retryable"))
+    calls = bound_stream(t.spark, t.folder, "dom_telemetry", "events", in_parts=True)
+    calls = calls.select("worker", "created_at", "id", "ok", passing.alias("retryable"))
     folder = new_folder(t.spark, "stream-failure-streaks")
-    drain_batches(calls, "stream-failure-streaks", streams.StreakBatches(folder))
+    step = streams.StreakBatches(folder, lateness="3 days")
+    drain_batches(calls, "stream-failure-streaks", step)
+    step.finish(t.spark)
     return t.spark.read.parquet(f"{folder}/out").drop("batch")
 
 
 @register("stream_job_state", oracle_of("job_state_fold"))
 def stream_job_state(t):
-    states = drain(streams.stream_job_state(bound_stream(t.spark, t.folder, "dom_job_events", "events")), "stream-job-state")
-    return newest_per_key(states, ["job_id"], ["events"]).drop("at")
+    events = bound_stream(t.spark, t.folder, "dom_job_events", "events", in_parts=True)
+    step = streams.JobStateBatches(new_folder(t.spark, "stream-job-state"))
+    drain_batches(events, "stream-job-state", step)
+    return step.states(t.spark)
 
 
 @register(
     "stream_stale_jobs",
     f"""select id, heartbeat_at as last_heartbeat, heartbeat_at + interval 5 minute as stale_at from dom_jobs
-    where status = 'running' and heartbeat_at + interval 5 minute <=
-      (select date_trunc('milliseconds', max(heartbeat_at)) - interval 10 minute from dom_jobs where status = 'running')""",
+    where status = 'running' and id % 3 <> 0 and heartbeat_at + interval 5 minute <=
+      (select date_trunc('milliseconds', max(heartbeat_at + case when id % 3 = 0 then interval 1 minute else interval 0 minute end)) - interval 10 minute
+       from dom_jobs where status = 'running')""",
 )
 def stream_stale_jobs(t):
     beats = bound_stream(t.spark, t.folder, "dom_jobs", "events").filter("status = 'running' and heartbeat_at is not null")
-    return drain(streams.stream_stale_jobs(beats), "stream-stale-jobs")
+    # every third of these jobs ends a minute after its heartbeat
+    end = F.struct((F.col("heartbeat_at") + F.expr("interval 1 minute")).alias("at"), F.lit("succeeded").alias("status"))
+    beat = F.struct(F.col("heartbeat_at").alias("at"), F.lit("running").alias("status"))
+    changes = beats.select("id", F.explode(F.when(F.col("id") % 3 == 0, F.array(beat, end)).otherwise(F.array(beat))).alias("c"))
+    return drain(streams.stream_stale_jobs(changes.select("id", "c.*")), "stream-stale-jobs")

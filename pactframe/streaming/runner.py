@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pactframe.session import STATE_STORE, new_folder
 from pactframe.sources.bindings import BINDINGS
@@ -21,9 +21,21 @@ def base_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
     )
 
 
-def bound_stream(spark: SparkSession, folder: str, binding: str, base: str) -> DataFrame:
+def events_in_parts(spark: SparkSession, folder: str, parts: int = 4) -> DataFrame:
+    """The events as a stream of several files, one per micro-batch; some come a file late."""
+    out = new_folder(spark, "events-in-parts")
+    events = spark.read.schema(BASE_SCHEMAS["events"]).parquet(f"{folder}/events.parquet")
+    newest = events.agg(F.max("event_id").alias("n")).first().n
+    place = F.least(F.floor((F.col("event_id") + F.col("event_id") % 5 * 20) * parts / F.lit(newest + 1)), F.lit(parts - 1))
+    for part in range(parts):
+        events.filter(place == part).coalesce(1).write.mode("append").parquet(out)
+    return spark.readStream.schema(BASE_SCHEMAS["events"]).option("maxFilesPerTrigger", 1).parquet(out)
+
+
+def bound_stream(spark: SparkSession, folder: str, binding: str, base: str, in_parts: bool = False) -> DataFrame:
     """A domain table that derives from one base table, as a stream."""
-    return spark.sql(BINDINGS[binding], **{base: base_stream(spark, folder, base)})
+    stream = events_in_parts(spark, folder) if in_parts and base == "events" else base_stream(spark, folder, base)
+    return spark.sql(BINDINGS[binding], **{base: stream})
 
 
 def drain(stream: DataFrame, name: str) -> DataFrame:

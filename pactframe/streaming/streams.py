@@ -7,15 +7,10 @@ in the output.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from typing import Any
-
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pactframe.functions.columns import percent
-from pactframe.operators.jobs import failure_streaks
+from pactframe.operators.jobs import clamp_progress, enqueue_decisions, failure_streaks
 from pactframe.operators.ops import health_columns
 
 LATENESS = "10 minutes"
@@ -31,23 +26,6 @@ def stream_ops_health(telemetry: DataFrame, lateness: str = LATENESS) -> DataFra
     )
 
 
-def stream_enqueue(requests: DataFrame, lateness: str = LATENESS) -> DataFrame:
-    """Requests without repeats of (account, key); a request without a key is never a repeat.
-
-    A key is remembered until the watermark passes it, unlike the batch form,
-    which looks at all live jobs.
-    """
-    identity = F.coalesce(
-        F.concat(F.lit("key:"), F.col("idempotency_key")), F.concat(F.lit("id:"), F.col("id").cast("string"))
-    )
-    return (
-        requests.withColumn("_identity", identity)
-        .withWatermark("requested_at", lateness)
-        .dropDuplicatesWithinWatermark(["account_id", "_identity"])
-        .drop("_identity")
-    )
-
-
 def stream_call_budget(calls: DataFrame, cap: int = 60, lateness: str = LATENESS) -> DataFrame:
     """Calls per account and clock hour against the cap, each hour once it is closed."""
     return (
@@ -93,161 +71,176 @@ def stream_ops_24h(telemetry: DataFrame, lateness: str = LATENESS) -> DataFrame:
     )
 
 
+class EnqueueBatches:
+    """Requests against the live jobs and the keys accepted so far, for foreachBatch.
+
+    Each batch is decided by the batch operator, with every key that an earlier
+    batch accepted counting as a live job, however long ago that was.  Which
+    keys are accepted does not depend on where batches are cut; of repeats that
+    arrive in different batches the first to arrive wins.  Decisions and keys
+    are tables with a part per batch, and a repeated batch replaces its own.
+    """
+
+    def __init__(self, folder: str, live: DataFrame, accounts: DataFrame, members: DataFrame):
+        self.folder, self.live, self.accounts, self.members = folder, live, accounts, members
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        known = self.live.select("account_id", "idempotency_key", "status")
+        earlier = _versions(batch.sparkSession, f"{self.folder}/out", batch_id)
+        if earlier is not None:
+            accepted = earlier.filter((F.col("outcome") == "queued") & F.col("idempotency_key").isNotNull())
+            known = known.unionByName(accepted.select("account_id", "idempotency_key", F.lit("queued").alias("status")))
+        decided = enqueue_decisions(batch, known, self.accounts, self.members)
+        decided.write.mode("overwrite").parquet(f"{self.folder}/out/batch={batch_id}")
+
+
+def _versions(spark: SparkSession, folder: str, before: int) -> DataFrame | None:
+    """The parts of the batches before one, or None for the first."""
+    return spark.read.parquet(folder).filter(F.col("batch") < before) if before > 0 else None
+
+
 class StreakBatches:
     """Failure streaks over micro-batches, for foreachBatch.
 
-    Each batch runs the batch operator, so a busy worker is still cut into many
-    tasks.  One row per worker, its open streak, is carried in a small table
-    with a version per batch; a repeated batch overwrites its own version, which
-    makes the output exact after a restart.  Batches must arrive in time order.
+    Calls wait until the newest call is ``lateness`` ahead of them, so within
+    that bound they may come in any order and in any batches.  Those that are
+    due are then handled by the batch operator, so a busy worker is still cut
+    into many tasks, and one row per worker, its open streak, is carried on.
+    Calls later than the bound are kept apart in ``late``.  What waits, what is
+    carried and what is put out has a part per batch; a repeated batch replaces
+    its own.  ``finish`` handles what still waits when the stream is over.
     """
 
-    def __init__(self, folder: str, threshold: int = 4):
-        self.folder = folder
-        self.threshold = threshold
+    CALLS = ["worker", "created_at", "id", "ok", "retryable"]
+
+    def __init__(self, folder: str, threshold: int = 4, hold: str = "60 seconds", lateness: str = LATENESS):
+        self.folder, self.threshold, self.hold, self.lateness = folder, threshold, hold, lateness
+        self.last = -1
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        batch = batch.select("worker", "created_at", "id", "ok", "retryable").persist()
-        streaks = failure_streaks(batch, self.threshold)
-        # rows before the first success of the batch continue the carried streak
-        first_success = batch.filter("ok").groupBy("worker").agg(F.min(F.struct("created_at", "id")).alias("_success"))
+        self._step(batch.select(*self.CALLS), batch_id, False)
+
+    def finish(self, spark: SparkSession) -> None:
+        empty = spark.read.parquet(f"{self.folder}/waiting/{self.last}").limit(0)
+        self._step(empty, self.last + 1, True)
+
+    def _step(self, batch: DataFrame, batch_id: int, everything: bool) -> None:
+        spark, folder, self.last = batch.sparkSession, self.folder, batch_id
         if batch_id > 0:
-            carried = spark.read.parquet(f"{self.folder}/state/{batch_id - 1}")
+            waiting = spark.read.parquet(f"{folder}/waiting/{batch_id - 1}")
+            carried = spark.read.parquet(f"{folder}/state/{batch_id - 1}")
+            passed = spark.read.parquet(f"{folder}/mark/{batch_id - 1}").first().mark
         else:
-            carried = spark.createDataFrame([], "worker string, open bigint")
-        rows = streaks.join(first_success, "worker", "left").join(carried, "worker", "left")
-        before = F.col("_success").isNull() | (F.struct("created_at", "id") < F.col("_success"))
-        streak = F.col("streak") + F.when(before, F.coalesce("open", F.lit(0))).otherwise(0)
+            waiting, passed = batch.limit(0), None
+            carried = spark.createDataFrame([], f"worker {batch.schema['worker'].dataType.simpleString()}, open bigint")
+        if passed is not None:
+            batch.filter(F.col("created_at") < F.lit(passed)).write.mode("overwrite").parquet(f"{folder}/late/batch={batch_id}")
+            batch = batch.filter((F.col("created_at") >= F.lit(passed)) | F.col("created_at").isNull())
+        rows = waiting.unionByName(batch)
+        rows.write.mode("overwrite").parquet(f"{folder}/rows/{batch_id}")
+        rows = spark.read.parquet(f"{folder}/rows/{batch_id}")
+        newest = rows.agg(F.max(F.col("created_at") - F.expr(f"interval {self.lateness}")).alias("mark")).first().mark
+        mark = max((m for m in (newest, passed) if m is not None), default=None)
+        spark.createDataFrame([(mark,)], "mark timestamp").coalesce(1).write.mode("overwrite").parquet(f"{folder}/mark/{batch_id}")
+        is_due = F.lit(True) if everything else F.coalesce(F.col("created_at") < F.lit(mark), F.lit(False))
+        rows.filter(~is_due).write.mode("overwrite").parquet(f"{folder}/waiting/{batch_id}")
+        due = rows.filter(is_due)
+
+        streaks = failure_streaks(due, self.threshold, self.hold)
+        # rows before the first success continue the carried streak
+        wins = due.filter("ok").groupBy("worker").agg(
+            F.min(F.struct("created_at", "id")).alias("_first"), F.max(F.struct("created_at", "id")).alias("_last"))
+        before = wins.join(carried, "worker", "full").select("worker", "_first", F.coalesce("open", F.lit(0)).alias("open"))
+        # a worker has few seconds per batch next to its rows, so rows are spread by second and not joined on the worker alone
+        second = F.date_trunc("second", "created_at")
+        seconds = streaks.select("worker", second.alias("_second")).distinct().join(before, "worker", "left")
+        continued = F.col("_first").isNull() | (F.struct("created_at", "id") < F.col("_first"))
+        streak = F.col("streak") + F.when(continued, F.coalesce("open", F.lit(0))).otherwise(0)
+        out = streaks.withColumn("_second", second).join(seconds, ["worker", "_second"]).withColumn("streak", streak)
         opened = F.col("streak") >= self.threshold
-        out = rows.withColumn("streak", streak).select(
+        out.select(
             "worker", "created_at", "id", "streak", opened.alias("opened"),
-            F.when(opened, F.col("created_at") + F.expr("interval 60 seconds")).alias("open_until"),
-        )
-        out.write.mode("overwrite").parquet(f"{self.folder}/out/batch={batch_id}")
-
-        last_success = batch.filter("ok").groupBy("worker").agg(F.max(F.struct("created_at", "id")).alias("_success"))
-        last = out.groupBy("worker").agg(F.max_by("streak", F.struct("created_at", "id")).alias("_streak"), F.max(F.struct("created_at", "id")).alias("_at"))
-        workers = batch.select("worker").union(carried.select("worker")).distinct()
-        state = (
-            workers.join(carried, "worker", "left").join(last_success, "worker", "left").join(last, "worker", "left")
-            .select(
-                "worker",
-                F.when(F.col("_at").isNotNull() & (F.col("_success").isNull() | (F.col("_at") > F.col("_success"))), F.col("_streak"))
-                .when(F.col("_success").isNotNull(), 0)
-                .otherwise(F.coalesce("open", F.lit(0)))
-                .cast("long").alias("open"),
-            )
+            F.when(opened, F.col("created_at") + F.expr(f"interval {self.hold}")).alias("open_until"),
+        ).write.mode("overwrite").parquet(f"{folder}/out/batch={batch_id}")
+
+        done = spark.read.parquet(f"{folder}/out/batch={batch_id}")
+        last = done.groupBy("worker").agg(F.max_by("streak", F.struct("created_at", "id")).alias("_streak"), F.max(F.struct("created_at", "id")).alias("_at"))
+        state = carried.join(wins, "worker", "full").join(last, "worker", "full").select(
+            "worker",
+            F.when(F.col("_at").isNotNull() & (F.col("_last").isNull() | (F.col("_at") > F.col("_last"))), F.col("_streak"))
+            .when(F.col("_last").isNotNull(), 0).otherwise(F.coalesce("open", F.lit(0))).cast("long").alias("open"),
         )
-        state.write.mode("overwrite").parquet(f"{self.folder}/state/{batch_id}")
-        batch.unpersist()
+        state.write.mode("overwrite").parquet(f"{folder}/state/{batch_id}")
 
 
-class JobState(StatefulProcessor):
-    """Folds lifecycle events into one state per job.
+class JobStateBatches:
+    """Lifecycle events folded into one state per job, for foreachBatch.
 
-    Every rule compares (time, sequence), so events may come in any order and
-    the state stays small: the newest of each kind, and the claims since the
-    last requeue.
+    Every rule compares (time, sequence) and keeps a maximum, so events may come
+    in any order and in any batches.  A batch is aggregated first, which map
+    tasks reduce, and merged with the stored state of the batch before.  Claims
+    are kept only as long as no later requeue of their job is known.
     """
 
-    OUTPUT = "status string, attempts bigint, progress int, note string, events bigint, at bigint"
-    # times are microseconds, which no time zone setting can shift
-    STATE = (
-        "last_action string, last_at bigint, last_seq bigint, progress int, progress_at bigint, progress_seq bigint, "
-        "note string, note_at bigint, note_seq bigint, requeue_at bigint, requeue_seq bigint, "
-        "claims array<struct<at:bigint,seq:bigint>>, events bigint, at bigint"
-    )
+    def __init__(self, folder: str, max_attempts: int = 5):
+        self.folder, self.max_attempts = folder, max_attempts
+        self.last = -1
 
-    def __init__(self, max_attempts: int = 5):
-        self.max_attempts = max_attempts
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("job", self.STATE)
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        last, progress, note, requeue, claims, events, at = (None, None, None, None, [], 0, None)
-        if self.state.exists():
-            s = self.state.get()
-            last = _kept(s[1], s[2], s[0])
-            progress, note = _kept(s[4], s[5], s[3]), _kept(s[7], s[8], s[6])
-            requeue = _kept(s[9], s[10], "requeue")
-            claims, events, at = [(c[0], c[1]) for c in s[11]], s[12], s[13]
-        for chunk in rows:
-            for seq, ts, action, value, text in zip(
-                chunk["seq"], chunk["at"], chunk["action"], chunk["progress"], chunk["note"]
-            ):
-                seq, ts = int(seq), int(ts)
-                events += 1
-                at = ts if at is None else max(at, ts)
-                if action != "progress":
-                    last = _newer(last, ts, seq, action)
-                if action == "claim":
-                    claims.append((ts, seq))
-                if action == "requeue":
-                    requeue = _newer(requeue, ts, seq, "requeue")
-                if action in ("progress", "complete", "requeue"):
-                    done = {"complete": 100, "requeue": 0}.get(action)
-                    given = 100 if pd.isna(value) else max(0, min(100, int(value)))
-                    progress = _newer(progress, ts, seq, given if done is None else done)
-                if not pd.isna(text):
-                    note = _newer(note, ts, seq, text)
-            if requeue is not None:
-                claims = [c for c in claims if c > requeue[:2]]
-        self.state.update((
-            *_stored(last), *_stored(progress), *_stored(note), *(requeue[:2] if requeue else (None, None)), claims, events, at,
-        ))
-        status = "queued"
-        if last is not None and last[2] in ("claim", "complete"):
-            status = "running" if last[2] == "claim" else "succeeded"
-        elif last is not None and last[2] == "fail" and len(claims) >= self.max_attempts:
-            status = "dead"
-        yield pd.DataFrame({
-            "job_id": [key[0]], "status": [status], "attempts": [len(claims)],
-            "progress": pd.array([progress[2] if progress else 0], dtype="Int32"), "note": [note[2] if note else None],
-            "events": [events], "at": [at],
-        })
-
-    def close(self) -> None:
-        pass
-
-
-def _kept(ts, seq, value):
-    return None if ts is None else (ts, seq, value)
-
-
-def _newer(old, ts, seq, value):
-    return (ts, seq, value) if old is None or (ts, seq) > old[:2] else old
-
-
-def _stored(entry):
-    return (None, None, None) if entry is None else (entry[2], entry[0], entry[1])
-
-
-def stream_job_state(events: DataFrame, max_attempts: int = 5) -> DataFrame:
-    """A row per job and micro-batch with the job's state so far; the newest row is current."""
-    id_type = events.schema["job_id"].dataType.simpleString()
-    return (
-        events.select("job_id", "seq", F.unix_micros("ts").alias("at"), "action", "progress", "note")
-        .groupBy("job_id")
-        .transformWithStateInPandas(
-            statefulProcessor=JobState(max_attempts), outputStructType=f"job_id {id_type}, {JobState.OUTPUT}", outputMode="Append", timeMode="None"
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        spark, self.last = batch.sparkSession, batch_id
+        at, action = F.struct("ts", "seq"), F.col("action")
+        progress = F.when(action == "progress", clamp_progress(F.col("progress"))).when(action == "complete", 100).when(action == "requeue", 0)
+
+        def newest(value, given):
+            return F.max(F.when(given, F.struct("ts", "seq", value.alias("value"))))
+
+        state = batch.groupBy("job_id").agg(
+            newest(action, action != "progress").alias("last"),
+            newest(progress, progress.isNotNull()).alias("progress"),
+            newest(F.col("note"), F.col("note").isNotNull()).alias("note"),
+            F.max(F.when(action == "requeue", at)).alias("requeued"),
+            F.count(F.lit(1)).alias("events"),
         )
-        .withColumn("at", F.timestamp_micros("at"))
-    )
+        claims = batch.filter(action == "claim").select("job_id", "ts", "seq")
+        if batch_id > 0:
+            merged = state.unionByName(spark.read.parquet(f"{self.folder}/state/{batch_id - 1}"))
+            state = merged.groupBy("job_id").agg(
+                *[F.max(c).alias(c) for c in ("last", "progress", "note", "requeued")], F.sum("events").alias("events"))
+            claims = claims.unionByName(spark.read.parquet(f"{self.folder}/claims/{batch_id - 1}"))
+        state.write.mode("overwrite").parquet(f"{self.folder}/state/{batch_id}")
+        requeued = spark.read.parquet(f"{self.folder}/state/{batch_id}").select("job_id", "requeued").filter("requeued is not null")
+        open_claims = claims.join(requeued, "job_id", "left").filter(F.col("requeued").isNull() | (at > F.col("requeued")))
+        open_claims.select("job_id", "ts", "seq").write.mode("overwrite").parquet(f"{self.folder}/claims/{batch_id}")
+
+    def states(self, spark: SparkSession) -> DataFrame:
+        """The current state of every job, as the batch operator gives it."""
+        state = spark.read.parquet(f"{self.folder}/state/{self.last}")
+        tries = spark.read.parquet(f"{self.folder}/claims/{self.last}").groupBy("job_id").agg(F.count(F.lit(1)).alias("attempts"))
+        attempts = F.coalesce("attempts", F.lit(0))
+        last = F.col("last.value")
+        status = (
+            F.when(last == "claim", "running").when(last == "complete", "succeeded")
+            .when((last == "fail") & (attempts >= self.max_attempts), "dead").otherwise("queued")
+        )
+        return state.join(tries, "job_id", "left").select(
+            "job_id", status.alias("status"), attempts.alias("attempts"), F.coalesce("progress.value", F.lit(0)).alias("progress"),
+            F.col("note.value").alias("note"), "events")
 
 
-def stream_stale_jobs(heartbeats: DataFrame, stale_after: str = "5 minutes", lateness: str = LATENESS) -> DataFrame:
-    """One alert whenever a job goes without a heartbeat for too long; ``heartbeats`` has (id, heartbeat_at).
+def stream_stale_jobs(changes: DataFrame, stale_after: str = "5 minutes", lateness: str = LATENESS) -> DataFrame:
+    """One alert whenever a running job goes without a sign of life for too long.
 
-    Heartbeats closer together than the limit form one session; the session
-    closes, and the alert is raised, when the watermark has passed the limit
-    after its last heartbeat.
+    ``changes`` has (id, at, status): heartbeats with the status running, and
+    the moment a job ends with any other.  Signs closer together than the limit
+    form one session; it closes when the watermark has passed the limit after
+    its last sign, and raises an alert unless that one ended the job.
     """
+    ended = F.col("status") != "running"
     return (
-        heartbeats.select("id", "heartbeat_at")
-        .withWatermark("heartbeat_at", lateness)
-        .groupBy("id", F.session_window("heartbeat_at", stale_after).alias("w"))
-        .agg(F.max("heartbeat_at").alias("last_heartbeat"))
-        .select("id", "last_heartbeat", F.col("w.end").alias("stale_at"))
+        changes.select("id", "at", ended.alias("ended"))
+        .withWatermark("at", lateness)
+        .groupBy("id", F.session_window("at", stale_after).alias("w"))
+        .agg(F.max(F.struct("at", "ended")).alias("last"))
+        .filter(~F.col("last.ended"))
+        .select("id", F.col("last.at").alias("last_heartbeat"), F.col("w.end").alias("stale_at"))
     )

@@ -29,13 +29,13 @@ def test_invitations(frame):
 
 def test_signups(frame):
     data = frame(
-        [(1, " ", "bad", "", "x", False), (2, "A B", "bad address", "C", "growth", False), (3, "A B", "a@b.co", "C", None, False),
-         (4, "A B", " a@b.co ", "C", "enterprise", True), (5, "A B", "a@b", "C", "sandbox", True)],
-        "id int, full_name string, email string, company string, plan string, terms boolean")
+        [(1, " ", "B", "bad", "", "x", False), (2, "A", "B", "bad address", "C", "growth", False), (3, "A", "B", "a@b.co", "C", None, False),
+         (4, "A", "B", " a@b.co ", "C", "enterprise", True), (5, "A", "B", "a@b", "C", "sandbox", True), (6, "A", None, "a@b.co", "C", "growth", True)],
+        "id int, first_name string, last_name string, email string, company string, plan string, terms boolean")
     reasons = [r.reject_reason and r.reject_reason[:16] for r in accounts.signup_checks(data).orderBy("id").collect()]
-    assert reasons == ["Please complete ", "Please enter a v", "Please accept th", None, "Please enter a v"]
+    assert reasons == ["Please complete ", "Please enter a v", "Please accept th", None, "Please enter a v", "Please complete "]
     routed = rows(accounts.signup_routing(data).select("effective_plan", "route", "asks_vat"), "id")
-    assert routed == [("growth", "payment", True)] * 3 + [("enterprise", "sales", True), ("sandbox", "workspace", False)]
+    assert routed == [("growth", "payment", True)] * 3 + [("enterprise", "sales", True), ("sandbox", "workspace", False), ("growth", "payment", True)]
 
 
 def test_provisioning(frame):
@@ -80,10 +80,16 @@ def test_reply_text_and_results(frame, spark):
 
 
 def test_points_from_analysis(frame):
-    good = ('{"extractions":[{"field":"f","value":"v","confidence":80}],"risks":[{"field":"r","confidence":101},{"value":"no field"}],'
+    good = ('{"extractions":[{"field":"f","value":"v","confidence":80}],"risks":[{"field":"r","confidence":101},{"value":"no field"},{"field":"h","confidence":"high"},{"field":"n"}],'
             '"clauses":[{"field":"c","value":"x","confidence":0,"reasoning":"why","source":"p1"}]}')
     data = frame([(1, good), (2, '{"clauses":"none"}'), (3, "not json"), (4, None)], "id int, analysis string")
     expected = [(1, "clause", "c", "x", 0, "why", "p1"), (1, "extraction", "f", "v", 80, None, None)]
-    assert rows(replies.analysis_to_data_points(data), "id", "kind") == expected
+    def valid(df):
+        return rows(replies.analysis_to_data_points(df).filter("quarantine is null").drop("quarantine"), "id", "kind")
+
+    assert valid(data) == expected
+    bad = replies.analysis_to_data_points(data).filter("quarantine is not null").select("field", "quarantine", "confidence")
+    assert sorted(rows(bad), key=str) == [("h", "confidence", None), ("n", "confidence", None), ("r", "confidence", None), (None, "no field", None)]
     variants = data.withColumn("analysis", F.try_parse_json("analysis"))
-    assert rows(replies.analysis_to_data_points(variants), "id", "kind") == expected
+    assert valid(variants) == expected
+    assert replies.analysis_to_data_points(variants).filter("quarantine is not null").count() == 4

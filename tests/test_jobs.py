@@ -57,7 +57,8 @@ def test_error_classes(frame):
          (None, "bad", None), (None, "econnreset", None), (500, "", True)], "status int, message string, fatal boolean")
     assert [r.retryable for r in jobs.classify_errors(errors).collect()] == [True, True, False, True, True, False, True, False]
     texts = frame([(400, " no prompt "), (None, "x" * 600), (None, "\n y \t")], "status int, message string")
-    assert rows(jobs.error_text(texts).select("error", "error_class")) == [("400  no prompt", "400"), ("x" * 500, "error"), ("y", "error")]
+    assert rows(jobs.error_text(texts).select("error", "error_class")) == [("400  no prompt", "400"), ("x" * 600, "error"), ("y", "error")]
+    assert rows(jobs.error_text(texts, max_chars=500).select("error")) == [("400  no prompt",), ("x" * 500,), ("y",)]
 
 
 def naive_streaks(calls, threshold=4):

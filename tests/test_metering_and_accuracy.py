@@ -27,7 +27,7 @@ def test_period_roll_banks_up_to_the_cap(spark, frame):
     owned = frame([("a", "scale", 5000, 0, None), ("b", "scale", 100, 20, None), ("c", "growth", 500, 0, None)], ACCOUNTS)
     rolled = metering.roll_billing_period(
         owned, frame([], LEDGER), accounts.plan_catalog(spark), F.lit("2024-02-01").cast("timestamp"))
-    assert dict(rows(rolled.select("account_id", "credits_banked"))) == {"a": 1800, "b": 120, "c": 0}
+    assert dict(rows(rolled.select("account_id", "credits_banked"))) == {"a": 1800, "b": 120, "c": 300}
 
 
 def test_call_budget_and_cost(frame):
@@ -55,10 +55,12 @@ def test_tiers_and_accuracy(frame):
 def test_audit_replay(frame):
     points = frame([(1, "pending"), (2, "accepted"), (3, "rejected")], "id long, status string")
     audit = frame(
-        [(1, 1, "u", "accepted", "2024-01-01"), (2, 1, "u", "reopened", "2024-01-02"), (3, 2, "u", "corrected", "2024-01-02"),
-         (4, 2, "v", "rejected", "2024-01-02")], "id long, data_point_id long, user_id string, action string, created_at timestamp")
-    found = rows(accuracy.verification_state(points, audit).select("data_point_id", "status", "verified_by"), "data_point_id")
-    assert found == [(1, "pending", None), (2, "rejected", "v"), (3, "rejected", None)]
+        [(1, 1, "u", "corrected", "old", "2024-01-01"), (2, 1, "w", "reopened", None, "2024-01-02"), (3, 2, "u", "accepted", None, "2024-01-02"),
+         (4, 2, "v", "corrected", "new", "2024-01-02")],
+        "id long, data_point_id long, user_id string, action string, value_after string, created_at timestamp")
+    state = accuracy.verification_state(points, audit).select("data_point_id", "status", "verified_by", "corrected_value", "reopened_by")
+    assert rows(state, "data_point_id") == [
+        (1, "pending", None, None, "w"), (2, "corrected", "v", "new", None), (3, "rejected", None, None, None)]
 
 
 def test_title_case(frame):

@@ -10,8 +10,8 @@ from pactframe.operators import jobs, ops
 from pactframe.sources.tables import Tables
 
 FOLDER = "/root/testdata/sf0.001"
-# These write something while they are built, so their plan is only a read.
-EAGER = {k for k in all_queries() if k.startswith("stream_")} | {"search_batch"}
+# Streams write something while they are built, so their plan is only a read.
+EAGER = {k for k in all_queries() if k.startswith("stream_")}
 
 
 def plan_of(df) -> str:
@@ -39,3 +39,25 @@ def test_top_jobs_do_not_sort_everything(spark):
 def test_rank_limits_before_the_shuffle(spark):
     plan = plan_of(all_queries()["claimable_per_account"](spark, FOLDER))
     assert plan.count("WindowGroupLimit") == 2
+
+
+# Shuffles in the plan before it runs, with what was stored on the way left out.
+@pytest.mark.parametrize("key, most", [("analysis_policy_snapshot", 15), ("consent_asof", 12), ("fk_orphans", 4), ("erase_accounts", 40)])
+def test_few_shuffles(spark, key, most):
+    plan = plan_of(all_queries()[key](spark, FOLDER))
+    assert len(re.findall(r"^[ :+|*()0-9-]*Exchange ", plan, re.M)) <= most, plan
+
+
+def test_points_are_read_without_a_window(spark):
+    plan = plan_of(all_queries()["tiered_points"](spark, FOLDER))
+    assert "Window" not in plan and "Exchange" not in plan
+
+
+def test_search_reads_postings_and_no_text(spark):
+    plan = plan_of(all_queries()["search_match"](spark, FOLDER))
+    assert re.search(r"PushedFilters: \[[^]]*In\(term", plan) and "extracted_text" not in plan and "Python" not in plan
+
+
+def test_newest_rows_are_limited_before_the_shuffle(spark):
+    plan = plan_of(all_queries()["latest_analysis"](spark, FOLDER))
+    assert "SortAggregate" not in plan and plan.count("WindowGroupLimit") == 2

@@ -38,10 +38,10 @@ def edits(a, b):
 def test_near_misses_match_every_pair(frame):
     pick = random.Random(11)
     names = {"acme"} | {"acme" + "".join(pick.choice("abc") for _ in range(pick.randrange(7))) for _ in range(80)}
-    names |= {"ac", "a", "acmx", "north works", "north work", "north wrk", "south works"}
+    names |= {"ac", "a", "acmx", "north works", "north work", "north wrk", "south works", "kone", "cone"}
     expected = {}
     for a, b in itertools.permutations(names, 2):
-        if a[:4] == b[:4] and edits(a, b) <= 2:
+        if edits(a, b) <= 2:
             low, high = expected.get(a, (None, None))
             if b < a:
                 low = b if low is None else min(low, b)
@@ -55,9 +55,11 @@ def test_near_misses_match_every_pair(frame):
 def test_clauses(frame):
     points = frame([("c1", "clause", "x"), ("c1", "clause", "x"), ("c2", "clause", "y"), ("c3", "risk", "x"), ("c4", "clause", "other")],
                    "contract_id string, kind string, field string")
-    assert rows(portfolio.clause_matrix(points, ["x", "y"]), "contract_id") == [("c1", 1, 0), ("c2", 0, 1)]
-    assert rows(portfolio.clause_gaps(points, ["x", "y"]), "axis", "name") == [
-        ("clause", "x", 1), ("clause", "y", 1), ("contract", "c1", 1), ("contract", "c2", 1)]
+    contracts = frame([("c1",), ("c2",), ("c3",), ("c4",), ("c5",)], "id string")
+    assert rows(portfolio.clause_matrix(contracts, points, ["x", "y"]), "contract_id") == [
+        ("c1", 1, 0, 0), ("c2", 0, 1, 0), ("c3", 0, 0, 0), ("c4", 0, 0, 1), ("c5", 0, 0, 0)]
+    assert rows(portfolio.clause_gaps(contracts, points, ["x", "y"]), "axis", "name") == [
+        ("clause", "x", 4), ("clause", "y", 4), ("contract", "c1", 1), ("contract", "c2", 1), ("contract", "c3", 2), ("contract", "c4", 2), ("contract", "c5", 2)]
 
 
 def test_commitments(frame):

@@ -1,11 +1,11 @@
 """Streams in several micro-batches against their batch twins."""
 
+import random
 from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 
-from pactframe.functions.spread import newest_per_key
 from pactframe.operators import jobs
 from pactframe.session import new_folder, shared_dir
 from pactframe.sources.tables import append_table
@@ -28,14 +28,35 @@ def in_files(spark):
     return make
 
 
-def test_streaks_over_batches(spark, frame, in_files):
+def run_streaks(spark, stream, lateness="10 minutes"):
+    step = streams.StreakBatches(new_folder(spark, "streaks"), lateness=lateness)
+    drain_batches(stream, "streaks", step)
+    step.finish(spark)
+    return step.folder
+
+
+@pytest.mark.parametrize("shuffled", [False, True])
+def test_streaks_over_batches(spark, frame, in_files, shuffled):
     calls = sorted(busy_calls(240), key=lambda c: (c[1], c[2]))
-    stream = in_files([frame(calls[i : i + 60], CALLS) for i in range(0, 240, 60)])
-    folder = new_folder(spark, "streaks")
-    drain_batches(stream, "streaks", streams.StreakBatches(folder))
-    out = spark.read.parquet(f"{folder}/out")
-    assert out.select("batch").distinct().count() == 4
-    assert {r.id: (r.streak, r.opened) for r in out.collect()} == naive_streaks(calls)
+    arriving = random.Random(4).sample(calls, len(calls)) if shuffled else calls
+    folder = run_streaks(spark, in_files([frame(arriving[i : i + 60], CALLS) for i in range(0, 240, 60)]), "1000 days")
+    assert {r.id: (r.streak, r.opened) for r in spark.read.parquet(f"{folder}/out").collect()} == naive_streaks(calls)
+
+
+def test_a_late_success_breaks_the_streak(spark, frame, in_files):
+    def call(n, second, ok):
+        return ("w", f"2024-01-01 00:00:{second:02d}", n, ok, not ok)
+
+    first = [call(n, n, False) for n in (0, 1, 3, 4)]
+    folder = run_streaks(spark, in_files([frame(first, CALLS), frame([call(2, 2, True)], CALLS)]))
+    assert {r.id: r.streak for r in spark.read.parquet(f"{folder}/out").collect()} == {0: 1, 1: 2, 3: 1, 4: 2}
+
+
+def test_calls_beyond_the_bound_are_kept_apart(spark, frame, in_files):
+    parts = [[("w", "2024-01-01 10:00:00", 1, False, True)], [("w", "2024-01-01 08:00:00", 2, True, False), ("w", "2024-01-01 10:01:00", 3, False, True)]]
+    folder = run_streaks(spark, in_files([frame(p, CALLS) for p in parts]))
+    assert {r.id: r.streak for r in spark.read.parquet(f"{folder}/out").collect()} == {1: 1, 3: 2}
+    assert [r.id for r in spark.read.parquet(f"{folder}/late").collect()] == [2]
 
 
 def test_job_state_over_batches(spark, in_files):
@@ -46,28 +67,37 @@ def test_job_state_over_batches(spark, in_files):
         F.when(F.col("id") % 5 > 0, (F.col("id") % 150).cast("int")).alias("progress"),
         F.when(F.col("id") % 3 == 0, F.concat(F.lit("n"), F.col("id").cast("string"))).alias("note"))
     # events of one job arrive out of order and in different batches
-    stream = in_files([events.filter(f"seq % 3 = {i}") for i in range(3)])
-    states = newest_per_key(drain(streams.stream_job_state(stream), "jobs"), ["job_id"], ["events"]).drop("at")
-    twin = jobs.job_state_fold(events)
+    step = streams.JobStateBatches(new_folder(spark, "jobs"))
+    drain_batches(in_files([events.filter(f"seq % 3 = {i}") for i in range(3)]), "jobs", step)
+    states, twin = step.states(spark), jobs.job_state_fold(events)
     assert rows(states.select(*twin.columns), "job_id") == rows(twin, "job_id")
+    # claims before a known requeue are gone from the state
+    assert spark.read.parquet(f"{step.folder}/claims/{step.last}").count() < events.filter("action = 'claim'").count()
 
 
-def test_heartbeats(frame, in_files):
-    ddl = "id long, heartbeat_at timestamp"
-    first = [(1, "2024-01-01 00:00:00"), (1, "2024-01-01 00:04:00"), (2, "2024-01-01 00:00:00")]
-    later = [(1, "2024-01-01 00:08:00"), (3, "2024-01-01 01:00:00")]
+def test_alerts_only_for_jobs_that_did_not_end(frame, in_files):
+    ddl = "id long, at timestamp, status string"
+    first = [(1, "2024-01-01 00:00:00", "running"), (1, "2024-01-01 00:04:00", "running"), (2, "2024-01-01 00:00:00", "running"), (4, "2024-01-01 00:00:00", "running")]
+    later = [(1, "2024-01-01 00:08:00", "running"), (3, "2024-01-01 01:00:00", "running"), (4, "2024-01-01 00:03:00", "succeeded")]
     stream = in_files([frame(first, ddl), frame(later, ddl)])
     found = rows(drain(streams.stream_stale_jobs(stream), "beats").select("id", F.date_format("last_heartbeat", "HH:mm")), "id")
     # the newest heartbeat of all is not old enough yet
     assert found == [(1, "00:08"), (2, "00:00")]
 
 
-def test_repeats_across_batches(frame, in_files):
-    ddl = "id long, account_id string, idempotency_key string, requested_at timestamp"
-    stream = in_files([
-        frame([(1, "a", "k", "2024-01-01 00:00:00"), (2, "a", None, "2024-01-01 00:00:00")], ddl),
-        frame([(3, "a", "k", "2024-01-01 00:01:00"), (4, "a", None, "2024-01-01 00:01:00"), (5, "b", "k", "2024-01-01 00:01:00")], ddl)])
-    assert rows(drain(streams.stream_enqueue(stream), "enqueue").select("id"), "id") == [(1,), (2,), (4,), (5,)]
+@pytest.mark.parametrize("cut", [1, 2, 4])
+def test_repeats_after_hours_in_any_batching(spark, frame, in_files, cut):
+    ddl = "id long, user_id string, account_id string, kind string, idempotency_key string, requested_at timestamp"
+    keys = [("a", "k", 0), ("a", None, 1), ("b", "k", 2), ("a", "k", 3), ("a", None, 4), ("a", "live", 5), ("b", "x", 6), ("b", "k", 9)]
+    asked = [(n, "u", account, "ocr", key, f"2024-01-01 {hour:02d}:00:00") for n, (account, key, hour) in enumerate(keys)]
+    live = frame([("a", "live", "running"), ("b", "x", "dead")], "account_id string, idempotency_key string, status string")
+    accounts = frame([("a", "scale"), ("b", "growth")], "account_id string, plan string")
+    members = frame([("u", "a", "owner"), ("u", "b", "member")], "user_id string, account_id string, role string")
+    folder = new_folder(spark, "enqueue")
+    stream = in_files([frame(asked[i : i + cut], ddl) for i in range(0, len(asked), cut)])
+    drain_batches(stream, "enqueue", streams.EnqueueBatches(folder, live, accounts, members))
+    queued = spark.read.parquet(f"{folder}/out").filter("outcome = 'queued'")
+    assert sorted(r.id for r in queued.collect()) == [0, 1, 2, 4, 6]
 
 
 def test_append_by_day(spark, frame):
