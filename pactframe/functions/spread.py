@@ -23,12 +23,6 @@ def salted_join(
     return facts.withColumn(_SALT, salt).join(copies, [*on, _SALT], how)
 
 
-def salted_sum(rows: DataFrame, keys: list[str], sums: list[str]) -> DataFrame:
-    """Sum by (keys, salt), which needs no new shuffle, then by keys."""
-    partial = rows.groupBy(*keys, _SALT).agg(*[F.sum(c).alias(c) for c in sums])
-    return partial.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in sums])
-
-
 def newest_per_key(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """One whole row per key, the greatest by the order columns.
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from pactframe.functions.columns import instant, retry_at, seconds_between, whole_seconds_between
-from pactframe.functions.spread import newest_per_key, salted_join, salted_sum
+from pactframe.functions.spread import newest_per_key
 from pactframe.operators.ops import last_24_hours
 from pactframe.operators.tenancy import ADMIN_ROLES, EDITOR_ROLES, by_account, in_scope
 
@@ -378,12 +378,15 @@ def job_state_fold(events: DataFrame, max_attempts: int = 5) -> DataFrame:
         F.count_if(action == "claim").alias("_claims"),
         F.count(F.lit(1)).alias("events"),
     )
-    # only a requeued job needs its claims looked at one by one
+    # claims are counted per hour first; only those in the hour of the last requeue are looked at one by one
+    hour = F.date_trunc("hour", "ts")
     requeued = events.filter(action == "requeue").groupBy("job_id").agg(F.max(at).alias("_requeued"))
-    claims = salted_join(
-        events.filter(action == "claim").select("job_id", "ts", "seq"), requeued, ["job_id"], [F.col("seq")]
-    ).filter(at > F.col("_requeued"))
-    since = salted_sum(claims.withColumn("_since", F.lit(1)), ["job_id"], ["_since"])
+    requeued = requeued.withColumn("_hour", F.date_trunc("hour", "_requeued.ts"))
+    claimed = events.filter(action == "claim").select("job_id", "ts", "seq", hour.alias("_hour"))
+    hourly = claimed.groupBy("job_id", "_hour").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("_hour", "_at")
+    later = hourly.join(requeued, "job_id").filter(F.col("_at") > F.col("_hour")).select("job_id", "n")
+    same = claimed.join(requeued, ["job_id", "_hour"]).filter(at > F.col("_requeued")).select("job_id", F.lit(1).alias("n"))
+    since = later.unionByName(same).groupBy("job_id").agg(F.sum("n").alias("_since"))
     tries = F.when(F.col("_requeued").isNull(), F.col("_claims")).otherwise(F.coalesce("_since", F.lit(0)))
     status = (
         F.when(F.col("_last") == "claim", "running")

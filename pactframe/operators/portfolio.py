@@ -202,10 +202,10 @@ COMMITMENT = r"(?i)\b(i|we)\s+(will|shall|promise|agree|commit|guarantee)\b"
 def verbal_commitments(
     turns: DataFrame, contract_texts: DataFrame, cue: str = COMMITMENT, shared_terms: int = 3, scope: DataFrame | None = None
 ) -> DataFrame:
-    """Sentences that promise something the contract's own text does not reflect.
+    """Sentences that promise something neither the contract nor its obligations reflect.
 
     ``turns`` has (conv_id, turn, contract_id, text); ``contract_texts`` has
-    (contract_id, text).  A sentence counts as reflected when at least
+    (contract_id, text), the texts of documents and of obligations alike.  A sentence counts as reflected when at least
     ``shared_terms`` of its content words occur in the contract's texts.
     """
     said = in_scope(turns, scope).select(

@@ -11,7 +11,7 @@ AT = "1998-06-30 12:00:00"
 
 @register(
     "obligations_due",
-    f"""select t.id, t.contract_id, t.obligation_ix, t.party, t.assignee_id, t.due_date, t.status, c.ref, c.supplier,
+    f"""select t.id, t.contract_id, t.obligation_ix, t.party, t.assignee_id, t.due_date, t.status, t.obligation, t.completed_by, c.ref, c.supplier,
       t.due_date < date '{OBLIGATIONS_AS_OF}' as overdue, t.assignee_id is null as unassigned
     from dom_obligations_raw t join dom_contracts c on c.id = t.contract_id where t.status = 'open'""",
 )

@@ -115,7 +115,8 @@ def words(text: str) -> str:
     said as (select conv_id, turn, contract_id, cast(i as integer) as sentence_ix, s as sentence, {words("s")} as ws
       from (select conv_id, turn, contract_id, unnest(ps) as s, unnest(range(0, len(ps))) as i from pieces) x
       where regexp_matches(s, '(?i)\\b(i|we)\\s+(will|shall|promise|agree|commit|guarantee)\\b')),
-    written as (select distinct contract_id, unnest({words("extracted_text")}) as term from dom_documents where contract_id is not null),
+    texts as (select contract_id, extracted_text as body from dom_documents union all select contract_id, obligation from dom_obligations_raw),
+    written as (select distinct contract_id, unnest({words("body")}) as term from texts where contract_id is not null),
     found as (select s.conv_id, s.turn, s.sentence_ix, count(w.term) as found from (select *, unnest(ws) as term from said) s
       join written w on w.contract_id = s.contract_id and w.term = s.term group by 1, 2, 3)
     select s.conv_id, s.turn, s.contract_id, s.sentence_ix, trim(s.sentence) as sentence, cast(len(s.ws) as integer) as terms, coalesce(f.found, 0) as found
@@ -127,7 +128,8 @@ def verbal_commitments(t):
         F.col("turn") % 3 == 1, F.concat("text", F.lit(" I promise this. And shall we?"))).otherwise(F.col("text"))
     contract = F.concat(F.lit("c"), (F.col("conv_id") - F.col("conv_id") % 3).cast("string"))
     turns = t.base("conversations").select("conv_id", "turn", spoken.alias("text"), contract.alias("contract_id"))
-    texts = t("dom_documents").select("contract_id", F.col("extracted_text").alias("text"))
+    texts = t("dom_documents").select("contract_id", F.col("extracted_text").alias("text")).unionByName(
+        t("dom_obligations_raw").select("contract_id", F.col("obligation").alias("text")))
     return portfolio.verbal_commitments(turns, texts)
 
 

@@ -16,6 +16,7 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8) -> SparkSession
     """Session for tests and the benchmark; a cluster brings its own."""
     return (
         SparkSession.builder.master(f"local[{cores}]")
+        .config("spark.checkpoint.dir", _local_root())
         .appName("pactframe")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
@@ -43,8 +44,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 @functools.cache
+def _local_folder() -> tempfile.TemporaryDirectory:
+    return tempfile.TemporaryDirectory(prefix="pactframe-", ignore_cleanup_errors=True)
+
+
 def _local_root() -> str:
-    return tempfile.mkdtemp(prefix="pactframe-")
+    """One folder per process, gone when the process ends."""
+    return _local_folder().name
 
 
 def new_folder(spark: SparkSession, purpose: str) -> str:

@@ -72,6 +72,7 @@ select concat('c', cast(o_orderkey as string)) as contract_id, concat('field', c
 """,
     "dom_obligations_raw": r"""
 select l_orderkey * 10 + l_linenumber as id, concat('c', cast(l_orderkey as string)) as contract_id, l_linenumber as obligation_ix,
+  concat('The party will promise this, item ', cast(l_partkey as string)) as obligation,
   case when l_linenumber % 2 = 0 then 'us' else 'supplier' end as party,
   case when l_suppkey % 3 = 0 then null else l_suppkey end as assignee_id,
   case when l_returnflag = 'A' then l_suppkey else null end as completed_by,

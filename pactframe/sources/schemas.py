@@ -12,7 +12,9 @@ DOMAIN_SCHEMAS = {
     name: _schema(ddl)
     for name, ddl in {
         "accounts": """id string not null, name string not null, plan string, credits_included int,
-            credits_used int, credits_banked int, period_started_at timestamp, billing_country string""",
+            credits_used int, credits_banked int, period_started_at timestamp, billing_email string, billing_country string,
+            vat_number string, billing_status string, billing_customer_id string, billing_subscription_id string,
+            last_failed_invoice string, marketing_opt_in boolean, signup_source string, created_at timestamp""",
         "account_members": "user_id string not null, account_id string not null, role string",
         "credit_ledger": """id bigint not null, account_id string not null, user_id string, contract_id string,
             kind string not null, credits int not null, created_at timestamp""",
@@ -21,7 +23,7 @@ DOMAIN_SCHEMAS = {
             start_date date, end_date date, notice_period_days int, auto_renew boolean, users_count int,
             analysis variant""",
         "documents": """id string not null, account_id string not null, contract_id string,
-            name string not null, doc_type string, size_bytes bigint, extracted_text string, consent_id string,
+            name string not null, doc_type string, size_bytes bigint, extracted_text string, storage_path string, consent_id string,
             is_transcript boolean, ocr_applied boolean, ocr_chars int, scanned boolean, page_count int,
             created_at timestamp""",
         "contract_users": """id bigint not null, account_id string not null, contract_id string,
