@@ -86,7 +86,7 @@ def provision_accounts(t):
 
 @register(
     "live_invitations",
-    f"""select id, account_id, email, role, token, expires_at, accepted_at, lower(email) as email_key from dom_invitations
+    f"""select id, account_id, invited_by, email, role, token, expires_at, accepted_at, lower(email) as email_key from dom_invitations
     where accepted_at is null and expires_at > timestamp '{AS_OF}'""",
 )
 def live_invitations(t):

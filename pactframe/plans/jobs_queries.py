@@ -30,7 +30,7 @@ def recent_jobs(t):
 @register(
     "dead_letter_jobs",
     """select j.id, j.account_id, j.contract_id, j.kind, j.status, j.priority, j.attempts, j.max_attempts, j.run_after,
-      j.heartbeat_at, j.error, j.enqueued_at, j.started_at, j.idempotency_key, c.ref, c.supplier
+      j.requested_by, j.heartbeat_at, j.error, j.enqueued_at, j.started_at, j.idempotency_key, c.ref, c.supplier
     from dom_jobs j left join dom_contracts c on c.id = j.contract_id where j.status = 'dead'""",
 )
 def dead_letter_jobs(t):

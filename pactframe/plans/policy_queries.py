@@ -21,7 +21,7 @@ def obligations_due(t):
 
 @register(
     "policy_packs_at",
-    f"""select id, account_id, pack_key, jurisdiction, effective_from, effective_to from dom_policy_packs
+    f"""select id, account_id, pack_key, updated_by, jurisdiction, effective_from, effective_to from dom_policy_packs
     where active and effective_from <= timestamp '{AT}' and (effective_to is null or effective_to > timestamp '{AT}')
       and jurisdiction in ('GB', 'ANY')""",
 )
