@@ -16,7 +16,11 @@ from pactframe.sources.tables import stored
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rule and are not anomalous."""
-    return quality_forest.judge(docs, table(spark, sf_dir, "labels")).where("kept").select(*docs.columns)
+    # other names meanwhile, so that a document's own columns are never taken for the operator's
+    own = docs.toDF(*[f"in_{c}" for c in docs.columns])
+    labels = table(spark, sf_dir, "labels").withColumnRenamed("doc_id", "in_doc_id")
+    judged = quality_forest.judge(own, labels, key="in_doc_id", text="in_text")
+    return judged.where("kept").select(*[F.col(f"`in_{c}`").alias(c) for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -170,8 +170,9 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]", scope: i
 
     A null text stays null.  Other columns are unchanged.
     """
-    found = scan(docs, text, scope)
-    whole = F.col(f"`{text}`")
+    # other names meanwhile, so that an own column of the rows is never taken for the operator's
+    found = scan(docs.toDF(*[f"in_{c}" for c in docs.columns]), f"in_{text}", scope)
+    whole = F.col(f"`in_{text}`")
     start_of = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).cast("long").alias("at"))
 
     def add(done, span):
@@ -182,5 +183,5 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]", scope: i
     clean = F.aggregate(
         "secrets", start_of, add,
         lambda done: F.concat(F.array_join(done["out"], ""), F.substring(whole, (done["at"] + 1).cast("int"), F.length(whole))))
-    out = [F.when((F.size("secrets") > 0) & whole.isNotNull(), clean).otherwise(whole).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns]
+    out = [F.when((F.size("secrets") > 0) & whole.isNotNull(), clean).otherwise(whole).alias(c) if c == text else F.col(f"`in_{c}`").alias(c) for c in docs.columns]
     return found.select(*out)

@@ -1,6 +1,7 @@
 """The pipeline against a plain version of its stages, each judged on its own input, and edges."""
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from pactframe.llm import bpe_codec
@@ -56,5 +57,6 @@ def test_edges_in_every_stage(spark):
         assert out.count() <= len(rows), name
         if name != "byte_bpe":
             assert out.columns == docs.columns
-            assert out.where(docs.text == LONG).count() == (0 if name == "quality_rules" else 1)
+            assert out.where(F.col("text") == LONG).count() == (0 if name == "quality_rules" else 1)
+            assert {r.kept for r in out.collect()} <= {"own", None}
         assert stage(spark, docs.limit(0), FOLDER).count() == 0

@@ -87,8 +87,8 @@ def test_many_parts_in_one_text_and_many_copies(docs):
 
 
 def test_redaction(docs):
-    rows = sl.redact(docs([(1, f"é a token = abcdef0123 b {KEY}."), (2, None), (3, "nothing"), (4, "secret=" + "ab12" * 8)], "note"))
-    assert rows.columns == ["doc_id", "text", "note"]
+    rows = sl.redact(docs([(1, f"é a token = abcdef0123 b {KEY}."), (2, None), (3, "nothing"), (4, "secret=" + "ab12" * 8)], "secrets"))
+    assert rows.columns == ["doc_id", "text", "secrets"] and {r.secrets for r in rows.collect()} == {"own"}
     assert {r.doc_id: r.text for r in rows.collect()} == {1: "é a [SECRET] b [SECRET].", 2: None, 3: "nothing", 4: "[SECRET]"}
 
 
