@@ -38,8 +38,8 @@ def policy_packs_at(packs: DataFrame, at, jurisdiction: str | None = None, scope
 
 
 def pack_number(pack_id: Column) -> Column:
-    """48 bits of the hash of a pack id, whose sum tells two pack sets apart."""
-    return F.conv(F.substring(F.md5(pack_id.cast("string")), 1, 12), 16, 10).cast("long")
+    """36 bits of the hash of a pack id, whose sum tells two pack sets apart and fits a long for 100 million packs."""
+    return F.conv(F.substring(F.md5(pack_id.cast("string")), 1, 9), 16, 10).cast("long")
 
 
 def pack_timeline(packs: DataFrame) -> DataFrame:

@@ -46,7 +46,7 @@ def policy_rules(t):
     select g.contract_id, g.account_id, g.jurisdiction, g.graded_at,
       count(p.id) filter (where p.account_id is null) as global_packs,
       count(p.id) filter (where p.account_id is not null) as own_packs,
-      cast(coalesce(sum(('0x' || substr(md5(cast(p.id as varchar)), 1, 12))::bigint), 0) as bigint) as pack_set
+      cast(coalesce(sum(('0x' || substr(md5(cast(p.id as varchar)), 1, 9))::bigint), 0) as bigint) as pack_set
     from graded g left join dom_policy_packs p on p.jurisdiction in (g.jurisdiction, 'ANY')
       and (p.account_id is null or p.account_id = g.account_id)
       and p.active and p.effective_from <= g.graded_at and (p.effective_to is null or p.effective_to > g.graded_at)
