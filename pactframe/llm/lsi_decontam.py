@@ -28,7 +28,7 @@ from pactframe.sources.tables import stored
 RANK = 128
 EXTRA = 16  # random directions beyond the rank
 POWER = 1  # further passes of the sketch
-FIT_DOCUMENTS = 2048  # documents whose passages the latent space is fitted on
+FIT_DOCUMENTS = None  # documents whose passages the latent space is fitted on; all of them without a number
 PASSAGE = 48  # words of such a passage
 BLOCK_CHARS = 1_000_000  # characters of benchmark text worked off at a time
 LEAST_COSINE = 0.3
@@ -100,29 +100,34 @@ def make_block(rows: list) -> Block:
 # ------------------------------------------------- counts and latent space
 
 
-def count_terms(docs: DataFrame, block: Block, fit_documents: int) -> DataFrame:
-    """Rows (term, n, passage): document counts of the vocabulary by task, and passages of the fitting sample.
+def count_terms(docs: DataFrame, block: Block, fit_documents: int | None) -> DataFrame:
+    """Rows (term, n, passage): document counts of the vocabulary by task, and the passages of all documents.
 
-    The sample is chosen by the hash of the text, so copies are in it together or not at all.
+    With ``fit_documents`` only about so many documents give passages, chosen by
+    the hash of the text, so copies are among them together or not at all.
     """
-    rate = min(1.0, fit_documents / max(docs.count(), 1))
-    rows = docs.select("raw", (F.xxhash64("raw") / F.lit(2.0**64) + 0.5 < rate).alias("fit"))
+    fit = F.lit(True)
+    if fit_documents is not None:
+        fit = F.xxhash64("raw") / F.lit(2.0**64) + 0.5 < min(1.0, fit_documents / max(docs.count(), 1))
+    rows = docs.select("raw", fit.alias("fit"))
     vocabulary = block.vocabulary
 
     def run(batches):
-        counts = np.zeros(len(vocabulary), np.int64)
+        counts, get = np.zeros(len(vocabulary), np.int64), vocabulary.get
         passages = []
         for batch in batches:
             for part in chunks(batch):
                 for text, fit in zip(part.column("raw").to_pylist(), part.column("fit").to_pylist()):
                     words = words_of(text)
-                    counts[[vocabulary[w] for w in vocabulary.keys() & set(words)] if len(words) > len(vocabulary)
-                           else [vocabulary[w] for w in set(words) if w in vocabulary]] += 1
+                    line = np.fromiter((get(w, -1) for w in words), "<i4", len(words))
+                    some = np.unique(line)
+                    counts[some[some >= 0]] += 1
                     if fit:
-                        for at in range(0, len(words), PASSAGE):
-                            ids = [vocabulary[w] for w in words[at : at + PASSAGE] if w in vocabulary]
-                            if ids:
-                                passages.append(np.array(ids, "<i4").tobytes())
+                        for at in range(0, len(line), PASSAGE):
+                            ids = line[at : at + PASSAGE]
+                            ids = ids[ids >= 0]
+                            if len(ids):
+                                passages.append(ids.tobytes())
                 if len(passages) > 10_000:
                     yield table_of([-1] * len(passages), [0] * len(passages), passages)
                     passages = []
@@ -137,6 +142,9 @@ def table_of(term, n, passage) -> pa.RecordBatch:
         [pa.array(term, pa.int32()), pa.array(n, pa.int64()), pa.array(passage, pa.binary())], names=["term", "n", "passage"])
 
 
+DENSE = 64  # a term in more than one of so many passages gets a column of a dense matrix
+
+
 def gram_times(passages: list[np.ndarray], weight: np.ndarray, matrix: np.ndarray) -> np.ndarray:
     """(transposed A) A matrix for the rows of A that the passages are, each a unit vector of term weights."""
     out = np.zeros_like(matrix)
@@ -150,12 +158,23 @@ def gram_times(passages: list[np.ndarray], weight: np.ndarray, matrix: np.ndarra
     value = times * weight[ids]
     norm = np.sqrt(np.bincount(row, value * value, len(passages)))
     value = (value / np.maximum(norm[row], 1e-12)).astype(matrix.dtype)
-    starts = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
-    projected = np.add.reduceat(matrix[ids] * value[:, None], starts, axis=0)
-    back = np.repeat(projected, np.diff(np.r_[starts, len(row)]), axis=0) * value[:, None]
-    order = np.argsort(ids, kind="stable")
-    firsts = np.flatnonzero(np.r_[True, np.diff(ids[order]) > 0])
-    out[ids[order][firsts]] = np.add.reduceat(back[order], firsts, axis=0)
+    # products with the frequent terms as a dense matrix, with the others term by term
+    often = np.flatnonzero(np.bincount(ids, minlength=len(weight)) * DENSE > len(passages))
+    place = np.full(len(weight), -1)
+    place[often] = np.arange(len(often))
+    column = place[ids]
+    dense = column >= 0
+    cells = np.zeros((len(passages), len(often)), matrix.dtype)
+    cells[row[dense], column[dense]] = value[dense]
+    projected = cells @ matrix[often]
+    row, ids, value = row[~dense], ids[~dense], value[~dense, None]
+    if len(ids):
+        starts = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+        projected[row[starts]] += np.add.reduceat(matrix[ids] * value, starts, axis=0)
+        order = np.argsort(ids, kind="stable")
+        firsts = np.flatnonzero(np.r_[True, np.diff(ids[order]) > 0])
+        out[ids[order][firsts]] = np.add.reduceat(projected[row[order]] * value[order], firsts, axis=0)
+    out[often] = cells.T @ projected
     return out
 
 
@@ -307,7 +326,7 @@ class Finder:
         return (share, answered) if answered >= LEAST_ANSWER else None
 
 
-def fitted(docs: DataFrame, items: DataFrame, item_key: str, item_text: str, text: str, rank: int, fit_documents: int, block_chars: int):
+def fitted(docs: DataFrame, items: DataFrame, item_key: str, item_text: str, text: str, rank: int, fit_documents: int | None, block_chars: int):
     """The parts of a Finder for each block of the benchmark: block, weights, latent space."""
     texts = docs.select(raw(text).alias("raw"))
     for rows in read_blocks(items, item_key, item_text, block_chars):
@@ -326,7 +345,7 @@ def fitted(docs: DataFrame, items: DataFrame, item_key: str, item_text: str, tex
 
 
 def find_items(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text",
-               rank: int = RANK, fit_documents: int = FIT_DOCUMENTS, block_chars: int = BLOCK_CHARS) -> DataFrame:
+               rank: int = RANK, fit_documents: int | None = FIT_DOCUMENTS, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(key, item_key, cosine, share, answer_share) of every benchmark item found in a document.
 
     ``share`` is the part of the item's term weight that a window holds in the
@@ -361,7 +380,7 @@ def part_type(kind: str) -> pa.DataType:
 
 
 def without_items(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text",
-                  rank: int = RANK, fit_documents: int = FIT_DOCUMENTS, block_chars: int = BLOCK_CHARS) -> DataFrame:
+                  rank: int = RANK, fit_documents: int | None = FIT_DOCUMENTS, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The documents in which no benchmark item is found, with their columns.  No shuffle of documents."""
     out = docs
     for parts in fitted(docs, items, item_key, item_text, text, rank, fit_documents, block_chars):

@@ -107,3 +107,23 @@ def test_empty_tables(spark, docs):
     assert ld.find_items(docs([]), bench(spark, [(1, ITEM)])).count() == 0
     assert ld.without_items(docs(EDGES), bench(spark, [])).count() == len(EDGES)
     assert ld.without_items(docs([]), bench(spark, [(1, ITEM)])).count() == 0
+
+
+def test_the_latent_space_is_fitted_on_all_documents(spark):
+    """More documents than the former sample of 2,048, each a passage of its own."""
+    words = ITEM.split()
+    rows = spark.createDataFrame([(f"{n} {words[n % 9]} {words[n % 11]}".encode(),) for n in range(5000)], "raw binary")
+    block = ld.make_block([(1, ITEM)])
+    assert ld.count_terms(rows, block, ld.FIT_DOCUMENTS).where("term < 0").count() == 5000
+    assert ld.count_terms(rows, block, 100).where("term < 0").count() < 1000
+
+
+def test_gram_times_equals_the_plain_product():
+    rng = np.random.default_rng(3)
+    weight, matrix = rng.random(300), rng.standard_normal((300, 7))
+    passages = [np.minimum(rng.geometric(0.02, rng.integers(1, 60)), 299) for _ in range(500)]
+    plain = np.zeros((500, 300))
+    for n, ids in enumerate(passages):
+        np.add.at(plain[n], ids, weight[ids])
+        plain[n] /= np.linalg.norm(plain[n])
+    assert np.allclose(ld.gram_times(passages, weight, matrix), plain.T @ (plain @ matrix))
