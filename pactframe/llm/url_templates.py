@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pactframe.llm.common import without
 from pactframe.sources.tables import stored
 
-DEPTH = 3
+DEPTH = 3  # levels that every tree has; deeper ones are added where paths go on
 SMOOTHING = 5.0
 LEAST_PURITY = 0.8
 SIMILAR_Z = 1.96
@@ -49,21 +49,30 @@ def matching_rule(rules, host: Column, path: Column) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def segment(path: Column, n: int) -> Column:
-    """The n-th segment with variable parts generalised; empty if there is none."""
-    part = F.coalesce(F.get(F.split(path, "/"), F.lit(n)), F.lit(""))
+def generalised(part: Column) -> Column:
+    """A segment with its variable parts replaced."""
     code = part.rlike("^[0-9a-fA-F-]{8,}$") & part.rlike("[0-9]")
     return F.when(code, F.lit("{x}")).otherwise(F.regexp_replace(part, "[0-9]+", "{n}"))
 
 
-def merge_similar(leaves: DataFrame, depth: int) -> DataFrame:
-    """Replace segment ``depth`` by a wildcard in the branches that are like their siblings.
+def segment(path: Column, n: int) -> Column:
+    """The n-th segment, generalised; empty if there is none."""
+    return generalised(F.coalesce(F.get(F.split(path, "/"), F.lit(n)), F.lit("")))
+
+
+def deeper_segments(path: Column) -> Column:
+    """The segments beyond DEPTH, generalised, with / between them; empty if there are none."""
+    parts = F.split(path, "/")
+    deeper = F.transform(F.slice(parts, F.lit(DEPTH + 2), F.size(parts)), generalised)
+    return F.coalesce(F.regexp_replace(F.concat_ws("/", deeper), "/+$", ""), F.lit(""))
+
+
+def merge_similar(leaves: DataFrame, above: list[str], name: str) -> DataFrame:
+    """Replace segment ``name`` by a wildcard in the branches below ``above`` that are like their siblings.
 
     A branch is compared with all its siblings together by a two-sample test of
     proportions; one without labelled pages, or without labelled siblings, is alike.
     """
-    above = ["host", *(f"s{d}" for d in range(1, depth))]
-    name = f"s{depth}"
     branch = leaves.groupBy(*above, name).agg(F.sum("labelled").alias("l"), F.sum("bad").alias("b"))
     parent = branch.groupBy(*above).agg(F.sum("l").alias("all_l"), F.sum("b").alias("all_b"))
     other_l, other_b = F.col("all_l") - F.col("l"), F.col("all_b") - F.col("b")
@@ -76,27 +85,53 @@ def merge_similar(leaves: DataFrame, depth: int) -> DataFrame:
     return marked.withColumn(name, F.when(F.col("own"), F.col(name)).otherwise(F.lit("*"))).drop("own")
 
 
+def further_levels(tree: DataFrame, deepest: int) -> DataFrame:
+    """The tree with ``deepest`` levels beyond DEPTH, each only below the templates that have a further segment.
+
+    So neither template nor purity depends on how deep other templates go.
+    """
+    done = []
+    for n in range(deepest):
+        parts = F.split("rest", "/")
+        tree = tree.withColumn("part", F.coalesce(F.get(parts, F.lit(n)), F.lit("")))
+        goes_on = (F.col("rest") != "") & (F.size(parts) > n)
+        tree = tree.join(tree.groupBy("host", "template").agg(F.max(goes_on).alias("open")), ["host", "template"])
+        done.append(tree.where(~F.col("open")).drop("part", "open"))
+        tree = merge_similar(tree.where("open").drop("open"), ["host", "template"], "part")
+        node = tree.groupBy("host", "template", "part").agg(F.sum("labelled").alias("l"), F.sum("bad").alias("b"))
+        purity = (F.col("b") + SMOOTHING * F.col("purity")) / (F.col("l") + SMOOTHING)
+        tree = tree.join(node, ["host", "template", "part"]).withColumn("purity", purity)
+        tree = stored(tree.withColumn("template", F.concat_ws("/", "template", "part")).drop("part", "l", "b"), "url-deeper")
+    return reduce(DataFrame.unionByName, done, tree)
+
+
 def template_tree(labelled: DataFrame) -> DataFrame:
-    """(host, s1.., t1.., purity): every template with its place in the merged tree and its smoothed purity.
+    """(host, s1.., rest, template, purity): every branch with its place in the merged tree and its smoothed purity.
 
-    ``labelled`` has host, s1.., labelled, bad; the counts may come in parts.
+    ``labelled`` has host, s1.., rest, labelled, bad; the counts may come in parts.
     """
     names = [f"s{d}" for d in range(1, DEPTH + 1)]
-    leaves = labelled.groupBy("host", *names).agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
+    leaves = labelled.groupBy("host", *names, "rest").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
     leaves = stored(leaves, "url-templates")
     tree = leaves.select("*", *[F.col(s).alias(f"raw_{s}") for s in names])
-    for depth in range(1, DEPTH + 1):
-        tree = merge_similar(tree, depth)
+    for depth, name in enumerate(names):
+        tree = merge_similar(tree, ["host", *names[:depth]], name)
     tree = stored(tree, "url-tree")
-    total = leaves.agg(((F.coalesce(F.sum("bad"), F.lit(0)) + 1) / (F.coalesce(F.sum("labelled"), F.lit(0)) + 2)).alias("p")).first().p
-    purity: Column = F.lit(total)
+    whole = leaves.agg(
+        ((F.coalesce(F.sum("bad"), F.lit(0)) + 1) / (F.coalesce(F.sum("labelled"), F.lit(0)) + 2)).alias("p"),
+        F.max(F.when(F.col("rest") != "", F.size(F.split("rest", "/"))).otherwise(0)).alias("deepest")).first()
+    purity: Column = F.lit(whole.p)
     scored = tree
     for depth in range(DEPTH + 1):
         keys = ["host", *names[:depth]]
         node = tree.groupBy(*keys).agg(F.sum("labelled").alias(f"l{depth}"), F.sum("bad").alias(f"b{depth}"))
         scored = scored.join(node, keys)
         purity = (F.col(f"b{depth}") + SMOOTHING * purity) / (F.col(f"l{depth}") + SMOOTHING)
-    return scored.select("host", *[F.col(f"raw_{s}").alias(s) for s in names], *[F.col(s).alias(f"t{s[1:]}") for s in names], purity.alias("purity"))
+    scored = scored.select("host", *[F.col(f"raw_{s}").alias(s) for s in names], "rest", "labelled", "bad",
+                           F.concat_ws("/", F.lit(""), *names).alias("template"), purity.alias("purity"))
+    if whole.deepest:
+        scored = further_levels(stored(scored, "url-scored"), whole.deepest)
+    return scored.drop("labelled", "bad")
 
 
 def judge_urls(pages: DataFrame, key: str = "page_id", url: str = "url", rules=RULES, labels: DataFrame | None = None,
@@ -116,18 +151,18 @@ def judge_urls(pages: DataFrame, key: str = "page_id", url: str = "url", rules=R
     rows = rows.withColumn("host", host).withColumn("path", path)
     rule, action = matching_rule(rules, F.col("host"), F.col("path"))
     names = [f"s{d}" for d in range(1, DEPTH + 1)]
-    rows = rows.select("*", rule.alias("rule"), action.alias("__action"), *[segment(F.col("path"), n).alias(f"__s{n}") for n in range(1, DEPTH + 1)])
+    rows = rows.select("*", rule.alias("rule"), action.alias("__action"), *[segment(F.col("path"), n).alias(f"__s{n}") for n in range(1, DEPTH + 1)],
+                       deeper_segments(F.col("path")).alias("__rest"))
     bad = F.when(F.col("__action") == "block", 1).when(F.col("__action") == "allow", 0)
     marked = rows
     if labels is not None:
         known = labels.where("bad in (0, 1)").groupBy(key).agg(F.max("bad").alias("__bad"))
         marked = rows.join(known, key, "left")
         bad = F.coalesce(bad, F.col("__bad"))
-    counted = marked.select("host", *[F.col(f"__{s}").alias(s) for s in names], bad.isNotNull().cast("long").alias("labelled"),
+    counted = marked.select("host", *[F.col(f"__{s}").alias(s) for s in [*names, "rest"]], bad.isNotNull().cast("long").alias("labelled"),
                             F.coalesce(bad, F.lit(0)).cast("long").alias("bad"))
-    tree = template_tree(counted).select(
-        F.col("host").alias("__host"), *[F.col(s).alias(f"__t{s}") for s in names],
-        F.concat_ws("/", F.lit(""), *[F.col(f"t{d}") for d in range(1, DEPTH + 1)]).alias("template"), "purity")
+    names.append("rest")
+    tree = template_tree(counted).select(F.col("host").alias("__host"), *[F.col(s).alias(f"__t{s}") for s in names], "template", "purity")
     same = reduce(lambda a, b: a & b, [F.col(f"__{s}") == F.col(f"__t{s}") for s in names], F.col("host") == F.col("__host"))
     judged = F.coalesce(F.col("__action"), F.when(F.col("purity") >= least_purity, "block").otherwise("allow"))
     kept = [f"`{c}`" for c in without(pages, *out).columns]

@@ -76,3 +76,24 @@ def test_similar_branches_merge(spark):
 def test_repeated_rows_and_empty_table(spark):
     assert ut.judge_urls(frame(spark, ["http://x.com/de/1"] * 5)).count() == 5
     assert ut.judge_urls(frame(spark, [])).count() == 0
+
+
+def test_branches_that_part_at_segment_five(spark):
+    """The first four segments are the same; unlabelled pages follow the fifth, and paths of other hosts stay as they are."""
+    urls, labels = [], []
+    for n in range(60):
+        urls += [f"http://h.net/a/b/c/d/ads/{n}", f"http://h.net/a/b/c/d/news/{n}.html", f"http://k.net/{'ads' if n % 2 else 'news'}/{n}"]
+        labels += [(3 * n, 1), (3 * n + 1, 0), (3 * n + 2, n % 2)]
+    urls += ["http://h.net/a/b/c/d/ads/x/999", "http://h.net/a/b/c/d/news/999.html", "http://h.net/a/b/c/", "http://h.net/a/b/c/d/ads/777/"]
+    bad = spark.createDataFrame(labels, "page_id long, bad int")
+    rows = {r.url: r for r in ut.judge_urls(frame(spark, urls), labels=bad).collect()}
+    assert len(rows) == len(urls)
+    for url, r in rows.items():
+        if "h.net" in url:
+            assert r.verdict == ("block" if "/ads/" in url else "allow"), r
+    assert rows["http://h.net/a/b/c/d/ads/777/"].template.split("/")[5] == "ads"
+    shallow = [u if "k.net" in u else f"http://h.net/{u.split('/')[-2]}" for u in urls]
+    alone = {r.url: r for r in ut.judge_urls(frame(spark, shallow), labels=bad).collect()}
+    for url in urls:
+        if "k.net" in url:
+            assert (alone[url].template, alone[url].purity) == (rows[url].template, rows[url].purity)
