@@ -1,12 +1,12 @@
 """Personal data in texts, and the terms that give it away.
 
 Patterns find the protected entities: addresses, card and phone numbers.  How
-much a nearby term reveals of an entity is measured over the whole corpus: the
-pointwise mutual information of the two against the information content of the
+much a term reveals of an entity is measured over the whole corpus, by the
+documents that hold both anywhere in their texts: the pointwise mutual information of the two against the information content of the
 entity, log2(N n(t,e) / n(t) n(e)) / log2(N / n(e)).  It is 1 for a term that
 occurs with the entity only and near 0 for one that occurs anywhere.  Terms
-above a threshold are reported in the documents that hold the entity, to be
-generalised, or removed above a second one.
+above a threshold are reported in the documents that hold the entity, or
+everywhere, to be generalised, or removed above a second one.
 """
 
 from __future__ import annotations
@@ -23,9 +23,7 @@ from pactframe.sources.tables import stored
 
 KINDS = ("email", "ip", "card", "phone", "term")
 BASE = KINDS[:4]
-CONTEXT_CHARS = 120  # on either side of an entity
-CONTEXT_WORDS = 8
-SUPPORT = 3  # distinct contexts in which term and entity meet
+SUPPORT = 3  # documents of distinct words in which term and entity meet
 GENERALISE = 0.8  # share of the entity's information from which a term is generalised
 REMOVE = 0.95
 
@@ -103,50 +101,48 @@ def entity_of(kind: int, value: str) -> int:
     return signed(xxhash.xxh64_intdigest(f"{kind}:{plain}".encode()))
 
 
-def context_terms(text: str, start: int, end: int) -> list[str]:
-    """Up to CONTEXT_WORDS whole words in small letters on either side of a span."""
-    low, high = max(0, start - CONTEXT_CHARS), min(len(text), end + CONTEXT_CHARS)
-    before = [m.group() for m in WORD.finditer(text, low, start) if m.start() > low or low == 0]
-    after = [m.group() for m in WORD.finditer(text, end, high) if m.end() < high or high == len(text)]
-    return [w.lower() for w in before[-CONTEXT_WORDS:] + after[:CONTEXT_WORDS]]
+def words_outside(text: str, taken: list[tuple[int, int]]):
+    """(start, end, word in small letters) of the words outside the spans already taken."""
+    n = 0
+    for m in WORD.finditer(text):
+        while n < len(taken) and taken[n][1] <= m.start():
+            n += 1
+        if n == len(taken) or taken[n][0] >= m.end():
+            yield m.start(), m.end(), m.group().lower()
 
 
 SPAN = pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32())])
-CONTEXT = pa.struct([("entity", pa.int64()), ("context", pa.int64()), ("terms", pa.list_(pa.string()))])
 
 
-def inspect(text: str) -> tuple[list[dict], list[dict]]:
+def inspect(text: str) -> tuple[list[dict], list[int], int | None, list[str]]:
+    """Base spans, entities, a number for the words outside the spans, and these words; no words without spans."""
     spans = base_spans(text)
-    contexts = []
-    for start, kind, end in spans:
-        terms = context_terms(text, start, end)
-        place = signed(xxhash.xxh64_intdigest("\x00".join(terms).encode()))
-        contexts.append({"entity": entity_of(kind, text[start:end]), "context": place, "terms": sorted(set(terms))})
-    return [{"kind": k, "start": a, "end": b} for a, k, b in spans], contexts
+    if not spans:
+        return [], [], None, []
+    words = sorted({w for _, _, w in words_outside(text, merged([(a, b) for a, _, b in spans]))})
+    place = signed(xxhash.xxh64_intdigest("\x00".join(words).encode()))
+    entities = sorted({entity_of(k, text[a:b]) for a, k, b in spans})
+    return [{"kind": k, "start": a, "end": b} for a, k, b in spans], entities, place, words
 
 
-def found_spans(docs: DataFrame, text: str, keep_text: bool) -> DataFrame:
-    """The rows with base spans, contexts, and the text where there are any spans."""
+def found_spans(docs: DataFrame, text: str) -> DataFrame:
+    """The rows with base spans, entities, and the words of those that have any."""
     rows = docs.withColumn("__raw", raw(text))
-    kept = without(rows, "__raw", *([] if keep_text else [text]))
-    fields = kept.schema.names
+    fields = docs.schema.names
 
     def start():
         def step(batch):
-            texts = batch.column("__raw").to_pylist()
-            found = [inspect(t.decode("utf-8", "replace")) for t in texts]
+            found = [inspect(t.decode("utf-8", "replace")) for t in batch.column("__raw").to_pylist()]
             columns = [batch.column(c) for c in fields]
-            columns.append(pa.array([s for s, _ in found], pa.list_(SPAN)))
-            columns.append(pa.array([c for _, c in found], pa.list_(CONTEXT)))
-            columns.append(pa.array([t if s else None for t, (s, _) in zip(texts, found)], pa.binary()))
-            return pa.RecordBatch.from_arrays(columns, names=[*fields, "__spans", "__contexts", "__hit"])
+            for n, kind in enumerate((pa.list_(SPAN), pa.list_(pa.int64()), pa.int64(), pa.list_(pa.string()))):
+                columns.append(pa.array([f[n] for f in found], kind))
+            return pa.RecordBatch.from_arrays(columns, names=[*fields, "__spans", "__entities", "__context", "__words"])
 
         return step
 
     schema = extended(
-        kept, __spans="array<struct<kind:int,start:int,end:int>>",
-        __contexts="array<struct<entity:long,context:long,terms:array<string>>>", __hit="binary")
-    return map_batches(rows.select("__raw", *fields), start, schema)
+        docs, __spans="array<struct<kind:int,start:int,end:int>>", __entities="array<long>", __context="long", __words="array<string>")
+    return map_batches(rows.select("__raw", *[f"`{c}`" for c in fields]), start, schema)
 
 
 # --------------------------------------------------------------- disclosure
@@ -173,16 +169,18 @@ def term_counts(docs: DataFrame, text: str) -> DataFrame:
     return docs.select(raw(text).alias("raw")).mapInArrow(run, "term string, n long")
 
 
-def disclosing_terms(contexts: DataFrame, counts: DataFrame, documents: int, support: int = SUPPORT, threshold: float = GENERALISE) -> DataFrame:
+def disclosing_terms(contexts: DataFrame, words: DataFrame, counts: DataFrame, documents: int, support: int = SUPPORT, threshold: float = GENERALISE) -> DataFrame:
     """(entity, term, disclosure) of the terms that reveal at least ``threshold`` of an entity.
 
-    ``contexts`` has entity, context, terms, a row per occurrence.  Equal
-    contexts count once, so copies of a document are no evidence.  ``counts``
-    are the document counts of terms, which may come in parts.
+    ``contexts`` has row, entity, context, and ``words`` the row and its terms.
+    Equal contexts count once, so copies of a document are no evidence.
+    ``counts`` are the document counts of terms, which may come in parts.
     """
-    places = contexts.dropDuplicates(["entity", "context"])
-    own = places.groupBy("entity").agg(F.count("*").alias("n_e"))
-    pairs = places.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("n_te"))
+    places = contexts.groupBy("entity", "context").agg(F.min("row").alias("row"))
+    # an entity in fewer places than the support cannot meet any term often enough
+    own = stored(places.groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= support), "entity-places")
+    met = places.join(own.select("entity"), "entity").join(words, "row")
+    pairs = met.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("n_te"))
     pairs = stored(pairs.where(F.col("n_te") >= support), "term-entity-pairs")
     wanted = pairs.select("term").distinct()
     seen = counts.join(wanted, "term", "left_semi").groupBy("term").agg(F.sum("n").alias("n_t"))
@@ -195,18 +193,24 @@ def disclosing_terms(contexts: DataFrame, counts: DataFrame, documents: int, sup
     return scored.where(F.col("disclosure") >= threshold).select("entity", "term", "disclosure")
 
 
+def terms_of_rows(rows: DataFrame, text: str) -> DataFrame:
+    """(__row, term): the distinct terms of each whole text."""
+
+    def run(batches):
+        for batch in batches:
+            for part in range(0, batch.num_rows, 256):
+                some = batch.slice(part, 256)
+                terms = [sorted({w.lower() for w in WORD.findall(t.decode("utf-8", "replace"))}) for t in some.column("raw").to_pylist()]
+                owner = pa.array([n for n, ts in enumerate(terms) for _ in ts], pa.int64())
+                flat = pa.array([t for ts in terms for t in ts], pa.string())
+                yield pa.RecordBatch.from_arrays([some.column("__row").take(owner), flat], names=["__row", "term"])
+
+    return rows.select("__row", raw(text).alias("raw")).mapInArrow(run, "__row long, term string")
+
+
 def term_spans(text: str, terms: dict[str, float], taken: list[tuple[int, int]]) -> list[tuple[int, int, float]]:
     """(start, end, disclosure) of the terms outside the spans already taken."""
-    out, n = [], 0
-    for m in WORD.finditer(text):
-        value = terms.get(m.group().lower())
-        if value is None:
-            continue
-        while n < len(taken) and taken[n][1] <= m.start():
-            n += 1
-        if n == len(taken) or taken[n][0] >= m.end():
-            out.append((m.start(), m.end(), value))
-    return out
+    return [(a, b, terms[w]) for a, b, w in words_outside(text, taken) if w in terms]
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -245,30 +249,32 @@ def add_term_spans(rows: DataFrame) -> DataFrame:
     return map_batches(rows, start, extended(rows.select(*fields), spans=FULL_KIND))
 
 
-def scan(docs: DataFrame, text: str = "text", support: int = SUPPORT, threshold: float = GENERALISE, keep_text: bool = True) -> DataFrame:
+def scan(docs: DataFrame, text: str = "text", support: int = SUPPORT, threshold: float = GENERALISE, keep_text: bool = True,
+         everywhere: bool = False) -> DataFrame:
     """The rows with ``spans``: (kind, start, end, disclosure) by start and then kind.
 
-    Kinds are those of KINDS; only terms have a disclosure.  Positions count
-    code points, ends are exclusive.  A null or empty text has no spans;
-    repeated rows get the same spans; a same-named input column is replaced.
-    Rows are found again by a number given when they are written, so keys need
-    not be unique or present.
+    Kinds are those of KINDS; only terms have a disclosure.  A term is reported
+    in the documents that hold an entity it reveals, and with ``everywhere`` in
+    all documents.  Positions count code points, ends are exclusive.  A null or
+    empty text has no spans; repeated rows get the same spans; a same-named
+    input column is replaced.  Rows are found again by a number given when they
+    are written, so keys need not be unique or present.
     """
     rows = without(docs, "spans")
-    found = found_spans(rows, text, keep_text).withColumn("__row", F.monotonically_increasing_id())
+    found = found_spans(rows, text).withColumn("__row", F.monotonically_increasing_id())
     found = stored(found, "personal-spans")
-    kept = [f"`{c}`" for c in found.columns if not c.startswith("__")]
-    hits = found.where("__hit is not null")
-    contexts = hits.select("__row", F.explode("__contexts").alias("c")).select("__row", "c.*")
-    reveals = stored(disclosing_terms(contexts.drop("__row"), term_counts(docs, text), docs.count(), support, threshold), "revealing-terms")
-    terms = (
-        contexts.select("__row", "entity").distinct().join(reveals, "entity")
-        .groupBy("__row", "term").agg(F.max("disclosure").alias("disclosure"))
-        .groupBy("__row").agg(F.collect_list(F.struct("term", "disclosure")).alias("__terms"))
-    )
-    marked = add_term_spans(hits.join(terms, "__row", "left").select(*kept, "__spans", "__hit", "__terms"))
-    none = F.array().cast(FULL_KIND).alias("spans")
-    return found.where("__hit is null").select(*kept, none).unionByName(marked)
+    kept = [f"`{c}`" for c in found.columns if not c.startswith("__") and (keep_text or c.lower() != text.lower())]
+    hits = found.where("__context is not null")
+    contexts = hits.select(F.col("__row").alias("row"), F.explode("__entities").alias("entity"), F.col("__context").alias("context"))
+    words = hits.select(F.col("__row").alias("row"), F.col("__words").alias("terms"))
+    reveals = stored(disclosing_terms(contexts, words, term_counts(docs, text), docs.count(), support, threshold), "revealing-terms")
+    if everywhere:
+        met = terms_of_rows(found, text).join(reveals.groupBy("term").agg(F.max("disclosure").alias("disclosure")), "term")
+    else:
+        met = contexts.withColumnRenamed("row", "__row").join(reveals, "entity").groupBy("__row", "term").agg(F.max("disclosure").alias("disclosure"))
+    terms = stored(met.groupBy("__row").agg(F.collect_list(F.struct("term", "disclosure")).alias("__terms")), "terms-of-rows")
+    marked = found.join(terms, "__row", "left").withColumn("__hit", F.when(F.col("__terms").isNotNull(), raw(text)))
+    return add_term_spans(marked.select(*kept, "__spans", "__hit", "__terms"))
 
 
 def replacement(kind: str, value: str, disclosure: float | None) -> str:
@@ -292,9 +298,9 @@ def replaced(text: str | None, spans: list[dict]) -> str | None:
     return "".join([*out, text[at:]])
 
 
-def sanitise(docs: DataFrame, text: str = "text", support: int = SUPPORT, threshold: float = GENERALISE) -> DataFrame:
+def sanitise(docs: DataFrame, text: str = "text", support: int = SUPPORT, threshold: float = GENERALISE, everywhere: bool = False) -> DataFrame:
     """The rows with personal data replaced in the text; a null text stays null."""
-    rows = scan(docs, text, support, threshold)
+    rows = scan(docs, text, support, threshold, everywhere=everywhere)
     fields = [c for c in rows.columns if c != "spans"]
 
     def start():

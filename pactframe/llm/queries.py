@@ -35,7 +35,7 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pii_sanitise.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
+    found = pii_sanitise.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False, everywhere=True)
 
     def of(*wanted: str):
         return F.filter("spans", lambda s: s["kind"].isin(*wanted))

@@ -99,3 +99,19 @@ def test_edges_and_empty_table(docs):
     rows = out.collect()
     assert len(rows) == len(EDGES) and all([(s.kind, s.start, s.end) for s in r.spans] == plain_base(r.text) for r in rows)
     assert ps.scan(docs([])).count() == 0 and ps.sanitise(docs([])).count() == 0
+
+
+def test_terms_far_from_the_entity_count(docs):
+    """The nickname stands a thousand words away from the address."""
+    far = "the weather in town was fine " * 200
+    rows = corpus()[:200] + [(500 + n, f"Zorblax wrote {far} case {'abcde'[n] * 3} zb@mail.example.com") for n in range(5)]
+    found = {r.doc_id: [(s.kind, r.text[s.start : s.end]) for s in r.spans] for r in ps.scan(docs(rows)).collect()}
+    assert all(("term", "Zorblax") in found[500 + n] for n in range(5))
+    assert not any(w in ("weather", "town") for spans in found.values() for _, w in spans)
+
+
+def test_terms_are_found_in_documents_without_the_entity(docs):
+    rows = {r.doc_id: r for r in ps.scan(docs(corpus()), everywhere=True).collect()}
+    assert [(s.kind, s.start, s.end) for s in rows[600].spans] == [("term", 0, 7)] and not rows[3].spans
+    clean = {r.doc_id: r.text for r in ps.sanitise(docs(corpus()), everywhere=True).collect()}
+    assert all("Zorblax" not in t for t in clean.values()) and len(clean) == len(corpus())
