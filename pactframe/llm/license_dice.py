@@ -1,7 +1,7 @@
 """Licence notices in texts, by Dice coefficient over word bigrams.
 
-Sentences, lines and paragraphs are compared with licence templates in
-normalised form.  Two facts prune without loss: a passage far smaller or
+Sentences, also across line breaks, lines and paragraphs are compared with
+licence templates in normalised form.  Two facts prune without loss: a passage far smaller or
 larger than a template cannot reach the coefficient, and one that reaches it
 holds at least one of any choice of more than (2 - 2t)/(2 - t) of the
 template's bigrams.  Only DataFrame functions are used.
@@ -74,10 +74,33 @@ def may_hold_notice(small: Column, texts: dict[str, str], least: float) -> Colum
     return reduce(or_, (F.contains(small, F.lit(w)) for w in words)) & small.rlike(pattern)
 
 
-def passages(text: Column) -> Column:
-    """Sentences, lines and paragraphs of a text, each with its level."""
+def wrapped_passages(text: Column, most: int) -> Column:
+    """Sentences across line breaks, runs of up to ``most`` of them, and paragraphs that lines of comment marks part.
+
+    Marks at the start of a line are no words, so they need not be taken off.
+    Single sentences within a line are left to the other levels.
+    """
+
+    def runs(sentences: Column) -> Column:
+        found = [F.filter(sentences, lambda p: F.contains(p, F.lit("\n")))]
+        for k in range(2, most + 1):
+            further = range(1, k)
+            # those beyond the last sentence are null, which concat_ws leaves out
+            found.append(F.transform(sentences, lambda p, i: F.concat_ws(" ", p, *[F.get(sentences, i + j) for j in further])))
+        return F.concat(*found)
+
+    def of_paragraph(paragraph: Column) -> Column:
+        # the array of one makes the sentences a variable, so that they are split once
+        split = F.array(F.split(paragraph, r"(?<=[.!?;:])\s+"))
+        return F.concat(F.array(paragraph), F.flatten(F.transform(split, runs)))
+
+    return F.flatten(F.transform(F.split(text, r"\n[^\p{L}\p{N}\n]*\n"), of_paragraph))
+
+
+def passages(text: Column, most: int = 1) -> Column:
+    """Sentences, lines, paragraphs and wrapped sentences of a text, each with its level."""
     sentences = F.split(F.regexp_replace(text, r"([.!?;:])[ \t]+", "$1\n"), "\n")
-    levels = ((0, sentences), (1, F.split(text, "\n")), (2, F.split(text, r"\n[ \t]*\n")))
+    levels = ((0, sentences), (1, F.split(text, "\n")), (2, F.split(text, r"\n[ \t]*\n")), (3, wrapped_passages(text, most)))
 
     def at(level: int, parts: Column) -> Column:
         return F.transform(parts, lambda p, i: F.struct(F.lit(level).alias("level"), i.alias("n"), p.alias("passage")))
@@ -100,8 +123,8 @@ def find_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text", text
     """(key, license, dice, n_passages) of every licence whose notice is in a document.
 
     A passage counts for the templates at which it has the highest coefficient,
-    if that is ``least`` or more; ``n_passages`` counts its sentences, and
-    ``dice`` is the highest of any passage.  Null and empty texts have no
+    if that is ``least`` or more; ``n_passages`` counts its sentences within
+    lines, and ``dice`` is the highest of any passage.  Null and empty texts have no
     licence, nor have templates of one word.  Rows are told apart by a number
     given when they are written, so repeated rows give repeated results.
     """
@@ -111,7 +134,8 @@ def find_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text", text
     maybe = stored(maybe.select("key", "text").withColumn("row", F.monotonically_increasing_id()), "license-texts")
     sizes = [len(template_bigrams(t)) for t in texts.values()]
     smallest, largest = min(sizes, default=0) * least / (2 - least), max(sizes, default=0) * (2 - least) / least
-    parts = maybe.select("row", F.explode(passages(F.col("text"))).alias("p")).select("row", "p.level", "p.n", normalised_words(F.col("p.passage")).alias("w"))
+    most = max((len(re.split(r"(?<=[.!?;:])\s+", t)) for t in texts.values()), default=1)
+    parts = maybe.select("row", F.explode(passages(F.col("text"), most)).alias("p")).select("row", "p.level", "p.n", normalised_words(F.col("p.passage")).alias("w"))
     # a passage of k distinct bigrams has more than k words; repeats only make it longer
     parts = parts.where(F.size("w") > smallest)
     last = F.greatest(F.size("w") - 1, F.lit(0))

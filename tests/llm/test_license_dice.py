@@ -1,5 +1,7 @@
 """Licence notices against the unpruned SQL and on planted variants."""
 
+import textwrap
+
 from pactframe.llm import license_dice as li
 from pactframe.llm.queries import ORACLES, QUERIES
 from tests.compare import connect, differences
@@ -59,3 +61,17 @@ def test_edges(docs):
 def test_long_text(docs):
     text = "lorem ipsum dolor sit amet. " * 20_000 + "\nReleased under the MIT License.\n" + "x " * 100_000
     assert set(found(docs, [text])[0]) == {"mit"}
+
+
+def test_wrapped_and_commented_notices(docs):
+    """Every template wrapped between other sentences, plain and in comments whose blank lines hold a mark."""
+    names, texts = list(li.TEMPLATES), []
+    before, after = "This file was written by several people over many years of work. ", " Other words of the paragraph follow here and end it."
+    for mark in ("", " * ", "# ", "// "):
+        for t in li.TEMPLATES.values():
+            lines = textwrap.wrap(before + t + after, 28)
+            texts.append("\n".join(mark + x for x in [*lines, "", *textwrap.wrap(before * 3, 28)]))
+    got = found(docs, texts)
+    for n, name in enumerate(names * 4):
+        assert name in got.get(n, {}), (texts[n], name)
+    assert found(docs, ["It is released by the\ncompany under the new\nLicense.", "all\n\nrights\n\nreserved"]) == {}
