@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pactframe.llm import bpe_codec, chat_format, html_blocks, license_dice, lsi_decontam, pii_sanitise, quality_forest, secret_links, simhash_dedup, url_templates
+from pactframe.llm import bpe_codec, chat_format, html_blocks, license_dice, lsi_decontam, pii_sanitise, quality_forest, secret_links, simhash_dedup, turn_repair, url_templates
 from pactframe.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -105,3 +105,11 @@ ORACLES["op9_license_scan"] = license_dice.ORACLE
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return lsi_decontam.find_items(docs, table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    planned, turns = turn_repair.repair(turn_repair.damaged(table(spark, sf_dir, "conversations")))
+    hashed = turn_repair.digests(turns).withColumnRenamed("conv_id", "c")
+    return planned.join(hashed, F.col("conv_id").eqNullSafe(F.col("c")), "left").select(
+        "conv_id", *turn_repair.PLAN, "audit", F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
