@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pactframe.llm import bag_search, bpe_codec, chat_format, html_blocks, license_dice, lsi_decontam, pii_sanitise, quality_forest, secret_links, simhash_dedup, turn_repair, url_templates
+from pactframe.llm import bag_search, bpe_codec, chat_format, html_blocks, license_dice, lsi_decontam, pii_sanitise, quality_forest, secret_links, simhash_dedup, turn_repair, url_templates, vector_dedup
 from pactframe.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -107,6 +107,12 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lsi_decontam.find_items(docs, table(spark, sf_dir, "benchmark"))
 
 
+@query
+def op11_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    return vector_dedup.near_duplicates(rows).select("vec_id", "n_links", "component_id", "kept")
+
+
 @query
 def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bag_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
