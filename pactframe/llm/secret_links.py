@@ -46,7 +46,7 @@ PARTS = (
          ("client", "key", "account", "user", "login"), 3),
     Part("short", "secret", False, rf"(?i:passphrase|pass|pwd|auth|credentials?|private_?key|signature){_VALUE}([A-Za-z0-9+/_.=-]+)",
          ("pass", "pwd", "auth", "credential", "private", "signature"), 4),
-    Part("random", "secret", False, r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/]{32,88}={0,2}(?![A-Za-z0-9+/=_-])", mixed=True),
+    Part("random", "secret", False, r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/]{32,}+={0,2}+(?![A-Za-z0-9+/=_-])", mixed=True),
     Part("endpoint", "endpoint", False, r"(?i:https?|ftps?|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp|s3)://[^\s\"'<>]+", ("://",)),
     Part("host", "endpoint", False, rf"(?i:host(?:_?name)?|endpoint|server){_VALUE}([A-Za-z0-9.-]+)", ("host", "endpoint", "server"), 4),
 )

@@ -100,3 +100,11 @@ def test_no_python_in_the_plan(spark):
     from tests.test_plans import plan_of
 
     assert not re.search("Python|Arrow|Pandas", plan_of(QUERIES["op7_secret_scan"](spark, FOLDER)))
+
+
+@pytest.mark.parametrize("size", [32, 88, 89, 500])
+def test_unnamed_secrets_of_any_length(spark, size):
+    value = ("aB3" * size)[:size]
+    rows = spark.createDataFrame([(1, f"user_name: mallory and {value} here")], "doc_id long, text string")
+    spans = sl.scan(rows).first()["secrets"]
+    assert [(s["start"], s["end"]) for s in spans if s["kind"] == "random"] == [(23, 23 + size)]
