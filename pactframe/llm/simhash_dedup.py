@@ -238,8 +238,14 @@ def link_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents whose key names their component, one row each; rows without a key stay."""
-    named = link_documents(docs, key, text)
-    chosen = named.where(F.col(key) == F.col("component_id")).select(key).distinct()
-    kept = docs.join(chosen, key, "left_semi").dropDuplicates([key])
-    return kept.unionByName(docs.where(F.col(f"`{key}`").isNull()))
+    """One row of each component, that of the smallest key; rows without a key stay.
+
+    Rows of one key with differing texts are documents of their own: each goes
+    or stays with its own component, where equal keys go by a hash of the text.
+    """
+    place = F.when(F.col(f"`{key}`").isNotNull(), F.struct(F.col(f"`{key}`").alias("key"), F.xxhash64(raw(text)).alias("hash")))
+    named = link_documents(docs.select(place.alias("place"), F.col(f"`{text}`").alias("text")), "place", "text")
+    chosen = named.where(F.col("place") == F.col("component_id")).select("place.*").distinct()
+    rows = docs.where(F.col(f"`{key}`").isNotNull()).withColumn("__hash", F.xxhash64(raw(text)))
+    kept = rows.join(chosen, (rows[f"`{key}`"] == chosen["key"]) & (rows["__hash"] == chosen["hash"]), "left_semi").dropDuplicates([key, "__hash"])
+    return kept.drop("__hash").unionByName(docs.where(F.col(f"`{key}`").isNull()))

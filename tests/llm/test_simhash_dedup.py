@@ -109,3 +109,11 @@ def test_keep_one(docs):
     assert kept.columns == ["doc_id", "text", "score"]
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted(want)
     assert kept.where("doc_id is null").count() == 1
+
+
+def test_keep_one_tells_texts_of_one_key_apart(spark):
+    clean, copied = "a clean text that no other row resembles in any way at all", "some other words that two rows of the table hold alike here"
+    rows = [(3, copied), (5, copied), (5, clean), (5, clean), (None, copied), (7, None), (8, "")]
+    kept = sd.keep_one(spark.createDataFrame([(*r, "own") for r in rows], "doc_id long, text string, hash string"))
+    assert kept.columns == ["doc_id", "text", "hash"]
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted([(3, copied), (5, clean), (None, copied), (7, None)], key=repr)
