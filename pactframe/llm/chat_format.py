@@ -102,13 +102,16 @@ def role_name(value) -> str:
     return ROLES.get(role, role)
 
 
-def turns_of(record, layout: Layout) -> list[tuple[str, str]]:
+def turns_of(record, layout: Layout) -> list[tuple[str, str]] | None:
+    """The turns, or None if one of them is no object, which the field paths of the others hide."""
     out = []
     for role, paths in layout.fields:
         found = [plain(v) for v in (at_path(record, p) for p in paths.split("\n")) if v is not None]
         if found:
             out.append((role, "\n".join(found)))
     if layout.each:
+        if not all(isinstance(t, dict) for t in at_path(record, layout.each)):
+            return None
         out += [(role_name(t.get(layout.role)), plain(t.get(layout.text))) for t in at_path(record, layout.each)]
     elif layout.role:
         out.append((role_name(record.get(layout.role)), plain(record.get(layout.text))))
@@ -121,7 +124,8 @@ TURNS = pa.list_(pa.struct([("role", pa.string()), ("text", pa.string())]))
 def canonical_turns(records: DataFrame, record: str = "record", layouts=LAYOUTS) -> DataFrame:
     """The other columns with ``layout``, ``position`` in the record, ``role`` and ``text``, a row per turn.
 
-    A record whose fingerprint no layout has, or that is not JSON, gives one row
+    A record whose fingerprint no layout has, that holds a turn that is no object,
+    or that is not JSON or nested too deeply to be read, gives one row
     with a null layout, position, role and text, so that none goes unseen.
     """
     kept = [c for c in records.columns if c not in (record, "layout", "position", "role", "text")]
@@ -131,12 +135,13 @@ def canonical_turns(records: DataFrame, record: str = "record", layouts=LAYOUTS)
         def read(text):
             try:
                 value = json.loads(text)
-            except (TypeError, ValueError):
+                layout = known.get(fingerprint(field_paths(value)))
+                turns = layout and turns_of(value, layout)
+            except (TypeError, ValueError, RecursionError):
                 return None, None
-            layout = known.get(fingerprint(field_paths(value)))
-            if layout is None:
+            if turns is None:
                 return None, None
-            return layout.name, [{"role": r, "text": t} for r, t in turns_of(value, layout)]
+            return layout.name, [{"role": r, "text": t} for r, t in turns]
 
         def step(batch):
             names, turns = zip(*map(read, batch.column("__record").to_pylist()))

@@ -64,7 +64,8 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     record = F.to_json(F.struct(F.coalesce("turn", F.lit(-1)).alias("turn"), "role", "text"))
     turns = chat_format.canonical_turns(rows.select("conv_id", "turn", record.alias("record")))
     # rows of one turn number, which should not be, go by their formatted text
-    return chat_format.digests(chat_format.format_turns(turns), "conv_id", ("turn", "segment"))
+    read = chat_format.digests(chat_format.format_turns(turns), "conv_id", ("turn", "segment"))
+    return read.select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
 
 
 @query

@@ -98,3 +98,12 @@ def test_long_conversation_repeats_and_empty_table(turns):
     got = {r.conv: r for r in cf.digests(cf.format_turns(turns(rows)), "conv", ("turn", "segment")).collect()}
     assert got[1].n_turns == 5000 and got[2].n_turns == 2 and got[3].formatted_chars > 1_000_000
     assert cf.digests(cf.format_turns(turns([])), "conv", ("turn",)).count() == 0
+
+
+def test_odd_turns_and_deep_nesting_are_unknown(spark):
+    good = {"role": "user", "content": "hi"}
+    rows = [json.dumps({"messages": [good, odd]}) for odd in (None, "text", 3, [good])]
+    rows += ["[" * 100_000 + "]" * 100_000, '{"messages":' * 50_000 + "1" + "}" * 50_000, json.dumps({"messages": [good]})]
+    df = spark.createDataFrame(list(enumerate(rows)), "id long, record string")
+    got = {r.id: (r.layout, r.role, r.text) for r in cf.canonical_turns(df).collect()}
+    assert got == {**{n: (None, None, None) for n in range(len(rows) - 1)}, len(rows) - 1: ("messages", "user", "hi")}
