@@ -26,7 +26,7 @@ STEPS = 300
 SAMPLE_BYTES = 100_000  # longer pages are not used for training
 PATH_KINDS, WORD_KINDS = 1024, 512
 PATH_DIM, WORD_DIM, SCALARS, HIDDEN = 16, 8, 6, 16
-WORDS_READ = 64  # at either end of a block, for its word vector; the text itself is always whole
+CELLS = 1 << 14  # blocks of a batch of pages, with padding; a longer page is a batch of its own
 
 # ------------------------------------------------------------------ blocks
 
@@ -37,10 +37,12 @@ INLINE = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES_P = frozenset(
     "address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
-UNSEEN = "script|style|noscript|template|svg|iframe|object|canvas"
+UNSEEN = frozenset("script style noscript template svg iframe object canvas".split())
+TO_THE_END = frozenset("script style template".split())  # where the closing tag lacks
 TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({UNSEEN})\b(?:.*?</\1\s*>|.*\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"<]*\"|'[^'<]*'|[\"'])*+)>|<[!?][^>]*>",
-    re.S | re.I)
+    r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"<]*\"|'[^'<]*'|[\"'])*+)>"
+    rf"|<({'|'.join(sorted(UNSEEN))})(?=[\s/>])|<[!?][^>]*>", re.S | re.I)
+CLOSING = {name: re.compile(rf"</{name}\s*>", re.I) for name in UNSEEN}
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 PARTS = re.compile(r"[a-z]+")
 
@@ -80,18 +82,29 @@ def blocks(page: str) -> list[Piece]:
         links = 0
 
     at = 0
-    for m in TOKEN.finditer(page):
+    unclosed: set[str] = set()
+    while m := TOKEN.search(page, at):
         if m.start() > at:
             text.append(page[at : m.start()])
             links += (m.start() - at) * (inside > 0)
         at = m.end()
-        tag = m.group(3)
-        if tag is None:
+        tag = (m.group(2) or m.group(4) or "").lower()
+        if tag in UNSEEN and not m.group(1):
+            # a closed element goes whole, a self-closed or unclosed one by its tag
+            if not (m.group(3) or "").endswith("/"):
+                end = None if tag in unclosed else CLOSING[tag].search(page, at)
+                if end:
+                    at = end.end()
+                elif tag in TO_THE_END:
+                    at = len(page)
+                else:
+                    unclosed.add(tag)
+            continue
+        if not tag:
             continue
-        tag = tag.lower()
         if tag not in INLINE:
             end_block()
-        if m.group(2):
+        if m.group(1):
             for n in range(len(stack) - 1, -1, -1):
                 if stack[n][0] == tag:
                     inside -= sum(s[0] == "a" for s in stack[n:])
@@ -107,8 +120,8 @@ def blocks(page: str) -> list[Piece]:
                         break
                     if stack[n][0] not in INLINE:
                         break
-            if not m.group(4).endswith("/"):
-                stack.append((tag, name_parts(m.group(4))))
+            if not m.group(3).endswith("/"):
+                stack.append((tag, name_parts(m.group(3))))
                 inside += tag == "a"
     if at < len(page):
         text.append(page[at:])
@@ -144,8 +157,6 @@ class Reader:
 
     def word_ids(self, text: str) -> list[int]:
         words = text.lower().split()
-        if len(words) > 2 * WORDS_READ:
-            words = words[:WORDS_READ] + words[-WORDS_READ:]
         if len(self.words) > 200_000:
             self.words.clear()
         known = self.words
@@ -203,15 +214,19 @@ def fresh(seed: int = 5) -> dict[str, np.ndarray]:
     return net
 
 
+AHEAD = 256  # steps whose inputs are made ready at once
+
+
 def lstm(x: np.ndarray, mask: np.ndarray, wx, wh, bias, keep: bool):
     """States over time of a batch (time, batch, dim); where the mask is 0 the state stays."""
     steps, batch, _ = x.shape
     h, c = np.zeros((batch, HIDDEN)), np.zeros((batch, HIDDEN))
     out = np.empty((steps, batch, HIDDEN))
     tape = []
-    inputs = x @ wx + bias
     for t in range(steps):
-        z = inputs[t] + h @ wh
+        if t % AHEAD == 0:
+            inputs = x[t : t + AHEAD] @ wx + bias
+        z = inputs[t % AHEAD] + h @ wh
         i, f, o = sigmoid(z[:, :HIDDEN]), sigmoid(z[:, HIDDEN : 2 * HIDDEN]), sigmoid(z[:, 2 * HIDDEN : 3 * HIDDEN])
         g = np.tanh(z[:, 3 * HIDDEN :])
         m = mask[t][:, None]
@@ -265,8 +280,9 @@ def forward(net, sequences: list, keep: bool = False):
     x = flat[place] * mask[:, :, None]
     ahead, tape_f = lstm(x, mask, net["xf"], net["hf"], net["cf"], keep)
     back, tape_b = lstm(x[::-1], mask[::-1], net["xb"], net["hb"], net["cb"], keep)
-    features = np.concatenate([ahead, back[::-1], x], axis=2)
-    score = sigmoid(features @ net["out"] + net["bias"])
+    weight = net["out"]
+    score = sigmoid(ahead @ weight[:HIDDEN] + back[::-1] @ weight[HIDDEN : 2 * HIDDEN] + x @ weight[2 * HIDDEN :] + net["bias"])
+    features = np.concatenate([ahead, back[::-1], x], axis=2) if keep else None
     return score, (paths, words, place, mask, x, tape_f, tape_b, features)
 
 
@@ -393,15 +409,21 @@ def fit(pages: DataFrame, page: str = "html", sample: int = SAMPLE_PAGES, steps:
 # -------------------------------------------------------------- extraction
 
 
-def main_texts(net, reader: Reader, pages: list[str], at_once: int = 64) -> list[str]:
+def main_texts(net, reader: Reader, pages: list[str], cells: int = CELLS) -> list[str]:
+    """The main text of each page; pages of like length share a batch of about ``cells`` blocks."""
     pieces = list(map(blocks, pages))
     out = [""] * len(pages)
     order = sorted((n for n, p in enumerate(pieces) if p), key=lambda n: len(pieces[n]))
-    for start in range(0, len(order), at_once):
-        members = order[start : start + at_once]
+    start = 0
+    while start < len(order):
+        end = start + 1
+        while end < len(order) and end - start < 64 and len(pieces[order[end]]) * (end + 1 - start) <= cells:
+            end += 1
+        members = order[start:end]
         score, _ = forward(net, [reader.sequence(pieces[n]) for n in members])
         for column, n in enumerate(members):
             out[n] = " ".join(p.text for p, s in zip(pieces[n], score[:, column]) if s >= 0.5)
+        start = end
     return out
 
 

@@ -119,3 +119,31 @@ def test_edges(spark, net):
 def test_empty_table(spark):
     pages = spark.createDataFrame([], "page_id long, html string")
     assert hb.extract(pages).count() == 0
+
+
+@pytest.mark.parametrize("odd", ["<svg/>", "<svg />", "<iframe src=x>", "<iframe/>", "<object-card>", "<object data='a'>", "<canvas>", '<script src="a.js"/>',
+                                 "<svg><text>no</text></svg>", "<STYLE>p { }</style >", "<noscript>", "<template-part>", "<script>if (a < b) '<p>no</p>'</script>"])
+def test_unseen_elements_end_where_they_should(odd):
+    assert [p.text for p in hb.blocks(f"<p>one</p>{odd}<p>two</p>")] == ["one", "two"]
+
+
+def test_unclosed_script_hides_the_rest():
+    assert [p.text for p in hb.blocks("<p>one</p><script>var a = '<p>two</p>'")] == ["one"]
+
+
+def test_many_unclosed_elements_are_read_in_linear_time():
+    assert len(hb.blocks("<p>a<iframe x></p>" * 30_000)) == 30_000
+
+
+def test_long_page_beside_short_ones_in_bounded_memory():
+    import resource
+
+    net, page = hb.fresh(), "<p>some words of a block.</p>" * 100_000
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    hb.main_texts(net, hb.Reader(), [page] + ["<p>tiny</p>"] * 63)
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 700_000
+
+
+def test_all_words_of_a_block_are_read():
+    reader, text = hb.Reader(), " ".join(["edge"] * 64 + ["middle"] + ["edge"] * 64)
+    assert hb.bucket("middle", hb.WORD_KINDS) in reader.word_ids(text)
