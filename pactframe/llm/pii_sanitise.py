@@ -111,9 +111,6 @@ def words_outside(text: str, taken: list[tuple[int, int]]):
             yield m.start(), m.end(), m.group().lower()
 
 
-SPAN = pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32())])
-
-
 def inspect(text: str) -> tuple[list[dict], list[int], int | None, list[str]]:
     """Base spans, entities, a number for the words outside the spans, and these words; no words without spans."""
     spans = base_spans(text)
@@ -125,24 +122,20 @@ def inspect(text: str) -> tuple[list[dict], list[int], int | None, list[str]]:
     return [{"kind": k, "start": a, "end": b} for a, k, b in spans], entities, place, words
 
 
-def found_spans(docs: DataFrame, text: str) -> DataFrame:
-    """The rows with base spans, entities, and the words of those that have any."""
-    rows = docs.withColumn("__raw", raw(text))
-    fields = docs.schema.names
+def found_contexts(docs: DataFrame, text: str) -> DataFrame:
+    """(row, context, entities, words) of the texts that have base spans, numbered by ``row``."""
 
     def start():
         def step(batch):
-            found = [inspect(t.decode("utf-8", "replace")) for t in batch.column("__raw").to_pylist()]
-            columns = [batch.column(c) for c in fields]
-            for n, kind in enumerate((pa.list_(SPAN), pa.list_(pa.int64()), pa.int64(), pa.list_(pa.string()))):
-                columns.append(pa.array([f[n] for f in found], kind))
-            return pa.RecordBatch.from_arrays(columns, names=[*fields, "__spans", "__entities", "__context", "__words"])
+            found = [f for f in (inspect(t.decode("utf-8", "replace")) for t in batch.column("raw").to_pylist()) if f[0]]
+            kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string()))
+            columns = [pa.array([f[n] for f in found], kind) for n, kind in zip((2, 1, 3), kinds)]
+            return pa.RecordBatch.from_arrays(columns, names=["context", "entities", "words"])
 
         return step
 
-    schema = extended(
-        docs, __spans="array<struct<kind:int,start:int,end:int>>", __entities="array<long>", __context="long", __words="array<string>")
-    return map_batches(rows.select("__raw", *[f"`{c}`" for c in fields]), start, schema)
+    found = map_batches(docs.select(raw(text).alias("raw")), start, "context long, entities array<long>, words array<string>")
+    return found.withColumn("row", F.monotonically_increasing_id())
 
 
 # --------------------------------------------------------------- disclosure
@@ -182,8 +175,8 @@ def disclosing_terms(contexts: DataFrame, words: DataFrame, counts: DataFrame, d
     met = places.join(own.select("entity"), "entity").join(words, "row")
     pairs = met.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("n_te"))
     pairs = stored(pairs.where(F.col("n_te") >= support), "term-entity-pairs")
-    wanted = pairs.select("term").distinct()
-    seen = counts.join(wanted, "term", "left_semi").groupBy("term").agg(F.sum("n").alias("n_t"))
+    # summed first, so that the join meets each term once
+    seen = counts.groupBy("term").agg(F.sum("n").alias("n_t")).join(pairs.select("term").distinct(), "term", "left_semi")
     total = F.lit(float(max(documents, 1)))
     # a term cannot be counted less often than it meets the entity
     n_t = F.greatest("n_t", "n_te")
@@ -193,19 +186,30 @@ def disclosing_terms(contexts: DataFrame, words: DataFrame, counts: DataFrame, d
     return scored.where(F.col("disclosure") >= threshold).select("entity", "term", "disclosure")
 
 
-def terms_of_rows(rows: DataFrame, text: str) -> DataFrame:
-    """(__row, term): the distinct terms of each whole text."""
+PACKED = 500_000  # (row, term) pairs that a task packs by term at a time
+
+
+def terms_of_rows(rows: DataFrame) -> DataFrame:
+    """(term, rows): the distinct terms of each whole text, each with the rows of a task that hold it, packed."""
 
     def run(batches):
+        held: dict[str, list[int]] = {}
+        pairs = 0
+
+        def packed():
+            return pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.string()), pa.array(held.values(), pa.list_(pa.int64()))], names=["term", "rows"])
+
         for batch in batches:
-            for part in range(0, batch.num_rows, 256):
-                some = batch.slice(part, 256)
-                terms = [sorted({w.lower() for w in WORD.findall(t.decode("utf-8", "replace"))}) for t in some.column("raw").to_pylist()]
-                owner = pa.array([n for n, ts in enumerate(terms) for _ in ts], pa.int64())
-                flat = pa.array([t for ts in terms for t in ts], pa.string())
-                yield pa.RecordBatch.from_arrays([some.column("__row").take(owner), flat], names=["__row", "term"])
+            for row, t in zip(batch.column("row").to_pylist(), batch.column("raw").to_pylist()):
+                for term in {w.lower() for w in WORD.findall(t.decode("utf-8", "replace"))}:
+                    held.setdefault(term, []).append(row)
+                    pairs += 1
+                if pairs > PACKED:
+                    yield packed()
+                    held, pairs = {}, 0
+        yield packed()
 
-    return rows.select("__row", raw(text).alias("raw")).mapInArrow(run, "__row long, term string")
+    return rows.select("row", "raw").mapInArrow(run, "term string, rows array<long>")
 
 
 def term_spans(text: str, terms: dict[str, float], taken: list[tuple[int, int]]) -> list[tuple[int, int, float]]:
@@ -227,54 +231,103 @@ FULL_SPAN = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("
 FULL_KIND = "array<struct<kind:string,start:int,end:int,disclosure:double>>"
 
 
-def add_term_spans(rows: DataFrame) -> DataFrame:
-    """``spans`` from base spans, text and revealing terms of each row."""
-    fields = without(rows, "__spans", "__hit", "__terms").schema.names
+HELD = 100_000  # revealing terms of entities that each task may hold as a dictionary
+
+
+def spans_of(text: str, terms: dict[str, float], revealed: dict[int, dict[str, float]] | None = None) -> list[dict]:
+    """All spans of a text: the base ones, and those of ``terms``, or of the terms that ``revealed`` gives for its entities."""
+    base = base_spans(text)
+    if revealed is not None:
+        terms = {}
+        for e in {entity_of(k, text[a:b]) for a, k, b in base}:
+            for term, value in revealed.get(e, {}).items():
+                terms[term] = max(value, terms.get(term, 0.0))
+    out = [(a, k, b, None) for a, k, b in base]
+    if terms:
+        out += [(a, 4, b, v) for a, b, v in term_spans(text, terms, merged([(a, b) for a, _, b in base]))]
+    return [{"kind": KINDS[k], "start": a, "end": b, "disclosure": v} for a, k, b, v in sorted(out, key=lambda x: x[:3])]
 
-    def spans_of(base, hit, terms):
-        out = [(s["start"], s["kind"], s["end"], None) for s in base]
-        if terms:
-            taken = merged([(s["start"], s["end"]) for s in base])
-            out += [(a, 4, b, v) for a, b, v in term_spans(hit.decode("utf-8", "replace"), {t["term"]: t["disclosure"] for t in terms}, taken)]
-        return [{"kind": KINDS[k], "start": a, "end": b, "disclosure": v} for a, k, b, v in sorted(out, key=lambda x: x[:3])]
+
+def add_spans(rows: DataFrame, spans) -> DataFrame:
+    """The rows without ``__raw`` and ``__terms`` but with ``spans``, the value of spans(text, terms of the row)."""
+    fields = without(rows, "__raw", "__terms", "__spans").schema.names
+    own_terms = "__terms" in rows.columns
 
     def start():
         def step(batch):
-            columns = [batch.column(c).to_pylist() for c in ("__spans", "__hit", "__terms")]
-            out = pa.array(map(spans_of, *columns), FULL_SPAN)
-            return pa.RecordBatch.from_arrays([*(batch.column(c) for c in fields), out], names=[*fields, "spans"])
+            texts = (t.decode("utf-8", "replace") for t in batch.column("__raw").to_pylist())
+            terms = batch.column("__terms").to_pylist() if own_terms else [None] * batch.num_rows
+            out = pa.array([spans(t, own) for t, own in zip(texts, terms)], FULL_SPAN)
+            return pa.RecordBatch.from_arrays([*(batch.column(c) for c in fields), out], names=[*fields, "__spans"])
 
         return step
 
-    return map_batches(rows, start, extended(rows.select(*fields), spans=FULL_KIND))
+    return map_batches(rows, start, extended(rows.select(*fields), __spans=FULL_KIND))
 
 
 def scan(docs: DataFrame, text: str = "text", support: int = SUPPORT, threshold: float = GENERALISE, keep_text: bool = True,
-         everywhere: bool = False) -> DataFrame:
+         everywhere: bool = False, held: int = HELD) -> DataFrame:
     """The rows with ``spans``: (kind, start, end, disclosure) by start and then kind.
 
     Kinds are those of KINDS; only terms have a disclosure.  A term is reported
     in the documents that hold an entity it reveals, and with ``everywhere`` in
     all documents.  Positions count code points, ends are exclusive.  A null or
     empty text has no spans; repeated rows get the same spans; a same-named
-    input column is replaced.  Rows are found again by a number given when they
-    are written, so keys need not be unique or present.
+    input column is replaced, all others are passed on.
+
+    Texts are read three times and never stored or shuffled while the revealing
+    terms are no more than ``held``: tasks then look them up.  More of them are
+    joined to the terms of the texts, which are packed by task; rows are found
+    again by a number given when they are written.  The result is the same.
     """
-    rows = without(docs, "spans")
-    found = found_spans(rows, text).withColumn("__row", F.monotonically_increasing_id())
-    found = stored(found, "personal-spans")
-    kept = [f"`{c}`" for c in found.columns if not c.startswith("__") and (keep_text or c.lower() != text.lower())]
-    hits = found.where("__context is not null")
-    contexts = hits.select(F.col("__row").alias("row"), F.explode("__entities").alias("entity"), F.col("__context").alias("context"))
-    words = hits.select(F.col("__row").alias("row"), F.col("__words").alias("terms"))
+    kept = [c for c in without(docs, "spans").columns if keep_text or c.lower() != text.lower()]
+    named = docs.select(*[F.col(f"`{c}`").alias(f"c{n}") for n, c in enumerate(kept)], raw(text).alias("__raw"))
+
+    hits = stored(found_contexts(docs, text), "personal-contexts")
+    contexts = hits.select("row", F.explode("entities").alias("entity"), "context")
+    words = hits.select("row", F.col("words").alias("terms"))
     reveals = stored(disclosing_terms(contexts, words, term_counts(docs, text), docs.count(), support, threshold), "revealing-terms")
-    if everywhere:
-        met = terms_of_rows(found, text).join(reveals.groupBy("term").agg(F.max("disclosure").alias("disclosure")), "term")
+    asked = reveals.groupBy("term").agg(F.max("disclosure").alias("disclosure")) if everywhere else reveals
+    if asked.count() <= held:
+        terms: dict = {}
+        for r in asked.toLocalIterator():
+            if everywhere:
+                terms[r["term"]] = r["disclosure"]
+            else:
+                terms.setdefault(r["entity"], {})[r["term"]] = r["disclosure"]
+        if everywhere:
+            found = add_spans(named, lambda t, _: spans_of(t, terms))
+        else:
+            found = add_spans(named, lambda t, _: spans_of(t, {}, terms))
     else:
-        met = contexts.withColumnRenamed("row", "__row").join(reveals, "entity").groupBy("__row", "term").agg(F.max("disclosure").alias("disclosure"))
-    terms = stored(met.groupBy("__row").agg(F.collect_list(F.struct("term", "disclosure")).alias("__terms")), "terms-of-rows")
-    marked = found.join(terms, "__row", "left").withColumn("__hit", F.when(F.col("__terms").isNotNull(), raw(text)))
-    return add_term_spans(marked.select(*kept, "__spans", "__hit", "__terms"))
+        rows = stored(named.withColumn("__row", F.monotonically_increasing_id()), "numbered-texts")
+        packed = terms_of_rows(rows.select(F.col("__row").alias("row"), F.col("__raw").alias("raw")))
+        met = packed.join(asked, "term")
+        if everywhere:
+            met = met.select("term", "disclosure", F.explode("rows").alias("__row"))
+        else:
+            # the entities of a row, to keep the terms that reveal one of them
+            own = entities_of_rows(rows).withColumnRenamed("row", "__row")
+            met = met.select("entity", "term", "disclosure", F.explode("rows").alias("__row")).join(own, ["__row", "entity"], "left_semi")
+        of_row = met.groupBy("__row", "term").agg(F.max("disclosure").alias("disclosure")).groupBy("__row").agg(
+            F.collect_list(F.struct("term", "disclosure")).alias("__terms"))
+        marked = rows.join(stored(of_row, "terms-of-rows"), "__row", "left").drop("__row")
+        found = add_spans(marked, lambda t, own: spans_of(t, {x["term"]: x["disclosure"] for x in own or ()}))
+    return found.select(*[F.col(f"c{n}").alias(c) for n, c in enumerate(kept)], F.col("__spans").alias("spans"))
+
+
+def entities_of_rows(rows: DataFrame) -> DataFrame:
+    """(row, entity) of the base spans of the texts."""
+
+    def start():
+        def step(batch):
+            found = [inspect(t.decode("utf-8", "replace"))[1] for t in batch.column("__raw").to_pylist()]
+            owner = pa.array([n for n, es in enumerate(found) for _ in es], pa.int64())
+            return pa.RecordBatch.from_arrays([batch.column("__row").take(owner), pa.array([e for es in found for e in es], pa.int64())], names=["row", "entity"])
+
+        return step
+
+    return map_batches(rows.select("__row", "__raw"), start, "row long, entity long")
 
 
 def replacement(kind: str, value: str, disclosure: float | None) -> str:

@@ -5,6 +5,8 @@ import re
 
 from hypothesis import given, settings, strategies as st
 
+import pytest
+
 from pactframe.llm import pii_sanitise as ps
 from pactframe.llm.queries import QUERIES
 from tests.llm.conftest import EDGES, FOLDER
@@ -115,3 +117,17 @@ def test_terms_are_found_in_documents_without_the_entity(docs):
     assert [(s.kind, s.start, s.end) for s in rows[600].spans] == [("term", 0, 7)] and not rows[3].spans
     clean = {r.doc_id: r.text for r in ps.sanitise(docs(corpus()), everywhere=True).collect()}
     assert all("Zorblax" not in t for t in clean.values()) and len(clean) == len(corpus())
+
+
+@pytest.mark.parametrize("everywhere", [False, True])
+def test_joined_terms_give_what_held_ones_give(spark, docs, monkeypatch, everywhere):
+    monkeypatch.setattr(ps, "PACKED", 50)
+    rows = docs([*corpus(), *EDGES])
+    got = [sorted(map(repr, ps.scan(rows, everywhere=everywhere, held=held).collect())) for held in (ps.HELD, 0)]
+    assert got[0] == got[1] and any("kind='term'" in r for r in got[0])
+
+
+def test_own_columns_with_odd_names_stay(spark):
+    df = spark.createDataFrame([(1, "x@y.org", "a", "b", "c")], "doc_id long, text string, __hit string, __row string, row string")
+    found = ps.scan(df)
+    assert found.columns == [*df.columns, "spans"] and tuple(found.first())[:5] == (1, "x@y.org", "a", "b", "c")
