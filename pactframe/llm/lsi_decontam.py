@@ -35,6 +35,7 @@ LEAST_COSINE = 0.3
 LEAST_SHARE = 0.7  # of an item's weight that a window must hold in order
 LEAST_ANSWER = 0.5
 SMALLEST_WINDOW = 16
+HITS = 1 << 16  # words of windows compared at a time
 
 # Letters and digits of ASCII stay, capitals become small, the rest parts words; bytes of other scripts stay.
 PLAIN = bytes(
@@ -100,46 +101,51 @@ def make_block(rows: list) -> Block:
 # ------------------------------------------------- counts and latent space
 
 
-def count_terms(docs: DataFrame, block: Block, fit_documents: int | None) -> DataFrame:
-    """Rows (term, n, passage): document counts of the vocabulary by task, and the passages of all documents.
+def numbered(docs: DataFrame, block: Block, fit_documents: int | None) -> DataFrame:
+    """The rows with ``line``, the vocabulary's number of each word of ``raw`` or -1, instead of it, and ``fit``.
 
-    With ``fit_documents`` only about so many documents give passages, chosen by
+    With ``fit_documents`` only about so many documents are fitted on, chosen by
     the hash of the text, so copies are among them together or not at all.
     """
     fit = F.lit(True)
     if fit_documents is not None:
         fit = F.xxhash64("raw") / F.lit(2.0**64) + 0.5 < min(1.0, fit_documents / max(docs.count(), 1))
-    rows = docs.select("raw", fit.alias("fit"))
+    rows = docs.select("doc", fit.alias("fit"), "raw")
     vocabulary = block.vocabulary
 
     def run(batches):
-        counts, get = np.zeros(len(vocabulary), np.int64), vocabulary.get
-        passages = []
         for batch in batches:
             for part in chunks(batch):
-                for text, fit in zip(part.column("raw").to_pylist(), part.column("fit").to_pylist()):
-                    words = words_of(text)
-                    line = np.fromiter((get(w, -1) for w in words), "<i4", len(words))
-                    some = np.unique(line)
-                    counts[some[some >= 0]] += 1
-                    if fit:
-                        for at in range(0, len(line), PASSAGE):
-                            ids = line[at : at + PASSAGE]
-                            ids = ids[ids >= 0]
-                            if len(ids):
-                                passages.append(ids.tobytes())
-                if len(passages) > 10_000:
-                    yield table_of([-1] * len(passages), [0] * len(passages), passages)
-                    passages = []
-        some = np.flatnonzero(counts)
-        yield table_of([*some.tolist(), *[-1] * len(passages)], [*counts[some].tolist(), *[0] * len(passages)], [None] * len(some) + passages)
-
-    return rows.mapInArrow(run, "term int, n long, passage binary")
-
-
-def table_of(term, n, passage) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(term, pa.int32()), pa.array(n, pa.int64()), pa.array(passage, pa.binary())], names=["term", "n", "passage"])
+                lines = pa.array([line_of(t, vocabulary).tobytes() for t in part.column("raw").to_pylist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column("doc"), part.column("fit"), lines], names=["doc", "fit", "line"])
+
+    return rows.mapInArrow(run, f"doc {docs.schema['doc'].dataType.simpleString()}, fit boolean, line binary")
+
+
+def line_of(text: bytes, vocabulary: dict[bytes, int]) -> np.ndarray:
+    words = words_of(text)
+    return np.array([vocabulary.get(w, -1) for w in words], "<i4")
+
+
+def count_terms(lines: DataFrame, size: int) -> DataFrame:
+    """(term, n): documents with the term, by task, to be summed."""
+
+    def run(batches):
+        counts = np.zeros(size + 1, np.int64)
+        for batch in batches:
+            for line in batch.column("line").to_pylist():
+                counts[np.unique(np.frombuffer(line, "<i4"))] += 1
+        some = np.flatnonzero(counts[:size])
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(counts[some])], names=["term", "n"])
+
+    return lines.select("line").mapInArrow(run, "term int, n long")
+
+
+def passages_of(line: bytes) -> list[np.ndarray]:
+    """The vocabulary's words in each PASSAGE words of a line."""
+    ids = np.frombuffer(line, "<i4")
+    parts = (ids[at : at + PASSAGE] for at in range(0, len(ids), PASSAGE))
+    return [p for p in (p[p >= 0] for p in parts) if len(p)]
 
 
 DENSE = 64  # a term in more than one of so many passages gets a column of a dense matrix
@@ -181,41 +187,59 @@ def gram_times(passages: list[np.ndarray], weight: np.ndarray, matrix: np.ndarra
 ROWS_AT_ONCE = 2048
 
 
-def sketch(passages: DataFrame, items: list[np.ndarray], weight: np.ndarray, matrix: np.ndarray) -> np.ndarray:
-    """``gram_times`` over the passages as a Spark job, and over the items; sums are formed per slice of terms."""
+LEVEL = 64  # partial sums of a slice that one task adds at the first level, as a share of all
+
+
+def sketch(lines: DataFrame, items: list[np.ndarray], weight: np.ndarray, matrix: np.ndarray) -> np.ndarray:
+    """``gram_times`` over the passages of the lines as a Spark job, and over the items.
+
+    Sums are formed per slice of terms, in two levels; each task adds its
+    partial sums as a stream and holds one sum per slice.
+    """
     wide = matrix.shape[1]
 
+    def pieces(sums):
+        for n, total in sorted(sums.items()):
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int32()), pa.array([total.astype(matrix.dtype).tobytes()], pa.binary())],
+                                             names=["slice", "sums"])
+
     def run(batches):
         total, waiting = np.zeros_like(matrix), []
         for batch in batches:
-            waiting += [np.frombuffer(p, "<i4") for p in batch.column("passage").to_pylist()]
-            if len(waiting) >= 4096:
-                total += gram_times(waiting, weight, matrix)
-                waiting = []
+            for line in batch.column("line").to_pylist():
+                waiting += passages_of(line)
+                if len(waiting) >= 4096:
+                    total += gram_times(waiting, weight, matrix)
+                    waiting = []
         total += gram_times(waiting, weight, matrix)
-        for n, at in enumerate(range(0, len(total), ROWS_AT_ONCE)):
-            piece = total[at : at + ROWS_AT_ONCE]
-            if piece.any():
-                yield pa.RecordBatch.from_arrays([pa.array([n], pa.int32()), pa.array([piece.tobytes()], pa.binary())], names=["slice", "sums"])
+        slices = ((n, total[at : at + ROWS_AT_ONCE]) for n, at in enumerate(range(0, len(total), ROWS_AT_ONCE)))
+        yield from pieces({n: piece for n, piece in slices if piece.any()})
 
-    def add(rows: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(v, matrix.dtype).astype(np.float64) for v in rows.column("sums").to_pylist())
-        return pa.table({"slice": rows.column("slice").slice(0, 1), "sums": pa.array([total.astype(matrix.dtype).tobytes()], pa.binary())})
+    def add(batches):
+        sums = {}
+        for batch in batches:
+            for n, part in zip(*(batch.column(c).to_pylist() for c in ("slice", "sums"))):
+                part = np.frombuffer(part, matrix.dtype).astype(np.float64)
+                sums[n] = sums[n] + part if n in sums else part
+        yield from pieces(sums)
 
     out = gram_times(items, weight, matrix)
-    for r in passages.mapInArrow(run, "slice int, sums binary").groupBy("slice").applyInArrow(add, "slice int, sums binary").collect():
+    schema = "slice int, sums binary"
+    made = lines.where("fit").select("line").mapInArrow(run, schema)
+    level = made.withColumn("part", F.pmod(F.xxhash64("sums"), F.lit(LEVEL))).repartition("slice", "part").select("slice", "sums").mapInArrow(add, schema)
+    for r in level.repartition("slice").mapInArrow(add, schema).collect():
         piece = np.frombuffer(r.sums, matrix.dtype).reshape(-1, wide)
         out[r.slice * ROWS_AT_ONCE : r.slice * ROWS_AT_ONCE + len(piece)] += piece
     return out
 
 
-def latent_space(passages: DataFrame, block: Block, weight: np.ndarray, rank: int, seed: int = 11) -> np.ndarray:
+def latent_space(lines: DataFrame, block: Block, weight: np.ndarray, rank: int, seed: int = 11) -> np.ndarray:
     """Leading right singular vectors of the weighted term matrix, terms by at most ``rank`` directions."""
     wide = min(rank + EXTRA, len(weight))
     basis = np.random.default_rng(seed).standard_normal((len(weight), wide)).astype(np.float32)
     for _ in range(POWER):
-        basis = np.linalg.qr(sketch(passages, block.words, weight, basis))[0]
-    image = sketch(passages, block.words, weight, basis)
+        basis = np.linalg.qr(sketch(lines, block.words, weight, basis))[0]
+    image = sketch(lines, block.words, weight, basis)
     small = basis.T @ image
     values, vectors = np.linalg.eigh((small + small.T) / 2)
     return (basis @ vectors[:, np.argsort(-values)[:rank]]).astype(np.float32)
@@ -250,18 +274,18 @@ class Finder:
         self.classes = [(int(w), np.flatnonzero(window == w)) for w in np.unique(window)]
         self.kinds = [(k, n * weight[k]) for k, n in (np.unique(w, return_counts=True) for w in block.words)]
 
-    def find(self, texts: list[bytes]) -> list[list[tuple[int, float, float, float]]]:
-        """For each text its items with cosine, weight share in order, and share of the answer."""
-        found: list[list] = [[] for _ in texts]
-        get = self.block.vocabulary.get
+    def find_in(self, texts: list[bytes]):
+        return self.find([line_of(t, self.block.vocabulary) for t in texts])
+
+    def find(self, lines: list[np.ndarray]) -> list[list[tuple[int, float, float, float]]]:
+        """For each line its items with cosine, weight share in order, and share of the answer."""
+        found: list[list] = [[] for _ in lines]
         gap = self.classes[-1][0]
         ids, starts, at = [], [], 0
-        for text in texts:
-            words = words_of(text)
+        for own in lines:
             starts.append(at)
-            ids.append(np.fromiter((get(w, -1) for w in words), np.int32, len(words)))
-            ids.append(np.full(gap, -1, np.int32))
-            at += len(words) + gap
+            ids += [own, np.full(gap, -1, np.int32)]
+            at += len(own) + gap
         if not at:
             return found
         line = np.concatenate(ids)
@@ -275,7 +299,8 @@ class Finder:
             low, high = np.searchsorted(hits, left), np.searchsorted(hits, left + size)
             # a window lighter than the share of the lightest item cannot hold any item's share
             heavy = np.flatnonzero(total[high] - total[low] >= LEAST_SHARE * self.mass[members].min() - 1e-6)
-            for part in np.array_split(heavy, max(1, len(heavy) // 4096)):
+            # parts of about HITS words, however many each window holds
+            for part in np.split(heavy, np.flatnonzero(np.diff(np.cumsum(high[heavy] - low[heavy]) // HITS)) + 1):
                 last = -1
                 for window, item, cosine in self.near(terms, low[part], high[part], members):
                     if window != last:
@@ -326,22 +351,23 @@ class Finder:
         return (share, answered) if answered >= LEAST_ANSWER else None
 
 
-def fitted(docs: DataFrame, items: DataFrame, item_key: str, item_text: str, text: str, rank: int, fit_documents: int | None, block_chars: int):
-    """The parts of a Finder for each block of the benchmark: block, weights, latent space."""
-    texts = docs.select(raw(text).alias("raw"))
+def fitted(docs: DataFrame, items: DataFrame, item_key: str, item_text: str, rank: int, fit_documents: int | None, block_chars: int):
+    """For each block of the benchmark the parts of a Finder (block, weights, latent space) and the lines of ``docs`` (doc, raw).
+
+    Texts are taken apart once a block; all later steps read the stored lines.
+    """
     for rows in read_blocks(items, item_key, item_text, block_chars):
         block = make_block(rows)
         if not block.keys:
             continue
-        counted = stored(count_terms(texts, block, fit_documents), "benchmark-terms")
-        number = max(docs.count(), 1)
+        lines = stored(numbered(docs, block, fit_documents), "benchmark-lines")
+        number = max(lines.count(), 1)
         seen = np.zeros(len(block.vocabulary))
-        for r in counted.where("term >= 0").groupBy("term").agg(F.sum("n").alias("n")).collect():
+        for r in count_terms(lines, len(seen)).groupBy("term").agg(F.sum("n").alias("n")).collect():
             seen[r.term] = r.n
         # squared, so that rare words carry a passage and common ones hardly count
         weight = np.log((number + 2) / (seen + 1)) ** 2
-        space = latent_space(counted.where("term < 0").select("passage"), block, weight, rank)
-        yield block, weight, space
+        yield (block, weight, latent_space(lines, block, weight, rank)), lines
 
 
 def find_items(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text",
@@ -357,39 +383,36 @@ def find_items(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
     doc_kind, item_kind = (df.schema[k].dataType.simpleString() for df, k in ((docs, key), (items, item_key)))
     schema = f"doc {doc_kind}, item {item_kind}, cosine double, share double, answer_share double"
     out = docs.sparkSession.createDataFrame([], schema)
-    for parts in fitted(docs, items, item_key, item_text, text, rank, fit_documents, block_chars):
+    key_type = items.select(item_key).limit(0).toArrow().schema.field(0).type
+    for parts, lines in fitted(rows, items, item_key, item_text, rank, fit_documents, block_chars):
 
         def run(batches, parts=parts):
             finder = Finder(*parts)
             for batch in batches:
                 for part in chunks(batch):
-                    found = finder.find(part.column("raw").to_pylist())
+                    found = finder.find([np.frombuffer(line, "<i4") for line in part.column("line").to_pylist()])
                     owner = [n for n, f in enumerate(found) for _ in f]
                     flat = [f for fs in found for f in fs]
                     columns = [part.column("doc").take(pa.array(owner, pa.int64()))]
-                    columns.append(pa.array([finder.block.keys[f[0]] for f in flat], part_type(item_kind)))
+                    columns.append(pa.array([finder.block.keys[f[0]] for f in flat], key_type))
                     columns += [pa.array([f[k] for f in flat], pa.float64()) for k in (1, 2, 3)]
                     yield pa.RecordBatch.from_arrays(columns, names=["doc", "item", "cosine", "share", "answer_share"])
 
-        out = out.unionByName(rows.mapInArrow(run, schema))
+        out = out.unionByName(lines.select("doc", "line").mapInArrow(run, schema))
     return out.select(F.col("doc").alias(key), F.col("item").alias(item_key), "cosine", "share", "answer_share")
 
 
-def part_type(kind: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "smallint": pa.int16()}[kind]
-
-
 def without_items(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text",
                   rank: int = RANK, fit_documents: int | None = FIT_DOCUMENTS, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The documents in which no benchmark item is found, with their columns.  No shuffle of documents."""
-    out = docs
-    for parts in fitted(docs, items, item_key, item_text, text, rank, fit_documents, block_chars):
+    out, rows = docs, docs.select(F.lit(0).alias("doc"), raw(text).alias("raw"))
+    for parts, _ in fitted(rows, items, item_key, item_text, rank, fit_documents, block_chars):
 
         def run(batches, parts=parts):
             finder = Finder(*parts)
             for batch in batches:
                 for part in chunks(batch):
-                    clean = [not f for f in finder.find(part.column("__raw").to_pylist())]
+                    clean = [not f for f in finder.find_in(part.column("__raw").to_pylist())]
                     yield part.filter(pa.array(clean, pa.bool_())).drop_columns(["__raw"])
 
         schema = without(out, "__raw").schema

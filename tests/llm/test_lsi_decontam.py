@@ -72,12 +72,12 @@ def test_recall_of_the_latent_search_against_brute_force(spark, documents):
         for _ in range(5):
             words = [w if rng.random() > 0.1 else rng.choice(pool) for w in t.split()]
             texts.append(" ".join([*rng.choices(pool, k=40), *words, *rng.choices(pool, k=40)]).encode())
-    df = spark.createDataFrame([(n, t) for n, t in documents.items()], "doc_id long, text string")
-    ((block, weight, space),) = ld.fitted(df, bench(spark, items), "item_id", "text", "text", ld.RANK, ld.FIT_DOCUMENTS, ld.BLOCK_CHARS)
+    df = spark.createDataFrame([(n, (t or "").encode()) for n, t in documents.items()], "doc long, raw binary")
+    (((block, weight, space), _),) = ld.fitted(df, bench(spark, items), "item_id", "text", ld.RANK, ld.FIT_DOCUMENTS, ld.BLOCK_CHARS)
     finder = ld.Finder(block, weight, space)
-    searched = finder.find(texts)
+    searched = finder.find_in(texts)
     finder.near = lambda terms, low, high, members: ((w, int(m), 1.0) for w in range(len(low)) if high[w] > low[w] for m in members)
-    exact = finder.find(texts)
+    exact = finder.find_in(texts)
     want = {(n, f[0]) for n, fs in enumerate(exact) for f in fs}
     got = {(n, f[0]) for n, fs in enumerate(searched) for f in fs}
     assert got <= want and len(want) > 100
@@ -112,10 +112,13 @@ def test_empty_tables(spark, docs):
 def test_the_latent_space_is_fitted_on_all_documents(spark):
     """More documents than the former sample of 2,048, each a passage of its own."""
     words = ITEM.split()
-    rows = spark.createDataFrame([(f"{n} {words[n % 9]} {words[n % 11]}".encode(),) for n in range(5000)], "raw binary")
+    rows = spark.createDataFrame([(n, f"{n} {words[n % 9]} {words[n % 11]}".encode()) for n in range(5000)], "doc long, raw binary")
     block = ld.make_block([(1, ITEM)])
-    assert ld.count_terms(rows, block, ld.FIT_DOCUMENTS).where("term < 0").count() == 5000
-    assert ld.count_terms(rows, block, 100).where("term < 0").count() < 1000
+    lines = ld.numbered(rows, block, ld.FIT_DOCUMENTS)
+    assert lines.where("fit").count() == 5000 and ld.numbered(rows, block, 100).where("fit").count() < 1000
+    weight, matrix = np.ones(len(block.vocabulary)), np.random.default_rng(0).standard_normal((len(block.vocabulary), 4))
+    passages = [p for r in lines.collect() for p in ld.passages_of(r.line)]
+    assert np.allclose(ld.sketch(lines, block.words, weight, matrix), ld.gram_times(passages + block.words, weight, matrix))
 
 
 def test_gram_times_equals_the_plain_product():
@@ -127,3 +130,22 @@ def test_gram_times_equals_the_plain_product():
         np.add.at(plain[n], ids, weight[ids])
         plain[n] /= np.linalg.norm(plain[n])
     assert np.allclose(ld.gram_times(passages, weight, matrix), plain.T @ (plain @ matrix))
+
+
+@pytest.mark.parametrize("kind, keys", [("double", (1.5, -2.0)), ("decimal(20,3)", ("1.500", "7.000")), ("string", ("a", "b")), ("date", ("2024-01-01", "2024-02-01"))])
+def test_item_keys_of_any_type(spark, docs, kind, keys):
+    items = bench(spark, [(1, ITEM), (2, "another item whose words nobody has written so far")])
+    named = items.selectExpr(f"cast(case item_id when 1 then '{keys[0]}' else '{keys[1]}' end as {kind}) as item_id", "text")
+    found = ld.find_items(docs([(6, f"x {ITEM} y"), *enumerate(FILL, 10)]), named)
+    assert dict(found.dtypes)["item_id"] == kind and [str(r.item_id) for r in found.collect()] == [str(keys[0])]
+
+
+def test_windows_are_compared_in_bounded_parts(monkeypatch):
+    rng = np.random.default_rng(4)
+    words = [f"w{n}" for n in rng.integers(0, 200, 3000)]
+    block = ld.make_block([(1, " ".join(words[:900])), (2, " ".join(words[900:960]))])
+    finder = ld.Finder(block, np.ones(len(block.vocabulary)), np.eye(len(block.vocabulary), 16, dtype=np.float32))
+    texts = [" ".join(words).encode(), b"", " ".join(words[880:980]).encode()]
+    want = finder.find_in(texts)
+    monkeypatch.setattr(ld, "HITS", 1000)
+    assert finder.find_in(texts) == want and {f[0] for f in want[0]} == {0, 1} and want[1] == []
