@@ -26,6 +26,7 @@ BASE = KINDS[:4]
 SUPPORT = 3  # documents of distinct words in which term and entity meet
 GENERALISE = 0.8  # share of the entity's information from which a term is generalised
 REMOVE = 0.95
+HELD = 100_000  # terms that each task may hold; more are joined
 
 # The quantifiers that never give back are those whose next character could not be one of them;
 # they find the same and stay linear in the text.
@@ -141,8 +142,8 @@ def found_contexts(docs: DataFrame, text: str) -> DataFrame:
 # --------------------------------------------------------------- disclosure
 
 
-def term_counts(docs: DataFrame, text: str) -> DataFrame:
-    """(term, n) per task and about every 200,000 terms: documents with the term, to be summed."""
+def term_counts(docs: DataFrame, text: str, wanted: frozenset[str] | None = None) -> DataFrame:
+    """(term, n) per task and about every 200,000 terms: documents with the term, to be summed; of ``wanted`` terms if given."""
 
     def run(batches):
         count: Counter[str] = Counter()
@@ -153,7 +154,8 @@ def term_counts(docs: DataFrame, text: str) -> DataFrame:
         for batch in batches:
             for part in range(0, batch.num_rows, 256):
                 for t in batch.column("raw").slice(part, 256).to_pylist():
-                    count.update(set(WORD.findall(t.decode("utf-8", "replace").lower())))
+                    terms = set(WORD.findall(t.decode("utf-8", "replace").lower()))
+                    count.update(terms if wanted is None else terms & wanted)
                 if len(count) > 200_000:
                     yield rows()
                     count.clear()
@@ -162,12 +164,13 @@ def term_counts(docs: DataFrame, text: str) -> DataFrame:
     return docs.select(raw(text).alias("raw")).mapInArrow(run, "term string, n long")
 
 
-def disclosing_terms(contexts: DataFrame, words: DataFrame, counts: DataFrame, documents: int, support: int = SUPPORT, threshold: float = GENERALISE) -> DataFrame:
+def disclosing_terms(contexts: DataFrame, words: DataFrame, docs: DataFrame, text: str, support: int, threshold: float, held: int) -> DataFrame:
     """(entity, term, disclosure) of the terms that reveal at least ``threshold`` of an entity.
 
     ``contexts`` has row, entity, context, and ``words`` the row and its terms.
     Equal contexts count once, so copies of a document are no evidence.
-    ``counts`` are the document counts of terms, which may come in parts.
+    Terms are counted over all texts of ``docs``; tasks count only those that
+    meet an entity while these are no more than ``held``.
     """
     places = contexts.groupBy("entity", "context").agg(F.min("row").alias("row"))
     # an entity in fewer places than the support cannot meet any term often enough
@@ -175,9 +178,11 @@ def disclosing_terms(contexts: DataFrame, words: DataFrame, counts: DataFrame, d
     met = places.join(own.select("entity"), "entity").join(words, "row")
     pairs = met.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("n_te"))
     pairs = stored(pairs.where(F.col("n_te") >= support), "term-entity-pairs")
+    terms = stored(pairs.select("term").distinct(), "paired-terms")
+    few = frozenset(r["term"] for r in terms.toLocalIterator()) if terms.count() <= held else None
     # summed first, so that the join meets each term once
-    seen = counts.groupBy("term").agg(F.sum("n").alias("n_t")).join(pairs.select("term").distinct(), "term", "left_semi")
-    total = F.lit(float(max(documents, 1)))
+    seen = term_counts(docs, text, few).groupBy("term").agg(F.sum("n").alias("n_t")).join(terms, "term", "left_semi")
+    total = F.lit(float(max(docs.count(), 1)))
     # a term cannot be counted less often than it meets the entity
     n_t = F.greatest("n_t", "n_te")
     content = F.log2(total / F.col("n_e"))
@@ -231,9 +236,6 @@ FULL_SPAN = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("
 FULL_KIND = "array<struct<kind:string,start:int,end:int,disclosure:double>>"
 
 
-HELD = 100_000  # revealing terms of entities that each task may hold as a dictionary
-
-
 def spans_of(text: str, terms: dict[str, float], revealed: dict[int, dict[str, float]] | None = None) -> list[dict]:
     """All spans of a text: the base ones, and those of ``terms``, or of the terms that ``revealed`` gives for its entities."""
     base = base_spans(text)
@@ -275,8 +277,8 @@ def scan(docs: DataFrame, text: str = "text", support: int = SUPPORT, threshold:
     empty text has no spans; repeated rows get the same spans; a same-named
     input column is replaced, all others are passed on.
 
-    Texts are read three times and never stored or shuffled while the revealing
-    terms are no more than ``held``: tasks then look them up.  More of them are
+    Texts are read three times and never stored or shuffled while the terms in
+    question are no more than ``held``: tasks then look them up.  More of them are
     joined to the terms of the texts, which are packed by task; rows are found
     again by a number given when they are written.  The result is the same.
     """
@@ -286,7 +288,7 @@ def scan(docs: DataFrame, text: str = "text", support: int = SUPPORT, threshold:
     hits = stored(found_contexts(docs, text), "personal-contexts")
     contexts = hits.select("row", F.explode("entities").alias("entity"), "context")
     words = hits.select("row", F.col("words").alias("terms"))
-    reveals = stored(disclosing_terms(contexts, words, term_counts(docs, text), docs.count(), support, threshold), "revealing-terms")
+    reveals = stored(disclosing_terms(contexts, words, docs, text, support, threshold, held), "revealing-terms")
     asked = reveals.groupBy("term").agg(F.max("disclosure").alias("disclosure")) if everywhere else reveals
     if asked.count() <= held:
         terms: dict = {}
