@@ -48,11 +48,15 @@ select concat('p', cast(l_orderkey as string), '-', cast(l_linenumber as string)
 from {lineitem}
 """,
     "dom_verification_audit": r"""
-select concat(cast(event_id as string), '-', cast(l_partkey as string), '-', cast(l_suppkey as string)) as id,
-  case when event_id % 29 = 0 then concat('x', cast(event_id as string)) else concat('p', cast(l_orderkey as string), '-', cast(l_linenumber as string), '-', cast(l_partkey as string), '-', cast(l_suppkey as string), '-', cast(cast(round(l_extendedprice * 100) as bigint) as string)) end as data_point_id, user_id,
+select cast(event_id as string) as id,
+  case when event_id % 29 = 0 or point_id is null then concat('x', cast(event_id as string)) else point_id end as data_point_id, user_id,
   case event_type when 'view' then 'accepted' when 'click' then 'corrected' when 'purchase' then 'rejected' else 'reopened' end as action,
   case when event_type = 'click' then concat('v', cast(event_id % 50 as string)) else null end as value_after, ts as created_at
-from {events} join {lineitem} on l_orderkey = event_id - event_id % 3 and l_linenumber = 1 + cast(floor(event_id / 3) as bigint) % 4
+from {events} left join (
+  select l_orderkey, l_linenumber,
+    min(concat('p', cast(l_orderkey as string), '-', cast(l_linenumber as string), '-', cast(l_partkey as string), '-', cast(l_suppkey as string), '-', cast(cast(round(l_extendedprice * 100) as bigint) as string))) as point_id
+  from {lineitem} group by l_orderkey, l_linenumber) lines
+  on l_orderkey = event_id - event_id % 3 and l_linenumber = 1 + cast(floor(event_id / 3) as bigint) % 4
 where event_type <> 'error'
 """,
     "dom_analyses": r"""
