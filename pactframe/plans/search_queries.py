@@ -1,9 +1,11 @@
 """Full-text search queries."""
 
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from pactframe.functions.stemmer import stem
-from pactframe.operators import search
+from pactframe.operators import search, search_index
 from pactframe.plans.registry import register
 from pactframe.plans.stem_sql import postings_cte
 from pactframe.session import new_folder
@@ -33,26 +35,48 @@ FOUND = f"""{postings_cte(DOCS)}, {MATCHES},
     join dom_contracts c on c.id = d.contract_id where c.{TENANTS} order by m.score desc, m.doc_id limit 40)"""
 
 
-# Postings already stored by this application: (application, tables, name) to their folder.
-_STORED: dict[tuple[str, str, str], str] = {}
+# Indexes already stored by this application: (application, name, version of the input files) to their folder.
+_STORED: dict[tuple, str] = {}
 
 
 def documents(t):
     return t("dom_documents").select("id", "contract_id", "name", "extracted_text")
 
 
-def postings(t, name, rows, query=None):
-    """Stored postings of some rows, written when first asked for; of a query's terms if one is given."""
-    place = (t.spark.sparkContext.applicationId, t.folder, name)
+def version(t, *bases):
+    """A number that changes with the files of the base tables."""
+    files = [t.base(b).select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time") for b in bases]
+    return reduce(DataFrame.unionByName, files).distinct().agg(F.sum(F.xxhash64("*").cast("decimal(38,0)"))).first()[0]
+
+
+def kept(t, name, bases, build):
+    """The folder of an index, built when it is first asked for and again when its input files have changed."""
+    place = (t.spark.sparkContext.applicationId, t.folder, name, version(t, *bases))
     if place not in _STORED:
-        folder = new_folder(t.spark, f"postings-{name}")
-        search.write_postings(search.doc_terms(rows()), folder)
+        folder = new_folder(t.spark, f"index-{name}")
+        build(folder)
         _STORED[place] = folder
-    return search.read_postings(t.spark, _STORED[place], None if query is None else search.query_terms(query))
+    return _STORED[place]
+
+
+def index(t):
+    return kept(t, "documents", ["documents"], lambda folder: search_index.build(documents(t), folder))
+
+
+def everything(t, query=None):
+    """Postings of contracts, documents and findings; of a query's terms if one is given."""
+
+    def build(folder):
+        contracts = t("dom_contracts").select("id", F.col("ref").alias("name"), F.concat_ws(" ", "supplier", "category").alias("extracted_text"))
+        points = t("dom_data_points").select("id", F.col("field").alias("name"), F.concat_ws(" ", "kind", "status").alias("extracted_text"))
+        search.write_postings(search.doc_terms(search.everything({"contract": contracts, "document": documents(t), "finding": points})), folder)
+
+    folder = kept(t, "everything", ["orders", "supplier", "documents", "lineitem"], build)
+    return search.read_postings(t.spark, folder, None if query is None else search.query_terms(query))
 
 
 def asked_terms(t):
-    return postings(t, "documents", lambda: documents(t), QUERY)
+    return search_index.live_postings(t.spark, index(t), search.query_terms(QUERY)).select(*search_index.POSTING)
 
 
 def tenants(t):
@@ -72,6 +96,51 @@ def doc_terms(t):
     )
 
 
+TERM_COUNTS = "select term, count(distinct id) as n from postings group by term union all select null, count(*) from dom_documents"
+
+
+@register("search_index", f"with {postings_cte(DOCS)} {TERM_COUNTS}")
+def build_index(t):
+    """Builds the stored index that the other searches read; how many documents hold each term."""
+    return search_index.term_counts(t.spark, index(t)).select("term", "n")
+
+
+@register(
+    "search_index_refresh",
+    f"""with {postings_cte(DOCS)}, counted as (select term, count(distinct id) as n from postings group by term)
+    select term, n, count(*) as hits, sum(cast(pos as hugeint))::bigint as places from postings join counted using (term) group by term, n""",
+)
+def refresh_index(t):
+    """An index of an earlier state of the documents, brought up to the present one and compacted in part.
+
+    A hundredth of the documents had other words, a hundredth did not exist, and a hundredth existed that are gone.
+    """
+    now = documents(t)
+    changed = F.when(F.col("id") % 100 == 1, F.concat_ws(" ", "extracted_text", F.lit("former wording"))).otherwise(F.col("extracted_text"))
+    gone = now.where("id % 100 = 3").withColumn("id", -F.col("id") - 1)
+    before = now.where("id % 100 <> 2").withColumn("extracted_text", changed).unionByName(gone)
+    folder = new_folder(t.spark, "index-refreshed")
+    search_index.build(before, folder)
+    search_index.refresh(now, folder)
+    search_index.compact(t.spark, folder, [0, 1, 2])
+    live = search_index.live_postings(t.spark, folder).groupBy("term").agg(
+        F.sum(F.size("positions")).alias("hits"), F.sum(F.aggregate("positions", F.lit(0).cast("long"), lambda a, p: a + p)).alias("places"))
+    return live.join(search_index.term_counts(t.spark, folder), "term").select("term", "n", "hits", "places")
+
+
+BM25 = f"""sizes as (select id, sum(case when field = 'A' then 10 else 4 end) / 10.0 as size from postings group by id),
+  corpus as (select (select count(*) from dom_documents) as n, (select sum(size) from sizes) / (select count(*) from dom_documents) as mean),
+  tfs as (select id, term, sum(case when field = 'A' then 10 else 4 end) / 10.0 as tf from postings where term in {terms("ing", "ther", "ble", "wh")} group by id, term),
+  idfs as (select term, ln(1 + (any_value(n) - count(*) + 0.5) / (count(*) + 0.5)) as idf from tfs, corpus group by term),
+  best as (select id as doc_id, round(sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean))), 6) as score
+    from tfs join idfs using (term) join sizes using (id), corpus where id in (select doc_id from matches) group by id)"""
+
+
+@register("search_bm25", f"with {postings_cte(DOCS)}, {MATCHES}, {BM25} select * from best order by score desc, doc_id limit 40")
+def search_bm25(t):
+    return search_index.bm25(t.spark, index(t), QUERY)
+
+
 @register("search_match", f"with {postings_cte(DOCS)}, {MATCHES} select doc_id, score from matches")
 def search_match(t):
     return search.search_match(asked_terms(t), QUERY)
@@ -139,7 +208,7 @@ def search_batch(t):
         "item_id", F.posexplode(F.split("text", r"\.")).alias("i", "query")
     )
     queries = sentences.select((F.col("item_id") * 1000 + F.col("i")).alias("query_id"), "query")
-    return search.search_batch(postings(t, "documents", lambda: documents(t)), queries, 5)
+    return search.search_batch(search_index.live_postings(t.spark, index(t)).select(*search_index.POSTING), queries, 5)
 
 
 EVERYTHING = """select 'contract:' || id as id, ref as name, supplier || ' ' || category as content from dom_contracts
@@ -147,6 +216,15 @@ EVERYTHING = """select 'contract:' || id as id, ref as name, supplier || ' ' ||
     union all select 'finding:' || cast(id as varchar), field, kind || ' ' || status from dom_data_points"""
 
 
+@register(
+    "search_everything_index",
+    f"""with {postings_cte(EVERYTHING)} select split_part(id, ':', 1) as source, term, count(*) as hits from postings group by 1, 2""",
+)
+def build_everything(t):
+    """Builds the stored postings of all kinds of rows; hits by source and term."""
+    return everything(t).groupBy(F.split_part("doc_id", F.lit(":"), F.lit(1)).alias("source"), "term").agg(F.sum("tf").cast("long").alias("hits"))
+
+
 @register(
     "search_everything",
     f"""with {postings_cte(EVERYTHING)},
@@ -157,10 +235,4 @@ EVERYTHING = """select 'contract:' || id as id, ref as name, supplier || ' ' ||
 )
 def search_everything(t):
     query = "urgent or risk or ther"
-
-    def rows():
-        contracts = t("dom_contracts").select("id", F.col("ref").alias("name"), F.concat_ws(" ", "supplier", "category").alias("extracted_text"))
-        points = t("dom_data_points").select("id", F.col("field").alias("name"), F.concat_ws(" ", "kind", "status").alias("extracted_text"))
-        return search.everything({"contract": contracts, "document": documents(t), "finding": points})
-
-    return search.search_everything(postings(t, "everything", rows, query), query)
+    return search.search_everything(everything(t, query), query)
