@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pactframe.functions.columns import instant
 from pactframe.operators.asof import asof_lookup, running_sum
 from pactframe.operators.tenancy import own_or_global
+from pactframe.sources.tables import stored
 
 # Fixed value: the jurisdiction of packs that apply everywhere.
 EVERYWHERE = "ANY"
@@ -42,25 +43,110 @@ def pack_number(pack_id: Column) -> Column:
     return F.conv(F.substring(F.md5(pack_id.cast("string")), 1, 9), 16, 10).cast("long")
 
 
+def _valid(packs: DataFrame) -> DataFrame:
+    """Packs that are in force at some time, with their owner."""
+    return packs.filter(
+        F.col("active")
+        & F.col("effective_from").isNotNull()
+        & (F.col("effective_to").isNull() | (F.col("effective_to") > F.col("effective_from")))
+    ).withColumn("owner", owner_of(F.col("account_id")))
+
+
+def _changes(packs: DataFrame, values: dict[str, Column]) -> DataFrame:
+    """(owner, jurisdiction, at, values): each pack adds its values where it begins and takes them back where it ends."""
+    valid = _valid(packs).select("owner", "jurisdiction", "effective_from", "effective_to", *[v.alias(f"_{n}") for n, v in values.items()])
+    changes = F.array(
+        F.struct(F.col("effective_from").alias("at"), *[F.col(f"_{n}").alias(n) for n in values]),
+        F.struct(F.col("effective_to").alias("at"), *[(-F.col(f"_{n}")).alias(n) for n in values]),
+    )
+    return valid.select("owner", "jurisdiction", F.inline(changes)).filter(F.col("at").isNotNull())
+
+
+def _wide(asked: DataFrame, key: list[str]) -> DataFrame:
+    """The rows once for each time line they ask: global and own, of their jurisdiction and of everywhere."""
+    own = owner_of(F.col("account_id"))
+    places = F.array(*[
+        F.struct(owner.alias("owner"), where.alias("_where"))
+        for owner in (F.lit("*"), own) for where in (F.col("jurisdiction"), F.lit(EVERYWHERE))
+    ])
+    # an analysis of everywhere, or of no account, asks for some lines twice
+    return asked.select(*key, F.inline(F.array_distinct(places)))
+
+
 def pack_timeline(packs: DataFrame) -> DataFrame:
     """Number of packs in force, and the sum of their numbers, after every change.
 
     One time line per (owner, jurisdiction); global packs have the owner ``*``,
     and a pack that applies everywhere has a time line of its own.
     """
-    valid = packs.filter(
-        F.col("active")
-        & F.col("effective_from").isNotNull()
-        & (F.col("effective_to").isNull() | (F.col("effective_to") > F.col("effective_from")))
-    ).select(owner_of(F.col("account_id")).alias("owner"), "jurisdiction", "effective_from", "effective_to", pack_number(F.col("id")).alias("n"))
-    changes = F.array(
-        F.struct(F.col("effective_from").alias("at"), F.lit(1).alias("packs"), F.col("n").alias("pack_ids")),
-        F.struct(F.col("effective_to").alias("at"), F.lit(-1).alias("packs"), (-F.col("n")).alias("pack_ids")),
-    )
-    steps = valid.select("owner", "jurisdiction", F.inline(changes)).filter(F.col("at").isNotNull())
+    steps = _changes(packs, {"packs": F.lit(1), "pack_ids": pack_number(F.col("id"))})
     return running_sum(steps, ["owner", "jurisdiction"], "at", ["packs", "pack_ids"])
 
 
+# ---- the bridge between analyses and packs -----------------------------------
+
+FOREVER = "9999-01-01 00:00:00"
+
+
+def set_timeline(packs: DataFrame) -> DataFrame:
+    """(owner, jurisdiction, at, set_id): the set of packs in force after every change; NULL for none.
+
+    A set is named by its content: its size and two sums of hashes of its pack
+    ids, which follow from the differences at each change, so equal sets of any
+    owner, jurisdiction and time have one name.
+    """
+    second = F.conv(F.substring(F.md5(F.col("id").cast("string")), 10, 9), 16, 10).cast("long")
+    steps = _changes(packs.withColumn("_second", second), {"packs": F.lit(1), "one": pack_number(F.col("id")), "two": F.col("_second")})
+    line = running_sum(steps, ["owner", "jurisdiction"], "at", ["packs", "one", "two"])
+    return line.select("owner", "jurisdiction", "at", F.when(F.col("packs") > 0, F.concat_ws(":", "packs", "one", "two")).alias("set_id"))
+
+
+def analysis_pack_sets(analyses: DataFrame, packs: DataFrame, at: str) -> DataFrame:
+    """The distinct (account_id, jurisdiction, <at>) of the analyses with the ids of the pack sets that graded them.
+
+    One row per set that is not empty, so up to four: of global and of own
+    packs, for the jurisdiction and for everywhere.  The packs of an analysis
+    are those of its sets in ``pack_sets``.
+    """
+    key = ["account_id", "jurisdiction", at]
+    wide = _wide(analyses.select(*key).distinct(), key)
+    asks = wide.select("owner", F.col("_where").alias("jurisdiction"), F.col(at).alias("_asked"))
+    found = asof_lookup(asks, set_timeline(packs), ["owner", "jurisdiction"], "_asked", "at", ["set_id"])
+    found = found.where("set_id is not null").select("owner", F.col("jurisdiction").alias("_where"), F.col("_asked").alias(at), "set_id")
+    return wide.join(found, ["owner", "_where", at]).select(*key, "set_id").distinct()
+
+
+def pack_sets(packs: DataFrame, used: DataFrame | None = None) -> DataFrame:
+    """(set_id, pack_id): the dictionary of distinct pack sets, of those in ``used`` (set_id) if given.
+
+    Each set is listed once, from the first place it is in force.  Places of a
+    time line are numbered, and each pack is in a run of them, whose ends are
+    looked up; so the work grows with the members listed, and no pack is
+    compared with a set that lacks it.
+    """
+    line = set_timeline(packs).where("set_id is not null")
+    if used is not None:
+        line = line.join(used.select("set_id").distinct(), "set_id", "left_semi")
+    on = ["owner", "jurisdiction"]
+    first = stored(line.groupBy("set_id").agg(F.min(F.struct("at", *on)).alias("p")).select("set_id", "p.*"), "pack-set-places")
+    places = stored(running_sum(first.withColumn("place", F.lit(1)), on, "at", ["place"]), "pack-set-numbers")
+    valid = _valid(packs).select(F.col("id").alias("pack_id"), *on, "effective_from",
+                                 F.coalesce("effective_to", F.lit(FOREVER).cast("timestamp")).alias("effective_to"))
+    ends = valid.select(*on, F.explode(F.array("effective_from", "effective_to")).alias("end"))
+    before = asof_lookup(ends, places.withColumn("_at", F.col("at")), on, "end", "at", ["_at", "place"]).select(
+        # places earlier than the end itself
+        *on, "end", F.coalesce(F.col("place") - (F.col("_at") == F.col("end")).cast("int"), F.lit(0)).alias("earlier"))
+    before = stored(before, "pack-set-ends")
+
+    def looked_up(column, name):
+        return before.select(*on, F.col("end").alias(column), F.col("earlier").alias(name))
+
+    runs = valid.join(looked_up("effective_from", "_begin"), [*on, "effective_from"]).join(looked_up("effective_to", "_end"), [*on, "effective_to"])
+    members = runs.where("_end > _begin").select("pack_id", *on, F.explode(F.sequence(F.col("_begin") + 1, F.col("_end"))).alias("place"))
+    named = first.join(places, [*on, "at"]).select(*on, "place", "set_id")
+    return members.join(named, [*on, "place"]).select("set_id", "pack_id")
+
+
 def owner_of(account_id: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), account_id.cast("string")), F.lit("*"))
 
@@ -76,14 +162,7 @@ def policy_snapshot(analyses: DataFrame, packs: DataFrame, at: str) -> DataFrame
     equal pack sets are equal, and of different ones differ but for chance.
     """
     key = ["account_id", "jurisdiction", at]
-    asked = analyses.select(*key).distinct()
-    own = owner_of(F.col("account_id"))
-    places = F.array(*[
-        F.struct(owner.alias("owner"), where.alias("_where"))
-        for owner in (F.lit("*"), own) for where in (F.col("jurisdiction"), F.lit(EVERYWHERE))
-    ])
-    # an analysis of everywhere, or of no account, asks for some lines twice
-    wide = asked.select(*key, F.inline(F.array_distinct(places)))
+    wide = _wide(analyses.select(*key).distinct(), key)
     asks = wide.select("owner", F.col("_where").alias("jurisdiction"), F.col(at).alias("_asked"))
     found = asof_lookup(asks, pack_timeline(packs), ["owner", "jurisdiction"], "_asked", "at", ["packs", "pack_ids"])
     found = found.select("owner", F.col("jurisdiction").alias("_where"), F.col("_asked").alias(at), "packs", "pack_ids")

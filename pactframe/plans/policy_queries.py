@@ -39,10 +39,13 @@ def policy_rules(t):
     return policy.policy_rules(t("dom_policy_packs").select("id", "pack_key", "version", "rules"))
 
 
+GRADED = """graded as (select id as contract_id, account_id, case account_id % 4 when 0 then 'GB' when 1 then 'EU' when 2 then 'US' else 'CH' end as jurisdiction,
+      cast(start_date as timestamp) as graded_at from dom_contracts)"""
+
+
 @register(
     "analysis_policy_snapshot",
-    """with graded as (select id as contract_id, account_id, case account_id % 4 when 0 then 'GB' when 1 then 'EU' when 2 then 'US' else 'CH' end as jurisdiction,
-      cast(start_date as timestamp) as graded_at from dom_contracts)
+    f"""with {GRADED}
     select g.contract_id, g.account_id, g.jurisdiction, g.graded_at,
       count(p.id) filter (where p.account_id is null) as global_packs,
       count(p.id) filter (where p.account_id is not null) as own_packs,
@@ -53,11 +56,38 @@ def policy_rules(t):
     group by all""",
 )
 def analysis_policy_snapshot(t):
+    return policy.policy_snapshot(graded(t), t("dom_policy_packs"), "graded_at")
+
+
+def graded(t):
     region = F.when(F.col("account_id") % 4 == 0, "GB").when(F.col("account_id") % 4 == 1, "EU").when(F.col("account_id") % 4 == 2, "US").otherwise("CH")
-    graded = t("dom_contracts").select(
+    return t("dom_contracts").select(
         F.col("id").alias("contract_id"),
         "account_id",
         region.alias("jurisdiction"),
         F.col("start_date").cast("timestamp").alias("graded_at"),
     )
-    return policy.policy_snapshot(graded, t("dom_policy_packs"), "graded_at")
+
+
+# Every pair of analysis and pack in force, and the sets they form; what the two queries below are checked with.
+BRIDGE = f"""{GRADED},
+  asked as (select distinct account_id, jurisdiction, graded_at from graded),
+  pairs as (select a.*, p.id as pack_id, p.account_id is null as is_global, p.jurisdiction as place
+    from asked a join dom_policy_packs p on p.jurisdiction in (a.jurisdiction, 'ANY') and (p.account_id is null or p.account_id = a.account_id)
+      and p.active and p.effective_from <= a.graded_at and (p.effective_to is null or p.effective_to > a.graded_at)),
+  named as (select *, count(*) over s || ':' || sum(('0x' || substr(md5(cast(pack_id as varchar)), 1, 9))::bigint) over s || ':'
+      || sum(('0x' || substr(md5(cast(pack_id as varchar)), 10, 9))::bigint) over s as set_id
+    from pairs window s as (partition by account_id, jurisdiction, graded_at, is_global, place))"""
+
+
+@register("analysis_pack_sets", f"with {BRIDGE} select distinct account_id, jurisdiction, graded_at, set_id from named")
+def analysis_pack_sets(t):
+    return policy.analysis_pack_sets(graded(t), t("dom_policy_packs"), "graded_at")
+
+
+@register("pack_sets", f"with {BRIDGE} select distinct set_id, pack_id from named")
+def pack_sets(t):
+    """The dictionary of the pack sets that graded an analysis."""
+    packs = t("dom_policy_packs")
+    used = policy.analysis_pack_sets(graded(t), packs, "graded_at").select("set_id").distinct()
+    return policy.pack_sets(packs, used)
