@@ -5,10 +5,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from pactframe.operators.asof import asof_join
 from pactframe.operators.tenancy import by_account, in_scope
+from pactframe.sources.files import CHANGED, ERASED, read_versioned, rewrite
 from pactframe.sources.tables import stored
 
 
@@ -140,6 +142,31 @@ def consent_asof(documents: DataFrame, consents: DataFrame, scope: DataFrame | N
 # ---- erasure -------------------------------------------------------------
 
 
+def _marked(rows: DataFrame, name: str, gone: dict[str, DataFrame], references: list[Reference]) -> DataFrame:
+    """The rows of a table with ``erased``, from the ids that go from the tables they refer to."""
+    if name == "accounts":
+        own = gone["accounts"].select(F.col("_gone").alias("account_id"), F.lit(True).alias("_hit"))
+        return by_account(rows).join(own, "account_id", "left").withColumn("erased", F.col("_hit").isNotNull()).drop("_hit")
+    columns, hits = rows.columns, []
+    for n, ref in enumerate(r for r in references if r.child == name):
+        named = gone[ref.parent].select(F.col("_gone").alias(ref.column), F.lit(True).alias(f"_hit{n}"))
+        rows = rows.join(named, ref.column, "left")
+        hits.append(F.col(f"_hit{n}").isNotNull())
+    return rows.select(*columns, reduce(Column.__or__, hits, F.lit(False)).alias("erased"))
+
+
+def _mark_all(tables: dict[str, DataFrame], accounts_gone: DataFrame, references: list[Reference]) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
+    """The marked tables, and the stored ids (_gone) that go from each table that others refer to."""
+    parents = {r.parent for r in references}
+    gone = {"accounts": stored(accounts_gone.select(F.col(accounts_gone.columns[0]).alias("_gone")).distinct(), "gone-accounts")}
+    marked = {"accounts": _marked(tables["accounts"], "accounts", gone, references)}
+    for child in dict.fromkeys(r.child for r in references):
+        rows = marked[child] = _marked(tables[child], child, gone, references)
+        if child in parents and "id" in rows.columns:
+            gone[child] = stored(rows.filter("erased").select(F.col("id").alias("_gone")).distinct(), f"gone-{child}")
+    return marked, gone
+
+
 def erasure_marks(tables: dict[str, DataFrame], accounts_gone: DataFrame, references: list[Reference]) -> dict[str, DataFrame]:
     """The tables with a column ``erased``: whether the row goes when accounts and all that depends on them go.
 
@@ -148,21 +175,36 @@ def erasure_marks(tables: dict[str, DataFrame], accounts_gone: DataFrame, refere
     that go from a table that others refer to are written to the shared folder
     once; each table is then read in one pass.
     """
-    parents = {r.parent for r in references}
-    gone = {"accounts": stored(accounts_gone.select(F.col(accounts_gone.columns[0]).alias("_gone")).distinct(), "gone-accounts")}
-    own = gone["accounts"].select(F.col("_gone").alias("account_id"), F.lit(True).alias("_hit"))
-    marked = {"accounts": by_account(tables["accounts"]).join(own, "account_id", "left").withColumn("erased", F.col("_hit").isNotNull()).drop("_hit")}
-    for child in dict.fromkeys(r.child for r in references):
-        rows, hits = tables[child], []
-        for n, ref in enumerate(r for r in references if r.child == child):
-            named = gone[ref.parent].select(F.col("_gone").alias(ref.column), F.lit(True).alias(f"_hit{n}"))
-            rows = rows.join(named, ref.column, "left")
-            hits.append(F.col(f"_hit{n}").isNotNull())
-        rows = rows.select(*tables[child].columns, reduce(Column.__or__, hits).alias("erased"))
-        marked[child] = rows
-        if child in parents and "id" in rows.columns:
-            gone[child] = stored(rows.filter("erased").select(F.col("id").alias("_gone")).distinct(), f"gone-{child}")
-    return marked
+    return _mark_all(tables, accounts_gone, references)[0]
+
+
+def erase_in_files(
+    spark: SparkSession, root: str, schemas: dict[str, StructType], accounts_gone: DataFrame, references: list[Reference],
+    users_gone: DataFrame | None = None, user_columns: dict[str, list[str]] | None = None,
+) -> dict[str, tuple[int, int]]:
+    """Erase accounts and all that depends on them from stored tables, and blank references to erased users.
+
+    The tables are those of ``sources.files`` under ``root``.  Only files that
+    hold a row to erase or to blank are written anew; per table, how many those
+    were and how many were left.  Done twice, the second time changes nothing.
+    """
+    tables = {name: read_versioned(spark, root, name, schema) for name, schema in schemas.items()}
+    gone = _mark_all(tables, accounts_gone, references)[1]
+    users = None if users_gone is None else stored(users_gone.select(F.col(users_gone.columns[0]).alias("_user")).distinct(), "gone-users")
+
+    def change(name: str, rows: DataFrame) -> DataFrame:
+        columns = rows.columns
+        rows = _marked(rows, name, gone, references).withColumnRenamed("erased", ERASED)
+        if name == "accounts" and "account_id" not in columns:
+            rows = rows.withColumnRenamed("account_id", "id")
+        blanks = (user_columns or {}).get(name, []) if users is not None else []
+        for n, column in enumerate(blanks):
+            rows = rows.join(users.select(F.col("_user").alias(column), F.lit(True).alias(f"_blank{n}")), column, "left")
+        hit = reduce(Column.__or__, [F.col(f"_blank{n}").isNotNull() for n in range(len(blanks))], F.lit(False))
+        blanked = {c: F.when(F.col(f"_blank{n}").isNull(), F.col(c)).alias(c) for n, c in enumerate(blanks)}
+        return rows.select(*[blanked.get(c, F.col(c)) for c in columns], ERASED, hit.alias(CHANGED))
+
+    return rewrite(spark, root, schemas, change)
 
 
 def erase_accounts(tables: dict[str, DataFrame], accounts_gone: DataFrame, references: list[Reference]) -> dict[str, DataFrame]:

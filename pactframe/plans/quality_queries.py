@@ -2,11 +2,13 @@
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from pactframe.operators import quality
 from pactframe.operators.quality import Check, Reference, Unique, one_of
 from pactframe.plans.registry import register
+from pactframe.session import new_folder
+from pactframe.sources.files import read_versioned, write_versioned
 
 TABLES = {
     "accounts": "dom_accounts",
@@ -250,3 +252,37 @@ def unlink_users(t):
         ]
         reports.append(after.agg(F.array(*counts).alias("r")).select(F.inline("r")))
     return reduce(DataFrame.unionByName, reports)
+
+
+# Rows that go together share files: tables are stored by the account or by what they refer to.
+STORED_BY = {n: next(r.column for r in CASCADES if r.child == n) for n in COUNTED if n != "accounts"} | {"accounts": "account_id"}
+
+
+def users_sql(name: str) -> str:
+    gone = f"(select id from dom_profiles where {USER_GONE})"
+    parts = [f"count(*) filter (where not erased and {c} is not null and {c} not in {gone})" for c in USER_COLUMNS.get(name, [])]
+    return " + ".join(parts) or "cast(0 as bigint)"
+
+
+@register(
+    "erase_in_files",
+    "with " + ", ".join(f"m_{n} as ({marks_sql(n)})" for n in COUNTED) + "\n" + "\nunion all\n".join(
+        f"""select '{n}' as table_name, count(*) filter (where not erased) as rows_left,
+      cast(coalesce(sum({row_number_sql(n)}) filter (where not erased), 0) as bigint) as rows_left_hash, {users_sql(n)} as users_named from m_{n}""" for n in COUNTED
+    ),
+)
+def erase_in_files(t):
+    """The stored tables read again after accounts and users were erased from their files."""
+    root, before = new_folder(t.spark, "erasure"), tables(t, COUNTED)
+    schemas = {n: rows.schema for n, rows in before.items()}
+    write_versioned(root, before, STORED_BY)
+    quality.erase_in_files(
+        t.spark, root, schemas, before["accounts"].filter(ERASED).select("account_id"), CASCADES,
+        t("dom_profiles").filter(USER_GONE).select("id"), USER_COLUMNS)
+    reports = []
+    for n in COUNTED:
+        left = read_versioned(t.spark, root, n, schemas[n])
+        named = reduce(Column.__add__, [F.count(c) for c in USER_COLUMNS.get(n, [])], F.lit(0).cast("long"))
+        reports.append(left.agg(F.count(F.lit(1)).alias("rows_left"), F.coalesce(F.sum(row_number(n)), F.lit(0)).alias("rows_left_hash"), named.alias("users_named"))
+                       .select(F.lit(n).alias("table_name"), "rows_left", "rows_left_hash", "users_named"))
+    return reduce(DataFrame.unionByName, reports)
