@@ -7,7 +7,9 @@ in the output.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from pactframe.functions.columns import percent
 from pactframe.operators.jobs import clamp_progress, enqueue_decisions, failure_streaks
@@ -77,26 +79,54 @@ class EnqueueBatches:
     Each batch is decided by the batch operator, with every key that an earlier
     batch accepted counting as a live job, however long ago that was.  Which
     keys are accepted does not depend on where batches are cut; of repeats that
-    arrive in different batches the first to arrive wins.  Decisions and keys
-    are tables with a part per batch, and a repeated batch replaces its own.
+    arrive in different batches the first to arrive wins.  Decisions are a table
+    with a part per batch, and a repeated batch replaces its own.  Accepted keys
+    are kept once more in ``BUCKETS`` folders by hash, of which a batch reads
+    those of its own keys and no other column of any earlier decision.
     """
 
+    BUCKETS = 64
+
     def __init__(self, folder: str, live: DataFrame, accounts: DataFrame, members: DataFrame):
         self.folder, self.live, self.accounts, self.members = folder, live, accounts, members
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        bucket = F.pmod(F.xxhash64("account_id", "idempotency_key"), F.lit(self.BUCKETS)).cast("int")
         known = self.live.select("account_id", "idempotency_key", "status")
-        earlier = _versions(batch.sparkSession, f"{self.folder}/out", batch_id)
-        if earlier is not None:
-            accepted = earlier.filter((F.col("outcome") == "queued") & F.col("idempotency_key").isNotNull())
-            known = known.unionByName(accepted.select("account_id", "idempotency_key", F.lit("queued").alias("status")))
+        if batch_id > 0:
+            asked = [r[0] for r in batch.filter("idempotency_key is not null").select(bucket).distinct().collect()]
+            earlier = batch_parts(batch.sparkSession, f"{self.folder}/keys", known.select("account_id", "idempotency_key").schema)
+            earlier = earlier.filter(F.col("bucket").isin(*asked) & (F.col("batch") < batch_id))
+            known = known.unionByName(earlier.select("account_id", "idempotency_key", F.lit("queued").alias("status")))
         decided = enqueue_decisions(batch, known, self.accounts, self.members)
-        decided.write.mode("overwrite").parquet(f"{self.folder}/out/batch={batch_id}")
+        out = f"{self.folder}/out/batch={batch_id}"
+        decided.write.mode("overwrite").parquet(out)
+        accepted = batch.sparkSession.read.schema(decided.schema).parquet(out).filter((F.col("outcome") == "queued") & F.col("idempotency_key").isNotNull())
+        keys = accepted.select("account_id", "idempotency_key", bucket.alias("bucket"))
+        keys.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/keys/batch={batch_id}")
+
+
+def batch_parts(spark: SparkSession, folder: str, schema: StructType) -> DataFrame:
+    """The parts of all batches below a folder, with ``batch`` and ``bucket``; none if no batch has written there."""
+    full = StructType([*schema.fields, StructField("batch", IntegerType()), StructField("bucket", IntegerType())])
+    try:
+        return spark.read.schema(full).parquet(folder)
+    except AnalysisException:
+        return spark.createDataFrame([], full)
+
 
+def last_done(spark: SparkSession, folder: str) -> tuple[int, object]:
+    """The last batch whose parts are complete, and the value kept with it; -1 and None before the first."""
+    try:
+        row = spark.read.schema("batch long, value timestamp").parquet(f"{folder}/done").orderBy(F.desc("batch")).first()
+    except AnalysisException:
+        return -1, None
+    return (-1, None) if row is None else (row["batch"], row["value"])
 
-def _versions(spark: SparkSession, folder: str, before: int) -> DataFrame | None:
-    """The parts of the batches before one, or None for the first."""
-    return spark.read.parquet(folder).filter(F.col("batch") < before) if before > 0 else None
+
+def mark_done(spark: SparkSession, folder: str, batch_id: int, value=None) -> None:
+    row = spark.createDataFrame([(batch_id, value)], "batch long, value timestamp")
+    row.coalesce(1).write.mode("append").parquet(f"{folder}/done")
 
 
 class StreakBatches:
@@ -106,44 +136,52 @@ class StreakBatches:
     that bound they may come in any order and in any batches.  Those that are
     due are then handled by the batch operator, so a busy worker is still cut
     into many tasks, and one row per worker, its open streak, is carried on.
-    Calls later than the bound are kept apart in ``late``.  What waits, what is
-    carried and what is put out has a part per batch; a repeated batch replaces
-    its own.  ``finish`` handles what still waits when the stream is over.
+
+    A batch writes two tables, a part each, which a repeated batch replaces:
+    the streaks, and what it keeps: calls that wait, open streaks, and calls
+    later than the bound (``late``).  All state is in the folder, so the stream
+    goes on from there after a restart.  ``finish`` handles what still waits
+    when the stream is over.
     """
 
     CALLS = ["worker", "created_at", "id", "ok", "retryable"]
 
     def __init__(self, folder: str, threshold: int = 4, hold: str = "60 seconds", lateness: str = LATENESS):
         self.folder, self.threshold, self.hold, self.lateness = folder, threshold, hold, lateness
-        self.last = -1
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         self._step(batch.select(*self.CALLS), batch_id, False)
 
     def finish(self, spark: SparkSession) -> None:
-        empty = spark.read.parquet(f"{self.folder}/waiting/{self.last}").limit(0)
-        self._step(empty, self.last + 1, True)
+        last, _ = last_done(spark, self.folder)
+        if last >= 0:
+            self._step(self._kept(spark, last, "waiting").limit(0), last + 1, True)
+
+    def late(self, spark: SparkSession) -> DataFrame:
+        """Calls that came later than the bound."""
+        return spark.read.parquet(f"{self.folder}/kept").filter("kind = 'late'").select(*self.CALLS)
+
+    def _kept(self, spark: SparkSession, batch_id: int, kind: str) -> DataFrame:
+        rows = spark.read.parquet(f"{self.folder}/kept/batch={batch_id}").filter(F.col("kind") == kind)
+        return rows.select("worker", "open") if kind == "state" else rows.select(*self.CALLS)
 
     def _step(self, batch: DataFrame, batch_id: int, everything: bool) -> None:
-        spark, folder, self.last = batch.sparkSession, self.folder, batch_id
+        spark, folder = batch.sparkSession, self.folder
+        late = batch.limit(0)
         if batch_id > 0:
-            waiting = spark.read.parquet(f"{folder}/waiting/{batch_id - 1}")
-            carried = spark.read.parquet(f"{folder}/state/{batch_id - 1}")
-            passed = spark.read.parquet(f"{folder}/mark/{batch_id - 1}").first().mark
+            done = spark.read.schema("batch long, value timestamp").parquet(f"{folder}/done")
+            passed = done.filter(F.col("batch") == batch_id - 1).first()["value"]
+            waiting, carried = self._kept(spark, batch_id - 1, "waiting"), self._kept(spark, batch_id - 1, "state")
         else:
             waiting, passed = batch.limit(0), None
             carried = spark.createDataFrame([], f"worker {batch.schema['worker'].dataType.simpleString()}, open bigint")
         if passed is not None:
-            batch.filter(F.col("created_at") < F.lit(passed)).write.mode("overwrite").parquet(f"{folder}/late/batch={batch_id}")
+            late = batch.filter(F.col("created_at") < F.lit(passed))
             batch = batch.filter((F.col("created_at") >= F.lit(passed)) | F.col("created_at").isNull())
         rows = waiting.unionByName(batch)
-        rows.write.mode("overwrite").parquet(f"{folder}/rows/{batch_id}")
-        rows = spark.read.parquet(f"{folder}/rows/{batch_id}")
-        newest = rows.agg(F.max(F.col("created_at") - F.expr(f"interval {self.lateness}")).alias("mark")).first().mark
+        newest = batch.agg(F.max(F.col("created_at") - F.expr(f"interval {self.lateness}")).alias("mark")).first().mark
         mark = max((m for m in (newest, passed) if m is not None), default=None)
-        spark.createDataFrame([(mark,)], "mark timestamp").coalesce(1).write.mode("overwrite").parquet(f"{folder}/mark/{batch_id}")
         is_due = F.lit(True) if everything else F.coalesce(F.col("created_at") < F.lit(mark), F.lit(False))
-        rows.filter(~is_due).write.mode("overwrite").parquet(f"{folder}/waiting/{batch_id}")
         due = rows.filter(is_due)
 
         streaks = failure_streaks(due, self.threshold, self.hold)
@@ -170,24 +208,28 @@ class StreakBatches:
             F.when(F.col("_at").isNotNull() & (F.col("_last").isNull() | (F.col("_at") > F.col("_last"))), F.col("_streak"))
             .when(F.col("_last").isNotNull(), 0).otherwise(F.coalesce("open", F.lit(0))).cast("long").alias("open"),
         )
-        state.write.mode("overwrite").parquet(f"{folder}/state/{batch_id}")
+        kept = rows.filter(~is_due).withColumn("kind", F.lit("waiting")).unionByName(late.withColumn("kind", F.lit("late")))
+        kept = kept.unionByName(state.withColumn("kind", F.lit("state")), allowMissingColumns=True)
+        kept.write.mode("overwrite").parquet(f"{folder}/kept/batch={batch_id}")
+        mark_done(spark, folder, batch_id, mark)
 
 
 class JobStateBatches:
     """Lifecycle events folded into one state per job, for foreachBatch.
 
-    Every rule compares (time, sequence) and keeps a maximum, so events may come
-    in any order and in any batches.  A batch is aggregated first, which map
-    tasks reduce, and merged with the stored state of the batch before.  Claims
-    are kept only as long as no later requeue of their job is known.
+    Every rule compares (time, sequence) and keeps a maximum or a sum, so events
+    may come in any order and in any batches, and a batch needs no state of the
+    batches before: it writes the fold of its own events, in a part which a
+    repeated batch replaces.  ``states`` merges the parts.  ``fold`` merges them
+    into one for good, whenever there is time; claims before a later requeue of
+    their job are dropped then.  All state is in the folder, so nothing is lost
+    in a restart.
     """
 
     def __init__(self, folder: str, max_attempts: int = 5):
         self.folder, self.max_attempts = folder, max_attempts
-        self.last = -1
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        spark, self.last = batch.sparkSession, batch_id
         at, action = F.struct("ts", "seq"), F.col("action")
         progress = F.when(action == "progress", clamp_progress(F.col("progress"))).when(action == "complete", 100).when(action == "requeue", 0)
 
@@ -201,21 +243,38 @@ class JobStateBatches:
             F.max(F.when(action == "requeue", at)).alias("requeued"),
             F.count(F.lit(1)).alias("events"),
         )
+        state.write.mode("overwrite").parquet(f"{self.folder}/state/batch={batch_id}")
         claims = batch.filter(action == "claim").select("job_id", "ts", "seq")
-        if batch_id > 0:
-            merged = state.unionByName(spark.read.parquet(f"{self.folder}/state/{batch_id - 1}"))
-            state = merged.groupBy("job_id").agg(
-                *[F.max(c).alias(c) for c in ("last", "progress", "note", "requeued")], F.sum("events").alias("events"))
-            claims = claims.unionByName(spark.read.parquet(f"{self.folder}/claims/{batch_id - 1}"))
-        state.write.mode("overwrite").parquet(f"{self.folder}/state/{batch_id}")
-        requeued = spark.read.parquet(f"{self.folder}/state/{batch_id}").select("job_id", "requeued").filter("requeued is not null")
-        open_claims = claims.join(requeued, "job_id", "left").filter(F.col("requeued").isNull() | (at > F.col("requeued")))
-        open_claims.select("job_id", "ts", "seq").write.mode("overwrite").parquet(f"{self.folder}/claims/{batch_id}")
+        claims.write.mode("overwrite").parquet(f"{self.folder}/claims/batch={batch_id}")
+
+    def _merged(self, spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+        """State per job and its claims since the last requeue, of the last fold and all batches after it."""
+        upto, _ = last_done(spark, self.folder)
+        parts = []
+        for kind in ("state", "claims"):
+            rows = spark.read.parquet(f"{self.folder}/{kind}")
+            later = rows.filter(F.col("batch") > upto).drop("batch")
+            parts.append(later if upto < 0 else later.unionByName(spark.read.schema(later.schema).parquet(f"{self.folder}/folded-{kind}/upto={upto}")))
+        state = parts[0].groupBy("job_id").agg(
+            *[F.max(c).alias(c) for c in ("last", "progress", "note", "requeued")], F.sum("events").alias("events"))
+        requeued = state.select("job_id", "requeued").filter("requeued is not null")
+        since = parts[1].join(requeued, "job_id", "left").filter(F.col("requeued").isNull() | (F.struct("ts", "seq") > F.col("requeued")))
+        return state, since.select("job_id", "ts", "seq")
+
+    def fold(self, spark: SparkSession) -> None:
+        """Merge the parts of all batches so far; call it between batches."""
+        newest = spark.read.parquet(f"{self.folder}/state").agg(F.max("batch")).first()[0]
+        upto, _ = last_done(spark, self.folder)
+        if newest is None or newest <= upto:
+            return
+        for kind, rows in zip(("state", "claims"), self._merged(spark)):
+            rows.write.mode("overwrite").parquet(f"{self.folder}/folded-{kind}/upto={newest}")
+        mark_done(spark, self.folder, newest)
 
     def states(self, spark: SparkSession) -> DataFrame:
         """The current state of every job, as the batch operator gives it."""
-        state = spark.read.parquet(f"{self.folder}/state/{self.last}")
-        tries = spark.read.parquet(f"{self.folder}/claims/{self.last}").groupBy("job_id").agg(F.count(F.lit(1)).alias("attempts"))
+        state, claims = self._merged(spark)
+        tries = claims.groupBy("job_id").agg(F.count(F.lit(1)).alias("attempts"))
         attempts = F.coalesce("attempts", F.lit(0))
         last = F.col("last.value")
         status = (

@@ -56,7 +56,7 @@ def test_calls_beyond_the_bound_are_kept_apart(spark, frame, in_files):
     parts = [[("w", "2024-01-01 10:00:00", 1, False, True)], [("w", "2024-01-01 08:00:00", 2, True, False), ("w", "2024-01-01 10:01:00", 3, False, True)]]
     folder = run_streaks(spark, in_files([frame(p, CALLS) for p in parts]))
     assert {r.id: r.streak for r in spark.read.parquet(f"{folder}/out").collect()} == {1: 1, 3: 2}
-    assert [r.id for r in spark.read.parquet(f"{folder}/late").collect()] == [2]
+    assert [r.id for r in streams.StreakBatches(folder).late(spark).collect()] == [2]
 
 
 def test_job_state_over_batches(spark, in_files):
@@ -69,10 +69,42 @@ def test_job_state_over_batches(spark, in_files):
     # events of one job arrive out of order and in different batches
     step = streams.JobStateBatches(new_folder(spark, "jobs"))
     drain_batches(in_files([events.filter(f"seq % 3 = {i}") for i in range(3)]), "jobs", step)
-    states, twin = step.states(spark), jobs.job_state_fold(events)
-    assert rows(states.select(*twin.columns), "job_id") == rows(twin, "job_id")
-    # claims before a known requeue are gone from the state
-    assert spark.read.parquet(f"{step.folder}/claims/{step.last}").count() < events.filter("action = 'claim'").count()
+    twin = rows(jobs.job_state_fold(events), "job_id")
+    columns = jobs.job_state_fold(events).columns
+    # a restarted process knows no more than the folder
+    step = streams.JobStateBatches(step.folder)
+    assert rows(step.states(spark).select(*columns), "job_id") == twin
+    step.fold(spark)
+    assert rows(step.states(spark).select(*columns), "job_id") == twin
+    assert spark.read.parquet(f"{step.folder}/folded-claims").count() < events.filter("action = 'claim'").count()
+    # a batch repeated after the fold, and one after it
+    step(events.filter("seq % 3 = 2"), 2)
+    more = events.filter("seq < 40").withColumn("seq", F.col("seq") + 1000)
+    step(more, 3)
+    assert rows(step.states(spark).select(*columns), "job_id") == rows(jobs.job_state_fold(events.unionByName(more)), "job_id")
+
+
+def test_a_batch_of_job_events_reads_nothing_of_earlier_ones(spark, frame):
+    ddl = "job_id string, seq long, ts timestamp, action string, progress int, note string"
+    folder = new_folder(spark, "jobs")
+    step = streams.JobStateBatches(folder)
+    for n in range(3):
+        step(frame([(f"j{n}", n, "2024-01-01 00:00:00", "claim", None, None)], ddl), n)
+        part = spark.read.parquet(f"{folder}/state/batch={n}")
+        assert [r.job_id for r in part.collect()] == [f"j{n}"]
+    assert step.states(spark).count() == 3
+
+
+def test_streaks_go_on_after_a_restart(spark, frame, in_files):
+    calls = sorted(busy_calls(120), key=lambda c: (c[1], c[2]))
+    folder = new_folder(spark, "streaks")
+    for n in range(4):
+        # a new object for each batch, and a batch that is repeated
+        streams.StreakBatches(folder)(frame(calls[n * 30 : n * 30 + 30], CALLS), n)
+        if n == 2:
+            streams.StreakBatches(folder)(frame(calls[60:90], CALLS), 2)
+    streams.StreakBatches(folder).finish(spark)
+    assert {r.id: (r.streak, r.opened) for r in spark.read.parquet(f"{folder}/out").collect()} == naive_streaks(calls)
 
 
 def test_alerts_only_for_jobs_that_did_not_end(frame, in_files):
