@@ -24,6 +24,20 @@ def running_sum(changes: DataFrame, on: list[str], at: str, sums: list[str], buc
     return local.join(carried, [*on, "_bucket"]).select(*on, at, *[(F.col(c) + F.col(f"_{c}")).alias(c) for c in sums])
 
 
+def following(asks: DataFrame, marks: DataFrame, on: list[str], at: str, bucket: str = "hour") -> DataFrame:
+    """Each distinct (key, instant) of ``asks`` with ``next``, the first later instant of the key in ``marks``, or NULL."""
+    flags = asks.select(*on, at, F.lit(1).alias("_ask"), F.lit(0).alias("_mark")).unionByName(
+        marks.select(*on, at, F.lit(0).alias("_ask"), F.lit(1).alias("_mark")))
+    line = flags.groupBy(*on, at).agg(F.max("_ask").alias("_ask"), F.max("_mark").alias("_mark")).withColumn("_bucket", F.date_trunc(bucket, at))
+    line = line.withColumn("_at", F.when(F.col("_mark") == 1, F.col(at)))
+    firsts = line.groupBy(*on, "_bucket").agg(F.min("_at").alias("_first"))
+    later = W.partitionBy(*on).orderBy(F.desc("_bucket")).rowsBetween(W.unboundedPreceding, -1)
+    behind = firsts.select(*on, "_bucket", F.min("_first").over(later).alias("_behind"))
+    inside = W.partitionBy(*on, "_bucket").orderBy(F.desc(at)).rowsBetween(W.unboundedPreceding, -1)
+    near = line.withColumn("_near", F.min("_at").over(inside)).filter("_ask = 1")
+    return near.join(behind, [*on, "_bucket"]).select(*on, at, F.coalesce("_near", "_behind").alias("next"))
+
+
 def asof_lookup(asks: DataFrame, events: DataFrame, on: list[str], at: str, event_at: str, pick: list[str], bucket: str = "hour") -> DataFrame:
     """For each distinct (key, instant) asked, the newest event of the key that is not later.
 

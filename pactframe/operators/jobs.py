@@ -10,8 +10,10 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from pactframe.functions.columns import instant, retry_at, seconds_between, whole_seconds_between
 from pactframe.functions.spread import newest_per_key
+from pactframe.operators.asof import following, running_sum
 from pactframe.operators.ops import last_24_hours
 from pactframe.operators.tenancy import ADMIN_ROLES, EDITOR_ROLES, by_account, in_scope
+from pactframe.sources.tables import stored
 
 # Statuses that block a second job with the same key, and the
 # priority of each plan.
@@ -353,6 +355,41 @@ def failure_streaks(
     )
 
 
+def breaker_spans(calls: DataFrame, threshold: int = 4, hold: str = "60 seconds") -> DataFrame:
+    """When the breaker of each worker was open: (worker, opened_at, closed_at, failures, seconds_open).
+
+    Each failure at or beyond the threshold opens it for ``hold``; a failure
+    while it is open makes it stay longer; a success closes it at once.  Holds
+    that overlap or touch are one span; ``failures`` are those that opened or
+    prolonged it.
+
+    A hold ends after the one before it or at the same time, so a span begins
+    where the hold before has ended.  Instants are compared inside an hour of a
+    worker, and hours by worker, never a worker's whole log in one task.
+    """
+    on = ["worker"]
+    opened = failure_streaks(calls, threshold, hold).filter("opened").groupBy(*on, "created_at").agg(
+        F.count(F.lit(1)).alias("failures"), F.max("id").alias("_id"), F.max("open_until").alias("open_until"))
+    opened = stored(opened, "breaker-holds")
+    wins = calls.filter(F.col("ok") & F.col("created_at").isNotNull()).groupBy(*on, "created_at").agg(F.max("id").alias("_win"))
+    cut = following(opened, wins, on, "created_at")
+    # a success of the same instant closes it only if it came after the failure
+    same = F.when(F.col("_win") > F.col("_id"), F.col("created_at"))
+    ends = opened.join(cut, [*on, "created_at"]).join(wins, [*on, "created_at"], "left").select(
+        *on, "created_at", "failures", F.least("open_until", "next", same).alias("end")).withColumn("_hour", F.date_trunc("hour", "created_at"))
+    ends = stored(ends, "breaker-ends")
+    hours = ends.groupBy(*on, "_hour").agg(F.max("end").alias("_last"))
+    earlier = hours.select(*on, "_hour", F.lag("_last").over(W.partitionBy(*on).orderBy("_hour")).alias("_earlier"))
+    before = F.coalesce(F.lag("end").over(W.partitionBy(*on, "_hour").orderBy("created_at")), F.col("_earlier"))
+    begins = ends.join(earlier, [*on, "_hour"]).withColumn("_before", before).select(
+        *on, "created_at", F.when(F.col("created_at") <= F.col("_before"), 0).otherwise(1).alias("span"))
+    numbered = running_sum(begins, on, "created_at", ["span"])
+    spans = ends.join(numbered, [*on, "created_at"]).groupBy(*on, "span").agg(
+        F.min("created_at").alias("opened_at"), F.max("end").alias("closed_at"), F.sum("failures").alias("failures"))
+    seconds = (F.unix_micros(F.col("closed_at").cast("timestamp")) - F.unix_micros(F.col("opened_at").cast("timestamp"))) / F.lit(1e6)
+    return spans.select(*on, "opened_at", "closed_at", "failures", seconds.alias("seconds_open"))
+
+
 # ---- change feed ---------------------------------------------------------
 
 

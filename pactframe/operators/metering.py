@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from pactframe.operators.asof import asof_lookup, following
 from pactframe.operators.tenancy import by_account, in_scope
+from pactframe.sources.tables import stored
 
 # Price of a million tokens, and credits for each kind of use.
 USD_PER_MILLION_IN = 3
@@ -88,6 +90,53 @@ def hourly_call_budget(calls: DataFrame, cap: int = 60, scope: DataFrame | None
     )
 
 
+def anchored_windows(calls: DataFrame, length: str = "1 hour", scope: DataFrame | None = None) -> DataFrame:
+    """Windows that begin with a call: (account_id, window_start, calls, first_call, last_call).
+
+    A call more than ``length`` after the start of its account's window opens
+    the next one, so where a window begins depends on all before it.  Each
+    instant points to the first one that would open the next window; the
+    starts are those that the first instant reaches.  Pointers are doubled: in
+    each round the known starts are followed by as many steps as lie behind
+    them, so the number of rounds is the logarithm of the windows of an account,
+    and no account is walked through in one task.
+
+    Equal instants are one place with a count.  Calls without a time or account
+    are left out.
+    """
+    on = "account_id"
+    places = in_scope(calls, scope).filter(F.col(on).isNotNull() & F.col("created_at").isNotNull()).groupBy(on, "created_at").agg(F.count(F.lit(1)).alias("n"))
+    places = stored(places, "call-instants")
+    marks = places.select(on, F.col("created_at").alias("at"))
+    # the newest place not later than the end of a window; the one behind it opens the next
+    ends = marks.select(on, (F.col("at") + F.expr(f"interval {length}")).alias("end"), "at")
+    inside = asof_lookup(ends, marks.withColumn("_place", F.col("at")), [on], "end", "at", ["_place"], "hour").select(on, "end", "_place")
+    after = following(marks, marks, [on], "at")
+    jump = ends.join(inside, [on, "end"]).join(after.select(on, F.col("at").alias("_place"), "next"), [on, "_place"])
+    jump = stored(jump.filter("next is not null").select(on, "at", F.col("next").alias("to")), "window-jumps")
+
+    starts = stored(marks.groupBy(on).agg(F.min("at").alias("at")), "window-starts")
+    count = starts.count()
+    while True:
+        grown = starts.unionByName(starts.join(jump, [on, "at"]).select(on, F.col("to").alias("at"))).distinct()
+        grown = stored(grown, "window-starts")
+        now = grown.count()
+        if now == count:
+            break
+        starts, count = grown, now
+        twice = jump.select(on, "at", F.col("to").alias("_mid")).join(jump.select(on, F.col("at").alias("_mid"), "to"), [on, "_mid"])
+        jump = stored(twice.select(on, "at", "to"), "window-jumps")
+    window = asof_lookup(marks, starts.withColumn("window_start", F.col("at")).withColumnRenamed("at", "_start"), [on], "at", "_start", ["window_start"], "hour")
+    return places.join(window.withColumnRenamed("at", "created_at"), [on, "created_at"]).groupBy(on, "window_start").agg(
+        F.sum("n").alias("calls"), F.min("created_at").alias("first_call"), F.max("created_at").alias("last_call"))
+
+
+def anchored_call_budget(calls: DataFrame, cap: int = 60, length: str = "1 hour", scope: DataFrame | None = None) -> DataFrame:
+    """Calls per account and window that begins with its first call, and how many go beyond the cap."""
+    return anchored_windows(calls, length, scope).select(
+        "account_id", "window_start", "calls", F.least(F.col("calls"), F.lit(cap)).alias("allowed"), F.greatest(F.col("calls") - cap, F.lit(0)).alias("refused"))
+
+
 def roll_billing_period(
     accounts: DataFrame, ledger: DataFrame, plans: DataFrame, new_start, scope: DataFrame | None = None
 ) -> DataFrame:

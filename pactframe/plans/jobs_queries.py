@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from pactframe.functions.spread import newest_per_key
 from pactframe.operators import jobs
-from pactframe.plans.registry import register
+from pactframe.plans.registry import oracle_of, register
 from pactframe.plans.times import AS_OF
 
 NOW = f"timestamp '{AS_OF}'"
@@ -187,6 +187,25 @@ def failure_streaks(t):
     return jobs.failure_streaks(calls)
 
 
+@register(
+    "breaker_spans",
+    f"""with streaks as ({oracle_of("failure_streaks")}),
+    wins as (select worker, created_at, id, true as won, cast(null as timestamp) as open_until from dom_telemetry where ok),
+    marks as (select worker, created_at, id, false as won, created_at + interval 30 minute as open_until from streaks where streak >= 2 union all select * from wins),
+    holds as (select *, least(open_until, min(case when won then created_at end) over (
+        partition by worker order by created_at, id rows between 1 following and unbounded following)) as closes from marks),
+    opens as (select *, max(closes) over (partition by worker order by created_at, id rows between unbounded preceding and 1 preceding) as before
+      from holds where not won),
+    spans as (select *, sum(case when created_at <= before then 0 else 1 end) over (partition by worker order by created_at, id) as span from opens)
+    select worker, min(created_at) as opened_at, max(closes) as closed_at, count(*) as failures,
+      date_diff('microsecond', min(created_at), max(closes)) / 1e6 as seconds_open from spans group by worker, span""",
+)
+def breaker_spans(t):
+    """The test table has few failures in a row and few calls a minute, so two of them open a breaker for half an hour."""
+    passing = ~F.col("fatal") & F.col("error_class").isin("429", "500")
+    return jobs.breaker_spans(t("dom_telemetry").select("worker", "created_at", "id", "ok", passing.alias("retryable")), 2, "30 minutes")
+
+
 @register(
     "job_state_fold",
     """with requeued as (select job_id, max((ts, seq)) as at from dom_job_events where action = 'requeue' group by job_id),

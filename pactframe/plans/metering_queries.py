@@ -52,6 +52,22 @@ def hourly_call_budget(t):
     return metering.hourly_call_budget(t("dom_telemetry"), cap=1)
 
 
+@register(
+    "anchored_call_budget",
+    """with recursive windows as (
+      select account_id, min(created_at) as window_start from dom_telemetry group by account_id
+      union all
+      select w.account_id, min(c.created_at) from windows w join dom_telemetry c on c.account_id = w.account_id and c.created_at > w.window_start + interval 1 hour
+      group by w.account_id, w.window_start),
+    counted as (select w.account_id, w.window_start, count(*) as calls from windows w join dom_telemetry c on c.account_id = w.account_id
+      and c.created_at >= w.window_start and c.created_at <= w.window_start + interval 1 hour group by w.account_id, w.window_start)
+    select *, least(calls, 1) as allowed, greatest(calls - 1, 0) as refused from counted""",
+)
+def anchored_call_budget(t):
+    """Windows that begin with an account's first call; one call each is allowed, as the test table has few calls an account."""
+    return metering.anchored_call_budget(t("dom_telemetry"), cap=1)
+
+
 @register(
     "roll_billing_period",
     f"""with left_over as ({REMAINING})

@@ -69,6 +69,8 @@ def binding_ctes(sql: str) -> str:
         text = BINDINGS[n]
         parts.append(f"{n} as ({text.format(**{b: b for b in base_names(text)})})")
     body = sql.strip()
+    if body.lower().startswith("with recursive "):
+        return "with recursive " + ",\n".join(parts) + ",\n" + body[15:]
     if body.lower().startswith("with "):
         return "with " + ",\n".join(parts) + ",\n" + body[5:]
     return "with " + ",\n".join(parts) + "\n" + body

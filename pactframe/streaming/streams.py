@@ -85,7 +85,7 @@ class EnqueueBatches:
     those of its own keys and no other column of any earlier decision.
     """
 
-    BUCKETS = 64
+    BUCKETS = 16
 
     def __init__(self, folder: str, live: DataFrame, accounts: DataFrame, members: DataFrame):
         self.folder, self.live, self.accounts, self.members = folder, live, accounts, members

@@ -150,3 +150,38 @@ def test_health(frame):
         "id int, op string, duration_ms int, tokens_in int, tokens_out int, ok boolean, created_at timestamp")
     found = {r.op: tuple(r)[2:] for r in ops.ops_health(data, NOW).collect()}
     assert found == {"x": (2, None, None, 0.0, None), "y": (2, 13.0, 15, 100.0, 3)}
+
+
+def plain_spans(calls, threshold, hold):
+    """(worker, opened, closed, failures) by walking through each worker's log."""
+    out, streak, spans = [], {}, {}
+    for worker, at, i, ok, retryable in sorted(calls, key=lambda c: (dt.datetime.fromisoformat(c[1]), c[2])):
+        at, open_now = dt.datetime.fromisoformat(at), spans.get(worker)
+        if ok:
+            streak[worker] = 0
+            if open_now and at < open_now[1]:
+                open_now[1] = at
+        elif ok is False and retryable:
+            streak[worker] = streak.get(worker, 0) + 1
+            if streak[worker] >= threshold:
+                if open_now and at <= open_now[1]:
+                    open_now[1], open_now[2] = at + hold, open_now[2] + 1
+                else:
+                    spans[worker] = [at, at + hold, 1, at]
+                    out.append((worker, spans[worker]))
+    return sorted((w, str(s[0]), str(s[1]), s[2]) for w, s in out)
+
+
+@pytest.mark.parametrize("threshold, minutes", [(1, 1), (2, 30), (2, 1000), (4, 10)])
+def test_breaker_spans_match_a_plain_loop(frame, threshold, minutes):
+    calls = busy_calls(900, 11)
+    found = jobs.breaker_spans(frame(calls, CALLS), threshold, f"{minutes} minutes").collect()
+    assert sorted((r.worker, str(r.opened_at), str(r.closed_at), r.failures) for r in found) == plain_spans(calls, threshold, dt.timedelta(minutes=minutes))
+    assert all(r.seconds_open == (r.closed_at - r.opened_at).total_seconds() for r in found)
+
+
+def test_a_success_closes_the_breaker_at_once(frame):
+    calls = [("w", f"2024-01-01 00:00:{s:02d}", n, ok, True) for n, (s, ok) in enumerate([(0, False), (10, False), (20, True), (25, False), (26, False)])]
+    found = rows(jobs.breaker_spans(frame(calls, CALLS), 2), "opened_at")
+    assert [(str(r[1])[-8:], str(r[2])[-8:], r[3], r[4]) for r in found] == [("00:00:10", "00:00:20", 1, 10.0), ("00:00:26", "00:01:26", 1, 60.0)]
+    assert rows(jobs.breaker_spans(frame([], CALLS))) == []

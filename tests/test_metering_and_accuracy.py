@@ -1,3 +1,6 @@
+import datetime as dt
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -72,3 +75,29 @@ def test_accounts_may_call_their_key_id(frame):
     owned = frame([("a", 100, 0, "2024-01-01")], "id string, credits_included int, credits_banked int, period_started_at timestamp")
     ledger = frame([(1, "a", "analysis", 30, "2024-01-02")], LEDGER)
     assert rows(metering.credits_remaining(owned, ledger)) == [("a", 70)]
+
+
+def plain_windows(calls, length):
+    out = {}
+    for account, at in sorted((a, dt.datetime.fromisoformat(t)) for a, t in calls if a and t):
+        mine = out.setdefault(account, [])
+        if not mine or at - mine[-1][0] > length:
+            mine.append([at, 0, at])
+        mine[-1][1:] = [mine[-1][1] + 1, at]
+    return sorted((a, str(s), n, str(s), str(e)) for a, ws in out.items() for s, n, e in ws)
+
+
+@pytest.mark.parametrize("minutes, span", [(60, 3000), (7, 400), (60, 10)])
+def test_anchored_windows_match_a_plain_loop(frame, minutes, span):
+    """One account has most calls, many at the same instants, and windows open exactly at their end as well."""
+    pick = random.Random(minutes)
+    calls = [("hot" if pick.random() < 0.7 else f"a{pick.randrange(8)}", str(dt.datetime(2024, 1, 1) + dt.timedelta(minutes=pick.randrange(span)))) for _ in range(1500)]
+    calls += [(None, "2024-01-01 00:00:00"), ("a1", None), ("one", "2024-01-01 00:00:00")]
+    found = metering.anchored_windows(frame(calls, "account_id string, created_at timestamp"), f"{minutes} minutes").collect()
+    assert sorted((r.account_id, str(r.window_start), r.calls, str(r.first_call), str(r.last_call)) for r in found) == plain_windows(calls, dt.timedelta(minutes=minutes))
+
+
+def test_refused_calls_follow_the_first_call(frame):
+    calls = frame([("a", f"2024-01-01 {t}:00") for t in ("10:50", "11:10", "11:50", "11:51")], "account_id string, created_at timestamp")
+    assert sorted(r[2:] for r in rows(metering.anchored_call_budget(calls, cap=2))) == [(1, 1, 0), (3, 2, 1)]
+    assert rows(metering.anchored_call_budget(frame([], "account_id string, created_at timestamp"))) == []
