@@ -102,3 +102,26 @@ def stream_stale_jobs(t):
     beat = F.struct(F.col("heartbeat_at").alias("at"), F.lit("running").alias("status"))
     changes = beats.select("id", F.explode(F.when(F.col("id") % 3 == 0, F.array(beat, end)).otherwise(F.array(beat))).alias("c"))
     return drain(streams.stream_stale_jobs(changes.select("id", "c.*")), "stream-stale-jobs")
+
+
+@register(
+    "stream_telemetry_sink",
+    """select cast(created_at as date) as day, op, count(*) as calls, count(*) filter (where ok) as good, count(distinct id) as ids,
+      cast(coalesce(sum(tokens_in + tokens_out), 0) as bigint) as tokens from dom_telemetry group by 1, 2""",
+)
+def stream_telemetry_sink(t):
+    """Telemetry appended by day, with a batch repeated and the days compacted halfway, read back and counted."""
+    calls = bound_stream(t.spark, t.folder, "dom_telemetry", "events", in_parts=True)
+    sink = streams.DailySink(new_folder(t.spark, "stream-telemetry"))
+
+    def step(batch, batch_id):
+        sink(batch, batch_id)
+        if batch_id == 1:
+            sink(batch, batch_id)
+            sink.compact(batch.sparkSession, batch.schema)
+
+    drain_batches(calls, "stream-telemetry", step)
+    rows = sink.read(t.spark, calls.schema)
+    return rows.groupBy("day", "op").agg(
+        F.count(F.lit(1)).alias("calls"), F.count_if("ok").alias("good"), F.count_distinct("id").alias("ids"),
+        F.coalesce(F.sum(F.col("tokens_in") + F.col("tokens_out")), F.lit(0)).cast("long").alias("tokens"))

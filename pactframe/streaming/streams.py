@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
 from pactframe.functions.columns import percent
 from pactframe.operators.jobs import clamp_progress, enqueue_decisions, failure_streaks
@@ -286,6 +286,75 @@ class JobStateBatches:
             F.col("note.value").alias("note"), "events")
 
 
+class DailySink:
+    """Rows appended to a table in folders by day, for foreachBatch; a repeated batch changes nothing.
+
+    Each batch has a folder of its own in every day it has rows of, which a
+    repetition replaces.  ``compact`` writes the folders of a day that have
+    gathered as one and then publishes up to which batch it goes; ``read`` takes
+    that and the batches after it.  Only days with new folders are written
+    again.  A row without a time goes to the day NULL.
+    """
+
+    UNKNOWN = "none"
+
+    def __init__(self, folder: str, time_column: str = "created_at"):
+        self.folder, self.time_column = folder, time_column
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        day = F.coalesce(F.date_format(self.time_column, "yyyy-MM-dd"), F.lit(self.UNKNOWN))
+        rows = batch.withColumn("day", day)
+        # a batch spans few days; busy ones are spread
+        spread = F.pmod(F.xxhash64(*batch.columns), F.lit(4))
+        rows.repartition("day", spread).write.mode("overwrite").partitionBy("day").parquet(f"{self.folder}/parts/batch={batch_id}")
+
+    def _published(self, spark: SparkSession) -> DataFrame:
+        """(day, upto): the last batch that the compacted folder of a day holds."""
+        try:
+            rows = spark.read.schema("day string, upto long").parquet(f"{self.folder}/published")
+        except AnalysisException:
+            rows = spark.createDataFrame([], "day string, upto long")
+        return rows.groupBy("day").agg(F.max("upto").alias("upto"))
+
+    def _parts(self, spark: SparkSession, schema: StructType) -> DataFrame:
+        """Rows of batches that no compacted folder holds yet, with day and batch."""
+        full = StructType([*schema.fields, StructField("batch", LongType()), StructField("day", StringType())])
+        try:
+            rows = spark.read.schema(full).parquet(f"{self.folder}/parts")
+        except AnalysisException:
+            rows = spark.createDataFrame([], full)
+        return rows.join(self._published(spark), "day", "left").filter(F.col("batch") > F.coalesce("upto", F.lit(-1))).select(*full.names)
+
+    def _whole(self, spark: SparkSession, schema: StructType) -> DataFrame:
+        """Rows of the compacted folders, with day."""
+        full = StructType([*schema.fields, StructField("upto", LongType()), StructField("day", StringType())])
+        try:
+            rows = spark.read.schema(full).parquet(f"{self.folder}/compacted")
+        except AnalysisException:
+            rows = spark.createDataFrame([], full)
+        return rows.join(self._published(spark), ["day", "upto"], "left_semi").select(*schema.names, "day")
+
+    def read(self, spark: SparkSession, schema: StructType) -> DataFrame:
+        """All rows, each once, with their ``day`` (NULL without a time)."""
+        rows = self._whole(spark, schema).unionByName(self._parts(spark, schema).drop("batch"))
+        return rows.withColumn("day", F.when(F.col("day") != self.UNKNOWN, F.to_date("day")))
+
+    def compact(self, spark: SparkSession, schema: StructType, least: int = 2) -> list[str]:
+        """Write days with at least ``least`` folders as one; call it between batches.  The days that were written."""
+        parts = self._parts(spark, schema)
+        newest = parts.agg(F.max("batch")).first()[0]
+        days = sorted(r["day"] for r in parts.groupBy("day").agg(F.count_distinct("batch").alias("n")).filter(F.col("n") >= least).select("day").toLocalIterator())
+        if not days:
+            return days
+        wanted = F.col("day").isin(*days)
+        rows = self._whole(spark, schema).filter(wanted).unionByName(parts.filter(wanted).drop("batch"))
+        spread = F.pmod(F.xxhash64(*schema.names), F.lit(4))
+        rows.repartition("day", spread).write.mode("overwrite").partitionBy("day").parquet(f"{self.folder}/compacted/upto={newest}")
+        done = spark.createDataFrame([(d, newest) for d in days], "day string, upto long")
+        done.coalesce(1).write.mode("append").parquet(f"{self.folder}/published")
+        return days
+
+
 def stream_stale_jobs(changes: DataFrame, stale_after: str = "5 minutes", lateness: str = LATENESS) -> DataFrame:
     """One alert whenever a running job goes without a sign of life for too long.
 

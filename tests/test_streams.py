@@ -154,3 +154,44 @@ def test_shared_folder_comes_from_the_session():
     assert shared_dir(session_like(None, "local[2]")) == shared_dir(session_like(None, "local[2]"))
     with pytest.raises(ValueError):
         shared_dir(session_like(None, "yarn"))
+
+
+def test_daily_sink_repeats_and_compacts(spark, frame):
+    ddl = "id long, created_at timestamp, op string"
+    def made(ids):
+        return frame([(i, None if i % 10 == 9 else f"2024-01-{1 + i % 3:02d} 10:00:00", f"op{i}") for i in ids], ddl)
+
+    sink = streams.DailySink(new_folder(spark, "sink"))
+    schema = made([]).schema
+    assert sink.read(spark, schema).count() == 0 and sink.compact(spark, schema) == []
+
+    def ids(upto):
+        found = sink.read(spark, schema)
+        assert all(str(r.day) == str(r.created_at)[:10] if r.created_at else r.day is None for r in found.collect())
+        return sorted(r.id for r in found.collect()) == list(range(upto))
+
+    for n in range(3):
+        sink(made(range(n * 20, n * 20 + 20)), n)
+        sink(made(range(n * 20, n * 20 + 20)), n)
+    assert ids(60)
+    assert sink.compact(spark, schema) == ["2024-01-01", "2024-01-02", "2024-01-03", "none"]
+    assert ids(60) and sink.compact(spark, schema) == []
+    # the last batch comes again after it was compacted, then one with rows of a single day
+    sink(made(range(40, 60)), 2)
+    sink(made([60]), 3)
+    sink(frame([(61, "2024-01-01 11:00:00", "x")], ddl), 4)
+    assert ids(62)
+    assert sink.compact(spark, schema) == ["2024-01-01"] and ids(62)
+
+
+def test_a_failed_compaction_changes_nothing(spark, frame):
+    ddl = "id long, created_at timestamp"
+    sink = streams.DailySink(new_folder(spark, "sink"))
+    parts = [frame([(n, "2024-01-01 10:00:00")], ddl) for n in range(2)]
+    for n, part in enumerate(parts):
+        sink(part, n)
+    # written but not published
+    parts[0].withColumn("day", F.lit("2024-01-01")).write.partitionBy("day").parquet(f"{sink.folder}/compacted/upto=1")
+    assert sorted(r.id for r in sink.read(spark, parts[0].schema).collect()) == [0, 1]
+    sink.compact(spark, parts[0].schema)
+    assert sorted(r.id for r in sink.read(spark, parts[0].schema).collect()) == [0, 1]
