@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pactframe.functions.columns import day
 from pactframe.functions.text import content_tokens
+from pactframe.operators.components import classes
 from pactframe.operators.tenancy import in_scope
+from pactframe.sources.tables import stored
 
 DEFAULT_NOTICE_DAYS = 90
 OCR_CHARS_PER_PAGE = 50
@@ -98,6 +102,86 @@ def _twice(text: Column, first, second) -> Column:
     return F.array_distinct(F.flatten(F.transform(_each(text, first), lambda t: _each(t, second))))
 
 
+BASE = 0x9E3779B97F4A7C15  # odd; variants are hashed in 64 bits and every pair is verified
+ROWS_OUT = 1 << 18
+
+
+def _left_out(name: str):
+    """Arrays of the hashes of a name, and of it with one and with two characters left out, a part at a time.
+
+    A hash of a text with gaps follows from the hashes of its beginnings, so
+    none of these texts is built.
+    """
+    size = len(name)
+    codes = np.frombuffer(name.encode("utf-32-le"), np.uint32).astype(np.uint64)
+    power, start = np.ones(size + 1, np.uint64), np.zeros(size + 1, np.uint64)
+    for n in range(size):
+        power[n + 1] = power[n] * np.uint64(BASE)
+        start[n + 1] = start[n] * np.uint64(BASE) + codes[n] + np.uint64(1)
+
+    def between(i, j):
+        return start[j] - start[i] * power[j - i]
+
+    places = np.arange(size)
+    yield start[size:]
+    yield start[places] * power[size - 1 - places] + between(places + 1, np.full(size, size))
+    for i in range(size - 1):
+        j = np.arange(i + 1, size)
+        yield (start[i] * power[size - 2 - i] + between(np.full(len(j), i + 1), j) * power[size - 1 - j] + between(j + 1, np.full(len(j), size)))
+
+
+def _variants(keys: DataFrame) -> DataFrame:
+    """(variant, supplier_key): hashes of each key with up to two characters left out."""
+
+    def run(batches):
+        def put(waiting):
+            sizes = [len(h) for _, h in waiting]
+            names = pa.array([k for k, _ in waiting]).take(pa.array(np.repeat(np.arange(len(waiting)), sizes)))
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([h for _, h in waiting]).view(np.int64)), names], names=["variant", "supplier_key"])
+
+        waiting, size = [], 0
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                with np.errstate(over="ignore"):
+                    for hashes in _left_out(name):
+                        waiting.append((name, np.unique(hashes)))
+                        size += len(hashes)
+                        if size >= ROWS_OUT:
+                            yield put(waiting)
+                            waiting, size = [], 0
+        if waiting:
+            yield put(waiting)
+
+    return keys.select("supplier_key").mapInArrow(run, "variant long, supplier_key string").distinct()
+
+
+def near_miss_links(names: DataFrame) -> DataFrame:
+    """(a, b): all pairs of supplier keys within two edits, a before b.
+
+    Names within two edits share a form with at most two characters left out of
+    each.  Names meet on the hashes of these forms and are then compared.
+    """
+    keys = names.select(supplier_key(F.col("supplier")).alias("supplier_key")).distinct().filter(F.length("supplier_key") > 0)
+    variants = _variants(keys)
+    shared = variants.groupBy("variant").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("variant")
+    met = stored(variants.join(shared, "variant", "left_semi"), "near-variants")
+    other = met.select("variant", F.col("supplier_key").alias("b"))
+    pairs = met.withColumnRenamed("supplier_key", "a").join(other, "variant").filter(F.col("a") < F.col("b")).select("a", "b").distinct()
+    return pairs.filter(F.levenshtein("a", "b", 2) >= 0)
+
+
+def near_miss_classes(names: DataFrame) -> DataFrame:
+    """(supplier_key, class, links) of the supplier keys that have a near miss.
+
+    ``links`` are the other keys within two edits, and ``class`` is the first
+    key in name order that steps of two edits lead to.  A name of length L
+    makes L * L / 2 numbers, no texts, so long names are no danger.
+    """
+    links = stored(near_miss_links(names), "near-misses")
+    counts = links.select("a").unionByName(links.select(F.col("b").alias("a"))).groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("links"))
+    return classes(links).join(counts, "node").select(F.col("node").alias("supplier_key"), "class", "links")
+
+
 def supplier_near_misses(names: DataFrame) -> DataFrame:
     """Supplier keys within two edits of another key.
 

@@ -70,10 +70,26 @@ NAMES = """names as (select distinct k.supplier_key || case when s.s_suppkey % 3
     group by a.supplier_key""",
 )
 def supplier_near_misses(t):
+    return portfolio.supplier_near_misses(like_names(t))
+
+
+def like_names(t):
     ending = F.when(F.col("id") % 3 == 0, " trading").when(F.col("id") % 3 == 1, " tradings").otherwise(" works")
     number = F.when(F.col("id") % 7 == 0, (F.col("id") % 1000).cast("string")).otherwise("")
-    names = t("dom_suppliers").select(F.concat(portfolio.supplier_key(F.col("supplier")), ending, number).alias("supplier"))
-    return portfolio.supplier_near_misses(names)
+    return t("dom_suppliers").select(F.concat(portfolio.supplier_key(F.col("supplier")), ending, number).alias("supplier"))
+
+
+@register(
+    "near_miss_classes",
+    f"""with recursive {KEYED}, {NAMES},
+  near as (select a.supplier_key as a, b.supplier_key as b from names a join names b
+    on a.supplier_key <> b.supplier_key and levenshtein(a.supplier_key, b.supplier_key) <= 2),
+  reached as (select a, b from near union select r.a, n.b from reached r join near n on n.a = r.b),
+  least as (select a, least(a, min(b)) as class from reached group by a)
+    select l.a as supplier_key, l.class, count(*) as links from least l join near n on n.a = l.a group by l.a, l.class""",
+)
+def near_miss_classes(t):
+    return portfolio.near_miss_classes(like_names(t))
 
 
 @register(

@@ -78,3 +78,47 @@ def test_ocr_and_licences(frame):
     users = frame([("c1", "2000-06-29"), ("c1", None), ("c1", "2000-01-01")], "contract_id string, last_active date")
     found = rows(portfolio.licence_usage(users, contracts, "2000-06-30").select("contract_id", "listed", "idle", "over_licence"), "contract_id")
     assert found == [("c1", 3, 2, 1), ("c2", 0, 0, -5)]
+
+
+def plain_classes(names):
+    near = {a: [b for b in names if b != a and naive_distance(a, b) <= 2] for a in names}
+    out = {}
+    for a in names:
+        seen, todo = {a}, [a]
+        while todo:
+            for b in near[todo.pop()]:
+                if b not in seen:
+                    seen.add(b)
+                    todo.append(b)
+        if near[a]:
+            out[a] = (min(seen), len(near[a]))
+    return out
+
+
+def naive_distance(a, b):
+    if abs(len(a) - len(b)) > 2:
+        return 3
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_near_miss_classes_match_every_pair(frame):
+    pick = random.Random(4)
+    names = {"".join(pick.choices("abcé", k=pick.randrange(1, 9))) for _ in range(300)} | {f"number {n}" for n in range(80)} | {"a", "ab", "zzzzzzzzzz"}
+    found = {r.supplier_key: (r["class"], r.links) for r in portfolio.near_miss_classes(frame([(n,) for n in names], "supplier string")).collect()}
+    assert found == plain_classes(names)
+
+
+def test_near_misses_of_long_names(frame):
+    long = "".join(random.Random(1).choices("abcdefgh", k=1000))
+    names = [long, long[:500] + "x" + long[500:], long[:10] + long[11:600] + long[601:], long[:-1] + "zz", "y" * 1000, "y" * 1003]
+    found = {r.supplier_key: r.links for r in portfolio.near_miss_classes(frame([(n,) for n in names], "supplier string")).collect()}
+    assert found == {n: sum(naive_distance(n, m) <= 2 for m in names if m != n) for n in names[:4]}
+
+
+def test_no_names_no_classes(frame):
+    assert portfolio.near_miss_classes(frame([(None,), ("Ltd",), ("alone",)], "supplier string")).collect() == []
