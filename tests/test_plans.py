@@ -41,8 +41,8 @@ def test_rank_limits_before_the_shuffle(spark):
     assert plan.count("WindowGroupLimit") == 2
 
 
-# Shuffles in the plan before it runs, with what was stored on the way left out.
-@pytest.mark.parametrize("key, most", [("analysis_policy_snapshot", 15), ("consent_asof", 12), ("fk_orphans", 4), ("erase_accounts", 40)])
+# Shuffles in the plan before it runs, with what was stored on the way left out; one of fk_orphans groups the lines of the audit binding.
+@pytest.mark.parametrize("key, most", [("analysis_policy_snapshot", 15), ("consent_asof", 12), ("fk_orphans", 5), ("erase_accounts", 40)])
 def test_few_shuffles(spark, key, most):
     plan = plan_of(all_queries()[key](spark, FOLDER))
     assert len(re.findall(r"^[ :+|*()0-9-]*Exchange ", plan, re.M)) <= most, plan
