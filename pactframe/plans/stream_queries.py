@@ -125,3 +125,20 @@ def stream_telemetry_sink(t):
     return rows.groupBy("day", "op").agg(
         F.count(F.lit(1)).alias("calls"), F.count_if("ok").alias("good"), F.count_distinct("id").alias("ids"),
         F.coalesce(F.sum(F.col("tokens_in") + F.col("tokens_out")), F.lit(0)).cast("long").alias("tokens"))
+
+
+@register(
+    "stream_stale_timers",
+    f"""with signs as (select job_id as id, ts as seen, bool_or(action not in ('claim', 'progress', 'requeue')) as done
+      from dom_job_events group by 1, 2),
+    apart as (select *, coalesce(seen > lag(seen) over (partition by id order by seen) + interval 5 minute, true)::int as first from signs),
+    spans as (select *, sum(first) over (partition by id order by seen) as span from apart)
+    select id, min(seen) as alive_since, max(seen) as last_heartbeat, max(seen) + interval 5 minute as stale_at from spans group by id, span
+    having not arg_max(done, seen) and max(seen) + interval 5 minute < (select date_trunc('milliseconds', max(ts)) - interval 3 day from events)""",
+)
+def stream_stale_timers(t):
+    """Job events as signs of life that come over several micro-batches, some a batch late."""
+    events = bound_stream(t.spark, t.folder, "dom_job_events", "events", in_parts=True)
+    alive = F.when(F.col("action").isin("claim", "progress", "requeue"), "running").otherwise(F.col("action"))
+    changes = events.select(F.col("job_id").alias("id"), F.col("ts").alias("at"), alive.alias("status"))
+    return drain(streams.stream_stale_timers(changes, lateness="3 days"), "stream-stale-timers")

@@ -195,3 +195,77 @@ def test_a_failed_compaction_changes_nothing(spark, frame):
     assert sorted(r.id for r in sink.read(spark, parts[0].schema).collect()) == [0, 1]
     sink.compact(spark, parts[0].schema)
     assert sorted(r.id for r in sink.read(spark, parts[0].schema).collect()) == [0, 1]
+
+
+SIGNS = "id string, at timestamp, status string"
+
+
+def sign(job, second, status="running"):
+    return (job, f"2024-01-01 {second // 3600:02d}:{second // 60 % 60:02d}:{second % 60:02d}", status)
+
+
+def alerts_by_batch(spark, stream, **options):
+    """(micro-batch, job, last sign) of every alert, with the times as HH:mm."""
+    found = []
+
+    def step(batch, number):
+        found.extend((number, r.id, r.at) for r in batch.select("id", F.date_format("last_heartbeat", "HH:mm").alias("at")).collect())
+
+    drain_batches(streams.stream_stale_timers(stream, **options), "timers", step)
+    return sorted(found)
+
+
+def naive_alerts(signs, until, gap=300):
+    """(job, first sign, last sign) of every span that ends without the end of its job, by a plain walk."""
+    out, by_job = [], {}
+    for job, second, status in signs:
+        by_job.setdefault(job, {}).setdefault(second, []).append(status)
+    for job, at in by_job.items():
+        start = None
+        for n, second in enumerate(times := sorted(at)):
+            start = second if start is None else start
+            if n + 1 < len(times) and times[n + 1] - second <= gap:
+                continue
+            if set(at[second]) == {"running"} and second + gap < until:
+                out.append((job, start, second))
+            start = None
+    return sorted(out)
+
+
+@pytest.mark.parametrize("files", [1, 3, 7])
+def test_timers_in_any_batching(spark, frame, in_files, files):
+    dice = random.Random(8)
+    # a third of all signs are of one job; the last one, of a job of its own, moves the watermark on
+    signs = [("hot" if n % 3 == 0 else f"j{n % 40}", dice.randrange(40) * 300 + dice.choice([0, 0, 1, 299]), dice.choice(["running"] * 4 + ["dead"])) for n in range(400)]
+    arriving = dice.sample(signs, len(signs))
+    parts = [[sign(*s) for s in arriving[i::files]] for i in range(files)] + [[sign("last", 80_000)]]
+    found = drain(streams.stream_stale_timers(in_files([frame(p, SIGNS) for p in parts]), lateness="15000 seconds"), "timers")
+    seconds = [F.unix_timestamp(c) - F.lit(1704067200) for c in ("alive_since", "last_heartbeat")]
+    assert rows(found.select("id", *seconds), "id", "last_heartbeat") == naive_alerts(signs, 65_000)
+    assert found.where("stale_at != last_heartbeat + interval 5 minutes").count() == 0
+
+
+def test_timer_is_set_anew_taken_away_and_runs_out_without_news(spark, frame, in_files):
+    parts = [
+        [sign("lost", 0), sign("late", 0), sign("done", 0), sign("clock", 0)],
+        [sign("late", 480), sign("late", 240), sign("done", 200, "succeeded"), sign("clock", 600), sign(None, 0), ("lost", None, "running")],
+        [sign("clock", 901)],
+        [sign("clock", 1100), sign("clock", 1400)],
+    ]
+    found = alerts_by_batch(spark, in_files([frame(p, SIGNS) for p in parts]), lateness="10 minutes")
+    # the watermark is 05:01 after the third file and 13:20 after the fourth; "clock" missed 00:00 to 10:00 and 10:00 to 15:01
+    at = {(job, last): number for number, job, last in found}
+    assert set(at) == {("lost", "00:00"), ("clock", "00:00"), ("late", "00:08")}
+    assert at["lost", "00:00"] == at["clock", "00:00"] < at["late", "00:08"]
+
+
+def test_timers_go_on_after_a_restart(spark, frame):
+    source, out, checkpoint = (new_folder(spark, n) for n in ("signs", "alerts", "alerts-checkpoint"))
+    for part in ([sign("a", 0), sign("b", 0)], [sign("a", 250), sign("c", 880)], [sign("c", 2000)]):
+        data = frame(part, SIGNS)
+        data.coalesce(1).write.mode("append").parquet(source)
+        alerts = streams.stream_stale_timers(spark.readStream.schema(data.schema).parquet(source))
+        query = alerts.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(out)
+        query.awaitTermination()
+    found = spark.read.schema(alerts.schema).parquet(out)
+    assert [(r.id, r.last_heartbeat.minute) for r in found.orderBy("id", "last_heartbeat").collect()] == [("a", 4), ("b", 0), ("c", 14)]
