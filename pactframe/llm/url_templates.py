@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pactframe.llm.common import without
 from pactframe.sources.tables import stored
 
-DEPTH = 3  # levels that every tree has; deeper ones are added where paths go on
+DEPTH = 3  # levels settled one after the other; all deeper ones are settled together
 SMOOTHING = 5.0
 LEAST_PURITY = 0.8
 SIMILAR_Z = 1.96
@@ -67,8 +67,8 @@ def deeper_segments(path: Column) -> Column:
     return F.coalesce(F.regexp_replace(F.concat_ws("/", deeper), "/+$", ""), F.lit(""))
 
 
-def merge_similar(leaves: DataFrame, above: list[str], name: str) -> DataFrame:
-    """Replace segment ``name`` by a wildcard in the branches below ``above`` that are like their siblings.
+def unlike_siblings(leaves: DataFrame, above: list[str], name: str) -> DataFrame:
+    """(above, name) of the branches below ``above`` whose share of bad pages differs from that of their siblings.
 
     A branch is compared with all its siblings together by a two-sample test of
     proportions; one without labelled pages, or without labelled siblings, is alike.
@@ -80,29 +80,49 @@ def merge_similar(leaves: DataFrame, above: list[str], name: str) -> DataFrame:
     error = F.sqrt(pooled * (1 - pooled) * (1.0 / F.col("l") + 1.0 / other_l))
     z = F.abs(F.col("b") / F.col("l") - other_b / other_l) / error
     differs = F.when((F.col("l") > 0) & (other_l > 0) & (F.col("all_b") > 0) & (F.col("all_b") < F.col("all_l")), z >= SIMILAR_Z).otherwise(False)
-    own = branch.join(parent, above).where(differs).select(*above, name, F.lit(True).alias("own"))
+    return branch.join(parent, above).where(differs).select(*above, name)
+
+
+def merge_similar(leaves: DataFrame, above: list[str], name: str) -> DataFrame:
+    """Replace segment ``name`` by a wildcard in the branches below ``above`` that are like their siblings."""
+    own = unlike_siblings(leaves, above, name).withColumn("own", F.lit(True))
     marked = leaves.join(own, [*above, name], "left")
     return marked.withColumn(name, F.when(F.col("own"), F.col(name)).otherwise(F.lit("*"))).drop("own")
 
 
-def further_levels(tree: DataFrame, deepest: int) -> DataFrame:
-    """The tree with ``deepest`` levels beyond DEPTH, each only below the templates that have a further segment.
+def further_levels(tree: DataFrame, names: list[str]) -> DataFrame:
+    """The tree with all levels beyond DEPTH, in a fixed number of passes however deep the paths are.
 
-    So neither template nor purity depends on how deep other templates go.
+    All levels are settled at once.  A segment stays in the template if its
+    pages differ from those of the other segments at its level of the template
+    above, or from those below the same parent segment; else it is a wildcard.
+    The first test sees through wildcards between, the second finds segments
+    that mean one thing here and another there.  Only levels that a path has
+    count, so neither template nor purity depends on how deep other paths go.
     """
-    done = []
-    for n in range(deepest):
-        parts = F.split("rest", "/")
-        tree = tree.withColumn("part", F.coalesce(F.get(parts, F.lit(n)), F.lit("")))
-        goes_on = (F.col("rest") != "") & (F.size(parts) > n)
-        tree = tree.join(tree.groupBy("host", "template").agg(F.max(goes_on).alias("open")), ["host", "template"])
-        done.append(tree.where(~F.col("open")).drop("part", "open"))
-        tree = merge_similar(tree.where("open").drop("open"), ["host", "template"], "part")
-        node = tree.groupBy("host", "template", "part").agg(F.sum("labelled").alias("l"), F.sum("bad").alias("b"))
-        purity = (F.col("b") + SMOOTHING * F.col("purity")) / (F.col("l") + SMOOTHING)
-        tree = tree.join(node, ["host", "template", "part"]).withColumn("purity", purity)
-        tree = stored(tree.withColumn("template", F.concat_ws("/", "template", "part")).drop("part", "l", "b"), "url-deeper")
-    return reduce(DataFrame.unionByName, done, tree)
+    leaf = F.md5(F.to_json(F.struct("host", *names, "rest")))
+    deeper = tree.where("rest != ''").select("*", leaf.alias("leaf"), F.split("rest", "/").alias("parts"))
+    deeper = stored(deeper, "url-deeper")
+    under = F.slice(F.concat(F.array(F.lit("")), "parts"), F.lit(1), F.size("parts"))
+    steps = F.arrays_zip(F.col("parts").alias("part"), under.alias("under"))
+    levels = deeper.select("leaf", "host", "template", "labelled", "bad", F.posexplode(steps).alias("k", "step"))
+    levels = levels.select("leaf", "host", "template", "k", "step.*", "labelled", "bad")
+    for mark, above in (("__level", ["host", "template", "k"]), ("__under", ["host", "template", "k", "under"])):
+        own = unlike_siblings(levels.where("labelled > 0").select(*above, "part", "labelled", "bad"), above, "part")
+        levels = levels.join(own.withColumn(mark, F.lit(True)), [*above, "part"], "left")
+    part = F.when(F.coalesce("__level", "__under", F.lit(False)), F.col("part")).otherwise(F.lit("*"))
+    paths = levels.groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("k", part.alias("part")))).alias("path"))
+    nodes = F.aggregate("path", F.array().cast("array<bigint>"), lambda made, step: F.concat(
+        made, F.array(F.xxhash64(F.coalesce(F.get(made, F.size(made) - 1), F.lit(0)), step["part"]))))
+    paths = paths.select("leaf", F.concat_ws("/", F.col("path.part")).alias("further"), nodes.alias("nodes"))
+    deeper = stored(deeper.drop("parts").join(paths, "leaf"), "url-further")
+    places = deeper.select("leaf", "host", "template", "labelled", "bad", F.posexplode("nodes").alias("k", "node"))
+    node = ["host", "template", "k", "node"]
+    counts = places.groupBy(*node).agg(F.sum("labelled").alias("l"), F.sum("bad").alias("b"))
+    counts = places.select("leaf", *node).join(counts, node).groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("k", "l", "b"))).alias("counts"))
+    purity = F.aggregate("counts", F.col("purity"), lambda p, n: (n["b"] + SMOOTHING * p) / (n["l"] + SMOOTHING))
+    settled = deeper.join(counts, "leaf").withColumn("purity", purity).withColumn("template", F.concat_ws("/", "template", "further"))
+    return tree.where("rest = ''").unionByName(settled.select(*tree.columns))
 
 
 def template_tree(labelled: DataFrame) -> DataFrame:
@@ -119,7 +139,7 @@ def template_tree(labelled: DataFrame) -> DataFrame:
     tree = stored(tree, "url-tree")
     whole = leaves.agg(
         ((F.coalesce(F.sum("bad"), F.lit(0)) + 1) / (F.coalesce(F.sum("labelled"), F.lit(0)) + 2)).alias("p"),
-        F.max(F.when(F.col("rest") != "", F.size(F.split("rest", "/"))).otherwise(0)).alias("deepest")).first()
+        F.coalesce(F.bool_or(F.col("rest") != ""), F.lit(False)).alias("deeper")).first()
     purity: Column = F.lit(whole.p)
     scored = tree
     for depth in range(DEPTH + 1):
@@ -129,8 +149,8 @@ def template_tree(labelled: DataFrame) -> DataFrame:
         purity = (F.col(f"b{depth}") + SMOOTHING * purity) / (F.col(f"l{depth}") + SMOOTHING)
     scored = scored.select("host", *[F.col(f"raw_{s}").alias(s) for s in names], "rest", "labelled", "bad",
                            F.concat_ws("/", F.lit(""), *names).alias("template"), purity.alias("purity"))
-    if whole.deepest:
-        scored = further_levels(stored(scored, "url-scored"), whole.deepest)
+    if whole.deeper:
+        scored = further_levels(stored(scored, "url-scored"), names)
     return scored.drop("labelled", "bad")
 
 

@@ -1,6 +1,7 @@
 """URL parsing and rules against plain code, the tree on planted templates, and the SQL."""
 
 import re
+import time
 
 import pytest
 
@@ -97,3 +98,38 @@ def test_branches_that_part_at_segment_five(spark):
     for url in urls:
         if "k.net" in url:
             assert (alone[url].template, alone[url].purity) == (rows[url].template, rows[url].purity)
+
+
+def judged(spark, pages, unknown):
+    """Verdicts of ``unknown`` URLs beside ``pages`` (url, bad), by URL."""
+    urls = [u for u, _ in pages] + unknown
+    labels = spark.createDataFrame([(n, b) for n, (_, b) in enumerate(pages)], "page_id long, bad int")
+    rows = ut.judge_urls(frame(spark, urls), labels=labels).collect()
+    assert len(rows) == len(urls)
+    return {r.url: r for r in rows}
+
+
+def test_a_thousand_segments(spark):
+    """Paths of a thousand segments that part at the last but one; the time does not follow the depth."""
+    deep = "/".join(f"d{chr(97 + n % 26)}" for n in range(998))
+    pages = [(f"http://h.net/{deep}/{kind}/{n}", int(kind == "ads")) for n in range(20) for kind in ("ads", "news")]
+    unknown = [f"http://h.net/{deep}/{kind}/999" for kind in ("ads", "news")] + ["http://k.net/" + "x/" * 5000]
+    start = time.time()
+    rows = judged(spark, pages, unknown)
+    assert time.time() - start < 120
+    assert [rows[u].verdict for u in unknown] == ["block", "allow", "allow"]
+    assert rows[unknown[0]].template.split("/")[999:] == ["ads", "*"] and set(rows[unknown[0]].template.split("/")[4:999]) == {"*"}
+
+
+def test_deep_segments_below_wildcards_and_by_parent(spark):
+    """ads and news part below ever new names; old is bad below p and good below q, new the other way round."""
+    pages = [(f"http://h.net/a/b/c/{name}/{kind}/{n}", int(kind == "ads"))
+             for name in ("u", "v", "w", "x", "y", "z") for kind in ("ads", "news") for n in range(3)]
+    pages += [(f"http://g.net/a/b/c/{up}/{kind}/{n}/{m}", int((up == "p") == (kind == "old")))
+              for up in ("p", "q") for kind in ("old", "new") for n in range(20) for m in (n, n + 1)]
+    # more pages of one parent, so that the parents themselves differ and stay apart
+    pages += [(f"http://g.net/a/b/c/p/old/{n}/x{n}x", 1) for n in range(60)]
+    unknown = ["http://h.net/a/b/c/never/ads/1", "http://h.net/a/b/c/never/news/1"]
+    unknown += [f"http://g.net/a/b/c/{up}/{kind}/777/1" for up in ("p", "q") for kind in ("old", "new")]
+    rows = judged(spark, pages, unknown)
+    assert [rows[u].verdict for u in unknown] == ["block", "allow", "block", "allow", "allow", "block"]
