@@ -77,6 +77,7 @@ UNIQUE_KEYS = [
     Unique("profiles", ("email",)),
 ]
 
+# The declared values of each column, from the source schema.
 CHECKS = [
     Check("accounts", "plan", one_of("plan", ["sandbox", "growth", "scale", "enterprise"])),
     Check("members", "role", one_of("role", ["owner", "admin", "member", "viewer"])),
