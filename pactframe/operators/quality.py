@@ -32,28 +32,33 @@ def fk_orphans(tables: dict[str, DataFrame], references: list[Reference]) -> Dat
     """Rows per reference whose target does not exist.
 
     Each table is read once and gives its keys, as parent and as child, as rows
-    (parent table, key, reference), keys as text.  Equal rows are counted first,
-    so a key that fills a third of a table arrives as one row per map task.
+    (target, key as text, slot), where the slot numbers the references to one
+    target and -1 is the target itself.  Slots are counted per key before the
+    only shuffle of keys, so one that fills a third of a table arrives as one
+    row per map task, and no list of a key's rows is ever built.
     """
-    key = "struct<parent:string,key:string,reference:string>"
+    targets = sorted({(r.parent, r.key) for r in references})
+    asking = {t: [r for r in references if (r.parent, r.key) == t] for t in targets}
+    place = {r: (n, i) for n, t in enumerate(targets) for i, r in enumerate(asking[t])}
     rows = []
     for name, df in tables.items():
-        own = {(r.parent, r.key) for r in references if r.parent == name}
-        keys = [(parent, column, None) for parent, column in sorted(own)]
-        keys += [(r.parent, r.column, f"{r.child}.{r.column}") for r in references if r.child == name]
+        keys = [(n, key, -1) for n, (parent, key) in enumerate(targets) if parent == name]
+        keys += [(n, r.column, i) for r, (n, i) in place.items() if r.child == name]
         if keys:
-            each = F.array(*[F.struct(F.lit(p).alias("parent"), F.col(c).cast("string").alias("key"), F.lit(ref).cast("string").alias("reference")).cast(key) for p, c, ref in keys])
+            each = F.array(*[F.struct(F.lit(n).alias("target"), F.col(c).cast("string").alias("key"), F.lit(i).alias("slot")) for n, c, i in keys])
             rows.append(df.select(F.inline(each)).filter(F.col("key").isNotNull()))
-    counted = _union(rows).groupBy("parent", "key", "reference").agg(F.count(F.lit(1)).alias("n"))
-    by_key = counted.groupBy("parent", "key").agg(
-        F.bool_or(F.col("reference").isNull()).alias("known"),
-        F.collect_list(F.when(F.col("reference").isNotNull(), F.struct("reference", "n"))).alias("asked"),
-    )
-    missing = by_key.filter(~F.col("known")).select(F.inline("asked")).groupBy("reference").agg(
-        F.count(F.lit(1)).alias("orphan_keys"), F.sum("n").alias("orphan_rows"))
-    session = rows[0].sparkSession
-    listed = session.createDataFrame([(f"{r.child}.{r.column}", r.parent) for r in references], "reference string, parent string")
-    return listed.join(missing, "reference", "left").fillna(0, ["orphan_keys", "orphan_rows"])
+    slots = range(max(map(len, asking.values())))
+    by_key = _union(rows).groupBy("target", "key").agg(
+        F.bool_or(F.col("slot") == -1).alias("known"), *[F.count_if(F.col("slot") == i).alias(f"n{i}") for i in slots])
+    missing = by_key.filter(~F.col("known")).groupBy("target").agg(
+        *[F.count_if(F.col(f"n{i}") > 0).alias(f"keys{i}") for i in slots], *[F.sum(f"n{i}").alias(f"rows{i}") for i in slots])
+    each = F.array(*[F.struct(F.lit(i).alias("slot"), F.col(f"keys{i}").alias("orphan_keys"), F.col(f"rows{i}").alias("orphan_rows")) for i in slots])
+    named = F.array(*[
+        F.struct(F.lit(f"{r.child}.{r.column}").alias("reference"), F.lit(r.parent).alias("parent"), F.lit(n).alias("target"), F.lit(i).alias("slot"))
+        for r, (n, i) in place.items()])
+    listed = rows[0].sparkSession.range(1).select(F.inline(named))
+    found = listed.join(missing.select("target", F.inline(each)), ["target", "slot"], "left")
+    return found.select("reference", "parent", "orphan_keys", "orphan_rows").fillna(0, ["orphan_keys", "orphan_rows"])
 
 
 @dataclass(frozen=True)
