@@ -310,13 +310,15 @@ def _open_before(items: DataFrame, levels: tuple[str, ...]) -> DataFrame:
 
 
 def failure_streaks(
-    calls: DataFrame, threshold: int = 4, hold: str = "60 seconds", levels: tuple[str, ...] = ("second", "hour")
+    calls: DataFrame, threshold: int = 4, hold: str = "60 seconds", levels: tuple[str, ...] = ("second", "hour"),
+    carried: DataFrame | None = None,
 ) -> DataFrame:
     """Retryable failures with the running streak of their worker.
 
     ``calls`` has (worker, created_at, id, ok, retryable).  A success resets the
     streak, a failure that is not retryable neither counts nor resets, and each
-    failure at or beyond the threshold opens a new hold.
+    failure at or beyond the threshold opens a new hold.  ``carried`` has
+    (worker, open), the unbroken failures of a worker before all of ``calls``.
 
     There are few workers, so a worker's log is never ordered as a whole: calls
     are ordered inside one of its seconds, its seconds inside an hour, and its
@@ -337,6 +339,10 @@ def failure_streaks(
     buckets = lines.groupBy("worker", "_bucket").agg(
         F.max("_won").alias("_reset"), (F.max("_hits") - F.coalesce(F.max("_base"), F.lit(0))).alias("_tail")
     )
+    if carried is not None:
+        # a bucket like any other, before all others
+        first = F.lit("0001-01-01 00:00:00").cast("timestamp").alias("_bucket")
+        buckets = buckets.unionByName(carried.select("worker", first, F.lit(True).alias("_reset"), F.col("open").alias("_tail")))
     before = _open_before(buckets, levels[1:])
     streak = F.when(F.col("_base").isNull(), F.col("_hits") + F.col("_carried")).otherwise(F.col("_hits") - F.col("_base"))
     opened = F.col("streak") >= threshold

@@ -6,6 +6,7 @@ import re
 import string
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from pactframe.session import new_folder
 from pactframe.sources.bindings import BINDINGS
@@ -39,6 +40,11 @@ def stored(rows: DataFrame, name: str) -> DataFrame:
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
+def no_rows(spark: SparkSession, schema: StructType) -> DataFrame:
+    """An empty table of the schema, known as such to the planner and made without Python workers."""
+    return spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields])
+
+
 def base_names(template: str) -> list[str]:
     """Placeholders of a binding text."""
     return sorted({name for _, name, _, _ in string.Formatter().parse(template) if name})

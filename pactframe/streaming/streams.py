@@ -15,6 +15,7 @@ from pyspark.sql.types import IntegerType, LongType, StringType, StructField, St
 from pactframe.functions.columns import percent
 from pactframe.operators.jobs import clamp_progress, enqueue_decisions, failure_streaks
 from pactframe.operators.ops import health_columns
+from pactframe.sources.tables import no_rows
 
 LATENESS = "10 minutes"
 
@@ -113,7 +114,7 @@ def batch_parts(spark: SparkSession, folder: str, schema: StructType) -> DataFra
     try:
         return spark.read.schema(full).parquet(folder)
     except AnalysisException:
-        return spark.createDataFrame([], full)
+        return no_rows(spark, full)
 
 
 def last_done(spark: SparkSession, folder: str) -> tuple[int, object]:
@@ -126,8 +127,8 @@ def last_done(spark: SparkSession, folder: str) -> tuple[int, object]:
 
 
 def mark_done(spark: SparkSession, folder: str, batch_id: int, value=None) -> None:
-    row = spark.createDataFrame([(batch_id, value)], "batch long, value timestamp")
-    row.coalesce(1).write.mode("append").parquet(f"{folder}/done")
+    row = spark.range(1, numPartitions=1).select(F.lit(batch_id).cast("long").alias("batch"), F.lit(value).cast("timestamp").alias("value"))
+    row.write.mode("append").parquet(f"{folder}/done")
 
 
 class StreakBatches:
@@ -175,7 +176,7 @@ class StreakBatches:
             waiting, carried = self._kept(spark, batch_id - 1, "waiting"), self._kept(spark, batch_id - 1, "state")
         else:
             waiting, passed = batch.limit(0), None
-            carried = spark.createDataFrame([], f"worker {batch.schema['worker'].dataType.simpleString()}, open bigint")
+            carried = batch.limit(0).select("worker", F.lit(0).cast("long").alias("open"))
         if passed is not None:
             late = batch.filter(F.col("created_at") < F.lit(passed))
             batch = batch.filter((F.col("created_at") >= F.lit(passed)) | F.col("created_at").isNull())
@@ -185,24 +186,11 @@ class StreakBatches:
         is_due = F.lit(True) if everything else F.coalesce(F.col("created_at") < F.lit(mark), F.lit(False))
         due = rows.filter(is_due)
 
-        streaks = failure_streaks(due, self.threshold, self.hold)
-        # rows before the first success continue the carried streak
-        wins = due.filter("ok").groupBy("worker").agg(
-            F.min(F.struct("created_at", "id")).alias("_first"), F.max(F.struct("created_at", "id")).alias("_last"))
-        before = wins.join(carried, "worker", "full").select("worker", "_first", F.coalesce("open", F.lit(0)).alias("open"))
-        # a worker has few seconds per batch next to its rows, so rows are spread by second and not joined on the worker alone
-        second = F.date_trunc("second", "created_at")
-        seconds = streaks.select("worker", second.alias("_second")).distinct().join(before, "worker", "left")
-        continued = F.col("_first").isNull() | (F.struct("created_at", "id") < F.col("_first"))
-        streak = F.col("streak") + F.when(continued, F.coalesce("open", F.lit(0))).otherwise(0)
-        out = streaks.withColumn("_second", second).join(seconds, ["worker", "_second"]).withColumn("streak", streak)
-        opened = F.col("streak") >= self.threshold
-        out.select(
-            "worker", "created_at", "id", "streak", opened.alias("opened"),
-            F.when(opened, F.col("created_at") + F.expr(f"interval {self.hold}")).alias("open_until"),
-        ).write.mode("overwrite").parquet(f"{folder}/out/batch={batch_id}")
+        streaks = failure_streaks(due, self.threshold, self.hold, carried=carried)
+        streaks.write.mode("overwrite").parquet(f"{folder}/out/batch={batch_id}")
 
         done = spark.read.parquet(f"{folder}/out/batch={batch_id}")
+        wins = due.filter("ok").groupBy("worker").agg(F.max(F.struct("created_at", "id")).alias("_last"))
         last = done.groupBy("worker").agg(F.max_by("streak", F.struct("created_at", "id")).alias("_streak"), F.max(F.struct("created_at", "id")).alias("_at"))
         state = carried.join(wins, "worker", "full").join(last, "worker", "full").select(
             "worker",
@@ -314,7 +302,7 @@ class DailySink:
         try:
             rows = spark.read.schema("day string, upto long").parquet(f"{self.folder}/published")
         except AnalysisException:
-            rows = spark.createDataFrame([], "day string, upto long")
+            rows = no_rows(spark, StructType([StructField("day", StringType()), StructField("upto", LongType())]))
         return rows.groupBy("day").agg(F.max("upto").alias("upto"))
 
     def _parts(self, spark: SparkSession, schema: StructType) -> DataFrame:
@@ -323,7 +311,7 @@ class DailySink:
         try:
             rows = spark.read.schema(full).parquet(f"{self.folder}/parts")
         except AnalysisException:
-            rows = spark.createDataFrame([], full)
+            rows = no_rows(spark, full)
         return rows.join(self._published(spark), "day", "left").filter(F.col("batch") > F.coalesce("upto", F.lit(-1))).select(*full.names)
 
     def _whole(self, spark: SparkSession, schema: StructType) -> DataFrame:
@@ -332,7 +320,7 @@ class DailySink:
         try:
             rows = spark.read.schema(full).parquet(f"{self.folder}/compacted")
         except AnalysisException:
-            rows = spark.createDataFrame([], full)
+            rows = no_rows(spark, full)
         return rows.join(self._published(spark), ["day", "upto"], "left_semi").select(*schema.names, "day")
 
     def read(self, spark: SparkSession, schema: StructType) -> DataFrame:
