@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,6 +38,7 @@ def content_tokens(text: Column) -> Column:
     return F.array_except(F.array_distinct(tokens(text)), stopped)
 
 
+@functools.lru_cache(maxsize=1 << 17)
 def normal_term(token: str, english: bool = True) -> str | None:
     """Search term of a token: its stem, or None for a stop word."""
     if not english:
@@ -104,6 +106,75 @@ def group_terms(english: bool, only: frozenset[str] | None = None):
     return run
 
 
+POSTINGS = "array<struct<field:string,term:string,tf:int,positions:array<int>,tenths:bigint>>"
+ROWS_AT_ONCE = 1_000
+
+
+def fields_postings(english: bool, weights: dict[str, int]):
+    """Function for mapInArrow: (keys..., words of each field) to (keys..., length, postings).
+
+    A document stays one row, so its weighted length and its terms are known
+    without a shuffle.  ``tenths`` is the weighted count of the term in all
+    fields, in the first posting of the term alone.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, ROWS_AT_ONCE):
+                yield grouped(whole.slice(start, ROWS_AT_ONCE))
+
+    def grouped(batch: pa.RecordBatch) -> pa.RecordBatch:
+        n_rows, n_fields = batch.num_rows, len(weights)
+        keys = batch.schema.names[:-n_fields]
+        columns = [batch.column(f) for f in batch.schema.names[-n_fields:]]
+        lengths = [c.value_lengths().to_numpy() for c in columns]
+        row = np.concatenate([np.repeat(np.arange(n_rows), n) for n in lengths])
+        field = np.repeat(np.arange(n_fields), [n.sum() for n in lengths])
+        position = np.concatenate([np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + 1 for n in lengths])
+
+        encoded = pa.concat_arrays([c.flatten() for c in columns]).dictionary_encode()
+        known: dict[str, int] = {}
+        term_of_word = np.full(len(encoded.dictionary) + 1, -1)
+        for code, word in enumerate(encoded.dictionary.to_pylist()):
+            term = normal_term(word, english)
+            if term is not None:
+                term_of_word[code] = known.setdefault(term, len(known))
+        term = term_of_word[encoded.indices.to_numpy()]
+
+        kept = term >= 0
+        row, field, term, position = row[kept], field[kept], term[kept], position[kept]
+        group = (row * max(len(known), 1) + term) * n_fields + field
+        order = np.argsort(group, kind="stable")
+        group = group[order]
+        first = np.flatnonzero(np.diff(group, prepend=-1))
+        ends = np.append(first, len(group))
+        tf = np.diff(ends)
+        of_row, of_field, of_term = row[order][first], field[order][first], term[order][first]
+        counted = np.array(list(weights.values()))[of_field] * tf
+        opens = np.diff(group[first] // n_fields, prepend=-1) != 0
+        tenths = np.zeros(len(first), np.int64)
+        if len(first):
+            tenths[opens] = np.add.reduceat(counted, np.flatnonzero(opens))
+        postings = pa.StructArray.from_arrays(
+            [
+                pa.array(list(weights), pa.string()).take(pa.array(of_field)),
+                pa.array(list(known), pa.string()).take(pa.array(of_term)),
+                pa.array(tf.astype(np.int32)),
+                pa.ListArray.from_arrays(ends.astype(np.int32), position[order].astype(np.int32)),
+                pa.array(tenths, mask=~opens),
+            ],
+            ["field", "term", "tf", "positions", "tenths"],
+        )
+        places = np.searchsorted(of_row, np.arange(n_rows + 1)).astype(np.int32)
+        length = np.bincount(of_row, weights=counted, minlength=n_rows).astype(np.int64)
+        return pa.RecordBatch.from_arrays(
+            [*[batch.column(k) for k in keys], pa.array(length), pa.ListArray.from_arrays(places, postings)],
+            names=[*keys, "length", "postings"],
+        )
+
+    return run
+
+
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def english_terms(words: pd.Series) -> pd.Series:
     """Distinct search terms of each token list."""

@@ -6,7 +6,7 @@ documents alone, and the ids of the documents whose earlier rows are dead.
 Readers merge: a row counts unless a later segment declares its document dead.
 ``compact`` writes the live postings of some ranges of terms as one segment.
 
-    postings/segment=/span=   doc_id, field, term, tf, positions, length, slot
+    postings/segment=/span=   doc_id, field, term, tf, positions, length, slot, tenths (weighted count, once a document)
     blocks/segment=/span=     term, slot, n, most (weighted count), least (length)
     docs/segment=             doc_id, content (a hash), length, terms
     stats/segment=            term, n: change in documents with it; the null term has the totals
@@ -31,13 +31,16 @@ from functools import reduce
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from pactframe.operators.search import WEIGHT_TENTHS, doc_terms, parse_query, query_terms, search_match
+from pactframe.functions.text import POSTINGS, fields_postings, tokens
+from pactframe.operators.search import WEIGHT_TENTHS, parse_query, query_terms, search_match
 from pactframe.sources.tables import stored
 
 SPANS = 16
 SLOT_DOCS = 64
 FIRST_SLOTS = 64  # at least so many, and two for each wanted document, are read to find the score that the others must reach
 LISTED_SLOTS = 10_000  # slots named in a filter that reaches the scan; more are joined
+PART_WORDS = 2_000_000  # words a task sorts when postings are written
+BLOCKS = "term string, slot int, n long, most long, least long, segment int, span int"
 POSTING = ["doc_id", "field", "term", "tf", "positions"]
 
 
@@ -106,7 +109,7 @@ def live_docs(spark: SparkSession, path: str, state: dict | None = None) -> Data
 
 
 def live_postings(spark: SparkSession, path: str, named: frozenset[str] | None = None, state: dict | None = None, slots: list[int] | None = None) -> DataFrame:
-    """Postings (doc_id, field, term, tf, positions, length, slot, segment, span), of the given terms alone if any are given.
+    """Postings (doc_id, field, term, tf, positions, length, tenths, slot, segment, span), of the given terms alone if any are given.
 
     Only folders of the terms' ranges are read, and of those the parts that a
     pushed filter on term and slot lets through.
@@ -121,7 +124,7 @@ def live_postings(spark: SparkSession, path: str, named: frozenset[str] | None =
 
 
 def _schema(state) -> str:
-    return f"doc_id {state['id_type']}, field string, term string, tf int, positions array<int>, length long, slot int, segment int, span int"
+    return f"doc_id {state['id_type']}, field string, term string, tf int, positions array<int>, length long, tenths long, slot int, segment int, span int"
 
 
 def _places(state: dict, named: frozenset[str] | None) -> list[str]:
@@ -141,58 +144,73 @@ def _write(rows: DataFrame, path: str, kind: str, segment: int, by_span: bool =
     (writer.partitionBy("span") if by_span else writer).parquet(f"{path}/{kind}/segment={segment}")
 
 
-def _write_postings(rows: DataFrame, path: str, segment: int, bounds: list[str]) -> list[str]:
-    """Postings and their blocks by term range; the ranges that have any."""
+def _write_postings(rows: DataFrame, path: str, segment: int, state: dict, words: int | None = None) -> list[str]:
+    """Postings and their blocks by term range; the ranges that have any.
+
+    Postings are shuffled once, without what follows from the term or the
+    document, into parts of about ``PART_WORDS`` if the number of words is
+    known; the blocks are counted where their range puts them.
+    """
     spark = rows.sparkSession
-    ranged = rows.select(*POSTING, "length", "slot", span_of(F.col("term"), bounds).alias("span"))
-    ranged = ranged.repartitionByRange("span", "term", "slot", "doc_id").sortWithinPartitions("span", "term", "slot", "doc_id")
-    _write(ranged, path, "postings", segment, by_span=True)
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(state["slots"])).cast("int")
+    ranged = rows.select("doc_id", "field", "term", "positions", "length", "tenths")
+    parts = [] if words is None else [max(spark.sparkContext.defaultParallelism, words // PART_WORDS)]
+    ranged = ranged.repartitionByRange(*parts, F.col("term"), slot).select(
+        "doc_id", "field", "term", F.size("positions").alias("tf"), "positions", "length", "tenths", slot.alias("slot"), span_of(F.col("term"), state["bounds"]).alias("span"))
+    _write(ranged.sortWithinPartitions("span", "term", "slot", "doc_id", "field"), path, "postings", segment, by_span=True)
     try:
         written = spark.read.parquet(f"{path}/postings/segment={segment}")
     except AnalysisException:  # no postings, so no files
         return []
-    weight = F.when(F.col("field") == "A", WEIGHT_TENTHS["A"]).otherwise(WEIGHT_TENTHS["B"])
-    per_doc = written.groupBy("span", "term", "slot", "doc_id").agg(F.sum(weight * F.col("tf")).alias("tenths"), F.first("length").alias("length"))
-    blocks = per_doc.groupBy("span", "term", "slot").agg(F.count("*").alias("n"), F.max("tenths").alias("most"), F.min("length").alias("least"))
-    _write(blocks.repartitionByRange("span", "term", "slot").sortWithinPartitions("span", "term", "slot"), path, "blocks", segment, by_span=True)
-    return sorted(str(r["span"]) for r in written.select("span").distinct().collect())
+    block = ["span", "term", "slot"]
+    blocks = written.select(*block, "tenths", "length").repartitionByRange(*parts, *map(F.col, block)).groupBy(*block).agg(
+        F.count("tenths").alias("n"), F.max("tenths").alias("most"), F.min("length").alias("least"))
+    _write(blocks.sortWithinPartitions(*block), path, "blocks", segment, by_span=True)
+    return sorted(str(r["span"]) for r in spark.read.parquet(f"{path}/blocks/segment={segment}").select("span").distinct().collect())
 
 
-def _new_rows(docs: DataFrame, name: str, text: str, english: bool, slots: int | None):
-    """Stored postings with length and slot, the docs rows, and the number of slots."""
-    known = docs.select(F.col("id").alias("doc_id"), _content(name, text).alias("content"))
-    raw = stored(doc_terms(docs, name, text, english), "new-postings")
-    weight = F.when(F.col("field") == "A", WEIGHT_TENTHS["A"]).otherwise(WEIGHT_TENTHS["B"])
-    per_doc = raw.groupBy("doc_id").agg(F.sum(weight * F.col("tf")).alias("length"), F.collect_set("term").alias("terms"))
-    rows = stored(known.join(per_doc, "doc_id", "left").select(
-        "doc_id", "content", F.coalesce("length", F.lit(0).cast("long")).alias("length"),
-        F.coalesce("terms", F.array().cast("array<string>")).alias("terms")), "new-docs")
-    if slots is None:
-        slots = 2 ** max(0, math.ceil(math.log2(max(1, rows.count()) / SLOT_DOCS)))
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(slots)).cast("int")
-    return raw.join(rows.select("doc_id", "length"), "doc_id").withColumn("slot", slot), rows, slots
-
-
-def _stats(added: DataFrame, gone: DataFrame | None) -> DataFrame:
-    """(term, n, length): changes in documents by term, and in the null term those of all documents and their length."""
-    def counted(rows, sign):
-        each = rows.select(F.explode("terms").alias("term"), F.lit(sign).alias("n"), F.lit(0).cast("long").alias("length"))
-        return each.unionByName(rows.select(F.lit(None).cast("string").alias("term"), F.lit(sign).alias("n"), (sign * F.col("length")).alias("length")))
-
-    rows = counted(added, 1) if gone is None else counted(added, 1).unionByName(counted(gone, -1))
+def _new_rows(docs: DataFrame, name: str, text: str, english: bool) -> tuple[DataFrame, DataFrame]:
+    """Postings with length and weighted count, and the docs rows; a text is read once and its terms are counted in its row."""
+    fields = {"A": F.coalesce(F.col(name), F.lit("")), "B": F.coalesce(F.col(text), F.lit(""))}
+    words = docs.select(F.col("id").alias("doc_id"), _content(name, text).alias("content"), *[tokens(fields[f]).alias(f) for f in WEIGHT_TENTHS])
+    id_type = docs.schema["id"].dataType.simpleString()
+    whole = stored(words.mapInArrow(fields_postings(english, WEIGHT_TENTHS), f"doc_id {id_type}, content long, length long, postings {POSTINGS}"), "new-postings")
+    rows = whole.select("doc_id", "content", "length", F.array_distinct("postings.term").alias("terms"))
+    return whole.select("doc_id", "length", F.inline("postings")), rows
+
+
+def _stats(added: DataFrame, gone: DataFrame | None, blocks: DataFrame) -> DataFrame:
+    """(term, n, length): changes in documents by term, and in the null term those of all documents and their length.
+
+    The documents of each added term are counted from the blocks.
+    """
+    zero = F.lit(0).cast("long").alias("length")
+
+    def totals(rows, sign):
+        return rows.select(F.lit(None).cast("string").alias("term"), F.lit(sign).cast("long").alias("n"), (sign * F.col("length")).alias("length"))
+
+    rows = totals(added, 1).unionByName(blocks.select("term", "n", zero))
+    if gone is not None:
+        rows = rows.unionByName(totals(gone, -1)).unionByName(gone.select(F.explode("terms").alias("term"), F.lit(-1).cast("long").alias("n"), zero))
     return rows.groupBy("term").agg(F.sum("n").alias("n"), F.sum("length").alias("length")).filter("n <> 0 or length <> 0")
 
 
+def _blocks(spark: SparkSession, path: str, segment: int, held: list[str]) -> DataFrame:
+    return parts(spark, path, "blocks", [f"segment={segment}/span={k}" for k in held], BLOCKS)
+
+
 def build(docs: DataFrame, path: str, name: str = "name", text: str = "extracted_text", english: bool = True) -> dict:
     """A new index of documents with id (unique, not null), a name and a text; the published state."""
     spark = docs.sparkSession
-    postings, rows, slots = _new_rows(docs, name, text, english, None)
-    bounds = term_bounds(postings.select("term"))
-    state = {"version": 0, "segment": 0, "slots": slots, "bounds": bounds, "docs": [0], "stats": [0], "dead": [],
+    postings, rows = _new_rows(docs, name, text, english)
+    size = rows.agg(F.count(F.lit(1)).alias("docs"), F.coalesce(F.sum("length"), F.lit(0)).alias("tenths")).first()
+    slots = 2 ** max(0, math.ceil(math.log2(max(1, size["docs"]) / SLOT_DOCS)))
+    state = {"version": 0, "segment": 0, "slots": slots, "bounds": term_bounds(postings.select("term")), "docs": [0], "stats": [0], "dead": [],
              "english": english, "id_type": docs.schema["id"].dataType.simpleString()}
     _write(rows, path, "docs", 0)
-    _write(_stats(rows, None), path, "stats", 0)
-    state["parts"] = {k: [0] for k in _write_postings(postings, path, 0, bounds)}
+    held = _write_postings(postings, path, 0, state, size["tenths"] // min(WEIGHT_TENTHS.values()))
+    _write(_stats(rows, None, _blocks(spark, path, 0, held)), path, "stats", 0)
+    state["parts"] = {k: [0] for k in held}
     publish(spark, path, state)
     return state
 
@@ -205,7 +223,7 @@ def apply_changes(path: str, changed: DataFrame, removed: DataFrame | None = Non
     spark = changed.sparkSession
     state = state_of(spark, path)
     segment = state["segment"] + 1
-    postings, rows, _ = _new_rows(changed, name, text, state["english"], state["slots"])
+    postings, rows = _new_rows(changed, name, text, state["english"])
     ids = rows.select("doc_id")
     if removed is not None:
         ids = ids.unionByName(removed.select(F.col("id").alias("doc_id"))).distinct()
@@ -214,8 +232,8 @@ def apply_changes(path: str, changed: DataFrame, removed: DataFrame | None = Non
         return state
     _write(gone.select("doc_id"), path, "dead", segment)
     _write(rows, path, "docs", segment)
-    _write(_stats(rows, gone), path, "stats", segment)
-    held = _write_postings(postings, path, segment, state["bounds"])
+    held = _write_postings(postings, path, segment, state)
+    _write(_stats(rows, gone, _blocks(spark, path, segment, held)), path, "stats", segment)
     parts_now = {**state["parts"], **{k: state["parts"].get(k, []) + [segment] for k in held}}
     state = {**state, "version": state["version"] + 1, "segment": segment, "parts": parts_now,
              **{k: state[k] + [segment] for k in ("docs", "stats", "dead")}}
@@ -248,13 +266,13 @@ def compact(spark: SparkSession, path: str, spans: list[int] | None = None) -> d
         return state
     segment = state["segment"] + 1
     some = {**state, "parts": {k: state["parts"][k] for k in asked}}
-    held = _write_postings(live_postings(spark, path, state=some).drop("segment", "span"), path, segment, state["bounds"])
+    held = _write_postings(live_postings(spark, path, state=some).drop("segment", "span"), path, segment, state)
     kept = {k: ss for k, ss in state["parts"].items() if k not in asked}
     new = {**state, "version": state["version"] + 1, "segment": segment, "parts": {**kept, **{k: [segment] for k in held}}}
     if spans is None:
         docs = live_docs(spark, path, state).drop("segment")
         _write(docs, path, "docs", segment)
-        _write(_stats(docs, None), path, "stats", segment)
+        _write(_stats(docs, None, _blocks(spark, path, segment, held)), path, "stats", segment)
         new |= {"docs": [segment], "stats": [segment], "dead": []}
     publish(spark, path, new)
     return new
@@ -302,8 +320,7 @@ def slot_bounds(spark: SparkSession, path: str, query: str, k1: float = 1.2, b:
 
 
 def _slot_bounds(spark, path, state, scores: _Scores) -> DataFrame:
-    schema = "term string, slot int, n long, most long, least long, segment int, span int"
-    blocks = parts(spark, path, "blocks", _places(state, scores.wanted), schema).filter(F.col("term").isin(*sorted(scores.wanted)))
+    blocks = parts(spark, path, "blocks", _places(state, scores.wanted), BLOCKS).filter(F.col("term").isin(*sorted(scores.wanted)))
     # a document's live postings are in one segment, so the largest bound of the segments holds
     per_term = blocks.withColumn("bound", scores.of(F.col("most"), F.col("least"))).groupBy("slot", "term").agg(F.max("bound").alias("bound"), F.count("*").alias("blocks"))
     return per_term.groupBy("slot").agg(F.sum("bound").alias("bound"), F.sum("blocks").alias("blocks"))

@@ -160,3 +160,25 @@ def test_unwanted_terms_alone_have_no_ranking(frame, spark, tmp_path):
     si.build(table(frame, made(5)), path)
     with pytest.raises(ValueError):
         si.bm25(spark, path, "-alpha")
+
+
+def test_building_shuffles_no_posting_by_document(frame, spark, tmp_path, monkeypatch):
+    """Lengths and terms are known within the row: no stored table of the build is grouped or joined by document."""
+    plans, write = [], si._write
+
+    def noted(rows, path, kind, *rest, **more):
+        plans.append((kind, rows._jdf.queryExecution().executedPlan().toString()))
+        return write(rows, path, kind, *rest, **more)
+
+    monkeypatch.setattr(si, "_write", noted)
+    docs = {1: ("alpha note alpha", "alpha beta"), 2: (None, None), 3: ("Payment", "the terms"), 4: ("beta", "x")}
+    si.build(table(frame, docs), str(tmp_path / "i"))
+    assert {kind for kind, _ in plans} == {"docs", "postings", "blocks", "stats"}
+    for kind, plan in plans:
+        assert "Join" not in plan and "hashpartitioning(doc_id" not in plan and "collect_set" not in plan
+        assert plan.count("Exchange") <= 2, (kind, plan)
+    held = spark.read.parquet(str(tmp_path / "i" / "postings")).filter("doc_id = 1 and term = 'alpha'")
+    # the weighted count of both fields is kept once
+    assert sorted((r.field, r.tf, r.tenths) for r in held.collect()) == [("A", 2, 24), ("B", 1, None)]
+    blocks = spark.read.parquet(str(tmp_path / "i" / "blocks")).filter("term = 'alpha'")
+    assert [(r.n, r.most) for r in blocks.collect()] == [(1, 24)]
