@@ -126,55 +126,102 @@ def fields_postings(english: bool, weights: dict[str, int]):
     def grouped(batch: pa.RecordBatch) -> pa.RecordBatch:
         n_rows, n_fields = batch.num_rows, len(weights)
         keys = batch.schema.names[:-n_fields]
-        columns = [batch.column(f) for f in batch.schema.names[-n_fields:]]
-        lengths = [c.value_lengths().to_numpy() for c in columns]
-        row = np.concatenate([np.repeat(np.arange(n_rows), n) for n in lengths])
-        field = np.repeat(np.arange(n_fields), [n.sum() for n in lengths])
-        position = np.concatenate([np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + 1 for n in lengths])
-
-        encoded = pa.concat_arrays([c.flatten() for c in columns]).dictionary_encode()
-        known: dict[str, int] = {}
-        term_of_word = np.full(len(encoded.dictionary) + 1, -1)
-        for code, word in enumerate(encoded.dictionary.to_pylist()):
-            term = normal_term(word, english)
-            if term is not None:
-                term_of_word[code] = known.setdefault(term, len(known))
-        term = term_of_word[encoded.indices.to_numpy()]
-
-        kept = term >= 0
-        row, field, term, position = row[kept], field[kept], term[kept], position[kept]
-        group = (row * max(len(known), 1) + term) * n_fields + field
-        order = np.argsort(group, kind="stable")
-        group = group[order]
-        first = np.flatnonzero(np.diff(group, prepend=-1))
-        ends = np.append(first, len(group))
-        tf = np.diff(ends)
-        of_row, of_field, of_term = row[order][first], field[order][first], term[order][first]
-        counted = np.array(list(weights.values()))[of_field] * tf
-        opens = np.diff(group[first] // n_fields, prepend=-1) != 0
-        tenths = np.zeros(len(first), np.int64)
-        if len(first):
+        terms, row, field, term, tf, places, position = _groups(batch, n_fields, english, False)
+        counted = np.array(list(weights.values()))[field] * tf
+        opens = (np.diff(row, prepend=-1) != 0) | (np.diff(term, prepend=-1) != 0)
+        tenths = np.zeros(len(row), np.int64)
+        if len(row):
             tenths[opens] = np.add.reduceat(counted, np.flatnonzero(opens))
         postings = pa.StructArray.from_arrays(
-            [
-                pa.array(list(weights), pa.string()).take(pa.array(of_field)),
-                pa.array(list(known), pa.string()).take(pa.array(of_term)),
-                pa.array(tf.astype(np.int32)),
-                pa.ListArray.from_arrays(ends.astype(np.int32), position[order].astype(np.int32)),
-                pa.array(tenths, mask=~opens),
-            ],
+            [*_posting(weights, terms, field, term, tf, places, position), pa.array(tenths, mask=~opens)],
             ["field", "term", "tf", "positions", "tenths"],
         )
-        places = np.searchsorted(of_row, np.arange(n_rows + 1)).astype(np.int32)
-        length = np.bincount(of_row, weights=counted, minlength=n_rows).astype(np.int64)
+        ends = np.searchsorted(row, np.arange(n_rows + 1)).astype(np.int32)
+        length = np.bincount(row, weights=counted, minlength=n_rows).astype(np.int64)
         return pa.RecordBatch.from_arrays(
-            [*[batch.column(k) for k in keys], pa.array(length), pa.ListArray.from_arrays(places, postings)],
+            [*[batch.column(k) for k in keys], pa.array(length), pa.ListArray.from_arrays(ends, postings)],
             names=[*keys, "length", "postings"],
         )
 
     return run
 
 
+def _groups(batch: pa.RecordBatch, n_fields: int, english: bool, by_term: bool):
+    """The terms, and per posting its row, field, term, count and the place of its positions, and the positions.
+
+    The last columns are the words of the fields.  Postings are in order of row, or of term.
+    """
+    n_rows = batch.num_rows
+    columns = [batch.column(f) for f in batch.schema.names[-n_fields:]]
+    lengths = [c.value_lengths().to_numpy() for c in columns]
+    row = np.concatenate([np.repeat(np.arange(n_rows), n) for n in lengths])
+    field = np.repeat(np.arange(n_fields), [n.sum() for n in lengths])
+    position = np.concatenate([np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + 1 for n in lengths])
+
+    # each distinct word is normalised once
+    encoded = pa.concat_arrays([c.flatten() for c in columns]).dictionary_encode()
+    normal = [normal_term(word, english) for word in encoded.dictionary.to_pylist()]
+    terms = sorted({t for t in normal if t is not None})
+    codes = {t: i for i, t in enumerate(terms)}
+    term = np.array([codes.get(t, -1) for t in normal] + [-1])[encoded.indices.to_numpy()]
+
+    kept = term >= 0
+    row, field, term, position = row[kept], field[kept], term[kept], position[kept]
+    major = term * n_rows + row if by_term else row * max(len(terms), 1) + term
+    group = major * n_fields + field
+    order = np.argsort(group, kind="stable")
+    first = np.flatnonzero(np.diff(group[order], prepend=-1))
+    places = np.append(first, len(group))
+    picked = order[first]
+    return terms, row[picked], field[picked], term[picked], np.diff(places), places, position[order]
+
+
+def _posting(fields, terms, field, term, tf, places, position) -> list[pa.Array]:
+    return [
+        pa.array(list(fields), pa.string()).take(pa.array(field)),
+        pa.array(terms, pa.string()).take(pa.array(term)),
+        pa.array(tf.astype(np.int32)),
+        pa.ListArray.from_arrays(places.astype(np.int32), position.astype(np.int32)),
+    ]
+
+
+RUN_WORDS = 1_000_000
+
+
+def term_runs(english: bool, fields: list[str]):
+    """Function for mapInArrow: (keys..., words of each field) to (keys..., field, term, tf, positions) in runs ordered by term.
+
+    A run holds the rows of about ``RUN_WORDS`` words, or of one batch's slice if
+    that has more, so memory is bound and nothing is shuffled or spilled.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        words = 0
+        for whole in batches:
+            for start in range(0, whole.num_rows, ROWS_AT_ONCE):
+                part = whole.slice(start, ROWS_AT_ONCE)
+                held.append(part)
+                words += sum(len(part.column(f).flatten()) for f in part.schema.names[-len(fields):])
+                if words >= RUN_WORDS:
+                    yield ordered(held)
+                    held, words = [], 0
+        if held:
+            yield ordered(held)
+
+    def ordered(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        batch = pa.concat_batches(parts)
+        keys = batch.schema.names[:-len(fields)]
+        terms, row, field, term, tf, places, position = _groups(batch, len(fields), english, True)
+        picked = batch.select(keys).take(pa.array(row))
+        return pa.RecordBatch.from_arrays(
+            [*picked.columns, *_posting(fields, terms, field, term, tf, places, position)],
+            names=[*keys, "field", "term", "tf", "positions"],
+        )
+
+    return run
+
+
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def english_terms(words: pd.Series) -> pd.Series:
     """Distinct search terms of each token list."""
