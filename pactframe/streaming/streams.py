@@ -7,7 +7,6 @@ in the output.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
@@ -363,58 +362,26 @@ def stream_stale_jobs(changes: DataFrame, stale_after: str = "5 minutes", latene
     )
 
 
-SPANS = "starts array<bigint>, lasts array<bigint>, ended array<boolean>"
-ALERTS = "alive_since timestamp, last_heartbeat timestamp, stale_at timestamp"
-
-
-def merged_spans(spans: list[tuple[int, int, bool]], gap: int) -> list[tuple[int, int, bool]]:
-    """Spans (first, last, ended) in order of time, with those no further apart than ``gap`` made one."""
-    out: list[tuple[int, int, bool]] = []
-    for first, last, ended in sorted(spans):
-        if out and first - out[-1][1] <= gap:
-            start, until, over = out[-1]
-            over = max((until, over), (last, ended))[1]
-            out[-1] = (start, max(until, last), over)
-        else:
-            out.append((first, last, ended))
-    return out
-
-
 def stream_stale_timers(changes: DataFrame, stale_after: str = "5 minutes", lateness: str = LATENESS) -> DataFrame:
     """An alert for each job when the timer set by its last sign of life runs out.
 
-    ``changes`` is as in ``stream_stale_jobs``.  The state of a job is its open
-    spans of signs with no gap above ``stale_after``, at most one per such gap
-    within the lateness, and one timer at the earliest end of a span plus
-    ``stale_after``.  A beat that comes late but within the watermark joins the
-    spans around it and so sets the timer anew; the end of a job takes the alert
+    ``changes`` is as in ``stream_stale_jobs``.  The open spans of a job, with no
+    gap between signs above ``stale_after``, are the state: session windows that
+    reach a microsecond further, so that a gap of just ``stale_after`` is no
+    alert.  A beat that comes late but within the watermark joins the spans
+    around it and so sets the timer anew; the end of a job takes the alert
     away.  A timer runs out, and the alert is given, in the first batch whose
-    watermark is beyond it, also if no job has news then.  A gap of just
-    ``stale_after`` is no alert.  Signs without job or time are none; answers do
-    not depend on where batches are cut.  Rows of one job are read as a stream.
+    watermark is beyond it, also if no job has news then.  Signs without job or
+    time are none; answers do not depend on where batches are cut.  A span is
+    one row of state however many signs it has, and no Python runs per job.
     """
-    gap = pd.Timedelta(stale_after).value // 1000
     ended = F.coalesce(F.col("status") != "running", F.lit(True))
-    signs = changes.where("id is not null and at is not null").withWatermark("at", lateness)
-    signs = signs.select("id", "at", F.unix_micros("at").alias("micros"), ended.alias("over"))
-    key = signs.schema["id"].dataType.simpleString()
-
-    def step(job, parts, state):
-        spans = list(zip(*state.get)) if state.exists else []
-        if not state.hasTimedOut:
-            for part in parts:
-                part = part.groupby("micros")["over"].any()
-                spans = merged_spans(spans + [(at, at, over) for at, over in zip(part.index.tolist(), part.tolist())], gap)
-        now = state.getCurrentWatermarkMs() * 1000
-        still = [s for s in spans if s[1] + gap >= now]
-        if still:
-            state.update(tuple(list(c) for c in zip(*still)))
-            state.setTimeoutTimestamp((min(last for _, last, _ in still) + gap) // 1000)
-        else:
-            state.remove()
-        alerts = [(job[0], first, last, last + gap) for first, last, over in spans if last + gap < now and not over]
-        if alerts:
-            out = pd.DataFrame(alerts, columns=["id", "alive_since", "last_heartbeat", "stale_at"])
-            yield out.assign(**{name: pd.to_datetime(out[name], unit="us") for name in out.columns[1:]})
-
-    return signs.groupBy("id").applyInPandasWithState(step, f"id {key}, {ALERTS}", SPANS, "append", "EventTimeTimeout")
+    return (
+        changes.where("id is not null and at is not null")
+        .select("id", "at", ended.alias("over"))
+        .withWatermark("at", lateness)
+        .groupBy("id", F.session_window("at", f"{stale_after} 1 microsecond").alias("w"))
+        .agg(F.min("at").alias("alive_since"), F.max(F.struct("at", "over")).alias("last"))
+        .filter(~F.col("last.over"))
+        .select("id", "alive_since", F.col("last.at").alias("last_heartbeat"), (F.col("last.at") + F.expr(f"interval {stale_after}")).alias("stale_at"))
+    )

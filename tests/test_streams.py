@@ -269,3 +269,10 @@ def test_timers_go_on_after_a_restart(spark, frame):
         query.awaitTermination()
     found = spark.read.schema(alerts.schema).parquet(out)
     assert [(r.id, r.last_heartbeat.minute) for r in found.orderBy("id", "last_heartbeat").collect()] == [("a", 4), ("b", 0), ("c", 14)]
+
+
+def test_timers_are_kept_without_python_per_job(frame, in_files):
+    alerts = streams.stream_stale_timers(in_files([frame([sign("a", 0)], SIGNS)]), lateness="10 minutes")
+    plan = alerts._jdf.queryExecution().analyzed().toString()
+    assert "InPandas" not in plan and "Python" not in plan
+    assert [(f.name, f.dataType.simpleString()) for f in alerts.schema][1:] == [("alive_since", "timestamp"), ("last_heartbeat", "timestamp"), ("stale_at", "timestamp")]
