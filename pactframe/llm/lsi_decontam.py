@@ -15,7 +15,9 @@ of bounded size; the documents are never collected.
 
 from __future__ import annotations
 
+import itertools
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -124,7 +126,7 @@ def numbered(docs: DataFrame, block: Block, fit_documents: int | None) -> DataFr
 
 def line_of(text: bytes, vocabulary: dict[bytes, int]) -> np.ndarray:
     words = words_of(text)
-    return np.array([vocabulary.get(w, -1) for w in words], "<i4")
+    return np.fromiter(map(vocabulary.get, words, itertools.repeat(-1)), "<i4", len(words))
 
 
 def count_terms(lines: DataFrame, size: int) -> DataFrame:
@@ -148,29 +150,65 @@ def passages_of(line: bytes) -> list[np.ndarray]:
     return [p for p in (p[p >= 0] for p in parts) if len(p)]
 
 
+def passages_in(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``passages_of`` all the lines at once: the words of all passages, words by passage, passages by line."""
+    ids = np.frombuffer(b"".join(lines), "<i4")
+    words = np.fromiter(map(len, lines), np.int64, len(lines)) // 4
+    parts = -(-words // PASSAGE)
+    passage = np.arange(len(ids)) + np.repeat((np.cumsum(parts) - parts) * PASSAGE - (np.cumsum(words) - words), words)
+    kept = ids >= 0
+    sizes = np.bincount(passage[kept] // PASSAGE, minlength=parts.sum())
+    held = sizes > 0
+    return ids[kept], sizes[held], np.bincount(np.repeat(np.arange(len(lines)), parts)[held], minlength=len(lines))
+
+
+TOGETHER = 4096  # passages whose products are formed at a time, and the rest of their last line
+
+
+def groups_of(lines: Iterator[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Words and sizes of the passages of whole lines, ``TOGETHER`` or a little more at a time."""
+    ids, sizes, count = [], [], 0
+    while some := list(itertools.islice(lines, 256)):
+        words, lengths, by_line = passages_in(some)
+        done = np.r_[0, np.cumsum(by_line)]
+        starts, at = np.r_[0, np.cumsum(lengths)], 0
+        while count + done[-1] - at >= TOGETHER:
+            end = done[np.searchsorted(done, at + TOGETHER - count)]
+            yield np.concatenate([*ids, words[starts[at] : starts[end]]]), np.concatenate([*sizes, lengths[at:end]])
+            ids, sizes, count, at = [], [], 0, end
+        ids.append(words[starts[at] :])
+        sizes.append(lengths[at:])
+        count += done[-1] - at
+    if count:
+        yield np.concatenate(ids), np.concatenate(sizes)
+
+
 DENSE = 64  # a term in more than one of so many passages gets a column of a dense matrix
 
 
 def gram_times(passages: list[np.ndarray], weight: np.ndarray, matrix: np.ndarray) -> np.ndarray:
     """(transposed A) A matrix for the rows of A that the passages are, each a unit vector of term weights."""
-    out = np.zeros_like(matrix)
     if not passages:
-        return out
-    sizes = np.fromiter(map(len, passages), np.int64, len(passages))
-    ids = np.concatenate(passages)
-    row = np.repeat(np.arange(len(passages)), sizes)
+        return np.zeros_like(matrix)
+    return gram_of(np.concatenate(passages), np.fromiter(map(len, passages), np.int64, len(passages)), weight, matrix)
+
+
+def gram_of(ids: np.ndarray, sizes: np.ndarray, weight: np.ndarray, matrix: np.ndarray) -> np.ndarray:
+    """``gram_times`` for passages given as their words in a row and the number of words of each."""
+    out = np.zeros_like(matrix)
+    row = np.repeat(np.arange(len(sizes)), sizes)
     cell, times = np.unique(row * len(weight) + ids, return_counts=True)
     row, ids = np.divmod(cell, len(weight))
     value = times * weight[ids]
-    norm = np.sqrt(np.bincount(row, value * value, len(passages)))
+    norm = np.sqrt(np.bincount(row, value * value, len(sizes)))
     value = (value / np.maximum(norm[row], 1e-12)).astype(matrix.dtype)
     # products with the frequent terms as a dense matrix, with the others term by term
-    often = np.flatnonzero(np.bincount(ids, minlength=len(weight)) * DENSE > len(passages))
+    often = np.flatnonzero(np.bincount(ids, minlength=len(weight)) * DENSE > len(sizes))
     place = np.full(len(weight), -1)
     place[often] = np.arange(len(often))
     column = place[ids]
     dense = column >= 0
-    cells = np.zeros((len(passages), len(often)), matrix.dtype)
+    cells = np.zeros((len(sizes), len(often)), matrix.dtype)
     cells[row[dense], column[dense]] = value[dense]
     projected = cells @ matrix[often]
     row, ids, value = row[~dense], ids[~dense], value[~dense, None]
@@ -204,14 +242,9 @@ def sketch(lines: DataFrame, items: list[np.ndarray], weight: np.ndarray, matrix
                                              names=["slice", "sums"])
 
     def run(batches):
-        total, waiting = np.zeros_like(matrix), []
-        for batch in batches:
-            for line in batch.column("line").to_pylist():
-                waiting += passages_of(line)
-                if len(waiting) >= 4096:
-                    total += gram_times(waiting, weight, matrix)
-                    waiting = []
-        total += gram_times(waiting, weight, matrix)
+        total = np.zeros_like(matrix)
+        for ids, sizes in groups_of(line for batch in batches for line in batch.column("line").to_pylist()):
+            total += gram_of(ids, sizes, weight, matrix)
         slices = ((n, total[at : at + ROWS_AT_ONCE]) for n, at in enumerate(range(0, len(total), ROWS_AT_ONCE)))
         yield from pieces({n: piece for n, piece in slices if piece.any()})
 
@@ -302,7 +335,7 @@ class Finder:
             # parts of about HITS words, however many each window holds
             for part in np.split(heavy, np.flatnonzero(np.diff(np.cumsum(high[heavy] - low[heavy]) // HITS)) + 1):
                 last = -1
-                for window, item, cosine in self.near(terms, low[part], high[part], members):
+                for window, item, cosine in self.near(terms, hits, part, size // 4, members):
                     if window != last:
                         w, last = part[window], window
                         inside = terms[low[w] : high[w]]
@@ -320,21 +353,28 @@ class Finder:
                     break
         return found
 
-    def near(self, terms, low, high, members):
-        """Windows and items of a class at LEAST_COSINE or more in the latent space."""
-        some = high > low
-        if not some.any():
+    def near(self, terms, hits, part, step, members):
+        """Windows, by their place in ``part``, and items of a class at LEAST_COSINE or more in the latent space.
+
+        Window k is the four steps from k on; a step is summed once for all its windows.
+        """
+        if not len(part):
             return
-        where = np.flatnonzero(some)
-        low, high = low[some], high[some]
-        sizes = high - low
+        steps = np.unique(part[:, None] + np.arange(4))
+        low, high = np.searchsorted(hits, steps * step), np.searchsorted(hits, (steps + 1) * step)
+        held = np.flatnonzero(high > low)
+        sizes = (high - low)[held]
         ends = np.cumsum(sizes)
-        flat = np.arange(ends[-1]) - np.repeat(ends - sizes, sizes) + np.repeat(low, sizes)
-        image = np.add.reduceat(self.scaled[terms[flat]], ends - sizes, axis=0)
+        flat = np.arange(sizes.sum()) - np.repeat(ends - sizes, sizes) + np.repeat(low[held], sizes)
+        sums = np.zeros((len(steps), self.scaled.shape[1]), self.scaled.dtype)
+        if len(held):
+            sums[held] = np.add.reduceat(self.scaled[terms[flat]], ends - sizes, axis=0)
+        first = np.searchsorted(steps, part)
+        image = sums[first] + sums[first + 1] + sums[first + 2] + sums[first + 3]
         image /= np.maximum(np.linalg.norm(image, axis=1, keepdims=True), 1e-9)
         cosines = image @ self.queries[members].T
         for window, item in zip(*np.nonzero(cosines >= LEAST_COSINE)):
-            yield where[window], int(members[item]), cosines[window, item]
+            yield window, int(members[item]), cosines[window, item]
 
     def overlap(self, item: int, there: np.ndarray) -> float:
         """Weight of the item's words that a window has, in any order: a bound of the ordered one."""

@@ -149,3 +149,38 @@ def test_windows_are_compared_in_bounded_parts(monkeypatch):
     want = finder.find_in(texts)
     monkeypatch.setattr(ld, "HITS", 1000)
     assert finder.find_in(texts) == want and {f[0] for f in want[0]} == {0, 1} and want[1] == []
+
+
+def test_passages_of_many_lines_at_once(monkeypatch):
+    monkeypatch.setattr(ld, "TOGETHER", 7)
+    dice = random.Random(4)
+    lines = [np.array([dice.choice([-1, -1, 0, 1, 2]) for _ in range(dice.choice([0, 1, 47, 48, 49, 300]))], "<i4").tobytes() for _ in range(600)]
+    lines += [np.full(100, -1, "<i4").tobytes()]
+    want, groups = [], []
+    for line in lines:
+        want += ld.passages_of(line)
+        if len(want) >= 7:
+            groups.append(want)
+            want = []
+    groups += [want] if want else []
+    got = [[p.tolist() for p in np.split(ids, np.cumsum(sizes)[:-1])] for ids, sizes in ld.groups_of(iter(lines))]
+    assert got == [[p.tolist() for p in g] for g in groups]
+
+
+def test_near_windows_equal_plain_sums():
+    dice = np.random.default_rng(3)
+    words = [dice.integers(0, 50, 20).astype(np.int32) for _ in range(4)]
+    block = ld.Block(list(range(4)), words, [w[-5:] for w in words], {str(n).encode(): n for n in range(50)})
+    finder = ld.Finder(block, dice.random(50) + 0.1, dice.standard_normal((50, 8)).astype(np.float32))
+    line = np.where(dice.random(400) < 0.4, dice.integers(0, 50, 400), -1)
+    hits = np.flatnonzero(line >= 0)
+    members, part = np.arange(4), np.array([0, 1, 2, 7, 30, 40])
+    got = {(int(w), item): c for w, item, c in finder.near(line[hits], hits, part, 8, members)}
+    want = {}
+    for n, k in enumerate(part):
+        inside = line[k * 8 : k * 8 + 32]
+        image = finder.scaled[inside[inside >= 0]].sum(0)
+        for item, c in enumerate(finder.queries @ image / np.linalg.norm(image)):
+            if c >= ld.LEAST_COSINE:
+                want[n, item] = c
+    assert got.keys() == want.keys() and got == pytest.approx(want, abs=1e-5) and want
