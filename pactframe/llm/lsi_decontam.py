@@ -335,7 +335,7 @@ class Finder:
             # parts of about HITS words, however many each window holds
             for part in np.split(heavy, np.flatnonzero(np.diff(np.cumsum(high[heavy] - low[heavy]) // HITS)) + 1):
                 last = -1
-                for window, item, cosine in self.near(terms, hits, part, size // 4, members):
+                for window, item, cosine in self.near(terms, low[part], high[part], members):
                     if window != last:
                         w, last = part[window], window
                         inside = terms[low[w] : high[w]]
@@ -353,28 +353,33 @@ class Finder:
                     break
         return found
 
-    def near(self, terms, hits, part, step, members):
-        """Windows, by their place in ``part``, and items of a class at LEAST_COSINE or more in the latent space.
+    def near(self, terms, low, high, members):
+        """Windows and items of a class at LEAST_COSINE or more in the latent space.
 
-        Window k is the four steps from k on; a step is summed once for all its windows.
+        What lies between the ends of windows is summed once for all windows it is in.
         """
-        if not len(part):
+        some = high > low
+        if not some.any():
             return
-        steps = np.unique(part[:, None] + np.arange(4))
-        low, high = np.searchsorted(hits, steps * step), np.searchsorted(hits, (steps + 1) * step)
-        held = np.flatnonzero(high > low)
-        sizes = (high - low)[held]
+        where = np.flatnonzero(some)
+        low, high = low[some], high[some]
+        cuts = np.unique(np.r_[low, high])
+        first, last = np.searchsorted(cuts, low), np.searchsorted(cuts, high)
+        inside = np.cumsum(np.bincount(first, minlength=len(cuts)) - np.bincount(last, minlength=len(cuts)))
+        held = np.flatnonzero(inside > 0)
+        sizes = cuts[held + 1] - cuts[held]
         ends = np.cumsum(sizes)
-        flat = np.arange(sizes.sum()) - np.repeat(ends - sizes, sizes) + np.repeat(low[held], sizes)
-        sums = np.zeros((len(steps), self.scaled.shape[1]), self.scaled.dtype)
-        if len(held):
-            sums[held] = np.add.reduceat(self.scaled[terms[flat]], ends - sizes, axis=0)
-        first = np.searchsorted(steps, part)
-        image = sums[first] + sums[first + 1] + sums[first + 2] + sums[first + 3]
+        flat = np.arange(ends[-1]) - np.repeat(ends - sizes, sizes) + np.repeat(cuts[held], sizes)
+        sums = np.zeros((len(cuts), self.scaled.shape[1]), self.scaled.dtype)
+        sums[held] = np.add.reduceat(self.scaled[terms[flat]], ends - sizes, axis=0)
+        image = sums[first]
+        for n in range(1, (last - first).max()):
+            more = first + n < last
+            image[more] += sums[first[more] + n]
         image /= np.maximum(np.linalg.norm(image, axis=1, keepdims=True), 1e-9)
         cosines = image @ self.queries[members].T
         for window, item in zip(*np.nonzero(cosines >= LEAST_COSINE)):
-            yield window, int(members[item]), cosines[window, item]
+            yield where[window], int(members[item]), cosines[window, item]
 
     def overlap(self, item: int, there: np.ndarray) -> float:
         """Weight of the item's words that a window has, in any order: a bound of the ordered one."""

@@ -175,7 +175,7 @@ def test_near_windows_equal_plain_sums():
     line = np.where(dice.random(400) < 0.4, dice.integers(0, 50, 400), -1)
     hits = np.flatnonzero(line >= 0)
     members, part = np.arange(4), np.array([0, 1, 2, 7, 30, 40])
-    got = {(int(w), item): c for w, item, c in finder.near(line[hits], hits, part, 8, members)}
+    got = {(int(w), item): c for w, item, c in finder.near(line[hits], np.searchsorted(hits, part * 8), np.searchsorted(hits, part * 8 + 32), members)}
     want = {}
     for n, k in enumerate(part):
         inside = line[k * 8 : k * 8 + 32]
