@@ -146,6 +146,32 @@ def fields_postings(english: bool, weights: dict[str, int]):
     return run
 
 
+def weighted_terms(english: bool, weights: dict[str, int]):
+    """Function for mapInArrow: (keys..., words of each field) to (keys..., term, tenths), a row per term of a row.
+
+    ``tenths`` is the weighted count of the term in all fields.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, ROWS_AT_ONCE):
+                yield counted(whole.slice(start, ROWS_AT_ONCE))
+
+    def counted(batch: pa.RecordBatch) -> pa.RecordBatch:
+        keys = batch.schema.names[:-len(weights)]
+        terms, row, field, term, tf, _, _ = _groups(batch, len(weights), english, False)
+        tenths = np.array(list(weights.values()))[field] * tf
+        first = np.flatnonzero((np.diff(row, prepend=-1) != 0) | (np.diff(term, prepend=-1) != 0))
+        if len(first):
+            tenths = np.add.reduceat(tenths, first)
+        return pa.RecordBatch.from_arrays(
+            [*batch.select(keys).take(pa.array(row[first])).columns, pa.array(terms, pa.string()).take(pa.array(term[first])), pa.array(tenths.astype(np.int64))],
+            names=[*keys, "term", "tenths"],
+        )
+
+    return run
+
+
 def _groups(batch: pa.RecordBatch, n_fields: int, english: bool, by_term: bool):
     """The terms, and per posting its row, field, term, count and the place of its positions, and the positions.
 
