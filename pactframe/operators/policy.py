@@ -86,6 +86,7 @@ def pack_timeline(packs: DataFrame) -> DataFrame:
 # ---- the bridge between analyses and packs -----------------------------------
 
 FOREVER = "9999-01-01 00:00:00"
+BLOCK = 128  # places of a time line whose sets are kept in one row
 
 
 def set_timeline(packs: DataFrame) -> DataFrame:
@@ -109,20 +110,36 @@ def analysis_pack_sets(analyses: DataFrame, packs: DataFrame, at: str) -> DataFr
     are those of its sets in ``pack_sets``.
     """
     key = ["account_id", "jurisdiction", at]
-    wide = _wide(analyses.select(*key).distinct(), key)
-    asks = wide.select("owner", F.col("_where").alias("jurisdiction"), F.col(at).alias("_asked"))
-    found = asof_lookup(asks, set_timeline(packs), ["owner", "jurisdiction"], "_asked", "at", ["set_id"])
-    found = found.where("set_id is not null").select("owner", F.col("jurisdiction").alias("_where"), F.col("_asked").alias(at), "set_id")
+    wide = _asked(analyses, packs, at)
+    found = _sets_at(wide, packs, at).select("owner", F.col("jurisdiction").alias("_where"), F.col("_asked").alias(at), "set_id")
     return wide.join(found, ["owner", "_where", at]).select(*key, "set_id").distinct()
 
 
+def used_pack_sets(analyses: DataFrame, packs: DataFrame, at: str) -> DataFrame:
+    """The distinct set_id of ``analysis_pack_sets``, without a row per analysis."""
+    return _sets_at(_asked(analyses, packs, at), packs, at).select("set_id").distinct()
+
+
+def _asked(analyses: DataFrame, packs: DataFrame, at: str) -> DataFrame:
+    """What the analyses ask of the time lines, as far as there are any."""
+    key = ["account_id", "jurisdiction", at]
+    lines = _valid(packs).select("owner", F.col("jurisdiction").alias("_where")).distinct()
+    return _wide(analyses.select(*key).distinct(), key).join(lines, ["owner", "_where"], "left_semi")
+
+
+def _sets_at(wide: DataFrame, packs: DataFrame, at: str) -> DataFrame:
+    asks = wide.select("owner", F.col("_where").alias("jurisdiction"), F.col(at).alias("_asked"))
+    return asof_lookup(asks, set_timeline(packs), ["owner", "jurisdiction"], "_asked", "at", ["set_id"]).where("set_id is not null")
+
+
 def pack_sets(packs: DataFrame, used: DataFrame | None = None) -> DataFrame:
     """(set_id, pack_id): the dictionary of distinct pack sets, of those in ``used`` (set_id) if given.
 
     Each set is listed once, from the first place it is in force.  Places of a
     time line are numbered, and each pack is in a run of them, whose ends are
     looked up; so the work grows with the members listed, and no pack is
-    compared with a set that lacks it.
+    compared with a set that lacks it.  Runs meet the sets by blocks of places,
+    and members are listed only after that, so they are never shuffled.
     """
     line = set_timeline(packs).where("set_id is not null")
     if used is not None:
@@ -142,9 +159,18 @@ def pack_sets(packs: DataFrame, used: DataFrame | None = None) -> DataFrame:
         return before.select(*on, F.col("end").alias(column), F.col("earlier").alias(name))
 
     runs = valid.join(looked_up("effective_from", "_begin"), [*on, "effective_from"]).join(looked_up("effective_to", "_end"), [*on, "effective_to"])
-    members = runs.where("_end > _begin").select("pack_id", *on, F.explode(F.sequence(F.col("_begin") + 1, F.col("_end"))).alias("place"))
-    named = first.join(places, [*on, "at"]).select(*on, "place", "set_id")
-    return members.join(named, [*on, "place"]).select("set_id", "pack_id")
+    named = first.join(places, [*on, "at"]).select(*on, _block(F.col("place")).alias("block"), F.struct("place", "set_id").alias("set"))
+    blocks = stored(named.groupBy(*on, "block").agg(F.collect_list("set").alias("sets")), "pack-set-blocks")
+    runs = runs.where("_end > _begin").withColumn("block", F.explode(F.sequence(_block(F.col("_begin") + 1), _block(F.col("_end")))))
+    # few bytes that many members come of, so dealt to as many tasks as a shuffle has, not by size
+    tasks = int(packs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = runs.repartition(tasks, "pack_id", "block").join(blocks, [*on, "block"])
+    held = F.filter("sets", lambda s: (s["place"] > F.col("_begin")) & (s["place"] <= F.col("_end")))
+    return met.select("pack_id", F.explode(held["set_id"]).alias("set_id")).select("set_id", "pack_id")
+
+
+def _block(place: Column) -> Column:
+    return F.floor(place / F.lit(BLOCK))
 
 
 def owner_of(account_id: Column) -> Column:

@@ -89,5 +89,4 @@ def analysis_pack_sets(t):
 def pack_sets(t):
     """The dictionary of the pack sets that graded an analysis."""
     packs = t("dom_policy_packs")
-    used = policy.analysis_pack_sets(graded(t), packs, "graded_at").select("set_id").distinct()
-    return policy.pack_sets(packs, used)
+    return policy.pack_sets(packs, policy.used_pack_sets(graded(t), packs, "graded_at"))

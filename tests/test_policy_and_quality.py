@@ -141,3 +141,32 @@ def test_tables_to_erase_from_are_stored_without_a_shuffle_of_their_own(spark, m
     with pytest.raises(Stored) as found:
         all_queries()["erase_in_files"](spark, "/root/testdata/sf0.001")
     assert found.value.args == (None, None, set(qq.COUNTED))
+
+
+def test_pack_sets_match_plain_sets_and_members_are_not_shuffled(frame, monkeypatch):
+    monkeypatch.setattr(policy, "BLOCK", 4)
+    pick = random.Random(5)
+    day = lambda n: f"2024-{1 + n // 28:02d}-{1 + n % 28:02d} 00:00:00"
+    packs = [(i, pick.choice([None, "a", "b"]), pick.choice(["GB", "ANY"]), i % 9 > 0, a := pick.randrange(90), pick.choice([None, a, a + pick.randrange(1, 90)])) for i in range(70)]
+    analyses = [(pick.choice([None, "a", "b", "z"]), pick.choice(["GB", "US", "ANY"]), pick.randrange(200)) for _ in range(150)]
+    expected = set()
+    for account, where, at in analyses:
+        for owner in {None, account}:
+            for place in {where, "ANY"}:
+                held = frozenset(i for i, o, w, active, start, end in packs if active and o == owner and w == place and start <= at and (end is None or at < end))
+                expected |= {held} if held else set()
+    packs = frame([(*p[:4], day(p[4]), None if p[5] is None else day(p[5])) for p in packs], PACKS.replace("timestamp", "string"))
+    packs = packs.withColumns({c: F.col(c).cast("timestamp") for c in ("effective_from", "effective_to")})
+    asked = frame([(a, w, day(n)) for a, w, n in analyses], "account_id string, jurisdiction string, at string").withColumn("at", F.col("at").cast("timestamp"))
+    used = policy.used_pack_sets(asked, packs, "at")
+    assert sorted(rows(used)) == sorted(rows(policy.analysis_pack_sets(asked, packs, "at").select("set_id").distinct()))
+    found = policy.pack_sets(packs, used)
+    sets = {}
+    for r in found.collect():
+        sets.setdefault(r.set_id, []).append(r.pack_id)
+    assert sorted(map(sorted, sets.values())) == sorted(map(sorted, expected)) and len(expected) > 30
+    # what is listed goes to the result as it is
+    plan = found._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    listed = [n for n, line in enumerate(plan) if "Generate explode" in line]
+    joined = [n for n, line in enumerate(plan) if "Join " in line]
+    assert listed[0] < joined[0]
