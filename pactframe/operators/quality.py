@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegralType, StringType, StructType
 
+from pactframe.functions.bits import bit_rows, key_bits, may_match, run_of
 from pactframe.operators.asof import asof_join
 from pactframe.operators.tenancy import by_account, in_scope
-from pactframe.sources.files import CHANGED, ERASED, read_versioned, rewrite
-from pactframe.sources.tables import stored
+from pactframe.session import new_folder
+from pactframe.sources.files import CODING, ERASED, PLACE, marked_rows, numbered_files, published, read_places, rewrite
+from pactframe.sources.tables import no_rows, stored
+
+# Ids that are broadcast to the rows that may name them.
+BROADCAST_IDS = 500_000
 
 
 @dataclass(frozen=True)
@@ -192,24 +198,71 @@ def erase_in_files(
     The tables are those of ``sources.files`` under ``root``.  Only files that
     hold a row to erase or to blank are written anew; per table, how many those
     were and how many were left.  Done twice, the second time changes nothing.
+
+    Rows to change are found from the columns that name an id, and marked by a
+    bit at their place in the files; whole rows are read once, to be written,
+    and never shuffled, however many ids go.
     """
-    tables = {name: read_versioned(spark, root, name, schema) for name, schema in schemas.items()}
-    gone = _mark_all(tables, accounts_gone, references)[1]
-    users = None if users_gone is None else stored(users_gone.select(F.col(users_gone.columns[0]).alias("_user")).distinct(), "gone-users")
-
-    def change(name: str, rows: DataFrame) -> DataFrame:
-        columns = rows.columns
-        rows = _marked(rows, name, gone, references).withColumnRenamed("erased", ERASED)
-        if name == "accounts" and "account_id" not in columns:
-            rows = rows.withColumnRenamed("account_id", "id")
-        blanks = (user_columns or {}).get(name, []) if users is not None else []
-        for n, column in enumerate(blanks):
-            rows = rows.join(users.select(F.col("_user").alias(column), F.lit(True).alias(f"_blank{n}")), column, "left")
-        hit = reduce(Column.__or__, [F.col(f"_blank{n}").isNotNull() for n in range(len(blanks))], F.lit(False))
-        blanked = {c: F.when(F.col(f"_blank{n}").isNull(), F.col(c)).alias(c) for n, c in enumerate(blanks)}
-        return rows.select(*[blanked.get(c, F.col(c)) for c in columns], ERASED, hit.alias(CHANGED))
-
-    return rewrite(spark, root, schemas, change)
+    version = published(spark, root)
+    numbers = {name: numbered_files(spark, root, name, version) for name in schemas}
+    blanks = {name: columns for name, columns in (user_columns or {}).items() if name in schemas} if users_gone is not None else {}
+    gone = {"accounts": _Gone(accounts_gone, "gone-accounts")}
+    users = None if users_gone is None else _Gone(users_gone, "gone-users")
+    parents, marks = {r.parent for r in references}, {}
+    for name in dict.fromkeys(["accounts", *[r.child for r in references], *schemas]):
+        names = schemas[name].names
+        if name == "accounts":
+            asked = [(ERASED, "account_id" if "account_id" in names else "id", gone["accounts"])]
+        else:
+            asked = [(ERASED, r.column, gone[r.parent]) for r in references if r.child == name]
+        asked += [(column, column, users) for column in blanks.get(name, [])]
+        marks[name] = _marks(spark, numbers[name], schemas[name], asked, name)
+        if name in parents and name != "accounts" and "id" in names:
+            keys = StructType([schemas[name]["id"]])
+            folder, ids = new_folder(spark, f"gone-{name}"), no_rows(spark, keys)
+            for _, rows in marked_rows(spark, numbers[name], keys, marks[name].where(F.col("kind") == ERASED), [ERASED]):
+                rows.where(f"_is_{ERASED}").select("id").write.mode("append").options(**CODING).parquet(folder)
+                ids = spark.read.schema(keys).parquet(folder)
+            gone[name] = _Gone(ids)
+    return rewrite(spark, root, schemas, marks, blanks)
+
+
+class _Gone:
+    """Ids that go: a column, how many, and the bits of their hashes once these are needed."""
+
+    def __init__(self, ids: DataFrame, name: str | None = None):
+        ids = ids.select(F.col(ids.columns[0]).alias("_gone"))
+        self.ids = stored(ids.distinct(), name) if name else ids
+        self.count = self.ids.count()
+
+    @functools.cached_property
+    def bits(self) -> tuple[DataFrame, int]:
+        bits, mask = key_bits(self.ids, self.count)
+        return stored(bits, "gone-bits"), mask
+
+    def found(self, rows: DataFrame, column: str) -> DataFrame:
+        """The rows that name one of the ids; of many ids only rows of two columns are shuffled, after most others went by the bits."""
+        same = F.col(column) == F.col("_gone")
+        if self.count <= BROADCAST_IDS:
+            return rows.join(F.broadcast(self.ids), same, "left_semi")
+        kind = rows.schema[column].dataType
+        if kind == self.ids.schema["_gone"].dataType and isinstance(kind, (StringType, IntegralType)):
+            # the planner would move the join in front of the bits; it leaves a projection that is not deterministic where it is
+            rows = may_match(rows, [F.col(column)], *self.bits).withColumn(PLACE, F.col(PLACE) + F.spark_partition_id() * 0)
+        return rows.join(self.ids.hint("merge"), same, "left_semi")
+
+
+def _marks(spark: SparkSession, numbers: dict[str, int], schema: StructType, asked: list[tuple[str, str, _Gone]], name: str) -> DataFrame:
+    """The places of the rows that name an id, as rows of bits per kind of mark."""
+    hits = []
+    for kind, column, gone in asked if numbers else []:
+        rows = read_places(spark, numbers, StructType([schema[column]]))
+        found = gone.found(rows, column).select(F.lit(kind).alias("kind"), PLACE)
+        # scattered by the join, so that bits gathered before the next shuffle would be few in each row
+        hits.append(found if gone.count <= BROADCAST_IDS else found.repartition(run_of(PLACE)))
+    if not hits:
+        return no_rows(spark, StructType.fromDDL("kind string, _run long, _words array<long>"))
+    return stored(bit_rows(_union(hits), PLACE, "kind"), f"marks-{name}")
 
 
 def erase_accounts(tables: dict[str, DataFrame], accounts_gone: DataFrame, references: list[Reference]) -> dict[str, DataFrame]:

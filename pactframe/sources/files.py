@@ -4,8 +4,8 @@
     <root>/manifest/            (version, table, file): the files of every table, per published version
     <root>/published/           (version): versions whose manifest is complete
 
-A change finds the files that hold a row to change, writes what is left of
-those alone, and publishes a version whose manifest names the new files and the
+A change marks the rows to change by their place in the files, from the columns
+that tell them alone, writes what is left of the files that hold one, and publishes a version whose manifest names the new files and the
 untouched old ones.  Until it is published, readers see the version before; a
 change that failed on the way is repeated by running it again.  Old files stay
 for readers of old versions; ``orphaned`` lists those to remove.  One writer at
@@ -14,14 +14,25 @@ a time is assumed.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterator
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
-FILE = "_file"
-ERASED, CHANGED = "_erased", "_changed"
+from pactframe.functions.bits import RUN_BITS, holds, run_of
+
+FILE, PLACE = "_file", "_place"
+ERASED = "_erased"
+
+# Bits of a place for the row in its file.
+ROW_BITS = 40
+
+# Rows of marks, of 4 kB each, that are broadcast at once.
+RUNS_AT_ONCE = 4_096
+
+# Stored tables are kept twice while they change, so ids that follow each other are stored as differences, and packed.
+CODING = {"compression": "zstd", "parquet.writer.version": "v2"}
 MANIFEST = "version long, table string, file string"
 
 
@@ -80,33 +91,71 @@ def write_versioned(root: str, tables: dict[str, DataFrame], by: dict[str, str]
         if by and name in by:
             ranged = rows.repartitionByRange(by[name]) if parts is None else rows.repartitionByRange(parts, by[name])
             rows = ranged.sortWithinPartitions(by[name])
-        rows.write.mode("overwrite").parquet(folder)
+        rows.write.mode("overwrite").options(**CODING).parquet(folder)
         files[name] = _added(spark, folder, rows.schema)
     _publish(spark, root, 0, files)
 
 
-def rewrite(spark: SparkSession, root: str, schemas: dict[str, StructType], change: Callable[[str, DataFrame], DataFrame]) -> dict[str, tuple[int, int]]:
-    """Apply a change to the tables and publish it; (files written anew, files left) per table.
+def read_places(spark: SparkSession, numbers: dict[str, int], schema: StructType) -> DataFrame:
+    """The rows of some files, each with a number, and ``_place``: the number of the file and the row in it as one number."""
+    numbered = F.broadcast(spark.createDataFrame([(f, n << ROW_BITS) for f, n in numbers.items()], f"{FILE} string, _base long"))
+    rows = spark.read.schema(schema).parquet(*numbers).select("*", F.col("_metadata.file_path").alias(FILE), F.col("_metadata.row_index").alias("_row"))
+    base = F.coalesce("_base", F.raise_error(F.concat(F.lit("no number for "), F.col(FILE))).cast("long"))
+    return rows.join(numbered, FILE, "left").select(*schema.names, (base + F.col("_row")).alias(PLACE))
+
+
+def numbered_files(spark: SparkSession, root: str, table: str, version: int) -> dict[str, int]:
+    return {f: n for n, f in enumerate(files_of(spark, root, table, version))}
 
-    ``change(name, rows)`` gives the rows with their columns, ``_file``, and
-    booleans ``_erased`` (the row goes) and ``_changed`` (it has new values).
-    It is applied to all rows to find the touched files, for which only the
-    columns it needs are read, and again to these files, which are written.
+
+def _groups(marks: DataFrame) -> list[tuple[int, int]]:
+    """First and last number of the files of each group, so that the marks of a group are few enough to be broadcast."""
+    file = F.shiftright("_run", ROW_BITS - RUN_BITS)
+    groups, held = [], 0
+    for r in marks.groupBy(file.alias("file")).agg(F.count(F.lit(1)).alias("n")).orderBy("file").toLocalIterator():
+        if groups and held + r["n"] <= RUNS_AT_ONCE:
+            groups[-1], held = (groups[-1][0], r["file"]), held + r["n"]
+        else:
+            groups.append((r["file"], r["file"]))
+            held = r["n"]
+    return groups
+
+
+def marked_rows(spark: SparkSession, numbers: dict[str, int], schema: StructType, marks: DataFrame, kinds: list[str]) -> Iterator[tuple[list[str], DataFrame]]:
+    """Files that hold a mark, in groups, and their rows with a boolean ``_is_<kind>`` for each kind of mark.
+
+    The marks of one group are broadcast, and no row is shuffled.
+    """
+    touched = {r[0] for r in marks.select(F.shiftright("_run", ROW_BITS - RUN_BITS)).distinct().toLocalIterator()}
+    for first, last in _groups(marks):
+        files = {f: n for f, n in numbers.items() if first <= n <= last and n in touched}
+        part = marks.where(F.col("_run").between(first << (ROW_BITS - RUN_BITS), ((last + 1) << (ROW_BITS - RUN_BITS)) - 1))
+        rows = read_places(spark, files, schema).withColumn("_run", run_of(PLACE))
+        for kind in kinds:
+            words = part.where(F.col("kind") == kind).select("_run", F.col("_words").alias(f"_words_{kind}"))
+            rows = rows.join(F.broadcast(words), "_run", "left")
+        yield sorted(files), rows.select(*schema.names, *[holds(f"`_words_{kind}`", PLACE).alias(f"_is_{kind}") for kind in kinds])
+
+
+def rewrite(spark: SparkSession, root: str, schemas: dict[str, StructType], marks: dict[str, DataFrame], blanks: dict[str, list[str]]) -> dict[str, tuple[int, int]]:
+    """Write what is left of the marked files and publish it; (files written anew, files left) per table.
+
+    ``marks`` are rows (kind, _run, _words) of bits of the places of a table,
+    where the files are numbered as ``numbered_files`` does.  Rows marked as
+    ``ERASED`` go; the kinds named in ``blanks`` are columns, NULL where marked.
     """
     version = published(spark, root)
     files, report = {}, {}
     for name, schema in schemas.items():
-        old = files_of(spark, root, name, version)
-        marked = change(name, read_files(spark, old, schema))
-        touched = {r[0] for r in marked.where(F.col(ERASED) | F.col(CHANGED)).select(FILE).distinct().toLocalIterator()}
-        new: list[str] = []
-        if touched:
-            folder = f"{root}/{name}/version={version + 1}"
-            rest = change(name, read_files(spark, sorted(touched), schema)).where(~F.col(ERASED))
-            rest.select(*schema.names).write.mode("overwrite").parquet(folder)
-            new = _added(spark, folder, schema)
-        files[name] = [f for f in old if f not in touched] + new
-        report[name] = len(touched), len(old) - len(touched)
+        numbers = numbered_files(spark, root, name, version)
+        folder, touched, columns = f"{root}/{name}/version={version + 1}", set(), blanks.get(name, [])
+        for some, rows in marked_rows(spark, numbers, schema, marks[name], [ERASED, *columns]):
+            values = [F.when(~F.col(f"_is_{c}"), F.col(c)).alias(c) if c in columns else F.col(c) for c in schema.names]
+            rest = rows.where(~F.col(f"_is_{ERASED}")).select(*values)
+            rest.write.mode("append" if touched else "overwrite").options(**CODING).parquet(folder)
+            touched.update(some)
+        files[name] = [f for f in numbers if f not in touched] + (_added(spark, folder, schema) if touched else [])
+        report[name] = len(touched), len(numbers) - len(touched)
     if any(n for n, _ in report.values()):
         _publish(spark, root, version + 1, files)
     return report

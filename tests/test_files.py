@@ -89,6 +89,77 @@ def test_everything_can_go(frame, spark, stored):
     assert left["audit"] == [(5000, 1), (None, 2)]
 
 
+def test_many_ids_and_many_marks_give_the_same_rows(frame, spark, stored, monkeypatch):
+    before = contents(spark, stored)
+    monkeypatch.setattr(quality, "BROADCAST_IDS", 0)
+    monkeypatch.setattr(files, "RUNS_AT_ONCE", 2)
+    written = []
+    real = files.marked_rows
+
+    def seen(*args):
+        for some, rows in real(*args):
+            written.append(rows._jdf.queryExecution().executedPlan().toString())
+            yield some, rows
+
+    monkeypatch.setattr(files, "marked_rows", seen)
+    report = erase(frame, stored, {1, 2, 5, 30, 31}, {3, 4})
+    assert contents(spark, stored) == expected(before, {1, 2, 5, 30, 31}, {3, 4})
+    assert len(written) > 4 and sum(n for n, _ in report.values()) > 8
+    # what is written comes as it was read
+    assert not any("Exchange" in plan.replace("BroadcastExchange", "") for plan in written)
+
+
+def test_rows_of_two_columns_are_shuffled_after_most_went_by_the_bits(frame, spark, monkeypatch):
+    monkeypatch.setattr(quality, "BROADCAST_IDS", 0)
+    gone = quality._Gone(frame([(f"k{n}",) for n in range(50)] * 2, "id string"), "gone")
+    rows = frame([(f"k{n % 900}", n) for n in range(2_000)] + [(None, 1)], f"key string, {files.PLACE} long")
+    found = gone.found(rows, "key")
+    assert sorted(r[files.PLACE] for r in found.collect()) == [n for n in range(2_000) if n % 900 < 50]
+    plan = found._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    joins = [line for line in plan if "Join " in line]
+    assert "LeftSemi" in joins[0] and "Inner" in joins[1] and len(joins) == 2
+    # ids of another type are compared as before
+    numbers = frame([(n, n) for n in range(60)], f"key int, {files.PLACE} long")
+    wide = quality._Gone(frame([(3,), (70,), (None,)], "id long"), "gone")
+    assert [r.key for r in wide.found(numbers, "key").collect()] == [3]
+
+
+def test_odd_keys(frame, spark, tmp_path, monkeypatch):
+    tables = {
+        "accounts": frame([(1, "a"), (1, "b"), (None, "c"), (2, "d")], "id long, name string"),
+        "contracts": frame([("x", 1), ("x", 2), (None, 1), ("y", None), ("z", 2)], "id string, account_id long"),
+        "points": frame([(1, "x", 9), (1, "z", None), (2, None, 9), (3, "y", 8), (3, "x", 8)], "id long, contract_id string, verified_by long"),
+        "audit": frame([(1, 9), (None, 9), (2, 8), (2, None)], "point_id long, user_id long"),
+        "other": frame([(1,), (2,)], "n int"),
+    }
+    for n, many in enumerate((500_000, 0)):
+        monkeypatch.setattr(quality, "BROADCAST_IDS", many)
+        root = str(tmp_path / str(n))
+        files.write_versioned(root, tables)
+        stored = root, {name: rows.schema for name, rows in tables.items()}
+        report = erase(frame, stored, [1, 1, None], [9, None])
+        left = contents(spark, stored)
+        assert left["accounts"] == [(2, "d"), (None, "c")] and left["contracts"] == [("x", 2), ("y", None), ("z", 2)]
+        assert left["points"] == [(1, "z", None), (2, None, None), (3, "y", 8)]
+        assert left["audit"] == [(2, 8), (2, None), (None, None)]
+        assert list(report) == list(tables) and report["other"][0] == 0 and left["other"] == [(1,), (2,)]
+
+
+def test_stored_values_come_back_and_are_packed(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    rows = spark.range(3_000).selectExpr(
+        "id", "concat('p', id, '-x') as name", "cast(id as decimal(30,3)) as wide", "cast(id / 7 as decimal(12,2)) as price", "id % 3 = 0 as flag",
+        "if(id % 5 = 0, null, cast(id as int)) as n", "id / 3 as part", "cast(cast(id as string) as binary) as raw", "timestamp_micros(id * 1000001) as at",
+        "date_add(date '2024-01-01', cast(id as int)) as day", "array(id, null) as list", "struct(id as a, cast(id as string) as b) as pair")
+    root = str(tmp_path / "t")
+    files.write_versioned(root, {"t": rows})
+    assert sorted(files.read_versioned(spark, root, "t", rows.schema).collect()) == sorted(rows.collect())
+    names = files.files_of(spark, root, "t")
+    found = [pq.ParquetFile(f.removeprefix("file://")).metadata.row_group(0).column(0) for f in names]
+    assert {c.compression for c in found} == {"ZSTD"} and names
+
+
 def test_no_tables(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         files.published(spark, str(tmp_path))

@@ -143,6 +143,29 @@ def test_tables_to_erase_from_are_stored_without_a_shuffle_of_their_own(spark, m
     assert found.value.args == (None, None, set(qq.COUNTED))
 
 
+def test_lines_without_an_event_leave_the_audit_as_it_was(frame, spark, tmp_path):
+    from pyspark.sql.types import StructType
+
+    from pactframe.plans import quality_queries as qq
+    from pactframe.sources.schemas import BASE_SCHEMAS
+    from pactframe.sources.tables import Tables
+
+    def save(name, given):
+        columns = [F.col(f.name).cast(f.dataType) if f.name in given.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in StructType.fromDDL(BASE_SCHEMAS[name]).fields]
+        given.select(*columns).write.parquet(f"{tmp_path}/{name}.parquet")
+
+    events = [(n, pick, n) for n, pick in zip([*range(-7, 60), 30, 31, None], ["view", "click", "error"] * 30)]
+    save("events", frame(events, "event_id long, event_type string, user_id long"))
+    save("lineitem", frame([(k, line, k + line, 7, 1.5) for k in [*range(-9, 200), 30] for line in range(-2, 6)] + [(None, 1, 1, 1, 1.0), (3, None, 1, 1, 1.0)],
+                           "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_extendedprice double"))
+    t = Tables(spark, str(tmp_path))
+    found = sorted(rows(qq.audit_rows(t)), key=repr)
+    assert found == sorted(rows(t("dom_verification_audit")), key=repr)
+    assert sum(r[1].startswith("p") for r in found if r[1]) > 30
+    plan = qq.audit_rows(t)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Aggregate") < plan.index("_words")
+
+
 def test_pack_sets_match_plain_sets_and_members_are_not_shuffled(frame, monkeypatch):
     monkeypatch.setattr(policy, "BLOCK", 4)
     pick = random.Random(5)
