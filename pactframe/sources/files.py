@@ -108,16 +108,16 @@ def numbered_files(spark: SparkSession, root: str, table: str, version: int) ->
     return {f: n for n, f in enumerate(files_of(spark, root, table, version))}
 
 
-def _groups(marks: DataFrame) -> list[tuple[int, int]]:
-    """First and last number of the files of each group, so that the marks of a group are few enough to be broadcast."""
+def _groups(marks: DataFrame) -> list[list[int]]:
+    """The numbers of the files that hold a mark, in groups whose marks are few enough to be broadcast."""
     file = F.shiftright("_run", ROW_BITS - RUN_BITS)
     groups, held = [], 0
     for r in marks.groupBy(file.alias("file")).agg(F.count(F.lit(1)).alias("n")).orderBy("file").toLocalIterator():
-        if groups and held + r["n"] <= RUNS_AT_ONCE:
-            groups[-1], held = (groups[-1][0], r["file"]), held + r["n"]
-        else:
-            groups.append((r["file"], r["file"]))
-            held = r["n"]
+        if not groups or held + r["n"] > RUNS_AT_ONCE:
+            groups.append([])
+            held = 0
+        groups[-1].append(r["file"])
+        held += r["n"]
     return groups
 
 
@@ -126,10 +126,10 @@ def marked_rows(spark: SparkSession, numbers: dict[str, int], schema: StructType
 
     The marks of one group are broadcast, and no row is shuffled.
     """
-    touched = {r[0] for r in marks.select(F.shiftright("_run", ROW_BITS - RUN_BITS)).distinct().toLocalIterator()}
-    for first, last in _groups(marks):
-        files = {f: n for f, n in numbers.items() if first <= n <= last and n in touched}
-        part = marks.where(F.col("_run").between(first << (ROW_BITS - RUN_BITS), ((last + 1) << (ROW_BITS - RUN_BITS)) - 1))
+    names = {n: f for f, n in numbers.items()}
+    for group in _groups(marks):
+        files = {names[n]: n for n in group}
+        part = marks.where(F.col("_run").between(group[0] << (ROW_BITS - RUN_BITS), ((group[-1] + 1) << (ROW_BITS - RUN_BITS)) - 1))
         rows = read_places(spark, files, schema).withColumn("_run", run_of(PLACE))
         for kind in kinds:
             words = part.where(F.col("kind") == kind).select("_run", F.col("_words").alias(f"_words_{kind}"))
