@@ -69,7 +69,7 @@ def _added(spark: SparkSession, folder: str, schema: StructType) -> list[str]:
         rows = spark.read.schema(schema).parquet(folder)
     except AnalysisException:
         return []
-    return sorted(r[0] for r in rows.select(F.col("_metadata.file_path")).distinct().toLocalIterator())
+    return sorted(r[0] for r in rows.select(F.col("_metadata.file_path")).distinct().collect())
 
 
 def _publish(spark: SparkSession, root: str, version: int, files: dict[str, list[str]]) -> None:
@@ -112,7 +112,8 @@ def _groups(marks: DataFrame) -> list[list[int]]:
     """The numbers of the files that hold a mark, in groups whose marks are few enough to be broadcast."""
     file = F.shiftright("_run", ROW_BITS - RUN_BITS)
     groups, held = [], 0
-    for r in marks.groupBy(file.alias("file")).agg(F.count(F.lit(1)).alias("n")).orderBy("file").toLocalIterator():
+    # collected, as a local iterator runs a job for each partition
+    for r in sorted(marks.groupBy(file.alias("file")).agg(F.count(F.lit(1)).alias("n")).collect()):
         if not groups or held + r["n"] > RUNS_AT_ONCE:
             groups.append([])
             held = 0
